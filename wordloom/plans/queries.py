@@ -1,2 +1,451 @@
+"""The registered queries of the engine's own operators: each runs one of them over whole tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
+
+from wordloom.functions import text as tx
+from wordloom.functions.profile import LATIN, MYANMAR
+from wordloom.operators import boundary, corpus, graph, lexicon, lm, review, search, segment, tagging
+from wordloom.plans.oracle import ORACLE_SQL  # noqa: F401
+from wordloom.streaming import streams
+
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+#: Used only where the session names no shared folder.
+OWN_FOLDER = "/tmp/checkpoints"
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        spark.sparkContext.setCheckpointDir(OWN_FOLDER)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def doc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tx.tokens(table(spark, sf_dir, "documents"), LATIN)
+
+
+def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(word): distinct words of the benchmark passages."""
+    return tx.tokens(table(spark, sf_dir, "benchmark"), LATIN, "item_id").select(F.col("token").alias("word")).distinct()
+
+
+def r6(c):
+    return F.round(c, 6)
+
+
+@query
+def tokens_per_doc(spark, sf):
+    return doc_tokens(spark, sf).groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.count_distinct("token").alias("n_types"))
+
+
+@query
+def islands(spark, sf):
+    return tx.islands(tx.pieces(table(spark, sf, "documents"), LATIN)).select("doc_id", "island", "first", "last", "n", F.md5("text").alias("text_md5"))
+
+
+@query
+def sentences(spark, sf):
+    s = tx.sentences(tx.pieces(table(spark, sf, "documents"), LATIN), LATIN.enders)
+    return s.groupBy("doc_id", "sentence").agg(F.count_if("is_word").alias("n_words"), F.min_by("piece", "i").alias("first_piece"))
+
+
+@query
+def line_stats_mad(spark, sf):
+    return boundary.line_stats(table(spark, sf, "documents").withColumn("text", F.lower("text")), LATIN.word)
+
+
+@query
+def text_pages(spark, sf):
+    return tx.pages(table(spark, sf, "documents")).select("doc_id", "page", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
+@query
+def unigrams(spark, sf):
+    return lm.unigrams(doc_tokens(spark, sf))
+
+
+@query
+def bigrams(spark, sf):
+    return lm.bigrams(doc_tokens(spark, sf))
+
+
+@query
+def spans_2_4(spark, sf):
+    return lm.spans(tx.tokens(table(spark, sf, "benchmark"), LATIN, "item_id"), key="item_id")
+
+
+@query
+def unigram_cost(spark, sf):
+    costs, default = lm.unigram_costs(lm.unigrams(doc_tokens(spark, sf)))
+    return costs.join(F.broadcast(default)).select("token", "n", r6("cost").alias("cost"), r6("default_cost").alias("default_cost"))
+
+
+@query
+def bigram_cost(spark, sf):
+    costs, left, overall = lm.bigram_costs(lm.bigrams(doc_tokens(spark, sf)))
+    joined = costs.join(left, "w1").join(F.broadcast(overall))
+    return joined.select("w1", "w2", "n", r6("cost").alias("cost"), r6("default_cost").alias("default_cost"), r6("global_cost").alias("global_cost"))
+
+
+@query
+def bigram_backoff(spark, sf):
+    t = doc_tokens(spark, sf)
+    asked = lm.bigrams(tx.tokens(table(spark, sf, "benchmark"), LATIN, "item_id"), "item_id").select("w1", "w2")
+    return lm.transition_costs(asked, lm.unigram_costs(lm.unigrams(t)), lm.bigram_costs(lm.bigrams(t))).select("w1", "w2", r6("cost").alias("cost"), "source")
+
+
+@query
+def rarity(spark, sf):
+    return lm.rarity(lm.unigram_costs(lm.unigrams(doc_tokens(spark, sf)))[0]).select("token", r6("rarity").alias("rarity"))
+
+
+@query
+def collocations(spark, sf):
+    return lm.collocations(lm.bigram_costs(lm.bigrams(doc_tokens(spark, sf)))[0]).select("w1", "w2", r6("strength").alias("strength"))
+
+
+@query
+def phrases_greedy(spark, sf):
+    """Phrases of the benchmark passages that occur in the documents."""
+    inventory = lm.spans(tx.tokens(table(spark, sf, "benchmark"), LATIN, "item_id"), key="item_id")
+    return lm.phrases(doc_tokens(spark, sf), inventory)
+
+
+def layers(spark, sf) -> DataFrame:
+    """(layer, priority, headword, roman, pos, sense, pos_in_file) of three layers."""
+    word = lambda c: F.explode(F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(LATIN.word), F.lit(0)))).alias("headword")
+    part = table(spark, sf, "part").select(F.lit("user").alias("layer"), word("p_name"), F.col("p_brand").alias("roman"), F.col("p_type").alias("pos"), F.col("p_name").alias("sense"), F.col("p_partkey").alias("pos_in_file"))
+    bench = table(spark, sf, "benchmark").select(F.lit("mmd").alias("layer"), word("text"), F.lit("").alias("roman"), F.lit("n").alias("pos"), F.concat(F.lit("item "), "item_id").alias("sense"), F.col("item_id").alias("pos_in_file"))
+    talk = table(spark, sf, "conversations").select(F.lit("wiktionary").alias("layer"), word("text"), F.lit("").alias("roman"), F.col("role").alias("pos"), F.lit("said").alias("sense"), (F.col("conv_id") * 1000 + F.col("turn")).alias("pos_in_file"))
+    priority = F.create_map(*(F.lit(x) for kv in lexicon.PRIORITIES.items() for x in kv))
+    return part.unionByName(bench).unionByName(talk).withColumn("priority", priority[F.col("layer")])
+
+
+@query
+def lexicon_resolve(spark, sf):
+    e = lexicon.resolve(lexicon.merge_entries(layers(spark, sf)))
+    return e.select("headword", "layer", "priority", "roman", "pos", F.array_join("senses", ";").alias("senses"))
+
+
+@query
+def lexicon_all(spark, sf):
+    t = tx.tokens(table(spark, sf, "benchmark"), LATIN, "item_id").select("token").distinct()
+    return lexicon.lookup_all(t, lexicon.merge_entries(layers(spark, sf))).select("token", "layer", "rank", "pos")
+
+
+@query
+def known_tokens(spark, sf):
+    return lexicon.known(lm.unigrams(doc_tokens(spark, sf)), vocabulary(spark, sf))
+
+
+@query
+def unknown_tokens(spark, sf):
+    return lexicon.unknown(doc_tokens(spark, sf), vocabulary(spark, sf)).groupBy("doc_id").agg(F.count("*").alias("n_unknown"), F.min("i").alias("first_i"))
+
+
+@query
+def unknown_summary(spark, sf):
+    """The unknown words of the documents with their counts, most frequent first."""
+    return lexicon.unknown_counts(doc_tokens(spark, sf), vocabulary(spark, sf)).orderBy(F.desc("n"), F.desc("token"))
+
+
+@query
+def unknown_runs(spark, sf):
+    runs = lexicon.merge_unknown_runs(tx.tokens(table(spark, sf, "conversations").withColumn("id", F.col("conv_id") * 1000 + F.col("turn")), LATIN, "id"), vocabulary(spark, sf), "id")
+    return runs.select("id", "first", "n", "token", "is_known")
+
+
+def part_texts(spark, sf) -> DataFrame:
+    return table(spark, sf, "part").select("p_partkey", F.replace("p_name", F.lit(" "), F.lit("")).alias("text"))
+
+
+def part_words(spark, sf) -> DataFrame:
+    return table(spark, sf, "part").select(F.explode(F.split("p_name", " ")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+
+
+@query
+def dp_segment(spark, sf):
+    """Part names without their spaces, cut again by the cheapest path. Equal texts are cut once."""
+    words = part_words(spark, sf)
+    costs = lm.unigram_costs(words.withColumnRenamed("word", "token"))[0]
+    texts = part_texts(spark, sf)
+    rows = segment.lattice(texts.select("text").distinct(), LATIN, 16, "text", "text")
+    cut = segment.best_paths(segment.priced(rows, words, costs), "text")
+    return texts.join(cut, "text").select("p_partkey", F.array_join("words", " ").alias("words"))
+
+
+@query
+def max_match(spark, sf):
+    texts = part_texts(spark, sf)
+    cut = segment.max_match(segment.lattice(texts.select("text").distinct(), LATIN, 16, "text", "text"), part_words(spark, sf), "text")
+    return texts.join(cut, "text").select("p_partkey", F.array_join("words", " ").alias("words"))
+
+
+def misspelt(spark, sf) -> DataFrame:
+    """(query): distinct part names without their fourth character."""
+    return table(spark, sf, "part").select(F.concat(F.left("p_name", F.lit(3)), F.substring("p_name", 5, 100)).alias("query")).distinct()
+
+
+def part_names(spark, sf) -> DataFrame:
+    return table(spark, sf, "part").groupBy(F.col("p_name").alias("word")).agg(F.count("*").alias("n"))
+
+
+@query
+def fuzzy_equals_exhaustive(spark, sf):
+    return search.within(misspelt(spark, sf), part_names(spark, sf), 2)
+
+
+@query
+def spell_distance_first(spark, sf):
+    costs = lm.unigram_costs(part_names(spark, sf).withColumnRenamed("word", "token"))[0].select(F.col("token").alias("word"), "cost")
+    return search.closest(search.within(misspelt(spark, sf), costs, 2), costs).select("query", "word", "distance", "rank")
+
+
+@query
+def spell_topk(spark, sf):
+    costs = lm.unigram_costs(part_names(spark, sf).withColumnRenamed("word", "token"))[0].select(F.col("token").alias("word"), "cost")
+    return search.reranked(search.within(misspelt(spark, sf), costs, 2), costs).select("query", "word", "distance", r6("score").alias("score"), "rank")
+
+
+@query
+def fuzzy_two_tier(spark, sf):
+    return search.two_tier(search.within(misspelt(spark, sf), part_names(spark, sf), 2))
+
+
+@query
+def span_expansion(spark, sf):
+    t = tx.tokens(table(spark, sf, "benchmark"), LATIN, "item_id")
+    targets = t.filter(F.length("token") >= 10).select("item_id", "i")
+    return search.covering_spans(t, targets, 4, "item_id")
+
+
+@query
+def end_words_top(spark, sf):
+    """The fifty most frequent last words of sentences."""
+    s = tx.sentences(tx.pieces(table(spark, sf, "documents"), LATIN), LATIN.enders).filter("is_word")
+    return boundary.end_words(s.withColumnRenamed("piece", "token"), ["doc_id", "sentence"]).orderBy(F.desc("n"), "token").limit(50)
+
+
+@query
+def windows_sliding(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit(LATIN.word), F.lit(0)).alias("tokens"))
+    return corpus.sliding_windows(d).select("doc_id", "start", F.size("tokens").alias("n"), F.element_at("tokens", 1).alias("first_token"), F.element_at("tokens", -1).alias("last_token"))
+
+
+@query
+def windows_packed(spark, sf):
+    s = tx.sentences(tx.pieces(table(spark, sf, "documents"), LATIN), LATIN.enders).groupBy("doc_id", "sentence").agg(F.count("*").alias("size"))
+    return corpus.packed_windows(s, 128)
+
+
+@query
+def split_contiguous(spark, sf):
+    return corpus.contiguous_split(table(spark, sf, "documents").select("doc_id"), "doc_id")
+
+
+@query
+def every_nth(spark, sf):
+    return corpus.every_nth(table(spark, sf, "events").select("event_id", "event_type"), "event_id", 7, 3)
+
+
+@query
+def mix_50_25_25(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "lang")
+    return corpus.balanced_mix([(d.filter("lang = 'en'"), 0.5), (d.filter("lang = 'fr'"), 0.25), (d.filter("lang = 'de'"), 0.25)], "doc_id")
+
+
+@query
+def oversample(spark, sf):
+    return corpus.oversampled(table(spark, sf, "labels"), F.col("toxic") * 2 + 1)
+
+
+@query
+def context_features(spark, sf):
+    t = tx.tokens(table(spark, sf, "conversations").withColumn("id", F.col("conv_id") * 1000 + F.col("turn")), LATIN, "id")
+    return boundary.context_features(t, key="id").select("id", "i", "token", "p1", "p2", "p3", "n1", "n2", "n3", "prefix3", "suffix3")
+
+
+def graded(spark, sf) -> DataFrame:
+    """Labelled documents with a guess: good if few words repeat their predecessor."""
+    t = doc_tokens(spark, sf)
+    again = t.withColumn("same", F.col("token") == F.lag("token").over(W.partitionBy("doc_id").orderBy("i"))).groupBy("doc_id").agg(F.count_if("same").alias("again"), F.count("*").alias("n"))
+    guess = again.select("doc_id", (F.col("again") * 20 < F.col("n")).alias("guess"))
+    d = table(spark, sf, "documents").select("doc_id", "lang")
+    return table(spark, sf, "labels").join(d, "doc_id").join(guess, "doc_id")
+
+
+@query
+def prf_quality(spark, sf):
+    s = boundary.scores(graded(spark, sf), F.col("quality") == 1, F.col("guess"))
+    return s.select("tp", "fp", "fn", *(r6(c).alias(c) for c in ("precision", "recall", "f1")))
+
+
+@query
+def prf_by_label(spark, sf):
+    s = boundary.scores_by(graded(spark, sf), "lang", F.col("quality") == 1, F.col("guess"))
+    return s.select(F.coalesce("lang", F.lit("all")).alias("lang"), "tp", "fp", "fn", *(r6(c).alias(c) for c in ("precision", "recall", "f1")))
+
+
+@query
+def majority_map(spark, sf):
+    """The most frequent type of the parts of each name."""
+    best = corpus.majority(table(spark, sf, "part"), "p_name", "p_type", "p_partkey")
+    return best.select("p_name", "p_type", "n", r6("share").alias("share"))
+
+
+def tagged(spark, sf) -> DataFrame:
+    return table(spark, sf, "events").select(F.col("user_id"), "event_id", F.get_json_object("props", "$.k").alias("word"), F.when(F.col("event_type") != "error", F.col("event_type")).alias("tag"))
+
+
+@query
+def tag_stats(spark, sf):
+    return tagging.tag_stats(tagged(spark, sf).filter("tag is not null")).select("word", "tag", "n", r6("p").alias("p"))
+
+
+@query
+def transition_logp(spark, sf):
+    return tagging.transitions(tagged(spark, sf), "user_id", "event_id").select("prev", "tag", "n", r6("logp").alias("logp"))
+
+
+@query
+def entity_overlap(spark, sf):
+    """Words of ten letters or more as entities, lines as segments."""
+    b = table(spark, sf, "benchmark").select(F.col("item_id").alias("doc"), F.lower("text").alias("text"))
+    spans = lambda found, between: tx.starts_of(F.flatten(F.zip_with(between, found, lambda a, f: F.array(F.coalesce(a, F.lit("")), F.coalesce(f, F.lit(""))))))
+    word = "[a-zà-öø-ÿ]{10,}"
+    found = b.withColumn("w", F.regexp_extract_all("text", F.lit(word), F.lit(0))).withColumn("s", spans(F.col("w"), F.split("text", word, -1)))
+    ents = found.select("doc", F.posexplode("w").alias("k", "word"), "s").select("doc", F.col("k").alias("span_id"), F.get("s", 2 * F.col("k") + 1).alias("start"), F.length("word").alias("n")).withColumn("end", F.col("start") + F.col("n"))
+    lines = b.withColumn("l", F.split("text", " ", -1)).withColumn("s", tx.starts_of(F.transform("l", lambda x: F.concat(x, F.lit(" ")))))
+    segs = lines.select("doc", F.posexplode("l").alias("seg_i", "line"), "s").select("doc", "seg_i", F.get("s", F.col("seg_i")).alias("start"), F.length("line").alias("n")).withColumn("end", F.col("start") + F.col("n")).filter("n > 0")
+    return tagging.overlap(ents, segs)
+
+
+@query
+def neighbour_links(spark, sf):
+    """A purchase links to the view or click just before it, an error to the sign-up just after it."""
+    w = W.partitionBy("user_id").orderBy("event_id")
+    e = table(spark, sf, "events").select(F.col("user_id").alias("doc"), (F.row_number().over(w) - 1).alias("i"), F.when(F.col("event_type").isin("purchase", "error"), F.col("event_type")).alias("type"), F.array("event_type").alias("pos"))
+    rules = spark.createDataFrame([("purchase", "bought-after", "LEFT", ["view", "click"], 2), ("error", "fails-before", "RIGHT", ["signup"], 1)], "type string, role string, direction string, wanted array<string>, distance int")
+    return tagging.neighbour_links(e, rules)
+
+
+def hierarchy(spark, sf) -> DataFrame:
+    """(child, parent) of regions, nations, customers and suppliers, as names; the regions have none."""
+    n, c, s = (table(spark, sf, t) for t in ("nation", "customer", "supplier"))
+    name = lambda p, col: F.concat(F.lit(p), F.col(col).cast("string"))
+    top = table(spark, sf, "region").select(name("r", "r_regionkey").alias("child"), F.lit(None).cast("string").alias("parent"))
+    parts = [n.select(name("n", "n_nationkey").alias("child"), name("r", "n_regionkey").alias("parent")), c.select(name("c", "c_custkey").alias("child"), name("n", "c_nationkey").alias("parent")), s.select(name("s", "s_suppkey").alias("child"), name("n", "s_nationkey").alias("parent"))]
+    for p in parts:
+        top = top.unionByName(p)
+    return top
+
+
+@query
+def hierarchy_depth(spark, sf):
+    h = hierarchy(spark, sf).select(F.lit(0).alias("doc"), F.col("child").alias("i"), F.col("parent").alias("head"))
+    return graph.depths(h).select(F.col("i").alias("node"), F.col("depth").cast("int").alias("depth"))
+
+
+@query
+def path_to_root(spark, sf):
+    """For each customer its ancestors, nearest first."""
+    c = graph.closure(hierarchy(spark, sf).filter("parent is not null")).filter(F.col("node").startswith("c"))
+    path = c.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("distance", "ancestor"))).alias("p"))
+    return path.select("node", F.array_join("p.ancestor", ">").alias("path"))
+
+
+@query
+def descendants(spark, sf):
+    return graph.closure(hierarchy(spark, sf).filter("parent is not null")).groupBy("ancestor").agg(F.count("*").alias("n"), F.max("distance").cast("int").alias("height"))
+
+
+@query
+def k_hop(spark, sf):
+    edges = hierarchy(spark, sf).filter("parent is not null").select(F.col("child").alias("a"), F.col("parent").alias("b"))
+    return graph.k_hop(edges, table(spark, sf, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("seed")), 2).select("seed", "node", "hops")
+
+
+def trees(spark, sf) -> DataFrame:
+    """Tokens of the benchmark passages; a token's head is the next token that is longer (lengths over 40 count as 40), the
+    others are roots. One sort gives the next place of each length; no pairs are made."""
+    t = tx.tokens(table(spark, sf, "benchmark"), LATIN, "item_id").select(F.col("item_id").alias("doc"), "i", F.least(F.length("token"), F.lit(40)).alias("n"))
+    after = W.partitionBy("doc").orderBy("i").rowsBetween(1, W.unboundedFollowing)
+    longer = F.array(*(F.min(F.when(F.col("n") > k, F.col("i"))).over(after) for k in range(1, 40)))
+    return t.withColumn("_next", longer).select("doc", "i", F.get("_next", F.col("n") - 1).alias("head"))
+
+
+@query
+def components_bottom_up(spark, sf):
+    return graph.bottom_up(trees(spark, sf), 3)
+
+
+@query
+def context_window(spark, sf):
+    return graph.context_windows(trees(spark, sf), 6)
+
+
+@query
+def html_text(spark, sf):
+    return table(spark, sf, "pages").select("page_id", tx.clean_html(F.col("html")).alias("t")).select("page_id", F.length("t").alias("n_chars"), F.md5("t").alias("text_md5"))
+
+
+def seen(spark, sf) -> DataFrame:
+    return table(spark, sf, "events").select(F.get_json_object("props", "$.k").alias("head"), "ts", F.col("event_type").alias("form"), F.col("event_id").alias("tie"), "event_type")
+
+
+@query
+def exposure_counters(spark, sf):
+    return review.exposures(seen(spark, sf))
+
+
+def states(spark, sf) -> DataFrame:
+    r = seen(spark, sf).filter("event_type in ('purchase', 'error')").withColumn("knew", F.col("event_type") == "purchase")
+    return review.review_states(r)
+
+
+@query
+def sm2_state(spark, sf):
+    return states(spark, sf).select("head", "repetitions", "interval", r6("ease").alias("ease"), "reviews", "last")
+
+
+@query
+def next_card(spark, sf):
+    """The ten cards to show first on a given day."""
+    due = states(spark, sf).select("head", (F.col("last") + F.make_dt_interval("interval")).alias("due"))
+    cards = review.exposures(seen(spark, sf)).select("head", "total_seen").join(due, "head", "left")
+    return review.next_cards(cards, F.lit("2024-01-25").cast("timestamp"), 10).select("head", "bucket", "total_seen", "due")
+
+
+@query
+def events_tumbling(spark, sf):
+    return streams.tumbling(table(spark, sf, "events"), "6 hours").select("start", "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query
+def events_sliding(spark, sf):
+    return streams.tumbling(table(spark, sf, "events"), "1 day", slide="6 hours").select("start", "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query
+def events_session(spark, sf):
+    return streams.sessions(table(spark, sf, "events"), "2 hours").select("user_id", "start", "n", F.round("total", 4).alias("total"))
+
+
+@query
+def clusters_fixture(spark, sf):
+    """Myanmar texts, their clusters and where these begin; no table holds such text."""
+    t = spark.createDataFrame([("မြန်မာစာဖတ်",), ("မင်္ဂလာပါ",), ("စာ၊ ဖတ်။",)], "text string").withColumn("c", tx.clusters(F.col("text"), MYANMAR))
+    return t.select("text", F.array_join("c", "·").alias("clusters"), F.array_join(tx.starts_of(F.col("c")).cast("array<string>"), ",").alias("starts"))
+
+
+@query
+def nfc_fixture(spark, sf):
+    return spark.createDataFrame([("é",), ("é",), ("plain",), ("가",)], "text string").select("text", tx.nfc(F.col("text")).alias("nfc"))
