@@ -83,7 +83,7 @@ def read_tagged_lines(spark: SparkSession, path: str) -> DataFrame:
     """(line, i, word, tag) of lines word/tag word/tag|word/tag; the last slash splits, | parts compounds."""
     rows = numbered_lines(spark, path).filter("trim(line) <> '' and not startswith(line, '#')")
     each = rows.select(F.col("pos").alias("line"), F.posexplode(F.split(F.trim("line"), r"[\s|]+")).alias("i", "t")).filter("contains(t, '/')")
-    return each.select("line", "i", F.substring_index("t", "/", F.lit(-1)).alias("tag"), F.expr("substring(t, 1, length(t) - length(substring_index(t, '/', -1)) - 1)").alias("word"))
+    return each.select("line", "i", F.substring_index("t", "/", -1).alias("tag"), F.expr("substring(t, 1, length(t) - length(substring_index(t, '/', -1)) - 1)").alias("word"))
 
 
 def read_kaikki(spark: SparkSession, path: str, lang: str) -> DataFrame:
