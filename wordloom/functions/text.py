@@ -155,3 +155,50 @@ def pages(docs: DataFrame, most: int = 3000, id_col: str = "doc_id", text_col: s
     zero = F.struct(F.expr("cast(array() as array<string>)").alias("done"), F.lit(None).cast("string").alias("open"))
     packed = F.aggregate(lines, zero, step, lambda s: F.array_append(s["done"], s["open"]))
     return docs.select(id_col, F.posexplode(packed).alias("page", "text"))
+
+
+def has_base_letter(text: Column) -> Column:
+    """A Myanmar consonant or independent vowel that is not stacked below another."""
+    return text.rlike(r"(?<!္)[က-ဪဿ]")
+
+
+def has_marks(text: Column) -> Column:
+    return text.rlike(r"[ါ-ှၖ-ၙႂ-ႍ]")
+
+
+def is_garbage(token: Column) -> Column:
+    """Numbers, punctuation and symbols, and non-Myanmar tokens of one or two characters."""
+    return token.rlike(r"^[\p{N}\p{P}\p{S}]+$") | (~token.rlike(r"[က-႟]") & (F.length(token) <= 2))
+
+
+def is_mixed(token: Column) -> Column:
+    """Myanmar letters beside letters or digits of other scripts."""
+    return token.rlike(r"[က-႟]") & token.rlike(r"[A-Za-z0-9]")
+
+
+def bucket(value: Column, cuts: list[int]) -> Column:
+    """How many of the ascending cuts a value has reached."""
+    return sum((F.when(value >= c, 1).otherwise(0) for c in cuts), F.lit(0))
+
+
+def label_runs(rows: DataFrame, label: str, key: str, order: str) -> DataFrame:
+    """(key, run, label, first, last, n): maximal runs of equal neighbouring labels."""
+    w = W.partitionBy(key).orderBy(order)
+    breaks = (~F.col(label).eqNullSafe(F.lag(label).over(w)) | F.lag(order).over(w).isNull()).cast("int")
+    runs = rows.withColumn("_b", breaks).withColumn("run", F.sum("_b").over(w) - 1)
+    return runs.groupBy(key, "run", label).agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("n"))
+
+
+def attached(rows: DataFrame, is_head: Column, key: str, order: str) -> DataFrame:
+    """rows with head: the order of the last head row up to them; null before the first one."""
+    last = F.last(F.when(is_head, F.col(order)), ignorenulls=True).over(W.partitionBy(key).orderBy(order))
+    return rows.withColumn("head", last)
+
+
+def bioes(words: DataFrame, size: int, tag: str = "ENT", word_col: str = "word") -> DataFrame:
+    """words with one row for each part of up to so many characters (k, part, tag): S alone, else B, I and E."""
+    n = F.ceil(F.length(word_col) / size).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.substring(F.col(word_col), k * size + 1, F.lit(size)))
+    out = words.withColumn("_n", n).select("*", F.posexplode(parts).alias("k", "part"))
+    mark = F.when(F.col("_n") == 1, "S").when(F.col("k") == 0, "B").when(F.col("k") == F.col("_n") - 1, "E").otherwise("I")
+    return out.withColumn("tag", F.concat(mark, F.lit("-" + tag))).drop("_n")

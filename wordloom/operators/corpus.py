@@ -142,3 +142,46 @@ def base_chunks(spans: DataFrame, labels: list[str], key: str = "sent_id") -> Da
     over = (F.col(f"c.{key}") == F.col(f"d.{key}")) & (F.col("c.start") < F.col("d.end")) & (F.col("d.start") < F.col("c.end"))
     first = F.struct("d.rank", "d.start", "d.end") < F.struct("c.rank", "c.start", "c.end")
     return c.join(d, over & first, "left_anti").drop("rank")
+
+
+def fixed_batches(rows: DataFrame, order: str, size: int = 50) -> DataFrame:
+    """rows with the batch of so many consecutive ones that they are in."""
+    return ranked(rows, order).withColumn("batch", F.floor(F.col("nth") / size)).drop("nth", "total")
+
+
+def preferring_split(docs: DataFrame, least: int, most: int, key: str = "doc_id") -> DataFrame:
+    """(key, start, end): pieces of a document's tokens, cut after the last boundary that leaves between least and most
+    tokens, else after most. docs: (key, n, ends array<int>), the places after which a sentence ends, ascending."""
+    zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("out"))
+
+    def step(s: Column, _: Column) -> Column:
+        near = F.filter("ends", lambda e: (e >= s["at"] + least) & (e <= s["at"] + most))
+        cut = F.least(F.coalesce(F.array_max(near), s["at"] + most), F.col("n"))
+        cut = F.when(F.col("n") - s["at"] <= most, F.col("n")).otherwise(cut)
+        return F.when(s["at"] >= F.col("n"), s).otherwise(F.struct(cut.alias("at"), F.array_append(s["out"], F.struct(s["at"].alias("start"), cut.alias("end"))).alias("out")))
+
+    rounds = F.sequence(F.lit(1), F.greatest(F.ceil(F.col("n") / least).cast("int"), F.lit(1)))
+    return docs.select(key, F.explode(F.aggregate(rounds, zero, step, lambda s: s["out"])).alias("p")).select(key, "p.*")
+
+
+def threshold_majority(rows: DataFrame, form: str, value: str, order: str, least_n: int, least_share: float) -> DataFrame:
+    """majority, of forms seen so often whose most frequent value has such a share."""
+    counts = rows.groupBy(form).agg(F.count("*").alias("total"))
+    return majority(rows, form, value, order).join(counts, form).filter((F.col("total") >= least_n) & (F.col("share") >= least_share))
+
+
+def summary(docs: DataFrame, word: str, enders: str, text_col: str = "text") -> DataFrame:
+    """One row: records, tokens, boundaries, and boundaries for each token."""
+    text = F.lower(F.col(text_col))
+    counted = docs.agg(F.count("*").alias("records"), F.sum(F.regexp_count(text, F.lit(word))).alias("tokens"), F.sum(F.regexp_count(text, F.lit(f"[{enders}]+"))).alias("boundaries"))
+    return counted.withColumn("rate", F.col("boundaries") / F.nullif(F.col("tokens").cast("double"), F.lit(0.0)))
+
+
+def distribution(rows: DataFrame, column: str) -> DataFrame:
+    counts = rows.groupBy(column).agg(F.count("*").alias("n"))
+    return counts.join(F.broadcast(counts.agg(F.sum("n").alias("_t")))).select(column, "n", (100 * F.col("n") / F.col("_t")).alias("percent"))
+
+
+def agreed_boundaries(rows: DataFrame) -> DataFrame:
+    """boundaries: those that both columns a and b hold, and all of forced; ascending."""
+    return rows.withColumn("boundaries", F.array_sort(F.array_distinct(F.concat(F.array_intersect("a", "b"), "forced"))))

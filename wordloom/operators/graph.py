@@ -144,3 +144,27 @@ def chunk_model(tokens: DataFrame, max_depth: int = 4, key: str = "doc") -> Data
 
     kind = tokens.schema[key].dataType.simpleString()
     return tokens.groupBy(key).applyInPandas(model, f"{key} {kind}, chunk_head int, members array<int>, depth int, pos string")
+
+
+def tops(tokens: DataFrame, most_jump: int | None = None, key: str = "doc") -> DataFrame:
+    """(key, i, top): the last ancestor that a token reaches by steps to its head, none of them longer than a jump.
+    Pointer doubling, as in depths; a cycle ends after as many rounds as its tokens can need."""
+    ok = F.col("head").isNotNull() & (F.col("head") != F.col("i"))
+    if most_jump is not None:
+        ok = ok & (F.abs(F.col("head") - F.col("i")) <= most_jump)
+    at = _kept(tokens.select(key, "i", F.when(ok, F.col("head")).otherwise(F.col("i")).alias("top")))
+    for _ in range(32):
+        up = at.select(key, F.col("i").alias("top"), F.col("top").alias("_top"))
+        new = _kept(at.join(up, [key, "top"], "left").select(key, "i", F.coalesce("_top", "top").alias("top"), (F.col("_top") != F.col("top")).alias("_moved")))
+        if not new.filter("_moved").take(1):
+            return new.select(key, "i", "top")
+        at = new.drop("_moved")
+    return at
+
+
+def heights(tokens: DataFrame, key: str = "doc") -> DataFrame:
+    """(key, i, height): steps from a token down to its farthest descendant."""
+    name = lambda c: F.concat_ws(":", F.col(key).cast("string"), F.col(c).cast("string"))
+    edges = tokens.filter("head is not null and head <> i").select(name("i").alias("child"), name("head").alias("parent"))
+    below = closure(edges).groupBy("ancestor").agg(F.max("distance").alias("height"))
+    return tokens.select(key, "i", name("i").alias("ancestor")).join(below, "ancestor", "left").select(key, "i", F.coalesce("height", F.lit(0)).cast("int").alias("height"))

@@ -89,3 +89,17 @@ def phrases(tokens: DataFrame, inventory: DataFrame, most: int = 4, key: str = "
     walk = F.aggregate("all", F.struct(F.lit(0).alias("at"), empty.alias("out")), lambda s, m: F.when(m["i"] >= s["at"], F.struct((m["i"] + m["size"]).alias("at"), F.array_append(s["out"], m).alias("out"))).otherwise(s), lambda s: s["out"])
     taken = ordered.select(key, F.explode(walk).alias("m"))
     return taken.select(key, F.col("m.i").alias("start"), (F.col("m.i") + F.col("m.size")).alias("end"), "m.phrase", "m.n")
+
+
+def sequence_costs(pairs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, n, cost): a token's cost is a mix of its own and of its pair with the token before. pairs: (key, word_cost,
+    pair_cost), pair_cost null at the start."""
+    return pairs.groupBy(key).agg(F.count("*").alias("n"), F.sum(F.col("word_cost") + F.coalesce("pair_cost", F.lit(0.0))).alias("cost"))
+
+
+def overlay(tokens: DataFrame, costs: tuple[DataFrame, DataFrame], key: str = "doc_id") -> DataFrame:
+    """tokens with cost, known and rarity by the model's least and greatest cost."""
+    scaled = rarity(costs[0])
+    return tokens.join(scaled, "token", "left").join(F.broadcast(costs[1])).select(
+        key, "i", "token", F.coalesce("cost", "default_cost").alias("cost"), F.col("cost").isNotNull().alias("known"), F.coalesce("rarity", F.lit(1.0)).alias("rarity")
+    )

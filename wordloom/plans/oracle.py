@@ -205,3 +205,69 @@ ORACLE_SQL |= {
     "events_session": """WITH b AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 2 HOURS THEN 0 ELSE 1 END AS b FROM events),
         s AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM b) SELECT user_id, min(ts) AS start, count(*) AS n, round(sum(value), 4) AS total FROM s GROUP BY user_id, s""",
 }
+
+RAW = "(SELECT {k}, unnest(range(len(w)))::INTEGER AS i, unnest(w) AS token FROM (SELECT {k}, regexp_extract_all(text, '[^ \\t\\n\\r\\f]+') AS w FROM {t}))"
+GARBAGE = r"(regexp_full_match(token, '[\p{N}\p{P}\p{S}]+') OR (NOT regexp_matches(token, '[\x{1000}-\x{109F}]') AND length(token) <= 2))"
+ENDS = f"""{pcs()}, ends AS (SELECT doc_id, count(*)::INTEGER AS n, list_sort(coalesce(list(i + 1) FILTER (WHERE regexp_matches(piece, '[.!?]')), [])) AS e FROM pcs GROUP BY 1)"""
+OVER = f"""{tok()}, {UCOST}, {BENCH}, bnd AS (SELECT min(cost) AS lo, max(cost) AS hi, any_value(default_cost) AS unseen FROM ucost),
+    own AS (SELECT item_id, i, b.token, coalesce(cost, unseen) AS cost, cost IS NOT NULL AS known,
+        CASE WHEN cost IS NULL THEN 1 ELSE least(greatest(coalesce((cost - lo) / nullif(hi - lo, 0), 1 / (1 + exp(-(cost - 8) / 3))), 0), 1) END AS rarity FROM btok b LEFT JOIN ucost u ON u.token = b.token, bnd)"""
+
+ORACLE_SQL |= {
+    "token_classes": rf"""WITH t AS {RAW.format(k='doc_id', t='documents')}
+        SELECT CASE WHEN token = '' THEN 'EMPTY' WHEN regexp_full_match(token, '[\x{{102B}}-\x{{103E}}]+') THEN 'BARE_MARK' WHEN regexp_full_match(token, '[0-9\x{{1040}}-\x{{1049}}]+') THEN 'DIGIT'
+            WHEN regexp_full_match(token, '[\p{{P}}\p{{S}}]+') THEN 'PUNCT' WHEN regexp_matches(token, '[\x{{1000}}-\x{{109F}}]') THEN 'MY' WHEN regexp_full_match(token, '[\x21-\x7E]+') THEN 'ASCII' ELSE 'OTHER' END AS class,
+            count(*) AS n, count(*) FILTER (WHERE {GARBAGE}) AS garbage FROM t GROUP BY 1""",
+    "token_shapes": rf"""WITH t AS {RAW.format(k='item_id', t='benchmark')}
+        SELECT left(translate(regexp_replace(regexp_replace(regexp_replace(token, '[0-9]', chr(1), 'g'), '\p{{L}}', chr(3), 'g'), '[^\x01-\x03]', 'P', 'g'), chr(1) || chr(3), 'DA'), 12) AS shape, count(*) AS n FROM t GROUP BY 1""",
+    "char_trigrams": f"WITH {BENCH} SELECT unnest(list_transform(range(1, greatest(length(token) - 1, 1)), lambda k: substring(token, k, 3))) AS gram, count(*) AS n FROM btok GROUP BY 1",
+    "corpus_summary": f"""WITH c AS (SELECT count(*) AS records, sum(len(regexp_extract_all(lower(text), '{WORD}')))::BIGINT AS tokens, sum(len(regexp_extract_all(lower(text), '[.!?]+')))::BIGINT AS boundaries FROM documents)
+        SELECT *, round(boundaries / tokens, 6) AS rate FROM c""",
+    "lang_distribution": "SELECT lang, count(*) AS n, round(100 * count(*) / sum(count(*)) OVER (), 6) AS percent FROM documents GROUP BY 1",
+    "event_runs": """WITH b AS (SELECT *, CASE WHEN event_type IS NOT DISTINCT FROM lag(event_type) OVER w AND lag(event_id) OVER w IS NOT NULL THEN 0 ELSE 1 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+        r AS (SELECT *, (sum(b) OVER (PARTITION BY user_id ORDER BY event_id) - 1)::BIGINT AS run FROM b) SELECT user_id, run, event_type, min(event_id) AS first, max(event_id) AS last, count(*) AS n FROM r GROUP BY ALL""",
+    "fixed_batches": "WITH n AS (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 50 AS batch FROM documents) SELECT batch, count(*) AS n, min(doc_id) AS first, max(doc_id) AS last FROM n GROUP BY 1",
+    "boundary_split": f"""WITH RECURSIVE {ENDS}, s AS (SELECT doc_id, n, e, 0 AS a, 0 AS b FROM ends UNION ALL
+            SELECT doc_id, n, e, b, CASE WHEN n - b <= 200 THEN n ELSE least(coalesce(list_max(list_filter(e, lambda x: x >= b + 100 AND x <= b + 200)), b + 200), n) END FROM s WHERE b < n)
+        SELECT doc_id, a AS start, b AS "end" FROM s WHERE b > a""",
+    "agreed_boundaries": f"""WITH {ENDS}, x AS (SELECT doc_id, list_sort(list_distinct(list_concat(list_intersect(e, list_filter(e, lambda x: x % 2 = 0)), [n]))) AS b FROM ends)
+        SELECT doc_id, len(b)::INTEGER AS n, array_to_string(b, ',') AS boundaries FROM x""",
+    "bilu_tags": f"""WITH w AS (SELECT item_id, regexp_extract_all(lower(text), '{WORD}') AS w FROM benchmark)
+        SELECT item_id, array_to_string(list_transform(w, lambda x: CASE WHEN length(x) = 1 THEN 'U' ELSE 'B' || repeat('I', length(x) - 2) || 'L' END), '') AS tags FROM w""",
+    "longest_match_fill": f"""WITH RECURSIVE {TALK}, {VOC}, v2 AS (SELECT word FROM voc WHERE length(word) >= 2), u AS (SELECT DISTINCT token FROM ttok WHERE token NOT IN (SELECT word FROM v2)),
+        s AS (SELECT token, '' AS done, 0 AS p FROM u UNION ALL
+            SELECT token, CASE WHEN done = '' THEN x ELSE done || '·' || x END, p + length(x) FROM (
+                SELECT s.token, s.done, s.p, coalesce((SELECT arg_max(word, length(word)) FROM v2 WHERE length(word) <= 16 AND starts_with(substring(s.token, s.p + 1), word)), substring(s.token, s.p + 1, 1)) AS x FROM s WHERE s.p < length(s.token)))
+        SELECT token, done AS parts FROM s WHERE p = length(token)""",
+    "lm_overlay": f"WITH {OVER} SELECT item_id, i, token, round(cost, 6) AS cost, known, round(rarity, 6) AS rarity FROM own",
+    "sequence_cost": f"""WITH {OVER}, {BCOST}, q AS (SELECT item_id, i, token, cost AS word_cost, lag(token) OVER (PARTITION BY item_id ORDER BY i) AS w1 FROM own),
+        c AS (SELECT item_id, word_cost, CASE WHEN q.w1 IS NULL THEN 0 ELSE coalesce(b.cost, coalesce(d.default_cost, global_cost) + 0.5 * word_cost) END AS pair_cost
+            FROM q LEFT JOIN bcost b ON b.w1 = q.w1 AND b.w2 = q.token LEFT JOIN dflt d ON d.w1 = q.w1, gdef)
+        SELECT item_id, count(*) AS n, round(sum(word_cost + pair_cost), 4) AS cost FROM c GROUP BY 1""",
+    "climb_tops": f"""WITH RECURSIVE {TREES}, h AS (SELECT doc, i, CASE WHEN head - i <= 3 THEN head END AS up FROM tre), c AS (SELECT doc, i, i AS t FROM h UNION ALL SELECT c.doc, c.i, h.up FROM c JOIN h ON h.doc = c.doc AND h.i = c.t AND h.up IS NOT NULL)
+        SELECT doc, i, max(t) AS top FROM c GROUP BY ALL""",
+    "subtree_heights": f"""WITH RECURSIVE {TREES}, c AS (SELECT doc, i AS a, i AS n, 0 AS d FROM tre UNION ALL SELECT c.doc, c.a, t.i, c.d + 1 FROM c JOIN tre t ON t.doc = c.doc AND t.head = c.n)
+        SELECT doc, a AS i, max(d) AS height FROM c GROUP BY ALL""",
+    "relative_heads": f"WITH {TREES} SELECT doc, i, coalesce(head, i) - i AS \"offset\", i = 0 AS starts FROM tre",
+    "attached_rows": """WITH h AS (SELECT user_id, last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id) AS head FROM events)
+        SELECT user_id, head, count(*) AS n FROM h GROUP BY ALL""",
+    "bioes_split": f"""WITH {BENCH}, w AS (SELECT item_id, i, token, ceil(length(token) / 4)::INTEGER AS n FROM btok WHERE length(token) >= 8), p AS (SELECT *, unnest(range(n))::INTEGER AS k FROM w)
+        SELECT item_id, i, k, substring(token, 4 * k + 1, 4) AS part, CASE WHEN n = 1 THEN 'S' WHEN k = 0 THEN 'B' WHEN k = n - 1 THEN 'E' ELSE 'I' END || '-ENT' AS tag FROM p""",
+    "threshold_majority": """WITH c AS (SELECT p_name, p_type, count(*) AS n, min(p_partkey) AS f FROM part GROUP BY ALL),
+        r AS (SELECT *, sum(n) OVER (PARTITION BY p_name) AS total, row_number() OVER (PARTITION BY p_name ORDER BY n DESC, f, p_type) AS r FROM c)
+        SELECT p_name, p_type, n, total::BIGINT AS total FROM r WHERE r = 1 AND total >= 20 AND n / total >= 0.25::DOUBLE""",
+    "carried_labels": """WITH e AS (SELECT user_id AS doc_id, event_id AS i, event_type AS token, CASE WHEN event_type IN ('purchase', 'error') THEN 1 ELSE 0 END AS y, event_type <> 'error' AS k FROM events),
+        t AS (SELECT *, coalesce(min(CASE WHEN k THEN i END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), max(CASE WHEN k THEN i END) OVER (PARTITION BY doc_id)) AS t FROM e),
+        m AS (SELECT doc_id, t AS i, max(y) AS y FROM t GROUP BY ALL) SELECT e.doc_id, e.i, token, m.y FROM e JOIN m ON m.doc_id = e.doc_id AND m.i = e.i WHERE k""",
+    "post_filter": """WITH RECURSIVE e AS (SELECT user_id AS doc_id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1)::INTEGER AS i, value AS p FROM events), c AS (SELECT doc_id, i FROM e WHERE p >= 20),
+        s AS (SELECT doc_id, min(i) AS i FROM c GROUP BY 1 UNION ALL SELECT doc_id, i FROM (SELECT s.doc_id, (SELECT min(c.i) FROM c WHERE c.doc_id = s.doc_id AND c.i >= s.i + 3) AS i FROM s) WHERE i IS NOT NULL)
+        SELECT doc_id, i FROM s""",
+    "silver_labels": f"""WITH l AS (SELECT doc_id, unnest(s) AS t FROM (SELECT doc_id, string_split(lower(text), chr(10)) AS s FROM documents)), c AS (SELECT doc_id, t, len(regexp_extract_all(t, '{WORD}')) AS n FROM l), k AS (SELECT * FROM c WHERE n > 0),
+        m AS (SELECT doc_id, median(n) AS med FROM k GROUP BY 1), x AS (SELECT doc_id, regexp_matches(t, '[.!?]$') AS e, n < 0.6::DOUBLE * med AS short FROM k JOIN m USING (doc_id))
+        SELECT doc_id, CASE WHEN e AND short THEN 'PARA' WHEN e THEN 'SENT' ELSE 'NONE' END AS label, count(*) AS n FROM x GROUP BY ALL""",
+    "unknown_log_counters": rf"""WITH {VOC}, t AS (SELECT regexp_replace(lower(token), '^[\p{{P}}\p{{S}}\s]+|[\p{{P}}\p{{S}}\s]+$', '', 'g') AS token FROM {RAW.format(k='conv_id', t='conversations')})
+        SELECT CASE WHEN token = '' THEN 'empty' WHEN NOT regexp_full_match(token, '{WORD}') THEN 'foreign' WHEN length(token) > 12 THEN 'long' WHEN token IN (SELECT word FROM voc) THEN 'known' ELSE 'kept' END AS reason, count(*) AS n
+        FROM t GROUP BY 1""",
+    "allowed_tags": """WITH e AS (SELECT user_id, ts::DATE::VARCHAR AS day, CASE WHEN event_type <> 'error' THEN event_type END AS tag FROM events),
+        g AS (SELECT user_id, day, coalesce(string_agg(DISTINCT tag, '|' ORDER BY tag), '') AS allowed, bool_and(tag IS NOT NULL) AS ok FROM e GROUP BY ALL) SELECT user_id, day, allowed, CASE WHEN ok THEN allowed END AS strict FROM g""",
+}

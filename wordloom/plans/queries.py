@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from wordloom.functions import romanize
 from wordloom.functions import text as tx
 from wordloom.functions.profile import LATIN, MYANMAR
 from wordloom.operators import boundary, corpus, graph, lexicon, lm, review, search, segment, tagging
@@ -449,3 +450,189 @@ def clusters_fixture(spark, sf):
 @query
 def nfc_fixture(spark, sf):
     return spark.createDataFrame([("é",), ("é",), ("plain",), ("가",)], "text string").select("text", tx.nfc(F.col("text")).alias("nfc"))
+
+
+def raw_tokens(spark, sf, name: str, key: str) -> DataFrame:
+    found = F.regexp_extract_all("text", F.lit(r"[^ \t\n\r\f]+"), F.lit(0))
+    return table(spark, sf, name).select(key, F.posexplode(found).alias("i", "token"))
+
+
+@query
+def token_classes(spark, sf):
+    return raw_tokens(spark, sf, "documents", "doc_id").groupBy(tx.token_type(F.col("token")).alias("class")).agg(F.count("*").alias("n"), F.count_if(tx.is_garbage(F.col("token"))).alias("garbage"))
+
+
+@query
+def token_shapes(spark, sf):
+    return raw_tokens(spark, sf, "benchmark", "item_id").groupBy(tx.shape(F.col("token")).alias("shape")).agg(F.count("*").alias("n"))
+
+
+@query
+def char_trigrams(spark, sf):
+    t = tx.tokens(table(spark, sf, "benchmark"), LATIN, "item_id")
+    return t.select(F.explode(tx.char_ngrams(F.col("token"), 3)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+
+
+@query
+def corpus_summary(spark, sf):
+    return corpus.summary(table(spark, sf, "documents"), LATIN.word, LATIN.enders).withColumn("rate", r6("rate"))
+
+
+@query
+def lang_distribution(spark, sf):
+    return corpus.distribution(table(spark, sf, "documents"), "lang").select("lang", "n", r6("percent").alias("percent"))
+
+
+@query
+def event_runs(spark, sf):
+    return tx.label_runs(table(spark, sf, "events"), "event_type", "user_id", "event_id")
+
+
+@query
+def fixed_batches(spark, sf):
+    b = corpus.fixed_batches(table(spark, sf, "documents").select("doc_id"), "doc_id")
+    return b.groupBy("batch").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+
+
+def sentence_ends(spark, sf) -> DataFrame:
+    """(doc_id, n, ends): a document's pieces and the places after those that end a sentence."""
+    p = tx.pieces(table(spark, sf, "documents"), LATIN)
+    ends = F.array_sort(F.collect_list(F.when(F.col("piece").rlike(f"[{LATIN.enders}]"), F.col("i") + 1)))
+    return p.groupBy("doc_id").agg(F.count("*").cast("int").alias("n"), ends.alias("ends"))
+
+
+@query
+def boundary_split(spark, sf):
+    return corpus.preferring_split(sentence_ends(spark, sf), 100, 200)
+
+
+@query
+def agreed_boundaries(spark, sf):
+    """Boundaries after sentences and after commas or sentences of even place, with the document's end forced."""
+    d = sentence_ends(spark, sf).select("doc_id", F.col("ends").alias("a"), F.filter("ends", lambda e: e % 2 == 0).alias("b"), F.array("n").alias("forced"))
+    return corpus.agreed_boundaries(d).select("doc_id", F.size("boundaries").alias("n"), F.array_join(F.transform("boundaries", lambda x: x.cast("string")), ",").alias("boundaries"))
+
+
+@query
+def bilu_tags(spark, sf):
+    w = table(spark, sf, "benchmark").select("item_id", F.regexp_extract_all(F.lower("text"), F.lit(LATIN.word), F.lit(0)).alias("w"))
+    return w.select("item_id", F.array_join(segment.bilu(F.col("w")), "").alias("tags"))
+
+
+@query
+def longest_match_fill(spark, sf):
+    """Distinct unknown words of the conversations, decomposed into benchmark words of two letters or more."""
+    t = tx.tokens(table(spark, sf, "conversations").select("conv_id", "text"), LATIN, "conv_id").select("token").distinct()
+    v = vocabulary(spark, sf).filter(F.length("word") >= 2)
+    words = lexicon.unknown(t, v).select(F.col("token").alias("text"))
+    return segment.max_match(segment.lattice(words, LATIN, 16, "text", "text"), v, "text").select(F.col("text").alias("token"), F.array_join("words", "·").alias("parts"))
+
+
+@query
+def sequence_cost(spark, sf):
+    t = doc_tokens(spark, sf)
+    words, pairs = lm.unigram_costs(lm.unigrams(t)), lm.bigram_costs(lm.bigrams(t))
+    b = tx.tokens(table(spark, sf, "benchmark"), LATIN, "item_id").withColumn("before", F.lag("token").over(W.partitionBy("item_id").orderBy("i")))
+    moves = lm.transition_costs(b.filter("before is not null").select(F.col("before").alias("w1"), F.col("token").alias("w2")).distinct(), words, pairs).select(F.col("w1").alias("before"), F.col("w2").alias("token"), F.col("cost").alias("pair_cost"))
+    own = lm.overlay(b, words, "item_id").select("item_id", "i", F.col("cost").alias("word_cost"))
+    return lm.sequence_costs(b.join(own, ["item_id", "i"]).join(moves, ["before", "token"], "left"), "item_id").select("item_id", "n", F.round("cost", 4).alias("cost"))
+
+
+@query
+def lm_overlay(spark, sf):
+    b = tx.tokens(table(spark, sf, "benchmark"), LATIN, "item_id")
+    return lm.overlay(b, lm.unigram_costs(lm.unigrams(doc_tokens(spark, sf))), "item_id").select("item_id", "i", "token", r6("cost").alias("cost"), "known", r6("rarity").alias("rarity"))
+
+
+@query
+def climb_tops(spark, sf):
+    return graph.tops(trees(spark, sf), 3)
+
+
+@query
+def subtree_heights(spark, sf):
+    return graph.heights(trees(spark, sf))
+
+
+@query
+def relative_heads(spark, sf):
+    return trees(spark, sf).select("doc", "i", (F.coalesce("head", "i") - F.col("i")).alias("offset"), (F.col("i") == 0).alias("starts"))
+
+
+@query
+def attached_rows(spark, sf):
+    """Each event with the last sign-up of its user up to it."""
+    return tx.attached(table(spark, sf, "events"), F.col("event_type") == "signup", "user_id", "event_id").groupBy("user_id", "head").agg(F.count("*").alias("n"))
+
+
+@query
+def bioes_split(spark, sf):
+    w = tx.tokens(table(spark, sf, "benchmark"), LATIN, "item_id").filter(F.length("token") >= 8).withColumnRenamed("token", "word")
+    return tx.bioes(w, 4).select("item_id", "i", "k", "part", "tag")
+
+
+@query
+def threshold_majority(spark, sf):
+    m = corpus.threshold_majority(table(spark, sf, "part"), "p_name", "p_type", "p_partkey", 20, 0.25)
+    return m.select("p_name", "p_type", "n", "total")
+
+
+@query
+def carried_labels(spark, sf):
+    """Purchases as boundaries, errors as dropped tokens."""
+    e = table(spark, sf, "events").select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("i"), F.col("event_type").alias("token"), (F.col("event_type") == "purchase").cast("int").alias("y"))
+    e = e.withColumn("y", F.when(F.col("token") == "error", 1).otherwise(F.col("y")))
+    return boundary.carried_labels(e, F.col("token") != "error")
+
+
+@query
+def post_filter(spark, sf):
+    w = W.partitionBy("user_id").orderBy("event_id")
+    e = table(spark, sf, "events").select(F.col("user_id").alias("doc_id"), (F.row_number().over(w) - 1).alias("i"), F.col("value").alias("p"))
+    return boundary.post_filter(e, 20.0, 3)
+
+
+@query
+def silver_labels(spark, sf):
+    """Labels of lines by how they end and whether they are short."""
+    lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split(F.lower("text"), "\n", -1)).alias("line", "t"))
+    stats = boundary.line_stats(table(spark, sf, "documents").withColumn("text", F.lower("text")), LATIN.word).select("doc_id", "line", "short")
+    gaps = lines.join(stats, ["doc_id", "line"]).select("doc_id", F.regexp_extract("t", r"([^ ]*)$", 1).alias("token"), F.lit(True).alias("last_in_line"), "short")
+    return boundary.silver_labels(gaps).groupBy("doc_id", "label").agg(F.count("*").alias("n"))
+
+
+@query
+def unknown_log_counters(spark, sf):
+    """Why raw tokens of the conversations are no unknown words, in the order in which they are asked."""
+    v = vocabulary(spark, sf)
+    t = raw_tokens(spark, sf, "conversations", "conv_id").select(tx.strip_edges(F.lower("token")).alias("token"))
+    t = t.join(v.withColumnRenamed("word", "_w"), F.col("token") == F.col("_w"), "left")
+    reason = F.when(F.col("token") == "", "empty").when(~F.col("token").rlike(f"^{LATIN.word}$"), "foreign").when(F.length("token") > 12, "long").when(F.col("_w").isNotNull(), "known").otherwise("kept")
+    return t.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query
+def allowed_tags(spark, sf):
+    """For each user and day the event types but errors, and none in strict form where an error is among them."""
+    e = table(spark, sf, "events").withColumn("tag", F.when(F.col("event_type") != "error", F.col("event_type")))
+    g = e.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.array_sort(F.collect_set("tag")).alias("tags"), F.bool_and(F.col("tag").isNotNull()).alias("all"))
+    return g.select("user_id", F.col("day").cast("string").alias("day"), F.array_join("tags", "|").alias("allowed"), F.when(F.col("all"), F.array_join("tags", "|")).alias("strict"))
+
+
+@query
+def g2p_fixture(spark, sf):
+    t = spark.createDataFrame([("စာ",), ("မြန်မာ",), ("ကျောင်း",)], "text string")
+    return t.select("text", romanize.romanized(F.col("text")).alias("roman"))
+
+
+@query
+def chunk_fixture(spark, sf):
+    rows = [(2, 0, 2, "NOUN", "obj"), (2, 1, 2, "PART", "case"), (2, 2, 2, "VERB", "ROOT"), (2, 3, 2, "ADJ", "acl"), (2, 4, 3, "NOUN", "nsubj")]
+    c = graph.chunk_model(spark.createDataFrame(rows, "doc long, i int, head int, upos string, dep string"))
+    return c.select("doc", "chunk_head", F.array_join(F.array_sort("members").cast("array<string>"), ",").alias("members"), "depth", "pos")
+
+
+@query
+def viterbi_fixture(spark, sf):
+    rows = [(1, 0, [("n", -1.0), ("v", -0.9)]), (1, 1, None), (1, 2, [("v", -1.0), ("n", -1.1)])]
+    return tagging.viterbi(spark.createDataFrame(rows, "doc long, i int, candidates array<struct<tag: string, score: double>>"), {("n", "v"): -0.1})

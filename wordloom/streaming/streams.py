@@ -61,3 +61,11 @@ class ReviewState(StatefulProcessor):
 def review_stream(reviews: DataFrame) -> DataFrame:
     """reviews (head, ts, tie, knew) to the state of each head that a batch touches (update mode, RocksDB state store)."""
     return reviews.groupBy("head").transformWithStateInPandas(ReviewState(), "head string, repetitions int, interval int, ease double, reviews long", "Update", "None")
+
+
+def unknown_log(log: DataFrame, most: int = 30, script: str = "[က-႟]") -> DataFrame:
+    """Counts of unknown segments in a stream of log records (time, q, segment, token, kind); null, foreign and overlong ones
+    are left out."""
+    word = F.coalesce(F.nullif(F.trim("segment"), F.lit("")), F.trim("token"))
+    kept = log.withColumn("token", word).filter(F.col("token").rlike(script) & (F.length("token") <= most))
+    return kept.groupBy("token").agg(F.count("*").alias("n"))
