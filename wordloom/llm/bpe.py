@@ -23,7 +23,10 @@ from wordloom.llm.common import lists, slices, texts
 #: White space as the rank files' own library understands it (Unicode White_Space).
 SPACE = r"\t\n\x0b\f\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Chunks up to this many characters are remembered, in two generations of so many at most.
-REMEMBER_CHARS, REMEMBER = 48, 250_000
+REMEMBER_CHARS, REMEMBER = 48, 450_000
+SHORT = 8
+#: One of these after letters is a piece of its own.
+MARKS = frozenset(".,!?;:")
 
 
 class Vocabulary:
@@ -35,7 +38,7 @@ class Vocabulary:
         self.halves: dict[int, tuple[int, int]] = {}
         self.pairs: dict[tuple[int, int], int] = {}
         self.whole_only: set[int] = set()
-        self.met = Memory(4 * REMEMBER)
+        self.met = Memory(200_000)
         for token, i in ranks.items():
             parts = merged(token, ranks, i)
             if len(token) == 1:
@@ -99,30 +102,28 @@ class Prefixes:
         self.data += more
         data, last, suffixes, met, follows = bytes(self.data), self.last, self.vocabulary.suffixes.get, self.vocabulary.met, self.vocabulary.follows
         for end in range(first, len(data) + 1):
-            found = -1
-            for start in range(end - 1, -1, -1):
-                token = suffixes(data[start:end])
-                if token is None:
-                    break
+            start, ending = end - 1, []
+            while start >= 0 and (token := suffixes(data[start:end])) is not None:
                 if token >= 0:
-                    if start == 0:
-                        found = token
-                        break
-                    pair = last[start] << 32 | token
-                    if (ok := met.get(pair)) is None:
-                        ok = follows(last[start], token)
-                        met.put(pair, ok)
-                    if ok:
-                        found = token
-                        break
-            last.append(found)
+                    ending.append((start, token))
+                start -= 1
+            for start, token in reversed(ending):  # only one may stand; long ones are the likely ones
+                if start == 0:
+                    break
+                pair = last[start] << 32 | token
+                if (ok := met.get(pair)) is None:
+                    ok = follows(last[start], token)
+                    met.put(pair, ok)
+                if ok:
+                    break
+            last.append(token)
 
     def edit(self, start: int, end: int, new: bytes) -> None:
         """Replace data[start:end]; the prefixes up to start stay."""
-        rest = bytes(self.data[end:])
+        more = new + bytes(self.data[end:])
         del self.data[start:]
         del self.last[start + 1 :]
-        self.append(new + rest)
+        self.append(more)
 
     def ids(self) -> list[int]:
         whole = self.vocabulary.ranks.get(bytes(self.data))
@@ -161,24 +162,61 @@ class Encoder:
         self.vocabulary = vocabulary
         own = pattern.replace(r"[^\s", f"[^{SPACE}").replace(r"\S", f"[^{SPACE}]").replace(r"\s", f"[{SPACE}]")
         self.cut = regex.compile(own).findall
-        self.chunks, self.pieces = Memory(REMEMBER), Memory(REMEMBER)
+        self.chunks, self.pieces = Memory(REMEMBER), Memory(50_000)
 
     def run(self, text: str) -> bytes:
         """Ids as little-endian 32-bit integers, of a text that the pattern can be applied to on its own."""
         return b"".join([self.pieces.get(p) or self.piece(p) for p in self.cut(text)])
 
+    def ids(self, piece: str) -> bytes:
+        return array("i", Prefixes(self.vocabulary, piece.encode()).ids()).tobytes()
+
     def piece(self, piece: str) -> bytes:
-        ids = array("i", Prefixes(self.vocabulary, piece.encode()).ids()).tobytes()
+        ids = self.ids(piece)
         if len(piece) <= REMEMBER_CHARS:
             self.pieces.put(piece, ids)
         return ids
 
+    def learn(self, words: list[str]) -> None:
+        """Remembers words of letters. Neighbours of the sorted list begin alike, and the prefixes they share are kept."""
+        state, before = Prefixes(self.vocabulary), b""
+        for word in sorted(words):
+            data = (" " + word).encode()
+            same, most = 0, min(len(before), len(data))
+            while same < most and data[same] == before[same]:
+                same += 1
+            state.edit(same, len(before), data[same:])
+            before = data
+            if len(word) <= REMEMBER_CHARS:
+                self.chunks.put(word, array("i", state.ids()).tobytes())
+
+    def encode_all(self, batch: list[str]) -> list[np.ndarray]:
+        """Of many texts: the words that they hold and that are not remembered are encoded together first."""
+        seen: set[str] = set()
+        for text in batch:
+            seen.update(text.split(" "))
+        new, old, words = self.chunks.new, self.chunks.old, set()
+        for chunk in seen.difference(new):
+            if chunk and chunk not in old:
+                stem = chunk[:-1] if chunk[-1] in MARKS else chunk
+                if stem.isalpha() and stem not in new and stem not in old:
+                    words.add(stem)
+        self.learn(list(words))
+        return [self.encode(text) for text in batch]
+
     def later(self, chunk: str) -> bytes:
         """Of a chunk with the space before it; nothing if it is not independent of its neighbours."""
         if not chunk or chunk[0].isspace() or chunk[-1].isspace():
             return b""
         if (ids := self.chunks.get(chunk)) is None:
-            ids = self.run(" " + chunk)
+            if chunk.isalpha():
+                ids = self.ids(" " + chunk)
+            elif chunk[-1] in MARKS and chunk[:-1].isalpha():
+                ids = self.later(chunk[:-1]) + (self.pieces.get(chunk[-1]) or self.piece(chunk[-1]))
+                if len(chunk) > SHORT:  # rare ones are put together again each time
+                    return ids
+            else:
+                ids = self.run(" " + chunk)
             if len(chunk) <= REMEMBER_CHARS:
                 self.chunks.put(chunk, ids)
         return ids
@@ -216,8 +254,8 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
 
     def run(batches):
         e = encoder(path, pattern)
-        for b in slices(batches):
-            yield pa.RecordBatch.from_arrays([b.column(0), lists([e.encode(t) for t in b.column(1).to_pylist()], pa.int32())], ["id", "ids"])
+        for b in slices(batches, 1 << 22):
+            yield pa.RecordBatch.from_arrays([b.column(0), lists(e.encode_all(b.column(1).to_pylist()), pa.int32())], ["id", "ids"])
 
     src = texts(df, id_col, text_col)
     kind = src.schema["id"].dataType.simpleString()

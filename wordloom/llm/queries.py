@@ -91,4 +91,23 @@ ORACLE_SQL = {
               FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 100 = 0),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
         SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 10""",
+    "op8_chat_windows": r"""
+        WITH RECURSIVE a AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                             UNION ALL SELECT -1, unnest([0, 1]), unnest(['user', 'assistant']), '<|im_end|><|im_start|>assistant ok'),
+        t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS k, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) + 4 AS cost,
+                length(replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '<|nl|>')) + length(replace(replace(text, '\', '\\'), '<|', '<\|')) + 24 AS size FROM a),
+        p AS (SELECT *, sum(cost) OVER w - cost AS before, sum(cost) OVER w AS upto, sum(size) OVER w - size AS size_before FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY k)),
+        c AS (SELECT conv_id, count(*) AS n, sum(size) AS size_all, max(CASE WHEN k = 0 AND role = 'system' THEN 1 ELSE 0 END) AS sys, max(CASE WHEN k = 0 AND role = 'system' THEN cost ELSE 0 END) AS sys_cost,
+                max(CASE WHEN k = 0 THEN size END) AS size0 FROM p GROUP BY 1),
+        b AS (SELECT x.conv_id, x.k, coalesce(min(y.k) FILTER (WHERE y.k >= sys AND x.before - y.before <= 100), x.k) AS b FROM p x JOIN c USING (conv_id) JOIN p y ON y.conv_id = x.conv_id AND y.k <= x.k GROUP BY ALL),
+        g AS (SELECT conv_id, 0::BIGINT AS k, 0::BIGINT AS s, 0::HUGEINT AS s_before, 0::HUGEINT AS rep FROM c UNION ALL
+            SELECT conv_id, k, CASE WHEN full_ THEN k ELSE s END, CASE WHEN full_ THEN before ELSE s_before END, CASE WHEN full_ THEN new_rep ELSE rep END FROM (
+                SELECT g.conv_id, p.k, g.s, g.s_before, g.rep, p.before, g.rep + p.upto - g.s_before > 400 AS full_, sys_cost + p.before - q.before AS new_rep
+                FROM g JOIN p ON p.conv_id = g.conv_id AND p.k = g.k + 1 JOIN c ON c.conv_id = g.conv_id JOIN b ON b.conv_id = p.conv_id AND b.k = p.k JOIN p q ON q.conv_id = p.conv_id AND q.k = b.b)),
+        w AS (SELECT conv_id, s, lead(s) OVER (PARTITION BY conv_id ORDER BY s) AS e FROM (SELECT DISTINCT conv_id, s FROM g)),
+        f AS (SELECT w.conv_id, sum(coalesce(pe.size_before, size_all) - pb.size_before + CASE WHEN sys = 1 AND s > 0 THEN size0 ELSE 0 END)::BIGINT AS formatted_chars
+            FROM w JOIN c USING (conv_id) JOIN b ON b.conv_id = w.conv_id AND b.k = w.s JOIN p pb ON pb.conv_id = w.conv_id AND pb.k = b.b LEFT JOIN p pe ON pe.conv_id = w.conv_id AND pe.k = w.e GROUP BY 1),
+        d AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+            coalesce(string_agg(text, '' ORDER BY k) FILTER (WHERE role = 'assistant'), '') AS learnt FROM t GROUP BY 1)
+        SELECT conv_id, n_turns, turns_sha256, length(learnt) AS loss_chars, sha256(learnt) AS loss_sha256, formatted_chars FROM d JOIN f USING (conv_id)""",
 }
