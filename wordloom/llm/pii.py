@@ -35,7 +35,6 @@ class Disclosure:
     support: int = 3  # different texts in which a term must stand beside the entity
     generalise: float = 0.8  # share of the entity's information
     remove: float = 0.95
-    broadcast_terms: int = 100_000  # candidate terms up to this many are sent to all tasks; more are joined
 
 
 def luhn(digits: Column) -> Column:
@@ -119,11 +118,9 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings
     per_text = near.filter("word is not null").select("entity", "word", "h", "id").distinct().groupBy("entity", "word", "h").agg(F.count("*").alias("n"))
     pairs = per_text.groupBy("entity", "word").agg(F.sum("n").alias("n_both"), F.count("*").alias("texts")).filter(F.col("texts") >= s.support)
     pairs = written(pairs, "pairs")
-    wanted = pairs.select("word").distinct()
-    if wanted.count() <= s.broadcast_terms:
-        wanted = F.broadcast(wanted)
     words = docs.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("word"))
-    per_word = words.join(wanted, "word", "left_semi").groupBy("word").agg(F.count("*").alias("n_word"))
+    # Counted first, then joined: rows of the join are candidate terms, not their occurrences. (A semi-join would be pushed below the count.)
+    per_word = words.groupBy("word").agg(F.count("*").alias("n_word")).join(pairs.select("word").distinct(), "word")
     total = found.agg(F.count("*").alias("n_docs"))
     known = pairs.join(per_entity, "entity").join(per_word, "word").join(F.broadcast(total))
     ic = F.log2(F.col("n_docs") / F.col("n_entity"))
