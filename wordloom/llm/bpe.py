@@ -14,6 +14,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +24,7 @@ from wordloom.llm.common import lists, slices, texts
 #: White space as the rank files' own library understands it (Unicode White_Space).
 SPACE = r"\t\n\x0b\f\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Chunks up to this many characters are remembered, in two generations of so many at most.
-REMEMBER_CHARS, REMEMBER = 48, 450_000
+REMEMBER_CHARS, REMEMBER = 48, 300_000
 SHORT = 8
 #: One of these after letters is a piece of its own.
 MARKS = frozenset(".,!?;:")
@@ -254,7 +255,7 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
 
     def run(batches):
         e = encoder(path, pattern)
-        for b in slices(batches, 1 << 22):
+        for b in slices(batches, 1 << 21):
             yield pa.RecordBatch.from_arrays([b.column(0), lists(e.encode_all(b.column(1).to_pylist()), pa.int32())], ["id", "ids"])
 
     src = texts(df, id_col, text_col)
@@ -265,15 +266,24 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
 def decode(df: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """df and the bytes that its ids stand for (a null list: null)."""
 
-    @F.pandas_udf("binary")
-    def run(column):
-        of = vocabulary_bytes(path)
-        return column.map(lambda ids: None if ids is None else b"".join(map(of.__getitem__, ids.tolist())))
+    @F.arrow_udf("binary")
+    def run(column: pa.Array) -> pa.Array:
+        # Taking tokens lays their bytes end to end, so a row's bytes lie between the ends of its first and last token.
+        table, flat = token_bytes(path), column.flatten()
+        taken = table.take(flat)
+        ends = np.frombuffer(taken.buffers()[1], np.int32, len(flat) + 1, taken.offset * 4)
+        sizes = np.asarray(pc.fill_null(pc.list_value_length(column), 0))
+        at = ends[np.cumsum([0, *sizes], dtype=np.int64)].astype(np.int32)
+        nulls = column.is_null().to_numpy(zero_copy_only=False)
+        valid = pa.py_buffer(np.packbits(~nulls, bitorder="little").tobytes()) if nulls.any() else None
+        return pa.Array.from_buffers(pa.binary(), len(column), [valid, pa.py_buffer(at), taken.buffers()[2]])
 
     return df.withColumn(out_col, run(F.col(ids_col)))
 
 
 @lru_cache(maxsize=2)
-def vocabulary_bytes(path: str) -> dict[int, bytes]:
+def token_bytes(path: str) -> pa.BinaryArray:
+    """The bytes of each id; ids without a token are null."""
     with open(path, "rb") as lines:
-        return {int(b): base64.b64decode(a) for a, b in map(bytes.split, lines)}
+        of = {int(b): base64.b64decode(a) for a, b in map(bytes.split, lines)}
+    return pa.array([of.get(i) for i in range(max(of) + 1)], pa.binary())
