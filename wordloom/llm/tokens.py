@@ -43,7 +43,7 @@ class WordTokenizer:
             (plain if w.decode().isalpha() else rest).append(w)
         out = {}
         if plain:
-            ids = np.array(self.library.encode(b" ".join(plain).decode(), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.library.encode_batch_fast([b" ".join(plain).decode()], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(self.ends_word[ids]) + 1
             if len(ends) == len(plain):
                 raw, at = ids.tobytes(), [0, *(ends * 4).tolist()]
@@ -51,7 +51,7 @@ class WordTokenizer:
             else:
                 rest = words
         if rest:
-            got = self.library.encode_batch([w.decode() for w in rest], add_special_tokens=False)
+            got = self.library.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)
             out.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(rest, got))
         return out
 
