@@ -305,3 +305,28 @@ def test_entry_works_without_the_subpackage(monkeypatch):
         monkeypatch.undo()
         sys.modules.pop("__spark_entry__", None)
         sys.modules.update(gone)
+
+
+def test_bilu_decoding_tolerates_contradictions(spark):
+    rows = [("abcd", "BLBL", ["ab", "cd"]), ("abcd", "IIUI", ["ab", "c", "d"]), ("abc", "LLL", ["a", "b", "c"]), ("abc", "BBB", ["a", "b", "c"]), ("", "", [])]
+    df = spark.createDataFrame([(list(a), list(b), w) for a, b, w in rows], "parts array<string>, tags array<string>, words array<string>")
+    for r in df.select("words", segment.decode_bilu(F.col("parts"), F.col("tags")).alias("got")).collect():
+        assert r.got == r.words
+
+
+def test_lines_by_height(spark):
+    rows = [(1, 0, 50.0, 10.0, 8.0, "b"), (1, 1, 10.0, 12.0, 8.0, "a"), (1, 2, 10.0, 30.0, None, "c"), (1, 3, 20.0, 35.0, None, "d"), (2, 0, 1.0, 1.0, 0.0, "e")]
+    df = spark.createDataFrame(rows, "page int, nth int, x double, y double, h double, text string")
+    assert sorted((r.page, r.line, r.text) for r in tx.lines_by_height(df).collect()) == [(1, 0, "a b"), (1, 1, "c d"), (2, 0, "e")]
+
+
+def test_space_boundaries_and_code_points(spark):
+    df = spark.createDataFrame([("ab, c d", ["ab", ",", "c", "d"]), ("ab", ["ab"]), ("", []), ("ab", ["x"])], "t string, s array<string>")
+    assert [r.b for r in df.select(tx.followed_by_space(F.col("t"), F.col("s")).alias("b")).collect()] == [[False, True, True], [], [], None]
+    assert spark.createDataFrame([("aစ😀",), ("",)], "t string").select(tx.code_points(F.col("t")).alias("c")).collect() == [(["U+0061", "U+1005", "U+1F600"],), ([],)]
+
+
+def test_confidence_by_lead(spark):
+    rows = [("a", "n", -1.0), ("b", "n", -0.1), ("b", "v", -0.7), ("c", "n", 0.0), ("c", "v", 0.0), ("d", "n", -0.01), ("d", "v", -5.0)]
+    got = tagging.confidence(spark.createDataFrame(rows, "word string, tag string, score double"), ["word"]).collect()
+    assert {r.word: (r.tag, r.confidence) for r in got} == {"a": ("n", 1.0), "b": ("n", 0.4), "c": ("v", 0.25), "d": ("n", 1.0)}

@@ -202,3 +202,30 @@ def bioes(words: DataFrame, size: int, tag: str = "ENT", word_col: str = "word")
     out = words.withColumn("_n", n).select("*", F.posexplode(parts).alias("k", "part"))
     mark = F.when(F.col("_n") == 1, "S").when(F.col("k") == 0, "B").when(F.col("k") == F.col("_n") - 1, "E").otherwise("I")
     return out.withColumn("tag", F.concat(mark, F.lit("-" + tag))).drop("_n")
+
+
+def followed_by_space(text: Column, segments: Column) -> Column:
+    """For each segment but the last whether something stands between it and the next one; null if one is not found."""
+    spans = offsets(text, segments)
+    return F.transform(F.slice(spans, 1, F.greatest(F.size(spans) - 1, F.lit(0))), lambda s, k: F.get(spans, k + 1)["start"] > s["end"])
+
+
+def marked(rows: DataFrame, ends: Column, key: str = "doc_id", marker: str = "<SENT_END>") -> DataFrame:
+    """(key, text): the pieces of a text joined by spaces, with a marker after each that ends a sentence."""
+    piece = F.when(ends, F.concat("piece", F.lit(f" {marker}"))).otherwise(F.col("piece"))
+    return rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", piece.alias("p")))).alias("all")).select(key, F.array_join("all.p", " ").alias("text"))
+
+
+def code_points(text: Column) -> Column:
+    """U+XXXX of each character."""
+    digits = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.hex(F.ascii(c)))
+    return F.transform(digits, lambda d: F.concat(F.lit("U+"), F.repeat(F.lit("0"), F.greatest(4 - F.length(d), F.lit(0))), d))
+
+
+def lines_by_height(words: DataFrame, key: str = "page") -> DataFrame:
+    """words (key, nth, x, y, h, text) as lines (key, line, text): a new line begins where y moves by over half a height,
+    taken from the line's first word's neighbour on the page; words of a line go by x."""
+    w = W.partitionBy(key).orderBy("nth")
+    step = F.abs(F.col("y") - F.lag("y").over(w)) > F.coalesce(F.when(F.col("h") > 0, F.col("h")), F.lit(12.0)) / 2
+    lines = words.withColumn("line", F.sum(F.coalesce(step, F.lit(False)).cast("int")).over(w))
+    return lines.groupBy(key, "line").agg(F.array_sort(F.collect_list(F.struct("x", "nth", "text"))).alias("all")).select(key, "line", F.array_join("all.text", " ").alias("text"))

@@ -168,3 +168,14 @@ def heights(tokens: DataFrame, key: str = "doc") -> DataFrame:
     edges = tokens.filter("head is not null and head <> i").select(name("i").alias("child"), name("head").alias("parent"))
     below = closure(edges).groupBy("ancestor").agg(F.max("distance").alias("height"))
     return tokens.select(key, "i", name("i").alias("ancestor")).join(below, "ancestor", "left").select(key, "i", F.coalesce("height", F.lit(0)).cast("int").alias("height"))
+
+
+def island_groups(places: DataFrame, edges: DataFrame, key: str = "doc") -> DataFrame:
+    """(key, grp, first, last): runs of neighbouring islands, each joined to the next by an edge. places: (key, i, island);
+    edges: (key, i, head)."""
+    at = lambda c: places.select(key, F.col("i").alias(c), F.col("island").alias(f"_{c}"))
+    ends = edges.filter("head is not null and head <> i").join(at("i"), [key, "i"]).join(at("head"), [key, "head"])
+    linked = ends.filter("abs(_i - _head) = 1").select(key, F.greatest("_i", "_head").alias("island"), F.lit(True).alias("_on")).distinct()
+    runs = places.select(key, "island").distinct().join(linked, [key, "island"], "left")
+    grp = F.sum(F.when(F.col("_on"), 0).otherwise(1)).over(W.partitionBy(key).orderBy("island")) - 1
+    return runs.withColumn("grp", grp).groupBy(key, "grp").agg(F.min("island").alias("first"), F.max("island").alias("last"))

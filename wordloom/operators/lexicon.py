@@ -68,3 +68,11 @@ def upsert(layer: DataFrame, changes: DataFrame) -> DataFrame:
     """Last write wins by ts; an empty note deletes. changes: (headword, note, ts)."""
     last = layer.unionByName(changes).groupBy("headword").agg(F.max_by("note", "ts").alias("note"), F.max("ts").alias("ts"))
     return last.filter(F.length(F.trim("note")) > 0)
+
+
+def with_forms(entries: DataFrame, forms: DataFrame, layer: str, priority: int) -> DataFrame:
+    """entries, and each form (headword, sense) that no layer holds as an entry of the given layer."""
+    held = entries.select("headword").distinct()
+    more = forms.join(held, "headword", "left_anti").groupBy("headword").agg(F.min("sense").alias("sense"))
+    more = more.select("headword", F.lit(layer).alias("layer"), F.lit(priority).alias("priority"), F.array("sense").alias("senses"))
+    return entries.unionByName(more, allowMissingColumns=True)

@@ -103,3 +103,16 @@ def overlay(tokens: DataFrame, costs: tuple[DataFrame, DataFrame], key: str = "d
     return tokens.join(scaled, "token", "left").join(F.broadcast(costs[1])).select(
         key, "i", "token", F.coalesce("cost", "default_cost").alias("cost"), F.col("cost").isNotNull().alias("known"), F.coalesce("rarity", F.lit(1.0)).alias("rarity")
     )
+
+
+def bigram_shares(pairs: DataFrame) -> DataFrame:
+    """(w1, w2, n, p): unsmoothed share of w2 among the words after w1. Totals are summed apart and joined, so a frequent
+    left word is no window."""
+    return pairs.join(pairs.groupBy("w1").agg(F.sum("n").alias("_t")), "w1").select("w1", "w2", "n", (F.col("n") / F.col("_t")).alias("p"))
+
+
+def phrase_bigrams(tokens: DataFrame, taken: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(w1, w2, n): neighbours in the sequence in which each taken phrase (key, start, end, phrase) is one unit."""
+    inside = taken.select(key, "start", "phrase", F.explode(F.sequence("start", F.col("end") - 1)).alias("i"))
+    placed = tokens.join(inside, [key, "i"], "left").filter("start is null or start = i")
+    return bigrams(placed.select(key, "i", F.coalesce("phrase", "token").alias("token")), key)

@@ -65,3 +65,8 @@ def two_tier(found: DataFrame) -> DataFrame:
     """Matches at distance 1; those at distance 2 only for queries that have none at 1."""
     has = F.max(F.when(F.col("distance") == 1, 1).otherwise(0)).over(W.partitionBy("query"))
     return found.withColumn("_one", has).filter("distance = 1 or (distance = 2 and _one = 0)").drop("_one")
+
+
+def budgeted(found: DataFrame, costs: DataFrame, k: int = 10) -> DataFrame:
+    """The k suggestions to show over all queries: longer queries first, then cheaper words, then by name. costs: (word, cost)."""
+    return found.join(costs, "word", "left").orderBy(F.desc(F.length("query")), F.col("cost").asc_nulls_last(), "word", "query").limit(k)

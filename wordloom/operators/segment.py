@@ -126,3 +126,11 @@ def bilu(words):
     """Tags of each word's clusters by its number of clusters: U, or BL, B I ... L."""
     tag = lambda w: F.when(F.length(w) == 1, F.array(F.lit("U"))).otherwise(F.transform(F.sequence(F.lit(1), F.length(w)), lambda k: F.when(k == 1, "B").when(k == F.length(w), "L").otherwise("I")))
     return F.flatten(F.transform(words, tag))
+
+
+def decode_bilu(parts, tags):
+    """Words of clusters by their tags; also of tags that contradict each other: a word begins at a B or U, and after an L or U."""
+    place = F.sequence(F.lit(1), F.size(tags))
+    begins = F.filter(place, lambda k: (k == 1) | F.get(tags, k - 1).isin("B", "U") | F.get(tags, k - 2).isin("L", "U"))
+    words = F.transform(begins, lambda a, k: F.array_join(F.slice(parts, a, F.coalesce(F.get(begins, k + 1), F.size(tags) + 1) - a), ""))
+    return F.when(F.size(tags) > 0, words).otherwise(F.slice(parts, 1, 0))

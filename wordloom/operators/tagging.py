@@ -109,3 +109,16 @@ def nearest_kept(tokens: DataFrame, kept, key: str = "doc") -> DataFrame:
     t = tokens.withColumn("_l", F.last(place, ignorenulls=True).over(w)).withColumn("_r", F.first(place, ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing)))
     to = F.when(F.col("_r").isNull() | (F.col("i") - F.col("_l") <= F.col("_r") - F.col("i")), F.coalesce("_l", "_r")).otherwise(F.col("_r"))
     return t.filter(~kept).select(key, "i", to.alias("to"))
+
+
+def confidence(scores: DataFrame, key: list[str]) -> DataFrame:
+    """(key, tag, confidence): the best tag, and how sure it is by its lead over the second one; 1 if it has no rival."""
+    top = scores.groupBy(*key).agg(F.max_by("tag", F.struct("score", "tag")).alias("tag"), F.slice(F.sort_array(F.collect_list("score"), asc=False), 1, 2).alias("two"))
+    lead = F.get("two", F.lit(0)) - F.get("two", F.lit(1))
+    steps = F.when(lead.isNull() | (lead >= 4.0), 1.0).when(lead >= 2.0, 0.85).when(lead >= 1.0, 0.6).when(lead >= 0.5, 0.4).otherwise(0.25)
+    return top.select(*key, "tag", steps.alias("confidence"))
+
+
+def certainty_weight(certainty, low: float = 0.40, high: float = 0.85):
+    """A predictor's weight against the dictionary's: half up to the low certainty, all from the high one, linear between."""
+    return 0.5 + 0.5 * F.least(F.greatest((certainty - low) / (high - low), F.lit(0.0)), F.lit(1.0))

@@ -271,3 +271,30 @@ ORACLE_SQL |= {
     "allowed_tags": """WITH e AS (SELECT user_id, ts::DATE::VARCHAR AS day, CASE WHEN event_type <> 'error' THEN event_type END AS tag FROM events),
         g AS (SELECT user_id, day, coalesce(string_agg(DISTINCT tag, '|' ORDER BY tag), '') AS allowed, bool_and(tag IS NOT NULL) AS ok FROM e GROUP BY ALL) SELECT user_id, day, allowed, CASE WHEN ok THEN allowed END AS strict FROM g""",
 }
+
+ORACLE_SQL |= {
+    "tag_confidence": """WITH c AS (SELECT json_extract_string(props, '$.k') AS word, event_type AS tag, count(*) AS n FROM events WHERE event_type <> 'error' GROUP BY ALL),
+        s AS (SELECT word, ln(n / sum(n) OVER (PARTITION BY word)) AS s FROM c), r AS (SELECT word, s - lead(s) OVER w AS d, row_number() OVER w AS r FROM s WINDOW w AS (PARTITION BY word ORDER BY s DESC))
+        SELECT word, CASE WHEN d IS NULL OR d >= 4 THEN 1.0 WHEN d >= 2 THEN 0.85 WHEN d >= 1 THEN 0.6 WHEN d >= 0.5 THEN 0.4 ELSE 0.25 END::DOUBLE AS confidence FROM r WHERE r = 1""",
+    "certainty_weights": """WITH c AS (SELECT p_name, p_type, count(*) AS n FROM part GROUP BY ALL), m AS (SELECT p_name, max(n) / sum(n) AS s FROM c GROUP BY 1)
+        SELECT p_name, round(0.5::DOUBLE + 0.5::DOUBLE * least(greatest((s - 0.4::DOUBLE) / (0.85::DOUBLE - 0.4::DOUBLE), 0), 1), 6) AS weight FROM m""",
+    "bigram_mle": f"WITH {tok()}, {BI} SELECT w1, w2, n, round(n / sum(n) OVER (PARTITION BY w1), 6) AS p FROM bi",
+    "phrase_bigrams": f"""WITH RECURSIVE {BENCH}, {SPANS}, inv AS (SELECT phrase FROM spn GROUP BY 1 HAVING count(*) >= 2),
+        nx AS (SELECT item_id, i, token, lead(token, 1) OVER w AS t1, lead(token, 2) OVER w AS t2, lead(token, 3) OVER w AS t3 FROM btok WINDOW w AS (PARTITION BY item_id ORDER BY i)),
+        best AS (SELECT item_id, i, token, CASE WHEN token || '_' || t1 || '_' || t2 || '_' || t3 IN (SELECT phrase FROM inv) THEN 4 WHEN token || '_' || t1 || '_' || t2 IN (SELECT phrase FROM inv) THEN 3
+            WHEN token || '_' || t1 IN (SELECT phrase FROM inv) THEN 2 ELSE 1 END AS size, t1, t2, t3 FROM nx),
+        walk AS (SELECT item_id, 0 AS i FROM best GROUP BY 1 UNION ALL SELECT w.item_id, w.i + b.size FROM walk w JOIN best b ON b.item_id = w.item_id AND b.i = w.i),
+        u AS (SELECT item_id, i, CASE size WHEN 4 THEN token || '_' || t1 || '_' || t2 || '_' || t3 WHEN 3 THEN token || '_' || t1 || '_' || t2 WHEN 2 THEN token || '_' || t1 ELSE token END AS u FROM walk JOIN best USING (item_id, i)),
+        p AS (SELECT u AS w1, lead(u) OVER (PARTITION BY item_id ORDER BY i) AS w2 FROM u) SELECT w1, w2, count(*) AS n FROM p WHERE w2 IS NOT NULL GROUP BY ALL""",
+    "bilu_decoded": f"SELECT item_id, array_to_string(regexp_extract_all(lower(text), '{WORD}'), ' ') AS words FROM benchmark",
+    "space_boundaries": r"SELECT item_id, len(regexp_extract_all(trim(text, chr(32) || chr(9) || chr(10) || chr(13)), '\S\s')) AS n FROM benchmark",
+    "marked_text": f"""WITH p AS (SELECT item_id, unnest(range(len(w))) AS i, unnest(w) AS piece FROM (SELECT item_id, regexp_extract_all(lower(text), '{WORD}|[^\\sa-zà-öø-ÿ]+') AS w FROM benchmark))
+        SELECT item_id, md5(string_agg(piece || CASE WHEN regexp_matches(piece, '[.!?]') THEN ' <SENT_END>' ELSE '' END, ' ' ORDER BY i)) AS text_md5 FROM p GROUP BY 1""",
+    "code_points": f"WITH {BENCH} SELECT token, list_aggregate(list_transform(string_split(token, ''), lambda c: 'U+' || lpad(to_hex(unicode(c)), greatest(4, length(to_hex(unicode(c)))), '0')), 'string_agg', ' ') AS points FROM (SELECT DISTINCT token FROM btok)",
+    "fuzzy_budget": f"WITH {NAMES} SELECT query, word, distance FROM fnd JOIN ncost USING (word) ORDER BY length(query) DESC, cost, word, query LIMIT 10",
+    "lexicon_injected": f"""WITH {LAYERS}, e AS (SELECT DISTINCT layer, headword FROM lay), x AS (SELECT * FROM e UNION ALL SELECT DISTINCT 'grammar', lower(n_name) FROM nation WHERE lower(n_name) NOT IN (SELECT headword FROM e))
+        SELECT layer, count(*) AS n, min(headword) AS first_head, max(headword) AS last_head FROM x GROUP BY 1""",
+    "island_groups": f"""WITH {TREES}, l AS (SELECT DISTINCT doc, greatest(i // 5, head // 5) AS island FROM tre WHERE head IS NOT NULL AND abs(i // 5 - head // 5) = 1), s AS (SELECT DISTINCT doc, i // 5 AS island FROM tre),
+        g AS (SELECT s.doc, s.island, (sum(CASE WHEN l.island IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY s.doc ORDER BY s.island) - 1)::BIGINT AS grp FROM s LEFT JOIN l ON l.doc = s.doc AND l.island = s.island)
+        SELECT doc, grp, min(island)::BIGINT AS first, max(island)::BIGINT AS last FROM g GROUP BY ALL""",
+}

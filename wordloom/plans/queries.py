@@ -636,3 +636,75 @@ def chunk_fixture(spark, sf):
 def viterbi_fixture(spark, sf):
     rows = [(1, 0, [("n", -1.0), ("v", -0.9)]), (1, 1, None), (1, 2, [("v", -1.0), ("n", -1.1)])]
     return tagging.viterbi(spark.createDataFrame(rows, "doc long, i int, candidates array<struct<tag: string, score: double>>"), {("n", "v"): -0.1})
+
+
+@query
+def tag_confidence(spark, sf):
+    local = tagging.tag_stats(tagged(spark, sf).filter("tag is not null")).select("word", "tag", F.ln("p").alias("score"))
+    return tagging.confidence(local, ["word"]).select("word", "confidence")
+
+
+@query
+def certainty_weights(spark, sf):
+    m = corpus.majority(table(spark, sf, "part"), "p_name", "p_type", "p_partkey")
+    return m.select("p_name", r6(tagging.certainty_weight(F.col("share"))).alias("weight"))
+
+
+@query
+def bigram_mle(spark, sf):
+    return lm.bigram_shares(lm.bigrams(doc_tokens(spark, sf))).select("w1", "w2", "n", r6("p").alias("p"))
+
+
+@query
+def phrase_bigrams(spark, sf):
+    """Neighbours in the benchmark passages with the pairs of words that occur there twice or more as units."""
+    b = tx.tokens(table(spark, sf, "benchmark"), LATIN, "item_id")
+    inventory = lm.spans(b, key="item_id").filter("n >= 2")
+    return lm.phrase_bigrams(b, lm.phrases(b, inventory, key="item_id"), "item_id")
+
+
+@query
+def bilu_decoded(spark, sf):
+    w = table(spark, sf, "benchmark").select("item_id", F.regexp_extract_all(F.lower("text"), F.lit(LATIN.word), F.lit(0)).alias("w"))
+    t = w.select("item_id", segment.bilu(F.col("w")).alias("tags"), F.filter(F.split(F.array_join("w", ""), ""), lambda c: c != "").alias("parts"))
+    return t.select("item_id", F.array_join(segment.decode_bilu(F.col("parts"), F.col("tags")), " ").alias("words"))
+
+
+@query
+def space_boundaries(spark, sf):
+    b = table(spark, sf, "benchmark").select("item_id", F.lower("text").alias("t"))
+    pieces = F.regexp_extract_all("t", F.lit(f"{LATIN.word}|[^\\s{LATIN.letter}]+"), F.lit(0))
+    return b.select("item_id", F.size(F.filter(tx.followed_by_space(F.col("t"), pieces), lambda x: x)).cast("long").alias("n"))
+
+
+@query
+def marked_text(spark, sf):
+    p = tx.pieces(table(spark, sf, "benchmark"), LATIN, "item_id")
+    return tx.marked(p, F.col("piece").rlike(f"[{LATIN.enders}]"), "item_id").select("item_id", F.md5("text").alias("text_md5"))
+
+
+@query
+def code_points(spark, sf):
+    t = tx.tokens(table(spark, sf, "benchmark"), LATIN, "item_id").select("token").distinct()
+    return t.select("token", F.array_join(tx.code_points(F.col("token")), " ").alias("points"))
+
+
+@query
+def fuzzy_budget(spark, sf):
+    costs = lm.unigram_costs(part_names(spark, sf).withColumnRenamed("word", "token"))[0].select(F.col("token").alias("word"), "cost")
+    return search.budgeted(search.within(misspelt(spark, sf), part_names(spark, sf), 2), costs).select("query", "word", "distance")
+
+
+@query
+def lexicon_injected(spark, sf):
+    """Layers, and the words of the nations as forms of a layer of their own."""
+    forms = table(spark, sf, "nation").select(F.lower("n_name").alias("headword"), F.col("n_name").alias("sense"))
+    e = lexicon.with_forms(lexicon.merge_entries(layers(spark, sf)), forms, "grammar", 9)
+    return e.groupBy("layer").agg(F.count("*").alias("n"), F.min("headword").alias("first_head"), F.max("headword").alias("last_head"))
+
+
+@query
+def island_groups(spark, sf):
+    """Islands of five tokens of the benchmark passages."""
+    t = trees(spark, sf)
+    return graph.island_groups(t.select("doc", "i", F.floor(F.col("i") / 5).alias("island")), t).select("doc", "grp", "first", "last")
