@@ -290,7 +290,7 @@ ORACLE_SQL |= {
     "space_boundaries": r"SELECT item_id, len(regexp_extract_all(trim(text, chr(32) || chr(9) || chr(10) || chr(13)), '\S\s')) AS n FROM benchmark",
     "marked_text": f"""WITH p AS (SELECT item_id, unnest(range(len(w))) AS i, unnest(w) AS piece FROM (SELECT item_id, regexp_extract_all(lower(text), '{WORD}|[^\\sa-zà-öø-ÿ]+') AS w FROM benchmark))
         SELECT item_id, md5(string_agg(piece || CASE WHEN regexp_matches(piece, '[.!?]') THEN ' <SENT_END>' ELSE '' END, ' ' ORDER BY i)) AS text_md5 FROM p GROUP BY 1""",
-    "code_points": f"WITH {BENCH} SELECT token, list_aggregate(list_transform(string_split(token, ''), lambda c: 'U+' || lpad(to_hex(unicode(c)), greatest(4, length(to_hex(unicode(c)))), '0')), 'string_agg', ' ') AS points FROM (SELECT DISTINCT token FROM btok)",
+    "code_points": f"WITH {BENCH} SELECT token, list_aggregate(list_transform(string_split(token, ''), lambda c: 'U+' || lpad(to_hex(unicode(c)), greatest(4, length(to_hex(unicode(c))))::INTEGER, '0')), 'string_agg', ' ') AS points FROM (SELECT DISTINCT token FROM btok)",
     "fuzzy_budget": f"WITH {NAMES} SELECT query, word, distance FROM fnd JOIN ncost USING (word) ORDER BY length(query) DESC, cost, word, query LIMIT 10",
     "lexicon_injected": f"""WITH {LAYERS}, e AS (SELECT DISTINCT layer, headword FROM lay), x AS (SELECT * FROM e UNION ALL SELECT DISTINCT 'grammar', lower(n_name) FROM nation WHERE lower(n_name) NOT IN (SELECT headword FROM e))
         SELECT layer, count(*) AS n, min(headword) AS first_head, max(headword) AS last_head FROM x GROUP BY 1""",
