@@ -59,6 +59,14 @@ def test_simhash_odd_rows(spark):
     assert simhash.groups(df.limit(0)).count() == 0
 
 
+def test_deduplicated_keeps_one_row_of_each_group(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(200))
+    rows = [(None, text(k)) for k in range(6)] + [(None, text(0)), (4, text(1)), (9, text(7)), (9, text(8)), (9, text(8)), (2, text(8))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r.doc_id, r.text) for r in simhash.deduplicated(df).collect())
+    assert got == Counter([(None, text(k)) for k in (0, 2, 3, 4, 5)] + [(4, text(1)), (9, text(7)), (2, text(8))])
+
+
 def brute_components(fp, bits=3):
     parent = list(range(len(fp)))
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
+from pyspark.sql import types as T
 
 from wordloom.llm.common import slices, texts, written
 
@@ -82,14 +82,19 @@ def fingerprint(text: str, words: int = 3) -> int:
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     """(id, fp long) for each row; a null text counts as empty. No shuffle."""
+    return _fingerprints(texts(df, id_col, text_col), words)
+
+
+def _fingerprints(src: DataFrame, words: int) -> DataFrame:
+    """src: (id, text, further columns); the text becomes fp."""
 
     def run(batches):
         for b in slices(batches):
             fp = np.array([fingerprint(t, words) for t in b.column(1).to_pylist()], U64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64)), *b.columns[2:]], names)
 
-    src = texts(df, id_col, text_col)
-    return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, fp long")
+    names = ["id", "fp", *src.columns[2:]]
+    return src.mapInArrow(run, ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, [src.schema["id"], T.StructField("fp", T.LongType()), *src.schema.fields[2:]])))
 
 
 def forest(rows: list[tuple[np.ndarray, np.ndarray]], n: int) -> np.ndarray:
@@ -214,11 +219,28 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     return out
 
 
+def row_hashes(df: DataFrame) -> list:
+    """Two hashes of a row (h1, h2) that tell rows apart, nulls by their columns too; rows that share both are equal."""
+    parts = [c for n in df.columns for c in (F.col(f"`{n}`").isNull(), F.col(f"`{n}`"))]
+    return [F.xxhash64(*parts).alias("h1"), F.xxhash64(F.lit(1), *parts).alias("h2")]
+
+
 def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, bits: int = 3) -> DataFrame:
     """df with one row of each group, the one with the least id (of rows with equal ids the one of least hash); its own columns. Rows
-    with a null id stay only where a whole group has none."""
-    found = groups(df, id_col, text_col, words, bits)
-    first = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_keep")).distinct()
-    kept = df.join(first, F.col(f"`{id_col}`").eqNullSafe(F.col("_keep")), "left_semi")
-    order = W.partitionBy(F.col(f"`{id_col}`")).orderBy(F.xxhash64(*(F.col(f"`{c}`") for c in df.columns)))
-    return kept.withColumn("_nth", F.row_number().over(order)).filter("_nth = 1").drop("_nth")
+    with a null id come last, so they stay only where a whole group has none; each such group keeps one. Rows are told
+    apart by two hashes of all their columns: neither a null id nor one id of many texts makes rows one."""
+    h1, h2 = row_hashes(df)
+    src = df.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"), h1, h2)
+    marked = written(_fingerprints(src, words), "fingerprints")
+    least = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "h1", "h2")).alias("least")
+    nodes = written(marked.groupBy("fp").agg(least), "nodes")
+    roots = components(links(nodes, bits))
+    placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select(F.coalesce("root", "fp").alias("root"), "least")
+    kept = written(placed.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.h1").alias("_h1"), F.col("least.h2").alias("_h2")), "kept")
+    return rows_of(df, kept)
+
+
+def rows_of(df: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of df whose hashes are in kept (_h1, _h2), each once."""
+    named = df.select("*", *(h.alias(f"_{n}") for h, n in zip(row_hashes(df), ("h1", "h2"))))
+    return named.join(kept, ["_h1", "_h2"], "left_semi").dropDuplicates(["_h1", "_h2"]).drop("_h1", "_h2")
