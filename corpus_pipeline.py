@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.llm import packing, pii, quality, simhash
+from wordloom.llm import packing, pii, quality, similar
 from wordloom.llm.common import shared_folder
 from wordloom.llm.queries import END_ID, WORD_BPE
 
@@ -22,8 +22,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, the one with the least id."""
-    return simhash.deduplicated(docs)
+    """One document of each group of texts that share 0.8 of their five-word shingles stays, the one with the least id."""
+    return similar.deduplicated(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

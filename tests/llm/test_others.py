@@ -9,7 +9,7 @@ import corpus_pipeline
 import numpy as np
 import xxhash
 
-from wordloom.llm import chat, html, lbl, neighbours, queries, simhash
+from wordloom.llm import chat, html, lbl, neighbours, queries, simhash, similar
 
 SF = "/root/testdata/sf0.001"
 
@@ -67,6 +67,46 @@ def test_deduplicated_keeps_one_row_of_each_group(spark):
     assert got == Counter([(None, text(k)) for k in (0, 2, 3, 4, 5)] + [(4, text(1)), (9, text(7)), (2, text(8))])
 
 
+def near_copies_slow(docs, percent=80):
+    """Least id reachable over pairs of texts whose five-word shingles are so similar."""
+    sets = {d: set(zip(*(t.lower().split()[k:] for k in range(5)))) or {tuple(t.lower().split())} for d, t in docs.items()}
+    label, sharing, pairs = {d: d for d in sets}, {}, set()
+    for d in sorted(sets):
+        for s in sets[d]:
+            pairs.update((o, d) for o in sharing.get(s, ()))
+            sharing.setdefault(s, []).append(d)
+    links = [(a, b) for a, b in pairs if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    changed = True
+    while changed:
+        changed = False
+        for a, b in links:
+            if label[a] != label[b]:
+                label[a] = label[b] = min(label[a], label[b])
+                changed = True
+    return label
+
+
+def test_near_duplicates_stage_links_similar_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rng = random.Random(3)
+    base = [f"v{k}" for k in range(400)]
+    own = {}
+    for k in range(60):  # one group whose members change in 1 to 60 places, and words of their own
+        t = list(base)
+        for at in rng.sample(range(400), rng.choice((1, 3, 8, 12, 20, 60))):
+            t[at] = f"other{rng.randint(0, 999)}"
+        own[-1 - k] = " ".join(t)
+    own |= {-100: "A b c", -101: "a  B c", -102: "a b d"}
+    more = spark.createDataFrame(list(own.items()), "doc_id long, text string")
+    df = docs.select("doc_id", "text").unionByName(more)
+    texts = {r.doc_id: r.text or "" for r in docs.collect()} | own
+    expected = {d for d, least in near_copies_slow(texts).items() if d == least}
+    got = [r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, "").collect()]
+    assert len(got) == len(set(got)) and set(got) == expected
+    odd = spark.createDataFrame([(None, "one two"), (None, "six"), (3, "six"), (3, "seven"), (5, None), (4, " ")], "doc_id long, text string")
+    assert Counter((r.doc_id, r.text) for r in similar.deduplicated(odd).collect()) == Counter([(None, "one two"), (3, "six"), (3, "seven"), (4, " ")])
+
+
 def brute_components(fp, bits=3):
     parent = list(range(len(fp)))
 

@@ -61,18 +61,21 @@ def anchors(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
-def fingerprint(text: str, words: int = 3) -> int:
-    """Bit k is set if it is set in over half of the hashes of the text's word shingles; no words: 0."""
+def shingle_hashes(text: str, words: int) -> np.ndarray:
+    """The hashes of a text's word shingles in order; a text of fewer words is one shingle, one without words has none."""
     got = text.encode().lower().split()
-    if not got:
-        return 0
     digest = xxhash.xxh64_intdigest
     if len(got) <= words:
-        return digest(b" ".join(got), 42)
+        return np.array([digest(b" ".join(got), 42)] if got else [], "<u8")
     joined = b" ".join(got)
     ends = np.cumsum(np.fromiter(map(len, got), np.int64, len(got)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
-    h = np.array([digest(joined[a:b], 42) for a, b in zip(starts[: len(got) - words + 1].tolist(), ends[words - 1 :].tolist())], "<u8")
+    return np.array([digest(joined[a:b], 42) for a, b in zip(starts[: len(got) - words + 1].tolist(), ends[words - 1 :].tolist())], "<u8")
+
+
+def fingerprint(text: str, words: int = 3) -> int:
+    """Bit k is set if it is set in over half of the hashes of the text's word shingles; no words: 0."""
+    h = shingle_hashes(text, words)
     ones = np.zeros(64, np.int64)
     for i in range(0, len(h), 1 << 16):
         part = h[i : i + (1 << 16)]
