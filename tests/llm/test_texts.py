@@ -160,6 +160,16 @@ def test_pii_disclosing_terms(spark):
     assert pii.find(df.limit(0)).count() == 0
 
 
+def test_pii_terms_of_whole_texts(spark):
+    pad = "plain words that every text holds " * 20
+    told = [f"Quillfeather came. {pad} Then mail to lone@one.example.org and second@two.example.org {pad} said quillfeather", "Both " + pad + " Brannoc x@y.example.org"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(told)] + [(10 + k, f"{pad} both came then mail said and to number {k}") for k in range(80)], "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in pii.find(df).collect()}
+    cut = lambda k: [(told[k][s.start : s.end], s.kind) for s in spans[k] if s.ord > 3]
+    assert cut(0) == [("Quillfeather", "removed"), ("quillfeather", "removed")] and cut(1) == [("Brannoc", "removed")]
+    assert not any(spans[10 + k] for k in range(80))
+
+
 def word_ids(text, library=[]):
     if not library:
         library.append(Tokenizer.from_file(queries.WORD_BPE))

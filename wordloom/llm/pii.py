@@ -2,8 +2,8 @@
 
 A term discloses an entity (an address, a number) if knowing the term tells most of what knowing the entity would:
 PMI(entity; term) / IC(entity), with probabilities over the documents of the corpus. From generalise on a term is
-replaced by its kind, from remove on it goes. Only terms near the entity count, and only if the pair is supported by
-several different texts, so that a rare word beside a single address is left alone.
+replaced by its kind, from remove on it goes. All words of a text that holds the entity are its terms, and one text is
+enough, since most addresses and numbers stand in one text only: there the words that hardly any other text has go.
 
 DataFrame functions only. Possessive quantifiers and the guard before each pattern keep matching linear in the text.
 """
@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from wordloom.llm.common import texts, written
 
@@ -24,15 +25,14 @@ IP = r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"(?:(?<![0-9])|\G)[0-9](?:[ -]?[0-9]){13,}+"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
-TERM = r"(?<=[^\p{L}\p{N}])\p{L}{3,40}+(?=[^\p{L}\p{N}])"
+TERM = r"(?<![\p{L}\p{N}])\p{L}{3,}+(?!\p{N})"
 KINDS = ("email", "ip", "card", "phone")
 MASKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "general": "[TERM]", "removed": ""}
 
 
 @dataclass(frozen=True)
 class Disclosure:
-    window: int = 80  # code points to each side of an entity in which terms are looked at
-    support: int = 3  # different texts in which a term must stand beside the entity
+    support: int = 1  # different texts in which a term must stand with the entity
     generalise: float = 0.8  # share of the entity's information
     remove: float = 0.95
 
@@ -47,18 +47,18 @@ def luhn(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), n), F.lit(0), add) % 10 == 0
 
 
-def matches(text: Column, pattern: str, window: int) -> Column:
-    """Array of (start, end, value, left, right): all matches in order, in code points, with the text to either side.
+def matches(text: Column, pattern: str) -> Column:
+    """Array of (start, end, value): all matches in order, in code points.
 
     split gives the text between the matches, so lengths add up to positions."""
     values, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    zipped = F.transform(values, lambda v, i: F.struct(v.alias("v"), F.get(between, i).alias("l"), F.get(between, i + 1).alias("r")))
-    empty = F.expr("cast(array() as array<struct<start:int,end:int,value:string,left:string,right:string>>)")
+    zipped = F.transform(values, lambda v, i: F.struct(v.alias("v"), F.get(between, i).alias("l")))
+    empty = F.expr("cast(array() as array<struct<start:int,end:int,value:string>>)")
 
     def step(state: Column, m: Column) -> Column:
         start = state["at"] + F.length(m["l"])
         end = start + F.length(m["v"])
-        span = F.struct(start.alias("start"), end.alias("end"), m["v"].alias("value"), F.substring(m["l"], -window, window).alias("left"), F.substring(m["r"], 1, window).alias("right"))
+        span = F.struct(start.alias("start"), end.alias("end"), m["v"].alias("value"))
         return F.struct(end.alias("at"), F.array_append(state["out"], span).alias("out"))
 
     found = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda s: s["out"])
@@ -68,13 +68,13 @@ def matches(text: Column, pattern: str, window: int) -> Column:
 def of_kind(k: int, kind: str, entity):
     def span(m: Column) -> Column:
         name = F.concat(F.lit(kind + ":"), entity(m))
-        return F.struct(m["start"].alias("start"), F.lit(k).alias("ord"), m["end"].alias("end"), F.lit(kind).alias("kind"), name.alias("entity"), m["left"].alias("left"), m["right"].alias("right"))
+        return F.struct(m["start"].alias("start"), F.lit(k).alias("ord"), m["end"].alias("end"), F.lit(kind).alias("kind"), name.alias("entity"))
 
     return span
 
 
-def base_spans(text: Column, window: int = 0) -> Column:
-    """Array of (start, ord, end, kind, entity, left, right), by start, then kind: what the four patterns and their
+def base_spans(text: Column) -> Column:
+    """Array of (start, ord, end, kind, entity), by start, then kind: what the four patterns and their
     checks find. A text without the character that a kind needs is not searched for it."""
     digits = lambda m: F.regexp_replace(m["value"], "[^0-9]", "")
     checks = {
@@ -83,11 +83,11 @@ def base_spans(text: Column, window: int = 0) -> Column:
         "card": (CARD, text.rlike(r"[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9]"), lambda m: (F.length(digits(m)) <= 19) & luhn(digits(m)), digits),
         "phone": (PHONE, F.contains(text, F.lit("+")), lambda m: F.length(digits(m)).between(10, 15), digits),
     }
-    kind_type = "array<struct<start:int,ord:int,end:int,kind:string,entity:string,left:string,right:string>>"
+    kind_type = "array<struct<start:int,ord:int,end:int,kind:string,entity:string>>"
     parts = []
     for k, kind in enumerate(KINDS):
         pattern, may, valid, entity = checks[kind]
-        good = F.filter(matches(text, pattern, window), valid)
+        good = F.filter(matches(text, pattern), valid)
         spans = F.transform(good, of_kind(k, kind, entity))
         parts.append(F.when(may, spans).otherwise(F.expr(f"cast(array() as {kind_type})")))
     return F.array_sort(F.concat(*parts))
@@ -97,26 +97,26 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings
     """One row for each row of df: id, h (hash of the text), spans array<(start, ord, end, kind)> by start, then kind.
 
     kind is one of email, ip, card, phone, general, removed; the last two are terms that the corpus shows to disclose
-    an entity beside them and that overlap no other span. Null texts are empty and have no spans; rows with a null id
+    an entity of the text and that overlap no other span; all their places in the text are marked. Null texts are empty and have no spans; rows with a null id
     are searched like others; repeated rows each get their spans. An empty table gives none.
 
-    The patterns run once; their few findings are written, and all statistics are over them but the number of
-    documents that hold a candidate term, which is counted over all words of all texts.
+    The patterns run once; what they find is written. Copies of a text count as often as they occur but are searched
+    for terms once. The statistics are counts by (entity, word) over whole texts, and by word over all texts.
     """
     s = settings
     docs = texts(df, id_col, text_col)
-    found = written(docs.select("id", F.xxhash64("text").alias("h"), base_spans(F.col("text"), s.window).alias("base")), "spans")
-    beside = found.select("id", "h", F.explode("base").alias("b")).select(
-        "id", "h", "b.entity",
-        F.concat(
-            F.transform(matches(F.col("b.left"), TERM, 0), lambda m: F.struct((m["start"] + F.col("b.start") - F.length("b.left")).alias("start"), m["value"].alias("term"))),
-            F.transform(matches(F.col("b.right"), TERM, 0), lambda m: F.struct((m["start"] + F.col("b.end")).alias("start"), m["value"].alias("term"))),
-        ).alias("terms"),
-    )
-    near = written(beside.select("id", "h", "entity", F.explode_outer("terms").alias("t")).select("id", "h", "entity", F.col("t.start").alias("start"), F.col("t.term").alias("term"), F.lower("t.term").alias("word")), "near")
-    per_entity = near.select("entity", "id", "h").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    per_text = near.filter("word is not null").select("entity", "word", "h", "id").distinct().groupBy("entity", "word", "h").agg(F.count("*").alias("n"))
-    pairs = per_text.groupBy("entity", "word").agg(F.sum("n").alias("n_both"), F.count("*").alias("texts")).filter(F.col("texts") >= s.support)
+    found = written(docs.select("id", F.xxhash64("text").alias("h"), base_spans(F.col("text")).alias("base")), "spans")
+    held = found.filter(F.size("base") > 0).groupBy("h").agg(F.count("*").alias("n"), F.first("base.entity").alias("entities"))
+    told = docs.select(F.xxhash64("text").alias("h"), "text").join(held.select("h"), "h", "left_semi").dropDuplicates(["h"])
+    # The last piece has no word after it. One text is one window, so its words' places are sums of lengths.
+    pieces = told.select("h", F.posexplode(F.arrays_zip(F.split("text", TERM, -1).alias("gap"), F.regexp_extract_all("text", F.lit(TERM), F.lit(0)).alias("term"))).alias("k", "p"))
+    upto = F.sum(F.length("p.gap") + F.length("p.term")).over(W.partitionBy("h").orderBy("k"))
+    places = pieces.filter("p.term is not null").select("h", (upto - F.length("p.term")).cast("int").alias("start"), upto.cast("int").alias("end"), F.lower("p.term").alias("word"))
+    places = written(places, "places")
+    entities = written(held.select("h", "n", F.explode(F.array_distinct("entities")).alias("entity")), "entities")
+    per_entity = entities.groupBy("entity").agg(F.sum("n").alias("n_entity"))
+    with_words = written(entities.join(places.select("h", "word").distinct(), "h"), "terms")
+    pairs = with_words.groupBy("entity", "word").agg(F.sum("n").alias("n_both"), F.count("*").alias("texts")).filter(F.col("texts") >= s.support)
     pairs = written(pairs, "pairs")
     words = docs.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("word"))
     # Counted first, then joined: rows of the join are candidate terms, not their occurrences. (A semi-join would be pushed below the count.)
@@ -127,12 +127,12 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings
     pmi = F.log2(F.col("n_both") * F.col("n_docs") / (F.col("n_entity") * F.col("n_word")))
     risky = known.select("entity", "word", (pmi / F.when(ic > 0, ic)).alias("share")).filter(F.col("share") >= s.generalise)
     level = F.when(F.col("share") >= s.remove, "removed").otherwise("general")
-    marked = near.join(risky, ["entity", "word"]).select("id", "h", "start", (F.col("start") + F.length("term")).alias("end"), F.col("share"))
-    marked = marked.groupBy("id", "h", "start", "end").agg(F.max("share").alias("share")).withColumn("kind", level)
+    marked = with_words.join(risky, ["entity", "word"]).groupBy("h", "word").agg(F.max("share").alias("share")).join(places, ["h", "word"])
+    marked = marked.withColumn("kind", level)
     span = F.struct("start", F.when(F.col("kind") == "general", 4).otherwise(5).alias("ord"), "end", "kind")
-    added = marked.groupBy("id", "h").agg(F.collect_list(span).alias("added"))
+    added = marked.groupBy("h").agg(F.collect_list(span).alias("added"))
     slim = F.transform("base", lambda b: F.struct(b["start"].alias("start"), b["ord"].alias("ord"), b["end"].alias("end"), b["kind"].alias("kind")))
-    both = found.select("id", "h", slim.alias("base")).join(added.withColumnsRenamed({"id": "_id", "h": "_h"}), F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left")
+    both = found.select("id", "h", slim.alias("base")).join(added, "h", "left")
     free = F.filter(F.coalesce("added", F.slice("base", 1, 0)), lambda a: ~F.exists("base", lambda b: (a["start"] < b["end"]) & (b["start"] < a["end"])))
     return both.select(F.col("id").alias(id_col), "h", F.array_sort(F.concat("base", free)).alias("spans"))
 
