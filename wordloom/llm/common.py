@@ -9,14 +9,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder (tests, local runs).
+#: Used only on one machine, and only where the session names no shared folder.
 OWN_FOLDER = "/tmp/checkpoints"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir of the session, or one of our own."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir of the session. A local session without one
+    gets one of our own; a cluster without one is an error, since a machine's own folder would lose parts of tables."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = OWN_FOLDER
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -52,3 +55,24 @@ def slices(batches, max_bytes: int = 1 << 24):
         rows = max(1, int(batch.num_rows * max_bytes / max(batch.nbytes, 1)))
         for i in range(0, batch.num_rows, rows):
             yield batch.slice(i, rows)
+
+
+def gathered(table: list[bytes], codes: np.ndarray, sizes: np.ndarray, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """Rows put together from parts: codes name the parts (entries of table, numbers of a four-byte kind), sizes[r] of them
+    for row r. Gives all numbers one after another, and how many each row has."""
+    lengths = np.fromiter(map(len, table), np.int64, len(table)) // 4
+    flat = np.frombuffer(b"".join(table), kind)
+    first = np.cumsum(lengths) - lengths
+    n = lengths[codes]
+    ends = np.cumsum(n)
+    at = np.repeat(first[codes] - (ends - n), n)
+    at += np.arange(len(at))
+    upto = np.concatenate([[0], ends])
+    last = np.cumsum(sizes)
+    return flat[at], upto[last] - upto[last - sizes]
+
+
+def list_array(flat: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    """An Arrow list column from its numbers one after another and how many each row has."""
+    ends = np.concatenate([[0], np.cumsum(lengths)])
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat, type=kind))
