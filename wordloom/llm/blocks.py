@@ -140,9 +140,10 @@ def write_segments(df: DataFrame, path: str, end_id: int = 2, id_col: str = "doc
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, kinds)], names)
 
         for b in slices(batches):
-            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            flat, lengths = tok.encode_all(b.column(1), tail)
+            for d, own in zip(b.column(0).to_pylist(), np.split(flat, np.cumsum(lengths)[:-1])):
                 docs.append(d)
-                ids.append(np.frombuffer(tok.encode(t) + tail, "<u4"))
+                ids.append(own)
                 held += len(ids[-1])
                 if held >= SEGMENT:
                     yield segment()

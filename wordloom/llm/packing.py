@@ -3,7 +3,8 @@
 The ids of a partition's documents form one stream. A sequence is what lies between two cuts. Cuts at document ends
 cost nothing, cuts at sentence ends a little, others more; a sequence costs its padding. Over the possible cuts
 p1 < p2 < ..., best(p) = cost(p) + min over q in [p - window, p) of best(q) + window - (p - q). Since best(q) + q does
-not depend on p, a monotone queue holds the minimum of the sliding range, and the whole is linear in the cuts.
+not depend on p, a monotone queue holds the minimum of the sliding range, and the whole is linear in the cuts. A sequence
+whose length is a power of two is not padded; the few cuts that lie such a distance before p are tried besides.
 """
 
 from __future__ import annotations
@@ -31,25 +32,37 @@ class Costs:
     window: int = 4096
     sentence: int = 24
     elsewhere: int = 400
+    #: What a sequence costs that is not padded since its length is a smaller power of two: without it, such short ones
+    #: would take the place of full ones.
+    short: int = 16
     #: Where no other cut is possible, the stream may be cut after each so many ids.
     grid: int = 256
 
 
-def choose(places: np.ndarray, costs: np.ndarray, window: int) -> np.ndarray:
+def choose(places: np.ndarray, costs: np.ndarray, window: int, short: int) -> np.ndarray:
     """The cheapest cuts of [0, places[-1]]; neighbouring places lie at most a window apart, and the last is a cut."""
     place, cost = [0, *places.tolist()], [0, *costs.tolist()]
     best, came = [0] * len(place), [0] * len(place)
+    at, unpadded = np.array(place), {}
+    for size in (1 << j for j in range((window - 1).bit_length())):
+        before = np.searchsorted(at, at - size)
+        for k in np.flatnonzero(at[before] == at - size).tolist():
+            unpadded.setdefault(k, []).append(int(before[k]))
     queue: deque[tuple[int, int]] = deque()
     for k in range(1, len(place)):
         prior = best[k - 1] + place[k - 1]
         while queue and queue[-1][0] >= prior:
             queue.pop()
         queue.append((prior, k - 1))
-        at = place[k]
-        while place[queue[0][1]] < at - window:
+        here = place[k]
+        while place[queue[0][1]] < here - window:
             queue.popleft()
         least, came[k] = queue[0]
-        best[k] = least + window - at + cost[k]
+        least += window - here
+        for q in unpadded.get(k, ()):
+            if best[q] + short < least:
+                least, came[k] = best[q] + short, q
+        best[k] = least + cost[k]
     cuts, k = [], len(place) - 1
     while k:
         cuts.append(place[k])
@@ -89,7 +102,7 @@ class Stream:
             return
         flat = np.concatenate([d[1] for d in self.docs])
         ends = np.cumsum([len(d[1]) for d in self.docs])
-        cuts = choose(*possible(flat, ends, self.ends_sentence, self.costs), self.costs.window)
+        cuts = choose(*possible(flat, ends, self.ends_sentence, self.costs), self.costs.window, self.costs.short)
         if not last:
             cuts = cuts[cuts <= len(flat) - 2 * self.costs.window]
         done, at, k, rest = 0, 0, 0, []
@@ -134,8 +147,9 @@ def pack(df: DataFrame, path: str, end_id: int = 2, costs: Costs = Costs(), id_c
 
         for b in slices(batches):
             id_type = b.schema.field(0).type
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if pieces := list(stream.add(doc_id, np.frombuffer(tok.encode(text) + tail, "<u4"))):
+            flat, lengths = tok.encode_all(b.column(1), tail)
+            for doc_id, ids in zip(b.column(0).to_pylist(), np.split(flat, np.cumsum(lengths)[:-1])):
+                if pieces := list(stream.add(doc_id, ids)):
                     yield rows(pieces)
         if pieces := list(stream.cut(last=True)):
             yield rows(pieces)

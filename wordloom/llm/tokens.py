@@ -4,91 +4,121 @@ from __future__ import annotations
 
 import json
 import os
+import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from wordloom.llm.common import gathered
 
 #: Words up to so many bytes are remembered, in two generations of so many at most.
-WORD_BYTES, WORDS = 64, 450_000
+WORD_BYTES, WORDS = 64, 250_000
 #: Cut from the end of a word, these are tokens of their own after a letter.
-MARKS = b",.!?;:"
+MARKS = ",.!?;:"
+#: Words that the normalizer leaves as they are and that are one piece: small letters of ASCII and Latin-1, all composed.
+PLAIN = re.compile("[a-zß-öø-ÿ]+").fullmatch
+
+
+def byte_characters() -> dict[int, str]:
+    """The character by which byte-level vocabularies write each byte: printable ones themselves, the others from U+0100 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(0x100 + k) for k, b in enumerate(hidden)}
 
 
 class WordTokenizer:
     """For vocabularies whose tokens never cross white space (words are normalized, put in lower case and cut one by one).
 
-    So a text's ids are its words' ids one after another, and each word goes through the library once as long as it is
-    remembered. Words are cut at ASCII white space; other white space inside them is left to the library.
+    So a text's ids are its words' ids one after another. Each distinct word of a batch is looked up once, and goes
+    through the library once as long as it is remembered. Words are cut at ASCII white space; other white space inside
+    them is left to the library. A text that holds the string of a special token goes through the library as a whole,
+    which gives that token's id there.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
+        self.whole = Tokenizer.from_file(path)
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.library.encode_special_tokens = True  # a word in lower case may look like one that the text does not hold
+        self.model = self.library.model
         with open(path, encoding="utf-8") as f:
             vocab = json.load(f)["model"]["vocab"]
-        self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
-        self.ends_word[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.ends_sentence = np.zeros_like(self.ends_word)
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.ends_sentence = np.zeros(max(self.library.get_vocab(with_added_tokens=True).values()) + 1, bool)
         self.ends_sentence[[i for t, i in vocab.items() if t.endswith("</w>") and t[:-4] and not t[:-4].strip(".!?")]] = True
-        self.new: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        self.shown = byte_characters()
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
-    def ask(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """Words of letters alone are one piece each, so many of them are one text whose pieces end where they do."""
-        plain, rest = [], []
+    def ask(self, words: list[str]) -> dict[str, bytes]:
+        """Plain words go to the library's model, which is what its steps before it leave of them; others take all steps."""
+        cut, out, rest = self.model.tokenize, {}, []
         for w in words:
-            (plain if w.decode().isalpha() else rest).append(w)
-        out = {}
-        if plain:
-            ids = np.array(self.library.encode_batch_fast([b" ".join(plain).decode()], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(self.ends_word[ids]) + 1
-            if len(ends) == len(plain):
-                raw, at = ids.tobytes(), [0, *(ends * 4).tolist()]
-                out = {w: raw[a:b] for w, a, b in zip(plain, at, at[1:])}
-            else:
-                rest = words
+            if not PLAIN(w):
+                rest.append(w)
+                continue
+            shown = w if w.isascii() else w.encode().decode("latin-1").translate(self.shown)
+            out[w] = array("I", [t.id for t in cut(shown)]).tobytes()
         if rest:
-            got = self.library.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)
+            got = self.library.encode_batch_fast(rest, add_special_tokens=False)
             out.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(rest, got))
         return out
 
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        words = text.encode().lower().split()
+    def table(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words, each as little-endian unsigned 32-bit integers."""
         out = list(map(self.new.get, words))
-        if None in out:
-            found: dict[bytes, bytes] = {}
-            stems: dict[bytes, None] = {}
-            marked = []
-            for w in {w for w, ids in zip(words, out) if ids is None}:
-                if (ids := self.old.get(w)) is not None:
-                    found[w] = ids
-                elif len(w) > 1 and w[-1] in MARKS and 97 <= w[-2] <= 122:
-                    marked.append(w)
-                    for part in (w[:-1], w[-1:]):
-                        if part not in self.new:
-                            stems[part] = None
-                else:
-                    stems[w] = None
-            ask = []
-            for w in stems:
-                if (ids := self.old.get(w)) is not None:
-                    found[w] = ids
-                elif w not in found:
-                    ask.append(w)
-            if ask:
-                found.update(self.ask(ask))
-            new = self.new
-            for w in marked:
-                found[w] = (new.get(w[:-1]) or found[w[:-1]]) + (new.get(w[-1:]) or found[w[-1:]])
-            out = [found[w] if ids is None else ids for w, ids in zip(words, out)]
-            if len(new) + len(found) > WORDS:
-                self.old, self.new = new, {}
-            self.new.update((w, ids) for w, ids in found.items() if len(w) <= WORD_BYTES)
-        return b"".join(out)
+        missing = [k for k, ids in enumerate(out) if ids is None]
+        stems: dict[str, None] = {}
+        for k in missing:
+            w = words[k]
+            if (ids := self.old.get(w)) is not None:
+                out[k] = ids
+            elif len(w) > 1 and w[-1] in MARKS and PLAIN(w[-2]):
+                stems[w[:-1]] = stems[w[-1]] = None
+            else:
+                stems[w] = None
+        found, ask = {}, []
+        for w in stems:
+            if (ids := self.new.get(w) or self.old.get(w)) is None:
+                ask.append(w)
+            else:
+                found[w] = ids
+        found.update(self.ask(ask))
+        for k in missing:
+            w = words[k]
+            if (ids := out[k]) is None and (ids := found.get(w)) is None:
+                ids = found[w[:-1]] + found[w[-1]]
+            out[k] = found[w] = ids
+        if len(self.new) + len(found) > WORDS:
+            self.old, self.new = self.new, {}
+        self.new.update((w, ids) for w, ids in found.items() if len(w) <= WORD_BYTES)
+        return out
+
+    def encode_all(self, column: pa.Array, tail: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+        """Of a column of texts: all ids one after another, and how many each text has; tail: ids at the end of each text."""
+        split = pc.ascii_split_whitespace(pc.ascii_lower(column))
+        sizes = np.asarray(pc.list_value_length(split), dtype=np.int64)
+        marked = split.flatten().dictionary_encode()
+        codes = np.asarray(marked.indices, dtype=np.int64)
+        table = self.table(marked.dictionary.to_pylist())
+        # Each text gets one more part, its tail; a text with special tokens has no other part than its ids and the tail.
+        last = np.full(len(sizes), len(table))
+        table.append(tail)
+        nothing = len(table)
+        table.append(b"")
+        held = np.zeros(len(column), bool)
+        for s in self.special:
+            held |= np.asarray(pc.match_substring(column, s))
+        for k in np.flatnonzero(held).tolist():
+            codes[int(sizes[:k].sum()) : int(sizes[: k + 1].sum())] = nothing
+            last[k] = len(table)
+            table.append(np.array(self.whole.encode(column[k].as_py(), add_special_tokens=False).ids, "<u4").tobytes() + tail)
+        return gathered(table, np.insert(codes, np.cumsum(sizes), last), sizes + 1, "<u4")
 
 
 @lru_cache(maxsize=2)
