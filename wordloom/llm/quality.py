@@ -25,17 +25,20 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 class Bands:
     """Limits of length divided by compressed length, between the given lengths along the logarithm of the length.
 
-    Set with room to both sides of what 3,300 labelled documents of good quality show. Texts under the least length
-    get no verdict from their compression, nor do chunks that are not full.
+    Set with room to both sides of what 3,300 labelled documents of good quality show; below 64 bytes, where there are
+    none, by what the frame of a compressed text alone takes. What remains after the full chunks is judged like a text of
+    its length.
     """
 
-    log2_bytes: tuple[float, ...] = (6, 7, 8, 9, 10, 11, 12, 13, 14, 17, 20)
-    most: tuple[float, ...] = (1.6, 1.8, 1.98, 2.12, 2.25, 2.35, 2.45, 2.55, 2.65, 2.9, 3.2)
-    least: tuple[float, ...] = (0.6, 0.9, 1.05, 1.15, 1.3, 1.45, 1.5, 1.5, 1.5, 1.5, 1.5)
+    log2_bytes: tuple[float, ...] = (0, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 17, 20)
+    most: tuple[float, ...] = (1.0, 1.5, 1.6, 1.8, 1.98, 2.12, 2.25, 2.35, 2.45, 2.55, 2.65, 2.9, 3.2)
+    least: tuple[float, ...] = (0.05, 0.45, 0.6, 0.9, 1.05, 1.15, 1.3, 1.45, 1.5, 1.5, 1.5, 1.5, 1.5)
     chunk_bytes: int = 1024
     chunk_most: float = 2.6
     chunk_least: float = 1.3
-    #: Rejected if more than this share of the full chunks is outside the chunk limits.
+    #: How much further the limits of a rest lie, since a passage varies more than a text.
+    rest_room: float = 0.15
+    #: Rejected if chunks with more than this share of the bytes are outside their limits.
     chunk_share: float = 0.3
     level: int = 3
 
@@ -90,16 +93,24 @@ class Press:
     def ratio(self, data: bytes) -> float:
         return len(data) / len(self.zip(data))
 
-    def judge(self, data: bytes) -> tuple[float, float, bool]:
-        """Ratio of the whole text, share of the full chunks outside their limits, and whether it is within the bands."""
+    def limits(self, size: int) -> tuple[float, float]:
         b = self.bands
+        return float(np.interp(np.log2(size), b.log2_bytes, b.least)), float(np.interp(np.log2(size), b.log2_bytes, b.most))
+
+    def judge(self, data: bytes) -> tuple[float, float, bool]:
+        """Ratio of the whole text, share of its bytes in chunks outside their limits, and whether it is within the bands."""
+        b, n = self.bands, len(data)
         if not data:
             return 1.0, 0.0, True
-        whole, at = self.ratio(data), np.log2(len(data))
-        chunks = [self.ratio(data[i : i + b.chunk_bytes]) for i in range(0, len(data) - b.chunk_bytes + 1, b.chunk_bytes)]
-        share = sum(not b.chunk_least <= r <= b.chunk_most for r in chunks) / len(chunks) if chunks else 0.0
-        inside = at < b.log2_bytes[0] or np.interp(at, b.log2_bytes, b.least) <= whole <= np.interp(at, b.log2_bytes, b.most)
-        return whole, share, bool(inside and share <= b.chunk_share)
+        whole, (least, most) = self.ratio(data), self.limits(n)
+        full = n - n % b.chunk_bytes
+        outside = sum(b.chunk_bytes for i in range(0, full, b.chunk_bytes) if not b.chunk_least <= self.ratio(data[i : i + b.chunk_bytes]) <= b.chunk_most)
+        if full and n > full:
+            low, high = self.limits(n - full)
+            if not low - b.rest_room <= self.ratio(data[full:]) <= high + b.rest_room:
+                outside += n - full
+        share = outside / n if full else 0.0  # a text shorter than a chunk is judged as a whole
+        return whole, share, bool(least <= whole <= most and share <= b.chunk_share)
 
 
 def assess(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: Bands = Bands(), keep: bool = False) -> DataFrame:
