@@ -6,7 +6,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Used only on one machine, and only where the session names no shared folder.
@@ -30,7 +30,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that written() made. Only for those that no later plan reads: each round of a loop its last one's."""
+    for t in tables:
+        if path := getattr(t, "written_path", None):
+            place = t.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -76,3 +86,25 @@ def list_array(flat: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa.L
     """An Arrow list column from its numbers one after another and how many each row has."""
     ends = np.concatenate([[0], np.cumsum(lengths)])
     return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat, type=kind))
+
+
+def let(value: Column, use) -> Column:
+    """use(value), with value computed once. (A column that a lambda names is computed again at each of its calls.)"""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running(values: Column, kind: str = "int", op=lambda a, b: a + b, block: int = 128) -> Column:
+    """Running sums (or another associative op with neutral element 0) of an array, each value included. Appending copies
+    an array, so values are added up in blocks, and each block gets what the blocks before it have."""
+    zero, none = F.lit(0).cast(kind), F.expr(f"cast(array() as array<{kind}>)")
+
+    def scan(items: Column) -> Column:
+        step = lambda s, x: F.struct(op(s["at"], x).alias("at"), F.array_append(s["all"], op(s["at"], x)).alias("all"))
+        return F.aggregate(items, F.struct(zero.alias("at"), none.alias("all")), step, lambda s: s["all"])
+
+    cut = lambda v: F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.size(v) - 1, F.lit(0)) / block).cast("int")), lambda g: F.slice(v, g * block + 1, F.lit(block)))
+    last = lambda s: F.coalesce(F.get(s, F.size(s) - 1), zero)
+    before = lambda parts: F.concat(F.array(zero), scan(F.transform(parts, last)))
+    put = lambda s, b: F.transform(s, lambda x: op(x, b))
+    whole = lambda parts: F.flatten(F.zip_with(parts, F.slice(before(parts), 1, F.size(parts)), put))
+    return let(F.transform(let(values, cut), scan), whole)

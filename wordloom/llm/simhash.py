@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wordloom.llm.common import slices, texts, written
+from wordloom.llm.common import discard, slices, texts, written
 
 U32, U64 = np.uint32, np.uint64
 
@@ -74,8 +74,12 @@ def shingle_hashes(text: str, words: int) -> np.ndarray:
 
 
 def fingerprint(text: str, words: int = 3) -> int:
-    """Bit k is set if it is set in over half of the hashes of the text's word shingles; no words: 0."""
-    h = shingle_hashes(text, words)
+    """The fingerprint of a text by its word shingles."""
+    return majority(shingle_hashes(text, words))
+
+
+def majority(h: np.ndarray) -> int:
+    """Bit k is set if it is set in over half of the hashes; without hashes: 0."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(h), 1 << 16):
         part = h[i : i + (1 << 16)]
@@ -195,13 +199,14 @@ def components(edges: DataFrame) -> DataFrame:
         size = current.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if size.n == 0 or before == (size.n, size.h):
             break
-        before = (size.n, size.h)
+        before, last = (size.n, size.h), current
         both = current.unionByName(current.selectExpr("b as a", "a as b"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").filter("b > a").selectExpr("b as a", "m as b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").filter("b <> m").selectExpr("b as a", "m as b").unionByName(least.selectExpr("a", "m as b"))
         current = written(small.distinct(), "edges")
+        discard(last)
     return current.selectExpr("a as node", "b as root")
 
 
@@ -213,13 +218,18 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     Equal fingerprints are one node of the graph, so a group of copies of any size costs a count before the shuffle.
     """
     marked = written(fingerprints(df, id_col, text_col, words), "fingerprints")
-    nodes = written(marked.groupBy("fp").agg(F.min("id").alias("least_id")), "nodes")
+    nodes = written(marked.groupBy("fp").agg(F.min("id").alias("least_id"), F.count("*").alias("n")), "nodes")
     roots = components(links(nodes, bits))
-    placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
+    placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least_id", "n", F.coalesce("root", "fp").alias("root"))
     placed = written(placed, "placed")
-    names = placed.groupBy("root").agg(F.min("least_id").alias("component_id")).join(placed, "root").select("fp", "component_id")
-    out = marked.join(names, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-    return out
+    names = placed.groupBy("root").agg(F.min("least_id").alias("component_id")).join(placed, "root").select("fp", "component_id", "n")
+    # Fingerprints of a thousandth of all rows or more, a thousand at most, are broadcast: their rows stay where they are.
+    total = nodes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    often = names.filter(F.col("n") * 1000 >= total).select("fp", F.col("component_id").alias("_c"), F.lit(True).alias("_often"))
+    at = marked.join(F.broadcast(often), "fp", "left")
+    rest = at.filter("_often is null").select("id", "fp").join(names.select("fp", "component_id"), "fp")
+    all_ = at.filter("_often").select("id", "fp", F.col("_c").alias("component_id")).unionByName(rest)
+    return all_.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def row_hashes(df: DataFrame) -> list:
@@ -239,11 +249,11 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     nodes = written(marked.groupBy("fp").agg(least), "nodes")
     roots = components(links(nodes, bits))
     placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select(F.coalesce("root", "fp").alias("root"), "least")
-    kept = written(placed.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.h1").alias("_h1"), F.col("least.h2").alias("_h2")), "kept")
+    kept = written(placed.groupBy("root").agg(F.min("least").alias("least")).select("least.h1", "least.h2"), "kept")
     return rows_of(df, kept)
 
 
 def rows_of(df: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of df whose hashes are in kept (_h1, _h2), each once."""
-    named = df.select("*", *(h.alias(f"_{n}") for h, n in zip(row_hashes(df), ("h1", "h2"))))
-    return named.join(kept, ["_h1", "_h2"], "left_semi").dropDuplicates(["_h1", "_h2"]).drop("_h1", "_h2")
+    """The rows of df whose hashes are in kept (h1, h2), each once. The row is one column meanwhile, so no name can clash."""
+    one = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), *row_hashes(df))
+    return one.join(kept, ["h1", "h2"], "left_semi").dropDuplicates(["h1", "h2"]).select("row.*")
