@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from wordloom.llm.common import texts, written
+from wordloom.llm.common import discard, let, running, texts, written
 
 # The patterns. A match that starts inside a run of its first class would have started earlier, unless the
 # last match ended there (\G); looking only at run starts avoids quadratic time.
@@ -25,7 +25,7 @@ IP = r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"(?:(?<![0-9])|\G)[0-9](?:[ -]?[0-9]){13,}+"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
-TERM = r"(?<![\p{L}\p{N}])\p{L}{3,}+(?!\p{N})"
+TERM = r"(?<![\p{L}\p{N}])\p{L}++(?!\p{N})"
 KINDS = ("email", "ip", "card", "phone")
 MASKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "general": "[TERM]", "removed": ""}
 
@@ -50,19 +50,11 @@ def luhn(digits: Column) -> Column:
 def matches(text: Column, pattern: str) -> Column:
     """Array of (start, end, value): all matches in order, in code points.
 
-    split gives the text between the matches, so lengths add up to positions."""
-    values, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    zipped = F.transform(values, lambda v, i: F.struct(v.alias("v"), F.get(between, i).alias("l")))
-    empty = F.expr("cast(array() as array<struct<start:int,end:int,value:string>>)")
-
-    def step(state: Column, m: Column) -> Column:
-        start = state["at"] + F.length(m["l"])
-        end = start + F.length(m["v"])
-        span = F.struct(start.alias("start"), end.alias("end"), m["v"].alias("value"))
-        return F.struct(end.alias("at"), F.array_append(state["out"], span).alias("out"))
-
-    found = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda s: s["out"])
-    return F.when(F.size(values) > 0, found).otherwise(empty)
+    split gives the text between the matches, so running sums of lengths are positions."""
+    found = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("v"), F.split(text, pattern, -1).alias("l"))
+    span = lambda v, end: F.struct((end - F.length(v)).alias("start"), end.alias("end"), v.alias("value"))
+    sizes = lambda m: F.transform(m["v"], lambda v, i: F.length(F.get(m["l"], i)) + F.length(v))
+    return let(found, lambda m: F.zip_with(m["v"], running(sizes(m)), span))
 
 
 def of_kind(k: int, kind: str, entity):
@@ -141,20 +133,27 @@ def masked(text: Column, spans: Column) -> Column:
     """The text with each span replaced by its mask; of overlapping spans the first one's mask stands for all."""
     kinds = F.create_map(*(F.lit(x) for pair in MASKS.items() for x in pair))
 
-    def step(state: Column, s: Column) -> Column:
-        piece = F.concat(F.substring(text, state["at"] + 1, F.greatest(s["start"] - state["at"], F.lit(0))), F.when(s["start"] >= state["at"], kinds[s["kind"]]).otherwise(""))
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.array_append(state["out"], piece).alias("out"))
+    def piece(s: Column, done: Column) -> Column:
+        """What stands between what is done and a span, and the span's mask."""
+        return F.concat(F.substring(text, done + 1, F.greatest(s["start"] - done, F.lit(0))), F.when(s["start"] >= done, kinds[s["kind"]]).otherwise(""))
+
+    def put(upto: Column) -> Column:
+        done = F.slice(F.concat(F.array(F.lit(0)), upto), 1, F.size(upto))
+        last = F.coalesce(F.get(upto, F.size(upto) - 1), F.lit(0))
+        return F.concat(F.array_join(F.zip_with(spans, done, piece), ""), F.substring(text, last + 1, F.length(text)))
 
-    empty = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
-    return F.aggregate(spans, empty, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, s["at"] + 1, F.length(text))))
+    return let(running(F.transform(spans, lambda s: s["end"]), op=lambda a, b: F.greatest(a, b)), put)
 
 
 def sanitised(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Disclosure = Disclosure()) -> DataFrame:
     """df with its own columns and all spans of its texts masked; null texts stay null. Only texts that have spans meet
-    them in a join; equal rows get equal spans, so it does not matter which of them a span came from."""
+    them in a join; equal rows get equal spans, so it does not matter which of them a span came from. A row is one column
+    meanwhile, so that no name can clash. Null ids, repeated rows and empty tables are treated as find does."""
     spans = find(df, id_col, text_col, settings).filter(F.size("spans") > 0).dropDuplicates([id_col, "h"])
-    spans = spans.select(F.col(id_col).alias("_id"), F.col("h").alias("_h"), F.col("spans").alias("_spans"))
+    spans = spans.select(F.col(f"`{id_col}`").alias("sid"), F.col("h").alias("sh"), "spans")
     text = F.col(f"`{text_col}`")
-    joined = df.join(spans, F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(text.cast("string"), F.lit(""))) == F.col("_h")), "left")
-    new = F.when(F.col("_spans").isNull(), text).otherwise(masked(text, F.col("_spans")))
-    return joined.select(*(new.alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns))
+    own = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.coalesce(text.cast("string"), F.lit(""))).alias("h"), text.alias("text"))
+    joined = own.join(spans, F.col("id").eqNullSafe(F.col("sid")) & (F.col("h") == F.col("sh")), "left")
+    new = F.when(F.col("spans").isNull(), F.col("text")).otherwise(masked(F.col("text"), F.col("spans")))
+    done = joined.select("row", new.alias("masked"))
+    return done.select(*((F.col("masked") if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in df.columns))
