@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wordloom.llm.common import running
+
 START, END, LINE = "<|im_start|>", "<|im_end|>\n", "<|nl|>"
 
 
@@ -57,15 +59,16 @@ def windows(df: DataFrame, budget: Budget = Budget(), conv_col: str = "conv_id",
     conv = turns_of(df, b, conv_col, turn_col, role_col, text_col)
     system = F.when(F.get("turns", F.lit(0))["role"] == "system", 1).otherwise(0)
     conv = conv.withColumn("system", system).withColumn("system_cost", F.when(F.col("system") == 1, F.get("turns", F.lit(0))["cost"]).otherwise(F.lit(0).cast("long")))
-    # Ends of prefix sums: sums[i] is the cost of the first i turns.
-    zero = F.struct(F.lit(0).cast("long").alias("sum"), F.array(F.lit(0).cast("long")).alias("all"))
-    prefix = F.aggregate("turns", zero, lambda s, t: F.struct((s["sum"] + t["cost"]).alias("sum"), F.array_append(s["all"], s["sum"] + t["cost"]).alias("all")), lambda s: s["all"])
-    conv = conv.withColumn("sums", prefix).withColumn("n", F.size("turns"))
+    # Prefix sums: sums[i] is the cost of the first i turns.
+    costs = F.transform("turns", lambda t: t["cost"])
+    conv = conv.withColumn("sums", F.concat(F.array(F.lit(0).cast("long")), running(costs, "bigint"))).withColumn("n", F.size("turns"))
     sums = lambda i: F.get("sums", i)
 
     def begin(at: Column) -> Column:
-        """First repeated turn of the history of a window whose new turns begin at `at`; the system turn is no history."""
-        fits = F.filter(F.sequence(F.col("system"), F.greatest(at, F.col("system"))), lambda i: (i <= at) & (sums(at) - sums(i) <= b.history))
+        """First repeated turn of the history of a window whose new turns begin at `at`; the system turn is no history. A
+        turn costs b.turn at least, so only so many before `at` can fit."""
+        least = F.greatest(F.col("system"), at - (b.history // b.turn + 1))
+        fits = F.filter(F.sequence(least, F.greatest(at, least)), lambda i: (i <= at) & (sums(at) - sums(i) <= b.history))
         return F.coalesce(F.get(fits, F.lit(0)), at)
 
     def step(state: Column, i: Column) -> Column:
@@ -76,11 +79,15 @@ def windows(df: DataFrame, budget: Budget = Budget(), conv_col: str = "conv_id",
 
     first = F.struct(F.array(F.lit(0)).alias("starts"), F.lit(0).cast("long").alias("repeated"))
     starts = F.aggregate(F.sequence(F.lit(0), F.col("n") - 1), first, step, lambda s: s["starts"])
-    spans = F.transform("starts", lambda a, k: F.struct(k.alias("window"), a.alias("at"), F.coalesce(F.get("starts", k + 1), F.col("n")).alias("end")))
-    rows = conv.withColumn("starts", starts).select("*", F.explode(spans).alias("w")).select("*", "w.*").withColumn("from", begin(F.col("at")))
-    head = F.when((F.col("system") == 1) & (F.col("at") > 0), F.slice("turns", 1, 1)).otherwise(F.slice("turns", 1, 0))
-    shown = F.concat(head, F.slice("turns", F.col("from") + 1, F.col("end") - F.col("from")))
-    rows = rows.withColumn("repeated", F.size(head) + F.col("at") - F.col("from")).withColumn("shown", shown)
+    head = lambda at: F.when((F.col("system") == 1) & (at > 0), F.slice("turns", 1, 1)).otherwise(F.slice("turns", 1, 0))
+
+    def window(at: Column, k: Column) -> Column:
+        """A window with the turns that it shows, so that a row carries these and not the whole conversation."""
+        end = F.coalesce(F.get("starts", k + 1), F.col("n"))
+        shown = F.concat(head(at), F.slice("turns", begin(at) + 1, end - begin(at)))
+        return F.struct(k.alias("window"), shown.alias("shown"), (F.size(head(at)) + at - begin(at)).alias("repeated"))
+
+    rows = conv.withColumn("starts", starts).select("conv", F.explode(F.transform("starts", window)).alias("w")).select("conv", "w.*")
     lead = lambda t: F.concat(F.lit(START), F.replace(escaped(t["role"]), F.lit("\n"), F.lit(LINE)), F.lit("\n"))
     rows = rows.withColumn("parts", F.transform("shown", lambda t: F.struct(lead(t).alias("lead"), escaped(t["text"]).alias("body"), (t["role"] == "assistant").alias("target"))))
     empty = F.expr("cast(array() as array<struct<start:int,length:int>>)")

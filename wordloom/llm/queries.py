@@ -99,7 +99,7 @@ ORACLE_SQL = {
         p AS (SELECT *, sum(cost) OVER w - cost AS before, sum(cost) OVER w AS upto, sum(size) OVER w - size AS size_before FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY k)),
         c AS (SELECT conv_id, count(*) AS n, sum(size) AS size_all, max(CASE WHEN k = 0 AND role = 'system' THEN 1 ELSE 0 END) AS sys, max(CASE WHEN k = 0 AND role = 'system' THEN cost ELSE 0 END) AS sys_cost,
                 max(CASE WHEN k = 0 THEN size END) AS size0 FROM p GROUP BY 1),
-        b AS (SELECT x.conv_id, x.k, coalesce(min(y.k) FILTER (WHERE y.k >= sys AND x.before - y.before <= 100), x.k) AS b FROM p x JOIN c USING (conv_id) JOIN p y ON y.conv_id = x.conv_id AND y.k <= x.k GROUP BY ALL),
+        b AS (SELECT x.conv_id, x.k, coalesce(min(y.k) FILTER (WHERE y.k >= sys AND x.before - y.before <= 100), x.k) AS b FROM p x JOIN c USING (conv_id) JOIN p y ON y.conv_id = x.conv_id AND y.k <= x.k GROUP BY x.conv_id, x.k),
         g AS (SELECT conv_id, 0::BIGINT AS k, 0::BIGINT AS s, 0::HUGEINT AS s_before, 0::HUGEINT AS rep FROM c UNION ALL
             SELECT conv_id, k, CASE WHEN full_ THEN k ELSE s END, CASE WHEN full_ THEN before ELSE s_before END, CASE WHEN full_ THEN new_rep ELSE rep END FROM (
                 SELECT g.conv_id, p.k, g.s, g.s_before, g.rep, p.before, g.rep + p.upto - g.s_before > 400 AS full_, sys_cost + p.before - q.before AS new_rep
