@@ -87,7 +87,7 @@ def windows(df: DataFrame, budget: Budget = Budget(), conv_col: str = "conv_id",
         shown = F.concat(head(at), F.slice("turns", begin(at) + 1, end - begin(at)))
         return F.struct(k.alias("window"), shown.alias("shown"), (F.size(head(at)) + at - begin(at)).alias("repeated"))
 
-    rows = conv.withColumn("starts", starts).select("conv", F.explode(F.transform("starts", window)).alias("w")).select("conv", "w.*")
+    rows = conv.withColumn("starts", starts).select("conv", F.explode_outer(F.transform("starts", window)).alias("w")).filter("w is not null").select("conv", "w.*")
     lead = lambda t: F.concat(F.lit(START), F.replace(escaped(t["role"]), F.lit("\n"), F.lit(LINE)), F.lit("\n"))
     rows = rows.withColumn("parts", F.transform("shown", lambda t: F.struct(lead(t).alias("lead"), escaped(t["text"]).alias("body"), (t["role"] == "assistant").alias("target"))))
     empty = F.expr("cast(array() as array<struct<start:int,length:int>>)")
