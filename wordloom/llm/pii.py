@@ -101,7 +101,7 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings
     held = found.filter(F.size("base") > 0).groupBy("h").agg(F.count("*").alias("n"), F.first("base.entity").alias("entities"))
     told = docs.select(F.xxhash64("text").alias("h"), "text").join(held.select("h"), "h", "left_semi").dropDuplicates(["h"])
     # The last piece has no word after it. One text is one window, so its words' places are sums of lengths.
-    pieces = told.select("h", F.posexplode(F.arrays_zip(F.split("text", TERM, -1).alias("gap"), F.regexp_extract_all("text", F.lit(TERM), F.lit(0)).alias("term"))).alias("k", "p"))
+    pieces = told.select("h", F.posexplode_outer(F.arrays_zip(F.split("text", TERM, -1).alias("gap"), F.regexp_extract_all("text", F.lit(TERM), F.lit(0)).alias("term"))).alias("k", "p"))
     upto = F.sum(F.length("p.gap") + F.length("p.term")).over(W.partitionBy("h").orderBy("k"))
     places = pieces.filter("p.term is not null").select("h", (upto - F.length("p.term")).cast("int").alias("start"), upto.cast("int").alias("end"), F.lower("p.term").alias("word"))
     places = written(places, "places")
@@ -110,7 +110,7 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings
     with_words = written(entities.join(places.select("h", "word").distinct(), "h"), "terms")
     pairs = with_words.groupBy("entity", "word").agg(F.sum("n").alias("n_both"), F.count("*").alias("texts")).filter(F.col("texts") >= s.support)
     pairs = written(pairs, "pairs")
-    words = docs.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("word"))
+    words = docs.select(F.explode_outer(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("word"))
     # Counted first, then joined: rows of the join are candidate terms, not their occurrences. (A semi-join would be pushed below the count.)
     per_word = words.groupBy("word").agg(F.count("*").alias("n_word")).join(pairs.select("word").distinct(), "word")
     total = found.agg(F.count("*").alias("n_docs"))
