@@ -115,7 +115,7 @@ def test_search_equals_exhaustive(spark):
 def test_phrases_are_greedy(spark):
     rng = random.Random(7)
     docs = [[rng.choice("abc") for _ in range(rng.randint(0, 40))] for _ in range(30)]
-    toks = spark.createDataFrame([(d, i, t) for d, ts in enumerate(docs) for i, t in enumerate(ts)], "doc_id long, i int, token string")
+    toks = spark.createDataFrame(list(enumerate(docs)), "doc_id long, t array<string>")
     inventory = {("a", "b"), ("b", "c"), ("a", "b", "c"), ("c", "c"), ("a", "a", "b", "b")}
     inv = spark.createDataFrame([("_".join(p), len(p), 5) for p in inventory], "phrase string, size int, n long")
     got = {(r.doc_id, r.start, r.end) for r in lm.phrases(toks, inv).collect()}
@@ -231,7 +231,7 @@ def test_reviews_fold_equals_stream(spark, tmp_path):
     rng = random.Random(3)
     rows = [(f"h{rng.randint(0, 4)}", f"2024-01-{1 + k // 3:02d} 00:00:{k:02d}", k, rng.random() < 0.7) for k in range(50)]
     df = spark.createDataFrame(rows, "head string, ts string, tie long, knew boolean").withColumn("ts", F.to_timestamp("ts"))
-    batch = {r["head"]: (r.repetitions, r.interval, round(r.ease, 9), r.reviews) for r in review.review_states(df).collect()}
+    batch = {r["head"]: (r.repetitions, round(r.interval, 9), round(r.ease, 9), r.reviews) for r in review.review_states(df).collect()}
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
@@ -239,7 +239,7 @@ def test_reviews_fold_equals_stream(spark, tmp_path):
         q = stream.writeStream.outputMode("update").format("memory").queryName("reviews").option("checkpointLocation", str(tmp_path / "c")).start()
         q.processAllAvailable()
         q.stop()
-        got = {r["head"]: (r.repetitions, r.interval, round(r.ease, 9), r.reviews) for r in spark.sql("select * from reviews").collect()}
+        got = {r["head"]: (r.repetitions, round(r.interval, 9), round(r.ease, 9), r.reviews) for r in spark.sql("select * from reviews").collect()}
     finally:
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     assert got == batch

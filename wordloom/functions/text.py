@@ -82,15 +82,36 @@ def char_ngrams(token: Column, n: int) -> Column:
 
 
 def tokens(docs: DataFrame, profile: ScriptProfile, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, i, token): the script's words of each text in order. A narrow transformation; i is carried from the scan."""
+    """(id, i, token): the script's words of each text in order; a text without words, or null, has no row. A narrow
+    transformation; i is carried from the scan. (Outer explodes with a filter after them, here and below: of a plain one the
+    optimizer makes a filter of its own on the array's size, which would compute the array twice.)"""
     found = F.regexp_extract_all(profile.norm(F.col(text_col)), F.lit(profile.word), F.lit(0))
-    return docs.select(id_col, F.posexplode(found).alias("i", "token"))
+    return docs.select(id_col, F.posexplode_outer(found).alias("i", "token")).filter("i is not null")
+
+
+def token_arrays(docs: DataFrame, profile: ScriptProfile, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, t): the script's words of each text in order, in one array; a null text has none. What needs neighbours reads
+    them there, so tokens are not shuffled to be put in order again."""
+    found = F.regexp_extract_all(profile.norm(F.coalesce(F.col(text_col), F.lit(""))), F.lit(profile.word), F.lit(0))
+    return docs.select(id_col, found.alias("t"))
+
+
+def piece_arrays(docs: DataFrame, profile: ScriptProfile, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, p, is_word): as pieces, in two arrays."""
+    found = F.regexp_extract_all(profile.norm(F.col(text_col)), F.lit(f"{profile.word}|[^\\s{profile.letter}]+"), F.lit(0))
+    return docs.select(id_col, found.alias("p")).withColumn("is_word", F.transform("p", lambda x: x.rlike(f"^{profile.word}$")))
+
+
+def places(array: str | Column) -> Column:
+    """0 .. size - 1; empty for an empty array."""
+    n = F.size(array)
+    return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.expr("cast(array() as array<int>)"))
 
 
 def pieces(docs: DataFrame, profile: ScriptProfile, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, i, piece, is_word): words and what stands between them, without white space."""
     found = F.regexp_extract_all(profile.norm(F.col(text_col)), F.lit(f"{profile.word}|[^\\s{profile.letter}]+"), F.lit(0))
-    return docs.select(id_col, F.posexplode(found).alias("i", "piece")).withColumn("is_word", F.col("piece").rlike(f"^{profile.word}$"))
+    return docs.select(id_col, F.posexplode_outer(found).alias("i", "piece")).filter("i is not null").withColumn("is_word", F.col("piece").rlike(f"^{profile.word}$"))
 
 
 def numbered_runs(rows: DataFrame, breaks: Column, key: list[str], order: str) -> DataFrame:
@@ -99,11 +120,44 @@ def numbered_runs(rows: DataFrame, breaks: Column, key: list[str], order: str) -
 
 
 def islands(rows: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, island, first, last, n, text): maximal runs of words among pieces. Islands are numbered from 0."""
-    runs = numbered_runs(rows, ~F.col("is_word"), [key], "i").filter("is_word")
-    grouped = runs.groupBy(key, "run").agg(F.min("i").alias("first"), F.max("i").alias("last"), F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("i", "piece"))).alias("p"))
-    named = grouped.withColumn("island", F.row_number().over(W.partitionBy(key).orderBy("first")) - 1)
-    return named.select(key, "island", "first", "last", "n", F.array_join("p.piece", " ").alias("text"))
+    """(key, island, first, last, n, text): maximal runs of words among piece_arrays, numbered from 0. A run begins at a word
+    without one before it; all is read within the row."""
+    word = lambda i: F.coalesce(F.get("is_word", i), F.lit(False))
+    bounds = rows.withColumn("_all", places("p"))
+    first = F.filter("_all", lambda i: word(i) & ~word(i - 1))
+    last = F.filter("_all", lambda i: word(i) & ~word(i + 1))
+    runs = F.zip_with(first, last, lambda a, b: F.struct(a.alias("first"), b.alias("last")))
+    text = F.array_join(F.slice("p", F.col("r.first") + 1, F.col("r.last") - F.col("r.first") + 1), " ")
+    found = bounds.withColumn("_r", runs).select(key, "p", F.posexplode_outer("_r").alias("island", "r")).filter("island is not null")
+    return found.select(key, "island", "r.first", "r.last", (F.col("r.last") - F.col("r.first") + 1).cast("long").alias("n"), text.alias("text"))
+
+
+def islands_by_offset(segments: DataFrame, key: str = "doc_id") -> DataFrame:
+    """segments (key, i, start, end, is_word) with island: a run of words of which each begins where the one before ends;
+    null for others."""
+    w = W.partitionBy(key).orderBy("i")
+    joined = F.lag("is_word").over(w) & (F.lag("end").over(w) == F.col("start"))
+    opens = F.when(F.col("is_word") & ~F.coalesce(joined, F.lit(False)), 1).otherwise(0)
+    return segments.withColumn("island", F.when(F.col("is_word"), F.sum(opens).over(w) - 1))
+
+
+def script_runs(text: Column, profile: ScriptProfile) -> Column:
+    """Array of (start, end, run): the runs of the script's word characters in a text."""
+    words, between = F.regexp_extract_all(text, F.lit(profile.word), F.lit(0)), F.split(text, profile.word, -1)
+    parts = F.filter(F.flatten(F.zip_with(between, words, lambda a, b: F.array(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))))), lambda x: x.isNotNull())
+    starts = starts_of(parts)
+    return F.transform(words, lambda v, k: F.struct(F.get(starts, 2 * k + 1).alias("start"), (F.get(starts, 2 * k + 1) + F.length(v)).alias("end"), v.alias("run")))
+
+
+def sentence_table(rows: DataFrame, enders: str, key: str = "doc_id") -> DataFrame:
+    """(key, sentence, p, is_word): piece_arrays cut after each piece that holds an ender; sentences are numbered from 0."""
+    ends = lambda i: F.coalesce(F.get("p", i).rlike(f"[{enders}]"), F.lit(False))
+    starts = F.filter(places("p"), lambda i: (i == 0) | ends(i - 1))
+    cut = rows.withColumn("_s", starts).withColumn("_e", F.concat(F.slice("_s", 2, F.greatest(F.size("_s") - 1, F.lit(0))), F.array(F.size("p"))))
+    spans = F.zip_with("_s", F.slice("_e", 1, F.size("_s")), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    found = cut.withColumn("_x", spans).select(key, "p", "is_word", F.posexplode_outer("_x").alias("sentence", "x")).filter("sentence is not null")
+    part = lambda c: F.slice(c, F.col("x.a") + 1, F.col("x.b") - F.col("x.a")).alias(c)
+    return found.select(key, F.col("sentence").cast("long").alias("sentence"), part("p"), part("is_word"))
 
 
 def sentences(rows: DataFrame, enders: str, key: str = "doc_id") -> DataFrame:

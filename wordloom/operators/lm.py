@@ -2,30 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
+# Smoothing, and the weights of words, pairs, phrases and pairs of phrases in a sequence's cost.
 UNIGRAM_ALPHA, BIGRAM_ALPHA, BACKOFF = 1.0, 0.1, 0.5
 GLOBAL_DEFAULT = 10.0
+WORD, PAIR, PHRASE, PHRASE_PAIR = 0.05, 0.10, 0.02, 0.04
 
 
 def unigrams(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("token").agg(F.count("*").alias("n"))
 
 
-def bigrams(tokens: DataFrame, key: str = "doc_id") -> DataFrame:
-    after = F.lead("token").over(W.partitionBy(key).orderBy("i"))
-    return tokens.select(F.col("token").alias("w1"), after.alias("w2")).filter("w2 is not null").groupBy("w1", "w2").agg(F.count("*").alias("n"))
+def bigrams(rows: DataFrame) -> DataFrame:
+    """(w1, w2, n) of neighbours in the arrays t of rows. Pairs are made within a row and counted before the shuffle."""
+    n = F.greatest(F.size("t") - 1, F.lit(0))
+    pairs = F.zip_with(F.slice("t", 1, n), F.slice("t", 2, n), lambda a, b: F.struct(a.alias("w1"), b.alias("w2")))
+    return rows.select(F.explode_outer(pairs).alias("p")).filter("p is not null").groupBy("p.w1", "p.w2").agg(F.count("*").alias("n"))
 
 
-def spans(tokens: DataFrame, least: int = 2, most: int = 4, key: str = "doc_id") -> DataFrame:
-    """(phrase, size, n): runs of neighbouring tokens joined by _. One sort of the tokens serves all sizes."""
-    w = W.partitionBy(key).orderBy("i")
-    ahead = tokens.select("token", *(F.lead("token", k).over(w).alias(f"t{k}") for k in range(1, most)))
-    phrase = lambda n: F.concat_ws("_", "token", *(f"t{k}" for k in range(1, n)))
-    each = F.array(*(F.when(F.col(f"t{n - 1}").isNotNull(), F.struct(phrase(n).alias("phrase"), F.lit(n).alias("size"))) for n in range(least, most + 1)))
-    return ahead.select(F.explode(F.filter(each, lambda x: x.isNotNull())).alias("p")).select("p.*").groupBy("phrase", "size").agg(F.count("*").alias("n"))
+def in_order(tokens: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, t): tokens (key, i, token) as one array for each key."""
+    return tokens.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", "token"))).alias("_t")).select(key, F.col("_t.token").alias("t"))
+
+
+def runs_of(least: int, most: int) -> Column:
+    """Array of (i, size, phrase): all runs of least to most neighbours in the array t, joined by _."""
+
+    def of(size: int) -> Column:
+        last = F.size("t") - size
+        all_ = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.expr("cast(array() as array<int>)"))
+        return F.transform(all_, lambda i: F.struct(i.alias("i"), F.lit(size).alias("size"), F.array_join(F.slice("t", i + 1, F.lit(size)), "_").alias("phrase")))
+
+    return F.concat(*(of(n) for n in range(least, most + 1)))
+
+
+def spans(rows: DataFrame, least: int = 2, most: int = 4) -> DataFrame:
+    """(phrase, size, n): runs of neighbours in the arrays t, counted before the shuffle."""
+    return rows.select(F.explode_outer(runs_of(least, most)).alias("p")).filter("p is not null").groupBy("p.phrase", "p.size").agg(F.count("*").alias("n"))
+
+
+def inventory(counts: DataFrame, least: int = 2, most: int = 4) -> DataFrame:
+    """(phrase, size, n) of counted phrases (phrase, n) that occur so often and have 2 to most parts; of equal keys the
+    highest count."""
+    size = F.size(F.split("phrase", "_"))
+    kept = counts.select("phrase", size.alias("size"), "n").filter((F.col("n") >= least) & F.col("size").between(2, most))
+    return kept.groupBy("phrase", "size").agg(F.max("n").alias("n"))
 
 
 def unigram_costs(counts: DataFrame, alpha: float = UNIGRAM_ALPHA) -> tuple[DataFrame, DataFrame]:
@@ -73,16 +96,12 @@ def collocations(costs: DataFrame, least: float = 0.02) -> DataFrame:
     return costs.select("w1", "w2", F.exp(-F.greatest(F.col("cost") - 5.0, F.lit(0.0)) / 3.0).alias("strength")).filter(F.col("strength") > least)
 
 
-def phrases(tokens: DataFrame, inventory: DataFrame, most: int = 4, key: str = "doc_id") -> DataFrame:
-    """(key, start, end, phrase, n): greedy longest matches, left to right, of the inventory (phrase, size, n).
+def phrases(rows: DataFrame, inventory: DataFrame, most: int = 4, key: str = "doc_id") -> DataFrame:
+    """(key, start, end, phrase, n): greedy longest matches, left to right, of the inventory (phrase, size, n) in the arrays t.
 
-    The longest match at each position is found by a join over candidate spans; which of them the greedy walk takes is a
-    fold over a document's positions."""
-    w = W.partitionBy(key).orderBy("i")
-    ahead = tokens.select(key, "i", "token", *(F.lead("token", k).over(w).alias(f"t{k}") for k in range(1, most)))
-    phrase = lambda n: F.concat_ws("_", "token", *(f"t{k}" for k in range(1, n)))
-    each = F.array(*(F.when(F.col(f"t{n - 1}").isNotNull(), F.struct(phrase(n).alias("phrase"), F.lit(n).alias("size"))) for n in range(2, most + 1)))
-    candidates = ahead.select(key, "i", F.explode(F.filter(each, lambda x: x.isNotNull())).alias("p")).select(key, "i", "p.*")
+    Candidate runs are made within a row and meet the inventory in a join; which of the longest ones the greedy walk takes is
+    a fold over a row's matches."""
+    candidates = rows.select(key, F.explode_outer(runs_of(2, most)).alias("p")).filter("p is not null").select(key, "p.*")
     longest = candidates.join(inventory, ["phrase", "size"]).groupBy(key, "i").agg(F.max_by(F.struct("size", "phrase", "n"), "size").alias("m"))
     ordered = longest.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", "m.size", "m.phrase", "m.n"))).alias("all"))
     empty = F.expr("cast(array() as array<struct<i:int,size:int,phrase:string,n:bigint>>)")
@@ -91,10 +110,23 @@ def phrases(tokens: DataFrame, inventory: DataFrame, most: int = 4, key: str = "
     return taken.select(key, F.col("m.i").alias("start"), (F.col("m.i") + F.col("m.size")).alias("end"), "m.phrase", "m.n")
 
 
-def sequence_costs(pairs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, n, cost): a token's cost is a mix of its own and of its pair with the token before. pairs: (key, word_cost,
-    pair_cost), pair_cost null at the start."""
-    return pairs.groupBy(key).agg(F.count("*").alias("n"), F.sum(F.col("word_cost") + F.coalesce("pair_cost", F.lit(0.0))).alias("cost"))
+def sequence_costs(pairs: DataFrame, key: str = "doc_id", word: float = WORD, pair: float = PAIR) -> DataFrame:
+    """(key, n, cost): a token's cost is its own and that of its pair with the token before, each by its weight. pairs: (key,
+    word_cost, pair_cost), pair_cost null at the start."""
+    own = word * F.col("word_cost") + pair * F.coalesce("pair_cost", F.lit(0.0))
+    return pairs.groupBy(key).agg(F.count("*").alias("n"), F.sum(own).alias("cost"))
+
+
+def scored(rows: DataFrame, words: tuple[DataFrame, DataFrame], pairs: tuple[DataFrame, DataFrame, DataFrame], key: str, word: float = WORD, pair: float = PAIR) -> DataFrame:
+    """sequence_costs of the arrays t by word and pair costs; distinct words and pairs are priced once."""
+    each = rows.select(key, F.explode_outer(F.zip_with("t", F.concat(F.array(F.lit(None).cast("string")), F.slice("t", 1, F.greatest(F.size("t") - 1, F.lit(0)))), lambda w, b: F.struct(w.alias("token"), b.alias("before")))).alias("p")).select(key, "p.*").filter("token is not null")
+    counted = each.groupBy(key, "token", "before").agg(F.count("*").alias("times"))
+    asked = counted.filter("before is not null").select(F.col("before").alias("w1"), F.col("token").alias("w2")).distinct()
+    moves = transition_costs(asked, words, pairs).select(F.col("w1").alias("before"), F.col("w2").alias("token"), F.col("cost").alias("pair_cost"))
+    own = counted.join(words[0].select("token", "cost"), "token", "left").join(F.broadcast(words[1])).withColumn("word_cost", F.coalesce("cost", "default_cost"))
+    both = own.join(moves, ["before", "token"], "left")
+    cost = F.col("times") * (word * F.col("word_cost") + pair * F.coalesce("pair_cost", F.lit(0.0)))
+    return both.groupBy(key).agg(F.sum("times").alias("n"), F.sum(cost).alias("cost"))
 
 
 def overlay(tokens: DataFrame, costs: tuple[DataFrame, DataFrame], key: str = "doc_id") -> DataFrame:
@@ -111,8 +143,24 @@ def bigram_shares(pairs: DataFrame) -> DataFrame:
     return pairs.join(pairs.groupBy("w1").agg(F.sum("n").alias("_t")), "w1").select("w1", "w2", "n", (F.col("n") / F.col("_t")).alias("p"))
 
 
-def phrase_bigrams(tokens: DataFrame, taken: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(w1, w2, n): neighbours in the sequence in which each taken phrase (key, start, end, phrase) is one unit."""
+def units(rows: DataFrame, taken: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, t): the arrays t with each taken phrase (key, start, end, phrase) as one unit."""
+    tokens = rows.select(key, F.posexplode("t").alias("i", "token"))
     inside = taken.select(key, "start", "phrase", F.explode(F.sequence("start", F.col("end") - 1)).alias("i"))
     placed = tokens.join(inside, [key, "i"], "left").filter("start is null or start = i")
-    return bigrams(placed.select(key, "i", F.coalesce("phrase", "token").alias("token")), key)
+    return in_order(placed.select(key, "i", F.coalesce("phrase", "token").alias("token")), key)
+
+
+def phrase_bigrams(rows: DataFrame, taken: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(w1, w2, n): neighbours in the sequence of units."""
+    return bigrams(units(rows, taken, key))
+
+
+def collocation_edges(rows: DataFrame, costs: DataFrame, pair_costs: DataFrame, key: str = "doc_id", least: float = 0.02) -> DataFrame:
+    """(key, i, w1, w2, strength): neighbours in the arrays t that are collocations, both of them known words."""
+    n = F.greatest(F.size("t") - 1, F.lit(0))
+    pairs = F.zip_with(F.slice("t", 1, n), F.slice("t", 2, n), lambda a, b: F.struct(a.alias("w1"), b.alias("w2")))
+    each = rows.select(key, F.posexplode_outer(pairs).alias("i", "p")).filter("p is not null").select(key, "i", "p.*")
+    known = costs.select("token")
+    strong = collocations(pair_costs, least).join(known.withColumnRenamed("token", "w1"), "w1", "left_semi").join(known.withColumnRenamed("token", "w2"), "w2", "left_semi")
+    return each.join(strong, ["w1", "w2"]).select(key, "i", "w1", "w2", "strength")

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from wordloom.operators.lm import transition_costs
+
 
 def deletions(word: Column, most: int) -> Column:
     """Distinct strings that up to `most` deletions make of a word, itself included."""
@@ -37,18 +39,97 @@ def closest(found: DataFrame, costs: DataFrame, k: int = 5) -> DataFrame:
     return kept.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def reranked(found: DataFrame, costs: DataFrame, pool: int = 50, k: int = 5) -> DataFrame:
-    """The pool of each query by distance and similarity, then by half the distance and half the word's cost; softmax of
-    the negative totals over the pool is the score."""
+def similar(found: DataFrame) -> DataFrame:
+    """found with similarity, without the words that equal their query."""
     size = F.greatest(F.length("query"), F.length("word"))
-    scored = found.withColumn("similarity", F.when(size > 0, 1 - F.col("distance") / size).otherwise(1.0))
+    return found.filter("distance > 0").withColumn("similarity", 1 - F.col("distance") / size)
+
+
+def reranked(found: DataFrame, costs: DataFrame, pool: int = 50, k: int = 5) -> DataFrame:
+    """The pool of each query by distance and similarity, then by half the distance and half the model's cost; of the first
+    k, score is the softmax of the negative totals. costs: (word, cost), or (query, word, cost) where the cost depends on
+    the query's neighbours (in_context)."""
     first = W.partitionBy("query").orderBy("distance", F.desc("similarity"), "word")
-    held = scored.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= pool).join(costs, "word", "left")
+    held = similar(found).withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= pool)
+    held = held.join(costs, [c for c in ("query", "word") if c in costs.columns], "left")
     held = held.withColumn("total", 0.5 * F.col("distance") + 0.5 * F.coalesce("cost", F.lit(12.0)))
     every = W.partitionBy("query")
-    held = held.withColumn("_e", F.exp(F.min("total").over(every) - F.col("total"))).withColumn("score", F.col("_e") / F.sum("_e").over(every))
-    rank = F.row_number().over(every.orderBy("total", "word"))
-    return held.withColumn("rank", rank).filter(F.col("rank") <= k).select("query", "word", "distance", "similarity", "total", "score", "rank")
+    rank = F.row_number().over(every.orderBy("total", "distance", F.desc("similarity"), "word"))
+    kept = held.withColumn("rank", rank).filter(F.col("rank") <= k)
+    kept = kept.withColumn("_e", F.exp(F.min("total").over(every) - F.col("total"))).withColumn("score", F.col("_e") / F.sum("_e").over(every))
+    return kept.select("query", "word", "distance", "similarity", "total", "score", "rank")
+
+
+def in_context(found: DataFrame, context: DataFrame, words: tuple, pairs: tuple) -> DataFrame:
+    """(query, word, cost): the mean of the costs of the pairs with the words before and after the query (context: query,
+    before, after; either may be null), or of the one there is; without both the word's own cost. words and pairs as in
+    lm.transition_costs."""
+    placed = found.filter("distance > 0").join(context, "query", "left")
+    left = placed.filter("before is not null").select(F.col("before").alias("w1"), F.col("word").alias("w2"))
+    right = placed.filter("after is not null").select(F.col("word").alias("w1"), F.col("after").alias("w2"))
+    moves = transition_costs(left.unionByName(right).distinct(), words, pairs).select("w1", "w2", "cost")
+    before = moves.select(F.col("w1").alias("before"), F.col("w2").alias("word"), F.col("cost").alias("_l"))
+    after = moves.select(F.col("w1").alias("word"), F.col("w2").alias("after"), F.col("cost").alias("_r"))
+    own = words[0].select(F.col("token").alias("word"), F.col("cost").alias("_own"))
+    all_ = placed.join(before, ["before", "word"], "left").join(after, ["word", "after"], "left").join(own, "word", "left").join(F.broadcast(words[1]))
+    both = F.when(F.col("_l").isNotNull() & F.col("_r").isNotNull(), 0.5 * F.col("_l") + 0.5 * F.col("_r"))
+    return all_.select("query", "word", F.coalesce(both, "_l", "_r", "_own", "default_cost").alias("cost"))
+
+
+def pair_aware(found: DataFrame, context: DataFrame, words: tuple, pair_costs: DataFrame, k: int = 10) -> DataFrame:
+    """(query, word, distance, has_pair, score, rank): the nearest words first; among them those that form a pair, in either
+    order, with a context word (context: query, other); then by half of the best pair's cost and half of the word's own, or
+    by its own alone."""
+    asked = found.filter("distance > 0").join(words[0].select(F.col("token").alias("word"), "cost"), "word", "left").join(F.broadcast(words[1]))
+    asked = asked.withColumn("own", F.coalesce("cost", "default_cost")).drop("cost", "default_cost")
+    near = asked.select("query", "word").join(context, "query")
+    ahead = near.join(pair_costs.select(F.col("w1").alias("other"), F.col("w2").alias("word"), "cost"), ["other", "word"])
+    behind = near.join(pair_costs.select(F.col("w1").alias("word"), F.col("w2").alias("other"), "cost"), ["word", "other"])
+    best = ahead.select("query", "word", "cost").unionByName(behind.select("query", "word", "cost")).groupBy("query", "word").agg(F.min("cost").alias("pair"))
+    scored = asked.join(best, ["query", "word"], "left").withColumn("has_pair", F.col("pair").isNotNull())
+    scored = scored.withColumn("score", F.when(F.col("has_pair"), 0.5 * F.col("pair") + 0.5 * F.col("own")).otherwise(F.col("own")))
+    rank = F.row_number().over(W.partitionBy("query").orderBy("distance", F.desc("has_pair"), "score", "word"))
+    return scored.withColumn("rank", rank).filter(F.col("rank") <= k).select("query", "word", "distance", "has_pair", "score", "rank")
+
+
+def unknown_run(tokens: DataFrame, targets: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, target, first, last): the run of unknown tokens around each unknown target. tokens: (key, i, token, known)."""
+    runs = tokens.withColumn("_b", F.sum(F.col("known").cast("int")).over(W.partitionBy(key).orderBy("i"))).filter("not known")
+    bounds = runs.groupBy(key, "_b").agg(F.min("i").alias("first"), F.max("i").alias("last"))
+    placed = runs.select(key, F.col("i").alias("target"), "_b").join(targets.select(key, F.col("i").alias("target")), [key, "target"])
+    return placed.join(bounds, [key, "_b"]).select(key, "target", "first", "last")
+
+
+def expanded(tokens: DataFrame, targets: DataFrame, vocabulary: DataFrame, costs: DataFrame, k: int = 10, key: str = "doc_id", most: int = 8) -> DataFrame:
+    """(key, target, start, end, text, word, distance, rank): what an unknown target may have been. All spans that cover its
+    run of unknown tokens, up to `most` tokens longer, are looked up at distance 1, and at 2 only if no span has a match at 1.
+    A match begins with the known tokens before the run and ends with those after it, and more stands between them. Longer
+    spans come first, then longer texts, then cheaper words; k in all for each target. tokens: (key, i, token, known) of one
+    island each; vocabulary: (word); costs: (word, cost)."""
+    run = unknown_run(tokens, targets, key)
+    size = tokens.groupBy(key).agg(F.max("i").alias("_max"), F.array_sort(F.collect_list(F.struct("i", "token"))).alias("_t"))
+    held = run.join(size, key)
+    starts = held.select("*", F.explode(F.sequence(F.greatest(F.col("first") - most, F.lit(0)), F.col("first"))).alias("start"))
+    ends = starts.select("*", F.explode(F.sequence(F.col("last"), F.least(F.col("last") + most, F.col("_max")))).alias("end"))
+    text = lambda a, b: F.array_join(F.slice("_t.token", a + 1, F.greatest(b - a, F.lit(0))), "")
+    spans = ends.select(key, "target", "start", "end", text(F.col("start"), F.col("end") + 1).alias("text"), text(F.col("start"), F.col("first")).alias("left"), text(F.col("last") + 1, F.col("end") + 1).alias("right"))
+    found = within(spans.select(F.col("text").alias("query")), vocabulary, 2).filter("distance > 0").withColumnRenamed("query", "text")
+    ok = F.startswith("word", F.col("left")) & F.endswith("word", F.col("right")) & (F.length("word") > F.length("left") + F.length("right"))
+    hits = spans.join(found, "text").filter(ok)
+    nearest = F.min("distance").over(W.partitionBy(key, "target"))
+    hits = hits.withColumn("_d", nearest).filter("distance = _d").join(costs, "word", "left")
+    order = W.partitionBy(key, "target").orderBy(F.desc(F.col("end") - F.col("start")), F.desc(F.length("text")), "start", F.col("cost").asc_nulls_last(), "word")
+    return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(key, "target", "start", "end", "text", "word", "distance", "rank")
+
+
+def blocked(queries: DataFrame, words: DataFrame, slack: int = 1, most: int = 2, least: float = 0.6) -> DataFrame:
+    """(query, word, distance, similarity): candidates with the query's first character whose length differs by up to slack, at
+    most so many edits away and so similar. An equi-join on character and length."""
+    lengths = F.explode(F.sequence(F.length("query") - slack, F.length("query") + slack))
+    q = queries.select("query").distinct().filter("query <> ''").select("query", F.left("query", F.lit(1)).alias("_c"), lengths.alias("_n"))
+    w = words.select("word").distinct().filter("word <> ''").select("word", F.left("word", F.lit(1)).alias("_c"), F.length("word").alias("_n"))
+    near = q.join(w, ["_c", "_n"]).filter("query <> word").withColumn("distance", F.levenshtein("query", "word", most)).filter("distance >= 0")
+    return similar(near.select("query", "word", "distance")).filter(F.col("similarity") >= least)
 
 
 def covering_spans(tokens: DataFrame, targets: DataFrame, most: int = 4, key: str = "doc_id") -> DataFrame:

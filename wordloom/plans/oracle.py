@@ -8,8 +8,8 @@ WORD = "[a-zà-öø-ÿ]+"
 
 def tok(name: str = "tok", table: str = "documents", key: str = "doc_id", id_expr: str | None = None) -> str:
     """A common table (key, i, token)."""
-    return f"""{name} AS (SELECT {key}, unnest(range(len(w)))::INTEGER AS i, unnest(w) AS token
-        FROM (SELECT {id_expr or key} AS {key}, regexp_extract_all(lower(text), '{WORD}') AS w FROM {table}))"""
+    return f"""{name} AS MATERIALIZED (SELECT {key}, unnest(range(len(w)))::INTEGER AS i, unnest(w) AS token
+        FROM (SELECT {id_expr or key} AS {key}, regexp_extract_all(lower(coalesce(text, '')), '{WORD}') AS w FROM {table}))"""
 
 
 def pcs() -> str:
@@ -29,10 +29,15 @@ BI = """nxt AS (SELECT token AS w1, lead(token) OVER (PARTITION BY doc_id ORDER
 BCOST = f"""{BI}, v AS (SELECT greatest(count(DISTINCT w2), 1) AS v FROM bi),
     lft AS (SELECT w1, sum(n) + 0.1::DOUBLE * v AS m FROM bi, v GROUP BY w1, v), dflt AS (SELECT w1, -ln(0.1::DOUBLE / m) AS default_cost FROM lft),
     gdef AS (SELECT avg(default_cost) AS global_cost FROM dflt),
-    bcost AS (SELECT w1, w2, n, -ln((n + 0.1::DOUBLE) / m) AS cost FROM bi JOIN lft USING (w1))"""
-SPANS = """bnx AS (SELECT token, lead(token, 1) OVER w AS t1, lead(token, 2) OVER w AS t2, lead(token, 3) OVER w AS t3 FROM btok WINDOW w AS (PARTITION BY item_id ORDER BY i)),
+    bcost AS MATERIALIZED (SELECT w1, w2, n, -ln((n + 0.1::DOUBLE) / m) AS cost FROM bi JOIN lft USING (w1))"""
+def spans(tokens: str = "btok", key: str = "item_id") -> str:
+    """A common table spn (phrase, size) of runs of two to four tokens."""
+    return f"""bnx AS (SELECT token, lead(token, 1) OVER w AS t1, lead(token, 2) OVER w AS t2, lead(token, 3) OVER w AS t3 FROM {tokens} WINDOW w AS (PARTITION BY {key} ORDER BY i)),
     spn AS (SELECT token || '_' || t1 AS phrase, 2 AS size FROM bnx WHERE t1 IS NOT NULL UNION ALL SELECT token || '_' || t1 || '_' || t2, 3 FROM bnx WHERE t2 IS NOT NULL
         UNION ALL SELECT token || '_' || t1 || '_' || t2 || '_' || t3, 4 FROM bnx WHERE t3 IS NOT NULL)"""
+
+
+SPANS = spans()
 SENT = f"""{pcs()}, snt AS (SELECT *, coalesce(sum(CASE WHEN regexp_matches(piece, '[.!?]') THEN 1 ELSE 0 END)
         OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS sentence FROM pcs)"""
 LAYERS = f"""lay AS (
@@ -56,9 +61,9 @@ CLOS = f"""{HIER}, clos AS (SELECT parent AS ancestor, child AS node, 1 AS dista
 TREES = f"""{BENCH}, tre AS (SELECT a.item_id AS doc, a.i, (SELECT min(b.i) FROM btok b WHERE b.item_id = a.item_id AND b.i > a.i AND least(length(b.token), 40) > least(length(a.token), 40)) AS head FROM btok a)"""
 SEEN = """seen AS (SELECT json_extract_string(props, '$.k') AS head, ts, event_type AS form, event_id AS tie FROM events)"""
 SM2 = f"""{SEEN}, rev AS (SELECT head, ts, tie, form = 'purchase' AS knew, row_number() OVER (PARTITION BY head ORDER BY ts, tie) AS k FROM seen WHERE form IN ('purchase', 'error')),
-    fold AS (SELECT head, 0::BIGINT AS k, 0 AS repetitions, 0 AS interval_, 2.5::DOUBLE AS ease FROM (SELECT DISTINCT head FROM rev)
+    fold AS (SELECT head, 0::BIGINT AS k, 0 AS repetitions, 0::DOUBLE AS interval_, 2.5::DOUBLE AS ease FROM (SELECT DISTINCT head FROM rev)
         UNION ALL SELECT f.head, r.k, CASE WHEN knew THEN repetitions + 1 ELSE 0 END,
-            CASE WHEN NOT knew OR repetitions = 0 THEN 1 WHEN repetitions = 1 THEN 3 ELSE round(interval_ * greatest(1.3::DOUBLE, ease + d))::INTEGER END, greatest(1.3::DOUBLE, ease + d)
+            CASE WHEN NOT knew OR repetitions = 0 THEN 1 WHEN repetitions = 1 THEN 3 ELSE interval_ * ease END, greatest(1.3::DOUBLE, ease + d)
         FROM fold f JOIN (SELECT *, CASE WHEN knew THEN 0.1::DOUBLE - (0.08::DOUBLE + 0.02::DOUBLE) ELSE 0.1::DOUBLE - 3 * (0.08::DOUBLE + 3 * 0.02::DOUBLE) END AS d FROM rev) r ON r.head = f.head AND r.k = f.k + 1),
     fin AS (SELECT head, max(k) AS reviews, arg_max(repetitions, k) AS repetitions, arg_max(interval_, k) AS interval_, arg_max(ease, k) AS ease FROM fold GROUP BY 1),
     lst AS (SELECT head, max(ts) AS last FROM rev GROUP BY 1), sta AS (SELECT * FROM fin JOIN lst USING (head))"""
@@ -87,7 +92,7 @@ ORACLE_SQL |= {
         SELECT doc_id, page, length(text)::INTEGER AS n_chars, md5(text) AS text_md5 FROM j""",
     "unigrams": f"WITH {tok()} SELECT token, count(*) AS n FROM tok GROUP BY 1",
     "bigrams": f"WITH {tok()}, {BI} SELECT w1, w2, n FROM bi",
-    "spans_2_4": f"WITH {BENCH}, {SPANS} SELECT phrase, size, count(*) AS n FROM spn GROUP BY ALL",
+    "spans_2_4": f"WITH {tok()}, {spans('tok', 'doc_id')} SELECT phrase, size, count(*) AS n FROM spn GROUP BY ALL",
     "unigram_cost": f"WITH {tok()}, {UCOST} SELECT token, n, round(cost, 6) AS cost, round(default_cost, 6) AS default_cost FROM ucost",
     "bigram_cost": f"""WITH {tok()}, {BCOST} SELECT w1, w2, n, round(cost, 6) AS cost, round(default_cost, 6) AS default_cost, round(global_cost, 6) AS global_cost
         FROM bcost JOIN dflt USING (w1), gdef""",
@@ -130,12 +135,12 @@ ORACLE_SQL |= {
     "fuzzy_two_tier": f"""WITH {NAMES} SELECT query, word, distance FROM fnd f WHERE distance = 1 OR (distance = 2 AND NOT EXISTS (SELECT 1 FROM fnd g WHERE g.query = f.query AND g.distance = 1))""",
     "spell_distance_first": f"""WITH {NAMES}, k AS (SELECT *, rank() OVER (PARTITION BY query ORDER BY distance) AS t FROM fnd),
         r AS (SELECT query, word, distance, row_number() OVER (PARTITION BY query ORDER BY cost, word)::INTEGER AS rank FROM k JOIN ncost USING (word) WHERE t = 1) SELECT * FROM r WHERE rank <= 5""",
-    "spell_topk": f"""WITH {NAMES}, s AS (SELECT *, 1 - distance / greatest(length(query), length(word)) AS sim FROM fnd),
+    "spell_topk": f"""WITH {NAMES}, s AS (SELECT *, 1 - distance / greatest(length(query), length(word)) AS sim FROM fnd WHERE distance > 0),
         p AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, sim DESC, word) AS pos FROM s),
-        t AS (SELECT query, word, distance, 0.5::DOUBLE * distance + 0.5::DOUBLE * cost AS total FROM p JOIN ncost USING (word) WHERE pos <= 50),
-        e AS (SELECT *, exp(min(total) OVER (PARTITION BY query) - total) AS e FROM t),
-        r AS (SELECT query, word, distance, round(e / sum(e) OVER (PARTITION BY query), 6) AS score, row_number() OVER (PARTITION BY query ORDER BY total, word)::INTEGER AS rank FROM e)
-        SELECT * FROM r WHERE rank <= 5""",
+        t AS (SELECT query, word, distance, sim, 0.5::DOUBLE * distance + 0.5::DOUBLE * cost AS total FROM p JOIN ncost USING (word) WHERE pos <= 50),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY total, distance, sim DESC, word)::INTEGER AS rank FROM t),
+        e AS (SELECT *, exp(min(total) OVER (PARTITION BY query) - total) AS e FROM r WHERE rank <= 5)
+        SELECT query, word, distance, round(e / sum(e) OVER (PARTITION BY query), 6) AS score, rank FROM e""",
     "span_expansion": f"""WITH {BENCH}, n AS (SELECT item_id, max(i) AS last FROM btok GROUP BY 1), t AS (SELECT item_id, i AS target FROM btok WHERE length(token) >= 10),
         s AS (SELECT item_id, target, unnest(range(greatest(target - 3, 0), target + 1))::INTEGER AS start FROM t), e AS (SELECT item_id, target, start, unnest(range(target + 1, start + 5))::INTEGER AS "end" FROM s)
         SELECT e.item_id, target, start, "end", string_agg(token, '' ORDER BY i) AS text FROM e JOIN n ON n.item_id = e.item_id AND "end" <= last + 1
@@ -197,9 +202,11 @@ ORACLE_SQL |= {
     "html_text": r"""WITH t AS (SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', '', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'),
         '[ \t\n\r\f\v]+', ' ', 'g')) AS t FROM pages) SELECT page_id, length(t)::INTEGER AS n_chars, md5(t) AS text_md5 FROM t""",
     "exposure_counters": f"""WITH {SEEN} SELECT head, count(*) AS total_seen, min(ts) AS first_seen, max(ts) AS last_seen, arg_max(form, {{'ts': ts, 'form': form}}) AS last_form FROM seen GROUP BY 1""",
-    "sm2_state": f"WITH RECURSIVE {SM2} SELECT head, repetitions, interval_ AS \"interval\", round(ease, 6) AS ease, reviews, last FROM sta",
-    "next_card": f"""WITH RECURSIVE {SM2}, x AS (SELECT head, count(*) AS total_seen FROM seen GROUP BY 1), c AS (SELECT head, total_seen, last + to_days(interval_) AS due FROM x LEFT JOIN sta USING (head))
-        SELECT head, CASE WHEN due IS NULL THEN 1 WHEN due <= TIMESTAMP '2024-01-25' THEN 0 ELSE 2 END AS bucket, total_seen, due FROM c ORDER BY bucket, due NULLS LAST, total_seen DESC, head LIMIT 10""",
+    "sm2_state": f"WITH RECURSIVE {SM2} SELECT head, repetitions, round(interval_, 6) AS \"interval\", round(ease, 6) AS ease, reviews, last FROM sta",
+    "next_card": f"""WITH RECURSIVE {SM2}, x AS (SELECT head, count(*) AS total_seen, min(ts) AS first_seen FROM seen GROUP BY 1),
+        c AS (SELECT head, total_seen, first_seen, coalesce(repetitions, 0) > 0 AS known, make_timestamp(epoch_us(last) + round(interval_ * 86400000000)::BIGINT) AS due FROM x LEFT JOIN sta USING (head)),
+        k AS (SELECT head, CASE WHEN NOT known THEN 1 WHEN due <= TIMESTAMP '2024-01-25' THEN 0 ELSE 2 END AS bucket, total_seen, first_seen, due, CASE WHEN known THEN due END AS d FROM c)
+        SELECT head, bucket, total_seen, strftime(due, '%Y-%m-%d %H:%M:%S') AS due FROM k ORDER BY bucket, d NULLS LAST, total_seen DESC, first_seen, head LIMIT 10""",
     "events_tumbling": "SELECT time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '1970-01-01') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
     "events_sliding": """SELECT time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '1970-01-01') - to_hours(6 * k) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events, range(4) r(k) GROUP BY ALL""",
     "events_session": """WITH b AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 2 HOURS THEN 0 ELSE 1 END AS b FROM events),
@@ -243,7 +250,7 @@ ORACLE_SQL |= {
     "sequence_cost": f"""WITH {OVER}, {BCOST}, q AS (SELECT item_id, i, token, cost AS word_cost, lag(token) OVER (PARTITION BY item_id ORDER BY i) AS w1 FROM own),
         c AS (SELECT item_id, word_cost, CASE WHEN q.w1 IS NULL THEN 0 ELSE coalesce(b.cost, coalesce(d.default_cost, global_cost) + 0.5 * word_cost) END AS pair_cost
             FROM q LEFT JOIN bcost b ON b.w1 = q.w1 AND b.w2 = q.token LEFT JOIN dflt d ON d.w1 = q.w1, gdef)
-        SELECT item_id, count(*) AS n, round(sum(word_cost + pair_cost), 4) AS cost FROM c GROUP BY 1""",
+        SELECT item_id, count(*) AS n, round(sum(0.05::DOUBLE * word_cost + 0.1::DOUBLE * pair_cost), 4) AS cost FROM c GROUP BY 1""",
     "climb_tops": f"""WITH RECURSIVE {TREES}, h AS (SELECT doc, i, CASE WHEN head - i <= 3 THEN head END AS up FROM tre), c AS (SELECT doc, i, i AS t FROM h UNION ALL SELECT c.doc, c.i, h.up FROM c JOIN h ON h.doc = c.doc AND h.i = c.t AND h.up IS NOT NULL)
         SELECT doc, i, max(t) AS top FROM c GROUP BY ALL""",
     "subtree_heights": f"""WITH RECURSIVE {TREES}, c AS (SELECT doc, i AS a, i AS n, 0 AS d FROM tre UNION ALL SELECT c.doc, c.a, t.i, c.d + 1 FROM c JOIN tre t ON t.doc = c.doc AND t.head = c.n)

@@ -14,7 +14,7 @@ from wordloom.plans.oracle import ORACLE_SQL  # noqa: F401
 from wordloom.streaming import streams
 
 QUERIES: dict = {}
-#: Used only where the session names no shared folder.
+#: Used only on one machine, and only where the session names no shared folder.
 OWN_FOLDER = "/tmp/checkpoints"
 
 
@@ -25,10 +25,25 @@ def query(f):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if not spark.conf.get("spark.checkpoint.dir", None):
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(OWN_FOLDER)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def doc_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tx.token_arrays(table(spark, sf_dir, "documents"), LATIN)
+
+
+def bench_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tx.token_arrays(table(spark, sf_dir, "benchmark"), LATIN, "item_id")
+
+
+def doc_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counted pairs of the documents, written once: totals, costs and means read this table and not the texts."""
+    return lm.bigrams(doc_arrays(spark, sf_dir)).checkpoint()
+
+
 def doc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tx.tokens(table(spark, sf_dir, "documents"), LATIN)
 
@@ -49,13 +64,13 @@ def tokens_per_doc(spark, sf):
 
 @query
 def islands(spark, sf):
-    return tx.islands(tx.pieces(table(spark, sf, "documents"), LATIN)).select("doc_id", "island", "first", "last", "n", F.md5("text").alias("text_md5"))
+    return tx.islands(tx.piece_arrays(table(spark, sf, "documents"), LATIN)).select("doc_id", "island", "first", "last", "n", F.md5("text").alias("text_md5"))
 
 
 @query
 def sentences(spark, sf):
-    s = tx.sentences(tx.pieces(table(spark, sf, "documents"), LATIN), LATIN.enders)
-    return s.groupBy("doc_id", "sentence").agg(F.count_if("is_word").alias("n_words"), F.min_by("piece", "i").alias("first_piece"))
+    s = tx.sentence_table(tx.piece_arrays(table(spark, sf, "documents"), LATIN), LATIN.enders)
+    return s.select("doc_id", "sentence", F.size(F.filter("is_word", lambda w: w)).cast("long").alias("n_words"), F.get("p", F.lit(0)).alias("first_piece"))
 
 
 @query
@@ -75,12 +90,12 @@ def unigrams(spark, sf):
 
 @query
 def bigrams(spark, sf):
-    return lm.bigrams(doc_tokens(spark, sf))
+    return lm.bigrams(doc_arrays(spark, sf))
 
 
 @query
 def spans_2_4(spark, sf):
-    return lm.spans(tx.tokens(table(spark, sf, "benchmark"), LATIN, "item_id"), key="item_id")
+    return lm.spans(doc_arrays(spark, sf))
 
 
 @query
@@ -91,16 +106,15 @@ def unigram_cost(spark, sf):
 
 @query
 def bigram_cost(spark, sf):
-    costs, left, overall = lm.bigram_costs(lm.bigrams(doc_tokens(spark, sf)))
+    costs, left, overall = lm.bigram_costs(doc_pairs(spark, sf))
     joined = costs.join(left, "w1").join(F.broadcast(overall))
     return joined.select("w1", "w2", "n", r6("cost").alias("cost"), r6("default_cost").alias("default_cost"), r6("global_cost").alias("global_cost"))
 
 
 @query
 def bigram_backoff(spark, sf):
-    t = doc_tokens(spark, sf)
-    asked = lm.bigrams(tx.tokens(table(spark, sf, "benchmark"), LATIN, "item_id"), "item_id").select("w1", "w2")
-    return lm.transition_costs(asked, lm.unigram_costs(lm.unigrams(t)), lm.bigram_costs(lm.bigrams(t))).select("w1", "w2", r6("cost").alias("cost"), "source")
+    asked = lm.bigrams(bench_arrays(spark, sf)).select("w1", "w2")
+    return lm.transition_costs(asked, lm.unigram_costs(lm.unigrams(doc_tokens(spark, sf))), lm.bigram_costs(doc_pairs(spark, sf))).select("w1", "w2", r6("cost").alias("cost"), "source")
 
 
 @query
@@ -110,14 +124,13 @@ def rarity(spark, sf):
 
 @query
 def collocations(spark, sf):
-    return lm.collocations(lm.bigram_costs(lm.bigrams(doc_tokens(spark, sf)))[0]).select("w1", "w2", r6("strength").alias("strength"))
+    return lm.collocations(lm.bigram_costs(doc_pairs(spark, sf))[0]).select("w1", "w2", r6("strength").alias("strength"))
 
 
 @query
 def phrases_greedy(spark, sf):
     """Phrases of the benchmark passages that occur in the documents."""
-    inventory = lm.spans(tx.tokens(table(spark, sf, "benchmark"), LATIN, "item_id"), key="item_id")
-    return lm.phrases(doc_tokens(spark, sf), inventory)
+    return lm.phrases(doc_arrays(spark, sf), lm.spans(bench_arrays(spark, sf)))
 
 
 def layers(spark, sf) -> DataFrame:
@@ -414,15 +427,16 @@ def states(spark, sf) -> DataFrame:
 
 @query
 def sm2_state(spark, sf):
-    return states(spark, sf).select("head", "repetitions", "interval", r6("ease").alias("ease"), "reviews", "last")
+    return states(spark, sf).select("head", "repetitions", r6("interval").alias("interval"), r6("ease").alias("ease"), "reviews", "last")
 
 
 @query
 def next_card(spark, sf):
     """The ten cards to show first on a given day."""
-    due = states(spark, sf).select("head", (F.col("last") + F.make_dt_interval("interval")).alias("due"))
-    cards = review.exposures(seen(spark, sf)).select("head", "total_seen").join(due, "head", "left")
-    return review.next_cards(cards, F.lit("2024-01-25").cast("timestamp"), 10).select("head", "bucket", "total_seen", "due")
+    due = states(spark, sf).select("head", "repetitions", review.due_after(F.col("last"), F.col("interval")).alias("due"))
+    cards = review.exposures(seen(spark, sf)).select("head", "total_seen", "first_seen").join(due, "head", "left")
+    found = review.next_cards(cards, F.lit("2024-01-25").cast("timestamp"), 10)
+    return found.select("head", "bucket", "total_seen", F.date_trunc("second", "due").cast("string").alias("due"))
 
 
 @query
@@ -530,12 +544,8 @@ def longest_match_fill(spark, sf):
 
 @query
 def sequence_cost(spark, sf):
-    t = doc_tokens(spark, sf)
-    words, pairs = lm.unigram_costs(lm.unigrams(t)), lm.bigram_costs(lm.bigrams(t))
-    b = tx.tokens(table(spark, sf, "benchmark"), LATIN, "item_id").withColumn("before", F.lag("token").over(W.partitionBy("item_id").orderBy("i")))
-    moves = lm.transition_costs(b.filter("before is not null").select(F.col("before").alias("w1"), F.col("token").alias("w2")).distinct(), words, pairs).select(F.col("w1").alias("before"), F.col("w2").alias("token"), F.col("cost").alias("pair_cost"))
-    own = lm.overlay(b, words, "item_id").select("item_id", "i", F.col("cost").alias("word_cost"))
-    return lm.sequence_costs(b.join(own, ["item_id", "i"]).join(moves, ["before", "token"], "left"), "item_id").select("item_id", "n", F.round("cost", 4).alias("cost"))
+    words = lm.unigram_costs(lm.unigrams(doc_tokens(spark, sf)))
+    return lm.scored(bench_arrays(spark, sf), words, lm.bigram_costs(doc_pairs(spark, sf)), "item_id").select("item_id", "n", F.round("cost", 4).alias("cost"))
 
 
 @query
@@ -652,15 +662,14 @@ def certainty_weights(spark, sf):
 
 @query
 def bigram_mle(spark, sf):
-    return lm.bigram_shares(lm.bigrams(doc_tokens(spark, sf))).select("w1", "w2", "n", r6("p").alias("p"))
+    return lm.bigram_shares(doc_pairs(spark, sf)).select("w1", "w2", "n", r6("p").alias("p"))
 
 
 @query
 def phrase_bigrams(spark, sf):
     """Neighbours in the benchmark passages with the pairs of words that occur there twice or more as units."""
-    b = tx.tokens(table(spark, sf, "benchmark"), LATIN, "item_id")
-    inventory = lm.spans(b, key="item_id").filter("n >= 2")
-    return lm.phrase_bigrams(b, lm.phrases(b, inventory, key="item_id"), "item_id")
+    b = bench_arrays(spark, sf)
+    return lm.phrase_bigrams(b, lm.phrases(b, lm.inventory(lm.spans(b)), key="item_id"), "item_id")
 
 
 @query

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from wordloom.operators.review import DID_NOT, EASE, FIRST, KNEW, LEAST, SECOND, exposures
+from wordloom.operators.review import DID_NOT, EASE, eased, exposures, FIRST, KNEW, LEAST, SECOND
 
 
 def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -41,15 +41,14 @@ class ReviewState(StatefulProcessor):
     """(repetitions, interval, ease) of each head, moved on by its reviews in the order of their times."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("review", "repetitions int, interval int, ease double, reviews long")
+        self.state = handle.getValueState("review", "repetitions int, interval double, ease double, reviews long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        reps, days, ease, n = self.state.get() if self.state.exists() else (0, 0, EASE, 0)
+        reps, days, ease, n = self.state.get() if self.state.exists() else (0, 0.0, EASE, 0)
         batch = pd.concat(list(rows)).sort_values(["ts", "tie"])
         for knew in batch["knew"]:
-            q = KNEW if knew else DID_NOT
-            ease = max(LEAST, ease + (0.1 - (5 - q) * (0.08 + (5 - q) * 0.02)))
-            days = FIRST if not knew or reps == 0 else SECOND if reps == 1 else int(days * ease + 0.5)
+            days = FIRST if not knew or reps == 0 else SECOND if reps == 1 else days * ease
+            ease = max(LEAST, eased(ease, KNEW if knew else DID_NOT))
             reps, n = (reps + 1 if knew else 0), n + 1
         self.state.update((reps, days, ease, n))
         yield pd.DataFrame({"head": [key[0]], "repetitions": [reps], "interval": [days], "ease": [ease], "reviews": [n]})
@@ -60,7 +59,7 @@ class ReviewState(StatefulProcessor):
 
 def review_stream(reviews: DataFrame) -> DataFrame:
     """reviews (head, ts, tie, knew) to the state of each head that a batch touches (update mode, RocksDB state store)."""
-    return reviews.groupBy("head").transformWithStateInPandas(ReviewState(), "head string, repetitions int, interval int, ease double, reviews long", "Update", "None")
+    return reviews.groupBy("head").transformWithStateInPandas(ReviewState(), "head string, repetitions int, interval double, ease double, reviews long", "Update", "None")
 
 
 def unknown_log(log: DataFrame, most: int = 30, script: str = "[က-႟]") -> DataFrame:
