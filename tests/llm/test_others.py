@@ -1,9 +1,11 @@
 """Groups, neighbours, models, pages and conversations, against brute-force versions."""
 
 import hashlib
+import math
 import random
 import zlib
 from collections import Counter
+from html import unescape
 
 import corpus_pipeline
 import duckdb
@@ -340,3 +342,78 @@ def test_terms_at_the_edges_and_of_any_length(spark):
     rows = [(k, f"Zorblatt zz@ex.org was seen {k}") for k in range(5)] + [(9, "mail Xy qq@blatt.org"), (10, "was seen mail and more"), (11, "mail was more")]
     got = {r.doc_id: r.text for r in pii.sanitised(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all("Zorblatt" not in got[k] and "zz@" not in got[k] for k in range(5)) and "Xy" not in got[9] and got[11] == rows[-1][1]
+
+
+def densest_slow(html_text):
+    """The tag path of the core by its definition: densities node by node from their subtrees, without sums that are kept."""
+    page = html.Page(html_text)
+    n, tag, parent = len(page.tag), page.tag, page.parent
+    out = [False] * n
+    for k in range(1, n):
+        words, role, hidden = html.marks(page.attrs[k])
+        within = any(tag[a] in ("article", "main") for a in ancestors(parent, k))
+        bad = tag[k] in html.DROPPED or tag[k] == "header" and not within or hidden or role in html.ROLES or bool(words & html.ASIDE)
+        out[k] = out[parent[k]] or bad
+    under = lambda k: [j for j in range(n) if not out[j] and (j == k or k in ancestors(parent, j))]
+    size = lambda nodes, links: sum(len(unescape(t).strip()) for k, t in page.runs if k in nodes and (not links or any(tag[a] == "a" for a in (k, *ancestors(parent, k)))))
+    body = tag.index("body") if "body" in tag else 0
+    whole = set(under(body))
+    share = size(whole, True) / max(size(whole, False), 1)
+
+    def density(k):
+        nodes = set(under(k))
+        c, lc = size(nodes, False), size(nodes, True) or 1
+        t, lt = len(nodes) - 1 or 1, sum(tag[j] == "a" for j in nodes if j != k) or 1
+        if not c:
+            return 0.0
+        return c / t * math.log(max(c / lc * t / lt, 1.0)) / max(math.log(math.log(c * lc / max(c - lc, 1) + share * c + math.e)), 0.1)
+
+    dense = [0.0 if out[k] else density(k) for k in range(n)]
+    kids = lambda k: [j for j in range(1, n) if parent[j] == k and not out[j]]
+    may = [k for k in range(body, n) if not out[k] and tag[k] not in html.TEXTUAL and any(tag[j] in html.BLOCK for j in kids(k))]
+    core = max(may, key=lambda k: (round(sum(dense[j] for j in kids(k)), 9), k), default=body)
+    path = [core, *(a for a in ancestors(parent, core) if a >= body)] if core != body else [core]
+    threshold = min(dense[k] for k in path)
+    textual = lambda k: any(tag[j] in html.TEXTUAL for j in under(k))
+    near = [k for k in range(1, n) if not out[k] and parent[k] in path and k not in path and dense[k] >= threshold and textual(k) and 3 * size(set(under(k)), True) < size(set(under(k)), False)]
+    beside = [k for k in kids(body) if core == body and dense[k] < threshold and 2 * size(set(under(k)), True) > size(set(under(k)), False)]
+    taken = set().union(*(under(k) for k in (core, *near))).difference(*(under(k) for k in beside))
+    blocks, line = [], ""
+    for k, t in [*page.runs, (0, "")]:
+        if not t:
+            blocks.append(" ".join(line.replace("\t", " ").replace("\n", " ").replace("\r", " ").replace("\f", " ").split(" ")))
+            line = ""
+        elif k in taken:
+            line += unescape(t)
+    return [" ".join(x for x in b.split(" ") if x) for b in blocks if b.strip(" ")]
+
+
+def ancestors(parent, k):
+    found = []
+    while k:
+        k = parent[k]
+        found.append(k)
+    return found
+
+
+def test_main_text_is_the_densest_part(spark):
+    for r in spark.read.parquet(f"{SF}/pages.parquet").orderBy("page_id").limit(25).collect():
+        assert html.extract(r.html or "") == "\n\n".join(densest_slow(r.html or "")), r.page_id
+
+
+def test_main_text_of_labelled_pages():
+    """Precision and recall of blocks against what a reader marks as the article, on pages without <article>."""
+    side = "<ul class='menu'><li><a href=1>Home</a></li><li><a href=2>News</a></li><li><a href=3>Contact us</a></li></ul>"
+    text = [f"Paragraph {k} of the story tells at some length what happened on the {k}th day and why it mattered to them all." for k in range(6)]
+    shapes = [
+        lambda ps: f"<body>{side}<div id=x><div><h1>Title of it</h1>{ps}</div></div><div>{side}</div></body>",
+        lambda ps: f"<body><table><tr><td>{side}<td><h1>Title of it</h1>{ps}</table></body>",
+        lambda ps: f"<body><main><div class=comments><p>first! so good this story is, I read it twice</p></div><h1>Title of it</h1>{ps}<div class=ad><p>Buy now and save a lot of money today</p></div></main></body>",
+        lambda ps: f"<body><h1>Title of it</h1>{ps}<div>{side}{side}</div></body>",
+    ]
+    found = wanted = right = 0
+    for shape in shapes:
+        got = html.extract(shape("".join(f"<p>{t} See <a href=9>more</a>.</p>" for t in text))).split("\n\n")
+        gold = ["Title of it", *(f"{t} See more." for t in text)]
+        found, wanted, right = found + len(got), wanted + len(gold), right + len(set(got) & set(gold))
+    assert right / found >= 0.95 and right / wanted >= 0.95

@@ -1,9 +1,9 @@
 """Main text of web pages by composite text density.
 
-Every node of the page's tree gets its characters per tag, adjusted by how much of both is links. The node whose
+Every node of the page's tree gets its characters per tag, adjusted by how much of both is links. The block whose
 children's densities sum up highest is the core of the article; the least density on its way up to the body is the
-threshold that its neighbours must reach to belong to it. What marks itself as something else (menus, forms, adverts,
-comments and so on, by tag, role, class or id) takes no part.
+threshold that its neighbours must reach to belong to it. Elements that are something else by their tag or role (menus,
+forms, scripts), and those whose class or id names them adverts, reader comments or notices, take no part.
 """
 
 from __future__ import annotations
@@ -39,16 +39,11 @@ IMPLIED = {
     "option": (frozenset(["option"]), frozenset("select datalist".split())),
 }
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
-#: Words of class and id. The second kind is believed only of what holds less than half of the paragraphs' text.
-SURELY = frozenset(
+#: Words of class and id that name adverts, reader comments, notices and ways to skip: what an article may hold inside.
+ASIDE = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored comment comments commentlist disqus cookie cookies "
     "consent gdpr breadcrumb breadcrumbs newsletter paywall popup modal lightbox skip".split()
 )
-MAYBE = frozenset(
-    "nav navbar navigation menu sidebar widget widgets footer header masthead banner notice notices promo promotion social share sharing "
-    "sharebar related recommended recommendations trending popular pagination pager toolbar topbar subscribe signup login search reply "
-    "replies respond reviews overlay hidden copyright legal disclaimer tags byline meta outbrain taboola".split()
-)
 TEXTUAL = frozenset("p pre blockquote h1 h2 h3 li td dd".split())
 
 OPENS, HINTED = BLOCK | {"a", "span", "b", "i"}, BLOCK | {"span", "ins", "a"}
@@ -173,8 +168,7 @@ def extract(html: str) -> str:
             if hidden or role in ROLES:
                 out[k] = tag[k] not in ("body", "html", "main")
             elif tag[k] not in ("body", "html", "main") and tag[k] in HINTED:
-                weak = words & MAYBE and not (inside[k] and words & {"header", "meta", "byline", "tags"} == words & MAYBE)
-                out[k] = bool(words & SURELY) and 2 * plain[k] < 1.9 * plain[0] or bool(weak) and 2 * plain[k] < plain[0]
+                out[k] = bool(words & ASIDE) and 2 * plain[k] < 1.9 * plain[0]  # not what holds nearly all of the text
     chars, tags, link_chars, link_tags, textual = [0] * n, [0] * n, [0] * n, [0] * n, [0] * n
     link = [False] * n
     for k in range(1, n):
@@ -211,26 +205,26 @@ def extract(html: str) -> str:
             dense[k] = density(k)
             if k:
                 total[parent[k]] += dense[k]
-    core = max((k for k in range(body, n) if not out[k]), key=lambda k: (total[k], k), default=0)
+    holds = [False] * n  # a paragraph or a line is no article; what holds blocks may be
+    for k in range(1, n):
+        if not out[k] and tag[k] in BLOCK:
+            holds[parent[k]] = True
+    core = max((k for k in range(body, n) if not out[k] and holds[k] and tag[k] not in TEXTUAL), key=lambda k: (total[k], k), default=body)
     path = [core]
     while path[-1] not in (body, 0):
         path.append(parent[path[-1]])
     threshold = min(dense[k] for k in path)
-    marked = [k for k in path if tag[k] in ("article", "main")]
-    top = marked[-1] if marked else core
-    chosen = {top}
-    if not marked:
-        on_path = set(path)
-        for k in range(1, n):
-            near = parent[k] in on_path and k not in on_path and not out[k]
-            if near and dense[k] >= threshold and (textual[k] or tag[k] in TEXTUAL) and 3 * link_chars[k] < chars[k]:
-                chosen.add(k)
+    chosen, on_path = {core}, set(path)
+    for k in range(1, n):
+        near = parent[k] in on_path and k not in on_path and not out[k]
+        if near and dense[k] >= threshold and (textual[k] or tag[k] in TEXTUAL) and 3 * link_chars[k] < chars[k]:
+            chosen.add(k)
     taken = [False] * n
     for k in range(n):
         if not out[k]:
-            up = parent[k]
-            menu = k not in chosen and tag[k] in ("ul", "ol", "div", "p", "table", "section") and link_tags[k] > 2 and 2 * link_chars[k] > chars[k] and dense[k] < threshold
-            taken[k] = k in chosen or k > 0 and taken[up] and not menu
+            # A page without a container has its menus beside the article's blocks: lists of links that are less dense than it.
+            beside = core == body and k > 0 and parent[k] == body and dense[k] < threshold and 2 * link_chars[k] > chars[k]
+            taken[k] = k in chosen or k > 0 and taken[parent[k]] and not beside
     blocks, current = [], []
     for k, t in clean:
         if not t:
