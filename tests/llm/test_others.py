@@ -370,7 +370,7 @@ def densest_slow(html_text):
 
     dense = [0.0 if out[k] else density(k) for k in range(n)]
     kids = lambda k: [j for j in range(1, n) if parent[j] == k and not out[j]]
-    may = [k for k in range(body, n) if not out[k] and tag[k] not in html.TEXTUAL and any(tag[j] in html.BLOCK for j in kids(k))]
+    may = [k for k in range(body, n) if not out[k] and tag[k] not in html.PARAGRAPHS and any(tag[j] in html.BLOCK for j in kids(k))]
     core = max(may, key=lambda k: (round(sum(dense[j] for j in kids(k)), 9), k), default=body)
     path = [core, *(a for a in ancestors(parent, core) if a >= body)] if core != body else [core]
     threshold = min(dense[k] for k in path)

@@ -46,6 +46,8 @@ ASIDE = frozenset(
 )
 TEXTUAL = frozenset("p pre blockquote h1 h2 h3 li td dd".split())
 
+PARAGRAPHS = frozenset("p pre h1 h2 h3 h4 h5 h6".split())
+
 OPENS, HINTED = BLOCK | {"a", "span", "b", "i"}, BLOCK | {"span", "ins", "a"}
 P, NO_FENCE = frozenset(["p"]), frozenset()
 P_FENCE = frozenset("button td th li table object applet".split())
@@ -209,7 +211,7 @@ def extract(html: str) -> str:
     for k in range(1, n):
         if not out[k] and tag[k] in BLOCK:
             holds[parent[k]] = True
-    core = max((k for k in range(body, n) if not out[k] and holds[k] and tag[k] not in TEXTUAL), key=lambda k: (total[k], k), default=body)
+    core = max((k for k in range(body, n) if not out[k] and holds[k] and tag[k] not in PARAGRAPHS), key=lambda k: (total[k], k), default=body)
     path = [core]
     while path[-1] not in (body, 0):
         path.append(parent[path[-1]])
