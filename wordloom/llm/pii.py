@@ -14,9 +14,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
-from wordloom.llm.common import discard, let, running, texts, written
+from wordloom.llm.common import let, running, texts, written
 
 # The patterns. A match that starts inside a run of its first class would have started earlier, unless the
 # last match ended there (\G); looking only at run starts avoids quadratic time.
@@ -92,37 +91,39 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings
     an entity of the text and that overlap no other span; all their places in the text are marked. Null texts are empty and have no spans; rows with a null id
     are searched like others; repeated rows each get their spans. An empty table gives none.
 
-    The patterns run once; what they find is written. Copies of a text count as often as they occur but are searched
-    for terms once. The statistics are counts by (entity, word) over whole texts, and by word over all texts.
+    The patterns run once; what they find is written, and so is each different text that holds an entity. Copies of a text
+    count as often as they occur. Only words that are rare enough to disclose an entity of their text meet it: a share of g
+    asks for n_word <= n_docs^(1 - g) * n_entity^g, whatever the pair's own count. The risky words' places are then looked
+    up in the texts.
     """
-    s = settings
+    s, g = settings, settings.generalise
     docs = texts(df, id_col, text_col)
-    found = written(docs.select("id", F.xxhash64("text").alias("h"), base_spans(F.col("text")).alias("base")), "spans")
-    held = found.filter(F.size("base") > 0).groupBy("h").agg(F.count("*").alias("n"), F.first("base.entity").alias("entities"))
-    told = docs.select(F.xxhash64("text").alias("h"), "text").join(held.select("h"), "h", "left_semi").dropDuplicates(["h"])
-    # The last piece has no word after it. One text is one window, so its words' places are sums of lengths.
-    pieces = told.select("h", F.posexplode_outer(F.arrays_zip(F.split("text", TERM, -1).alias("gap"), F.regexp_extract_all("text", F.lit(TERM), F.lit(0)).alias("term"))).alias("k", "p"))
-    upto = F.sum(F.length("p.gap") + F.length("p.term")).over(W.partitionBy("h").orderBy("k"))
-    places = pieces.filter("p.term is not null").select("h", (upto - F.length("p.term")).cast("int").alias("start"), upto.cast("int").alias("end"), F.lower("p.term").alias("word"))
-    places = written(places, "places")
-    entities = written(held.select("h", "n", F.explode(F.array_distinct("entities")).alias("entity")), "entities")
-    per_entity = entities.groupBy("entity").agg(F.sum("n").alias("n_entity"))
-    with_words = written(entities.join(places.select("h", "word").distinct(), "h"), "terms")
-    pairs = with_words.groupBy("entity", "word").agg(F.sum("n").alias("n_both"), F.count("*").alias("texts")).filter(F.col("texts") >= s.support)
-    pairs = written(pairs, "pairs")
+    spans = docs.withColumn("base", base_spans(F.col("text")))
+    found = written(spans.select("id", F.xxhash64("text").alias("h"), "base", F.when(F.size("base") > 0, F.col("text")).alias("text")), "spans")
+    held = written(found.filter("text is not null").groupBy("h").agg(F.count("*").alias("n"), F.first("base.entity").alias("entities"), F.first("text").alias("text")), "held")
+    entities = written(held.select("h", "n", F.explode_outer(F.array_distinct("entities")).alias("entity")), "entities")
+    per_entity = written(entities.groupBy("entity").agg(F.sum("n").alias("n_entity")), "per_entity")
+    total = found.count()
+    rare = lambda n: F.pow(F.lit(float(total)), 1 - g) * F.pow(n.cast("double"), g) * (1 + 1e-9)
+    bounds = entities.join(per_entity, "entity").groupBy("h").agg(rare(F.max("n_entity")).alias("most"))
     words = docs.select(F.explode_outer(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("word"))
-    # Counted first, then joined: rows of the join are candidate terms, not their occurrences. (A semi-join would be pushed below the count.)
-    per_word = words.groupBy("word").agg(F.count("*").alias("n_word")).join(pairs.select("word").distinct(), "word")
-    total = found.agg(F.count("*").alias("n_docs"))
-    known = pairs.join(per_entity, "entity").join(per_word, "word").join(F.broadcast(total))
-    ic = F.log2(F.col("n_docs") / F.col("n_entity"))
-    pmi = F.log2(F.col("n_both") * F.col("n_docs") / (F.col("n_entity") * F.col("n_word")))
-    risky = known.select("entity", "word", (pmi / F.when(ic > 0, ic)).alias("share")).filter(F.col("share") >= s.generalise)
-    level = F.when(F.col("share") >= s.remove, "removed").otherwise("general")
-    marked = with_words.join(risky, ["entity", "word"]).groupBy("h", "word").agg(F.max("share").alias("share")).join(places, ["h", "word"])
-    marked = marked.withColumn("kind", level)
-    span = F.struct("start", F.when(F.col("kind") == "general", 4).otherwise(5).alias("ord"), "end", "kind")
-    added = marked.groupBy("h").agg(F.collect_list(span).alias("added"))
+    per_word = words.groupBy("word").agg(F.count("*").alias("n_word"))
+    most = per_entity.agg(rare(F.max("n_entity")).alias("m")).first().m or 0.0
+    terms = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), lambda t: F.lower(t)))
+    own = held.select("h", F.explode_outer(terms).alias("word")).filter("word is not null")
+    near = own.join(per_word.filter(F.col("n_word") <= most), "word").join(bounds, "h").filter("n_word <= most").select("h", "word", "n_word")
+    with_words = written(entities.join(near, "h"), "terms")
+    pairs = with_words.groupBy("entity", "word").agg(F.sum("n").alias("n_both"), F.count("*").alias("texts"), F.max("n_word").alias("n_word")).filter(F.col("texts") >= s.support)
+    ic = F.log2(F.lit(float(total)) / F.col("n_entity"))
+    pmi = F.log2(F.col("n_both") * F.lit(float(total)) / (F.col("n_entity") * F.col("n_word")))
+    risky = pairs.join(per_entity, "entity").select("entity", "word", (pmi / F.when(ic > 0, ic)).alias("share")).filter(F.col("share") >= g)
+    level = F.when(F.max("share") >= s.remove, "removed").otherwise("general")
+    marked = with_words.join(risky, ["entity", "word"]).groupBy("h", "word").agg(level.alias("kind"))
+    kinds = marked.groupBy("h").agg(F.map_from_entries(F.collect_list(F.struct("word", "kind"))).alias("kinds"))
+    kind = lambda m: F.try_element_at(F.col("kinds"), F.lower(m["value"]))
+    span = lambda m: F.struct(m["start"].alias("start"), F.when(kind(m) == "general", 4).otherwise(5).alias("ord"), m["end"].alias("end"), kind(m).alias("kind"))
+    placed = held.select("h", "text").join(kinds, "h").select("h", "kinds", matches(F.col("text"), TERM).alias("m"))
+    added = placed.select("h", F.transform(F.filter("m", lambda m: kind(m).isNotNull()), span).alias("added"))
     slim = F.transform("base", lambda b: F.struct(b["start"].alias("start"), b["ord"].alias("ord"), b["end"].alias("end"), b["kind"].alias("kind")))
     both = found.select("id", "h", slim.alias("base")).join(added, "h", "left")
     free = F.filter(F.coalesce("added", F.slice("base", 1, 0)), lambda a: ~F.exists("base", lambda b: (a["start"] < b["end"]) & (b["start"] < a["end"])))
