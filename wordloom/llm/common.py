@@ -6,6 +6,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,6 +83,23 @@ def gathered(table: list[bytes], codes: np.ndarray, sizes: np.ndarray, kind: str
     return flat[at], upto[last] - upto[last - sizes]
 
 
+def word_codes(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Of a column of texts, lower-cased in A-Z and cut at ASCII white space: the distinct words, the number of each word of
+    the texts one after another among them, and how many words each text has."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(column))
+    sizes = np.asarray(pc.list_value_length(split), dtype=np.int64)
+    marked = split.flatten().dictionary_encode()
+    words, codes = marked.dictionary, np.asarray(marked.indices, dtype=np.int64)
+    empty = pc.index(words, pa.scalar("", words.type)).as_py()  # before white space at the edges
+    if empty >= 0:
+        none = codes == empty
+        upto = np.concatenate([[0], np.cumsum(none)])
+        last = np.cumsum(sizes)
+        sizes = sizes - (upto[last] - upto[last - sizes])
+        codes = codes[~none]
+    return words, codes, sizes
+
+
 def list_array(flat: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa.ListArray:
     """An Arrow list column from its numbers one after another and how many each row has."""
     ends = np.concatenate([[0], np.cumsum(lengths)])
