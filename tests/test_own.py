@@ -51,18 +51,18 @@ def test_clusters(texts):
 
 def test_cheapest_paths(spark, texts, words):
     rows = segment.priced(segment.lattice(texts, MYANMAR, 16), words, profile=MYANMAR)
-    for cut in (segment.best_paths(rows), segment.best_paths_with_pairs(rows)):
-        got = {r.doc_id: list(r.words) for r in cut.collect()}
-        for k, g in enumerate(GOLDENS[1:], 1):
-            assert got[k] == g[2], g[0]
+    got = {r.doc_id: list(r.words) for r in segment.best_paths(rows).collect()}
+    for k, g in enumerate(GOLDENS[1:], 1):
+        assert got[k] == g[2], g[0]
 
 
 def test_pair_rewards_change_the_path(spark):
     docs = spark.createDataFrame([(1, "abab")], "doc_id long, text string")
     known = spark.createDataFrame([("ab",), ("a",), ("bab",)], "word string")
     rows = segment.priced(segment.lattice(docs, LATIN, 4), known)
-    assert [list(r.words) for r in segment.best_paths_with_pairs(rows).collect()] == [["a", "bab"]]
-    assert [list(r.words) for r in segment.best_paths_with_pairs(rows, {("ab", "ab"): 0.5}).collect()] == [["ab", "ab"]]
+    pairs = spark.createDataFrame([("ab", "ab", 0.5)], "w1 string, w2 string, cost double")
+    assert [list(r.words) for r in segment.best_paths(rows).collect()] == [["a", "bab"]]
+    assert [list(r.words) for r in segment.best_paths(rows, pairs).collect()] == [["ab", "ab"]]
 
 
 def test_pipeline(texts, words):
@@ -178,7 +178,7 @@ def test_brackets_and_chunks(spark):
     nodes = {(r.sent_id, r.label, r.start, r.end, r.depth) for r in corpus.bracket_nodes(t).collect()}
     assert nodes == {(1, "S", 0, 4, 0), (1, "NP", 0, 2, 1), (1, "N", 0, 1, 2), (1, "N", 1, 2, 2), (1, "VP", 2, 4, 1), (1, "V", 2, 3, 2), (1, "NP", 3, 4, 2), (1, "N", 3, 4, 3), (2, "X", 0, 1, 0)}
     chunks = {(r.label, r.start, r.end) for r in corpus.base_chunks(corpus.bracket_nodes(t), ["NP", "VP"]).collect()}
-    assert chunks == {("NP", 0, 2), ("NP", 3, 4)}
+    assert chunks == {("NP", 0, 2), ("VP", 2, 4)}
 
 
 def test_graph(spark):
@@ -194,6 +194,45 @@ def test_graph(spark):
     assert {r.i: r.depth for r in graph.depths(cycle).collect()} == {0: None, 1: None, 2: 0}
 
 
+def test_deep_chains(spark):
+    n = 1200
+    chain = spark.range(n).select(F.lit(1).alias("doc"), F.col("id").cast("int").alias("i"), F.greatest(F.col("id") - 1, F.lit(0)).cast("int").alias("head"))
+    assert chain.transform(graph.depths).filter("depth = i").count() == n
+    assert graph.heights(chain).filter(F.col("height") == n - 1 - F.col("i")).count() == n
+    near = spark.range(130).select((F.col("id") + 1).alias("child"), F.col("id").alias("parent"))
+    assert graph.closure(near).count() == 130 * 131 // 2 and graph.closure(near, 7).agg(F.max("distance")).first()[0] == 7
+
+
+def test_gaps_branches_and_groups(spark):
+    rows = [(1, 0, 2), (1, 1, 4), (1, 2, 4), (1, 3, 4), (1, 4, 4), (1, 5, 4)]
+    t = spark.createDataFrame(rows, "doc long, i int, head int")
+    assert {(r.i, r.height) for r in graph.heights(t).collect()} == {(0, 0), (1, 0), (2, 1), (3, 0), (4, 2), (5, 0)}
+    assert {(r.i, r.component) for r in graph.gap_components(t, 0).collect()} == {(0, 0), (1, 1), (2, 0), (3, 0), (4, 0), (5, 0)}
+    assert {(r.i, r.component) for r in graph.gap_components(t, 1).collect()} == {(i, 0) for i in range(6)}
+    assert {(r.i, r.chunk) for r in graph.branch_chunks(t, 0).collect()} == {(0, 2), (2, 2), (1, 4), (3, 4), (4, 4), (5, 4)}
+    e = spark.createDataFrame([(1, 1, 3)], "doc long, first int, last int")
+    assert {(r.i, r.chunk) for r in graph.bottom_up_compressed(t, e, 1).collect()} == {(i, 0) for i in range(6)}
+    assert {(r.i, tuple(r.path)) for r in graph.root_paths(t).collect()} == {(0, (2,)), (1, ()), (2, ()), (3, ()), (4, ()), (5, ())}
+
+
+def test_bilou_and_heads(spark):
+    leaves = spark.createDataFrame([(1, k, p, "x") for k, p in enumerate(["adv", "n", "n", "punct", "part", "punct", "v"])], "sent_id long, i int, pos string, token string")
+    chunks = spark.createDataFrame([(1, "NP", 1, 3), (1, "VP", 6, 7)], "sent_id long, label string, start int, end int")
+    assert [r.tag for r in corpus.bilou(leaves, chunks).orderBy("i").collect()] == ["U-ADVP", "B-NP", "I-NP", "I-NP", "L-NP", "O", "U-VP"]
+    tree = spark.createDataFrame([(1, "(ROOT (noun (a x) (n y)) (verb (v z) (p w)) (q .))")], "sent_id long, tree string")
+    words = spark.createDataFrame([(1, 0, "x", "ADJ"), (1, 1, "y", "NOUN"), (1, 2, "z", "VERB"), (1, 3, "w", "PART"), (1, 4, ".", "PUNCT")], "sent_id long, i int, form string, upos string")
+    headed = corpus.percolated(corpus.bracket_nodes(tree), words)
+    got = {r.i: (r["head"], r.deprel) for r in corpus.arcs(headed, words).collect()}
+    assert got == {0: (1, "amod"), 1: (2, "obl"), 2: (-1, "root"), 3: (2, "case"), 4: (2, "punct")}
+
+
+def test_dictionary_repair(spark):
+    rows = [(0, "x", "", "", "lost"), (1, "စာ12", "sa", "n", "[Pali] 7 text"), (2, "", "sar", "v", "more See illus at p"), (3, "2005", "hse", "", "ten."), (4, "", "", "", " ")]
+    entries, report = corpus.repaired_entries(spark.createDataFrame(rows, "k int, headword string, romanization string, pos string, definition string"))
+    assert sorted(tuple(r) for r in entries.collect()) == [(1, "စာ", "sa / sar", "n", "text more"), (3, "ဆယ်", "hse", "num", "ten.")]
+    assert {r.k: r.change for r in report.collect()} == {0: "dropped", 1: "suffix", 2: "attached", 3: "numeric", 4: "dropped"}
+
+
 def test_viterbi_and_links(spark):
     rows = [(1, 0, [("n", -1.0), ("v", -0.9)]), (1, 1, None), (1, 2, [("v", -1.0), ("n", -1.1)])]
     df = spark.createDataFrame(rows, "doc long, i int, candidates array<struct<tag: string, score: double>>")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from wordloom.functions import clean
+
 
 def repair_roots(tokens: DataFrame) -> DataFrame:
     """Exactly one root in each sentence: the first stays, a further one is attached to its left neighbour if it is a case
@@ -131,17 +133,142 @@ def bracket_nodes(trees: DataFrame, key: str = "sent_id", text_col: str = "tree"
 
 
 def base_chunks(spans: DataFrame, labels: list[str], key: str = "sent_id") -> DataFrame:
-    """Spans of the given labels that hold no other such span; of overlapping ones the label listed first wins, then the
-    earlier. spans: (key, label, start, end)."""
+    """(key, label, start, end): spans of the given labels that hold no other one of the SAME label; of these, from the left by
+    start, then by the order of the labels, then the shorter first, each that overlaps none taken before. What is taken
+    depends on what was, so it is a fold over a sentence's minimal spans; equal spans count once. spans: (key, label, start, end)."""
     rank = F.create_map(*(F.lit(x) for k, v in enumerate(labels) for x in (v, k)))
-    s = spans.filter(F.col("label").isin(labels)).withColumn("rank", rank[F.col("label")])
+    s = spans.filter(F.col("label").isin(labels)).select(key, "label", "start", "end").distinct()
     a, b = s.alias("a"), s.alias("b")
-    holds = (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.start") <= F.col("b.start")) & (F.col("b.end") <= F.col("a.end"))
+    holds = (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.label") == F.col("b.label")) & (F.col("a.start") <= F.col("b.start")) & (F.col("b.end") <= F.col("a.end"))
     minimal = a.join(b, holds & ((F.col("b.end") - F.col("b.start")) < (F.col("a.end") - F.col("a.start"))), "left_anti")
-    c, d = minimal.alias("c"), minimal.alias("d")
-    over = (F.col(f"c.{key}") == F.col(f"d.{key}")) & (F.col("c.start") < F.col("d.end")) & (F.col("d.start") < F.col("c.end"))
-    first = F.struct("d.rank", "d.start", "d.end") < F.struct("c.rank", "c.start", "c.end")
-    return c.join(d, over & first, "left_anti").drop("rank")
+    item = F.struct("start", rank[F.col("label")].alias("rank"), (F.col("end") - F.col("start")).alias("size"), "end", "label")
+    ordered = minimal.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("all"))
+    walk = F.aggregate(
+        "all", F.struct(F.element_at("all", 1)["start"].alias("at"), F.slice("all", 1, 0).alias("out")),
+        lambda st, x: F.when(x["start"] >= st["at"], F.struct(x["end"].alias("at"), F.array_append(st["out"], x).alias("out"))).otherwise(st), lambda st: st["out"],
+    )
+    return ordered.select(key, F.explode(walk).alias("x")).select(key, "x.label", "x.start", "x.end")
+
+
+#: The chunk label of a token that no chunk covers, by its part of speech; NP for all others.
+LONE = {"verb": "VP", "part": "VP", "adj": "ADJP", "adv": "ADVP"}
+
+
+def bilou(leaves: DataFrame, chunks: DataFrame, key: str = "sent_id") -> DataFrame:
+    """(key, i, tag): B-, I-, L- and U- tags of chunks (key, label, start, end) over leaves (key, i, pos, token). A token without
+    a chunk, punctuation aside, extends the chunk before it, which then covers all up to it; one with none before it begins a
+    chunk of its own, which the tokens after it extend; punctuation outside is O."""
+    inside = chunks.select(key, "label", "start", F.explode(F.sequence("start", F.col("end") - 1)).alias("i"))
+    at = leaves.join(inside, [key, "i"], "left")
+    w = W.partitionBy(key).orderBy("i")
+    own = F.when(F.col("start").isNotNull(), F.struct("start", "label"))
+    lone = F.coalesce(F.create_map(*(F.lit(x) for kv in LONE.items() for x in kv))[F.col("pos")], F.lit("NP"))
+    word = F.col("pos") != "punct"
+    at = at.withColumn("_c", F.last(own, ignorenulls=True).over(w))
+    # Without a chunk before them, the first word begins one.
+    first = F.first(F.when(word & F.col("_c").isNull(), F.struct(F.col("i").cast(leaves.schema["i"].dataType).alias("start"), lone.alias("label"))), ignorenulls=True).over(W.partitionBy(key).orderBy("i"))
+    at = at.withColumn("_c", F.coalesce("_c", F.when(first["start"] <= F.col("i"), first)))
+    # A chunk ends at its last token that is covered, or a word that extends it; punctuation in between is in it.
+    last = F.max(F.when(F.col("start").isNotNull() | word, F.col("i"))).over(W.partitionBy(key, F.col("_c.start")))
+    at = at.withColumn("_end", F.when(F.col("_c").isNotNull(), last))
+    mark = F.when(F.col("_c.start") == F.col("_end"), "U").when(F.col("i") == F.col("_c.start"), "B").when(F.col("i") == F.col("_end"), "L").otherwise("I")
+    tag = F.when(F.col("_c").isNull() | (F.col("i") > F.col("_end")), "O").otherwise(F.concat(mark, F.lit("-"), F.col("_c.label")))
+    return at.select(key, "i", tag.alias("tag"))
+
+
+#: Function tags, and which child of a phrase is its head: the last one whose head has such a tag.
+FUNCTION = ["ADP", "PART", "AUX", "CCONJ", "SCONJ", "PUNCT", "SYM"]
+HEADED = {"root": ["VERB"], "verb": ["VERB"], "noun": ["NOUN", "PROPN", "PRON", "ADJ", "NUM"]}
+RELATIONS = {
+    "noun": {"NOUN": "compound", "PROPN": "compound", "PRON": "compound", "ADJ": "amod", "ADV": "advmod", "VERB": "acl", "": "compound"},
+    "": {"VERB": "acl", "ADJ": "amod", "ADV": "advmod", "": "obl"},
+}
+
+
+def percolated(nodes: DataFrame, upos: DataFrame, key: str = "sent_id") -> DataFrame:
+    """nodes (bracket_nodes) with head, the leaf (from 0) that heads each: bottom-up, a phrase takes the head of its last child
+    whose head has a tag that the phrase's label asks for; a verb phrase then the last that is no function word; else the
+    last child's. upos: (key, i, upos). One round of joins for each level, from the deepest up."""
+    tags = upos.select(key, F.col("i").alias("head"), "upos")
+    deepest = nodes.agg(F.max("depth")).first()[0]
+    kids = nodes.select(key, F.col("parent").alias("node")).distinct().withColumn("_kids", F.lit(True))
+    marked = nodes.join(kids, [key, "node"], "left")
+    done = marked.filter("_kids is null").drop("_kids").withColumn("head", F.col("start")).checkpoint()
+    for depth in range((deepest or 0) - 1, -1, -1):
+        level = marked.filter((F.col("depth") == depth) & F.col("_kids")).drop("_kids")
+        below = done.filter(F.col("depth") == depth + 1).select(key, F.col("parent").alias("node"), F.col("node").alias("kid"), "head").join(tags, [key, "head"], "left")
+        wanted = F.lit(False)
+        for label, good in HEADED.items():
+            wanted = F.when(F.lower("label") == label, F.col("upos").isin(good)).otherwise(wanted)
+        content = (F.lower("label") == "verb") & ~F.coalesce(F.col("upos").isin(FUNCTION), F.lit(False))
+        order = F.struct(F.coalesce(wanted, F.lit(False)).alias("a"), content.alias("b"), F.col("kid"))
+        heads = level.select(key, "node", "label").join(below, [key, "node"]).groupBy(key, "node").agg(F.max_by("head", order).alias("head"))
+        done = done.unionByName(level.join(heads, [key, "node"])).checkpoint()
+    return done
+
+
+def arcs(headed: DataFrame, words: DataFrame, majority: DataFrame | None = None, key: str = "sent_id", marks: list[str] = []) -> DataFrame:
+    """(key, i, head, deprel): dependencies of leaves (from 0; head -1 at the root). A child whose head differs from its phrase's
+    depends on it; its relation is the most frequent one of its form for function words, else by its tag and the phrase's
+    label. headed: percolated; words: (key, i, form, upos); majority: (form, deprel)."""
+    up = headed.select(key, F.col("node").alias("parent"), F.col("head").alias("to"), F.lower("label").alias("phrase"))
+    links = headed.join(up, [key, "parent"]).filter(F.col("head") != F.col("to")).select(key, F.col("head").alias("i"), "to", "phrase", "depth")
+    one = links.groupBy(key, "i").agg(F.min_by(F.struct("to", "phrase"), "depth").alias("l"))
+    root = headed.filter("parent is null").select(key, F.col("head").alias("root"))
+    at = words.join(one, [key, "i"], "left").join(root, key)
+    tag = F.col("upos")
+    fixed = at.join(majority.select("form", F.col("deprel").alias("_m")), "form", "left") if majority is not None else at.withColumn("_m", F.lit(None).cast("string"))
+    by = lambda table: F.coalesce(F.create_map(*(F.lit(x) for kv in table.items() for x in kv))[tag], F.lit(table[""]))
+    structural = F.when(F.col("l.phrase") == "noun", by(RELATIONS["noun"])).otherwise(by(RELATIONS[""]))
+    function = tag.isin(FUNCTION)
+    rel = (
+        F.when(F.col("i") == F.col("root"), "root").when(F.col("l").isNull(), "obl").when(function & F.col("_m").isNotNull(), F.col("_m")).when(tag == "PUNCT", "punct")
+        .when(tag == "NUM", "nummod").when(function, F.when(F.col("form").isin(marks), "mark").otherwise("case")).otherwise(structural)
+    )
+    head = F.when(F.col("i") == F.col("root"), -1).otherwise(F.coalesce("l.to", "root"))
+    return fixed.select(key, "i", head.alias("head"), rel.alias("deprel"))
+
+
+def records(sentences: DataFrame, size: int = 50, key: str = "sent_id", order: str = "sent_id") -> DataFrame:
+    """(record, tokens, tags, sent_end_after): so many sentences (key, tokens array, tags array) by order in one record, with 1 at
+    each sentence's last token."""
+    batched = fixed_batches(sentences, order, size)
+    ends = F.transform("tokens", lambda t, i: F.when(i == F.size("tokens") - 1, 1).otherwise(0))
+    rows = batched.select("batch", F.struct(F.col(order).alias("o"), F.col("tokens").alias("t"), F.col("tags").alias("g"), ends.alias("e")).alias("s"))
+    all_ = rows.groupBy(F.col("batch").alias("record")).agg(F.array_sort(F.collect_list("s")).alias("s"))
+    return all_.select("record", *(F.flatten(F.transform("s", lambda x, c=c: x[c])).alias(n) for c, n in (("t", "tokens"), ("g", "tags"), ("e", "sent_end_after"))))
+
+
+def repaired_entries(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entries (k, headword, romanization, pos, definition) cleaned, and a report (k, change): headwords lose what follows the
+    script, numerals get their own from what they mean, labels and definitions are cleaned; a row without a headword of the
+    script continues the last one before it: a new romanization, a missing label and its definition go there. One with none
+    before it, or without a definition, is dropped."""
+    text = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
+    own = rows.select("k", *(text(c).alias(c) for c in ("headword", "romanization", "pos", "definition")))
+    own = own.withColumn("head", clean.strip_suffix(F.col("headword")))
+    ascii_ = ~F.col("head").rlike(f"[{clean.SCRIPT}]")
+    low = F.lower("definition")
+    ten = low.rlike(r"^(7\s*)?ten\.$") & F.col("romanization").isin("hse", "hsei", "hce")
+    four = low.contains("four.") & F.col("definition").contains("လေး") & F.col("romanization").isin("lei:", "le:")
+    number = F.when(ascii_ & ten, "ဆယ်").when(ascii_ & four, "လေး").when(ascii_ & low.contains("hundred."), "ရာ")
+    own = own.withColumn("number", number)
+    pos = F.when(F.col("number").isNotNull() & ((F.col("pos") == "") | F.lower("pos").startswith("n")), "num").otherwise(F.col("pos"))
+    good = pos.rlike(r"(?i)^(n|v|adj|adv|num|pron|aux|prep|postp|conj|interj|part|m|nm)\b")
+    own = own.withColumn("pos", F.when(good, pos).otherwise("")).withColumn("plain", clean.clean_definition(F.col("definition"))).withColumn("head", F.coalesce("number", "head"))
+    lemma = F.col("head").rlike(f"[{clean.SCRIPT}]")
+    at = own.withColumn("lemma", F.last(F.when(lemma, F.col("k")), ignorenulls=True).over(W.orderBy("k") if "part" not in rows.columns else W.partitionBy("part").orderBy("k")))
+    at = at.withColumn("is_lemma", lemma)
+    kept = at.filter(F.col("lemma").isNotNull() & (F.col("is_lemma") | (F.col("plain") != "")))
+    parts = kept.groupBy("lemma").agg(F.array_sort(F.collect_list(F.struct("k", "head", "romanization", "pos", "plain"))).alias("p"))
+    filled = lambda c: F.filter(F.col(f"p.{c}"), lambda x: x != "")
+    entries = parts.select(
+        F.col("lemma").alias("k"), F.get("p.head", F.lit(0)).alias("headword"), F.array_join(F.array_distinct(filled("romanization")), " / ").alias("romanization"),
+        F.coalesce(F.get(filled("pos"), F.lit(0)), F.lit("")).alias("pos"), F.array_join(filled("plain"), " ").alias("definition"),
+    )
+    change = F.when(~F.col("is_lemma") & F.col("lemma").isNotNull() & (F.col("plain") != ""), "attached").when(~F.col("is_lemma"), "dropped")
+    change = F.coalesce(change, F.when(F.col("number").isNotNull(), "numeric").when(F.col("head") != F.col("headword"), "suffix"))
+    return entries, at.select("k", change.alias("change")).filter("change is not null")
 
 
 def fixed_batches(rows: DataFrame, order: str, size: int = 50) -> DataFrame:

@@ -13,33 +13,33 @@ def _kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def depths(tokens: DataFrame, key: str = "doc", most: int = 1000) -> DataFrame:
+def depths(tokens: DataFrame, key: str = "doc") -> DataFrame:
     """(key, i, head, depth): roots, and tokens whose head is missing, have depth 0. tokens: (key, i, head).
 
     Rounds of pointer doubling: after k rounds each token knows its ancestor 2^k steps up, so a tree of depth d takes
-    log2(d) joins. Tokens on a cycle keep a null depth."""
+    log2(d) joins. Each round finishes tokens of a tree; tokens on a cycle, or hanging on one, never finish, so when a round
+    finishes none they are left with a null depth."""
     known = tokens.select(key, F.col("i").alias("head"), F.lit(True).alias("_there"))
     jump = tokens.join(known, [key, "head"], "left").select(key, "i", "head", F.when(F.col("_there") & (F.col("head") != F.col("i")), F.col("head")).alias("up"))
-    jump = _kept(jump.withColumn("steps", F.when(F.col("up").isNull(), 0).otherwise(1)))
-    for _ in range(max(1, most.bit_length())):
-        if not jump.filter("up is not null").take(1):
-            break
+    jump, open_ = _kept(jump.withColumn("steps", F.when(F.col("up").isNull(), 0).otherwise(1))), -1
+    while open_ != (open_ := jump.filter("up is not null").count()) and open_:
         above = jump.select(key, F.col("i").alias("up"), F.col("up").alias("_up"), F.col("steps").alias("_steps"))
         jump = _kept(jump.join(above, [key, "up"], "left").select(key, "i", "head", F.col("_up").alias("up"), (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps")))
     return jump.select(key, "i", "head", F.when(F.col("up").isNull(), F.col("steps")).alias("depth"))
 
 
-def closure(edges: DataFrame, most: int = 100) -> DataFrame:
-    """(ancestor, node, distance) of all pairs, by doubling; edges: (child, parent). Cycles end at `most`."""
+def closure(edges: DataFrame, most: int | None = None) -> DataFrame:
+    """(ancestor, node, distance) of all pairs, by doubling; edges: (child, parent). most: only pairs so near. On a cycle a
+    distance is the least one, so that doubling ends there too."""
     reach = _kept(edges.select(F.col("parent").alias("ancestor"), F.col("child").alias("node"), F.lit(1).alias("distance")).distinct())
-    done = 1
-    while done < most:
+    done, held = 1, reach.count()
+    while most is None or done < most:
         further = reach.alias("a").join(reach.alias("b"), F.col("a.node") == F.col("b.ancestor")).select("a.ancestor", "b.node", (F.col("a.distance") + F.col("b.distance")).alias("distance"))
-        new = _kept(reach.unionByName(further).groupBy("ancestor", "node").agg(F.min("distance").alias("distance")))
-        if new.count() == reach.count():
-            return new
-        reach, done = new, done * 2
-    return reach.filter(F.col("distance") <= most)
+        reach = _kept(reach.unionByName(further).groupBy("ancestor", "node").agg(F.min("distance").alias("distance")))
+        done, before, held = done * 2, held, reach.count()
+        if held == before:
+            break
+    return reach if most is None else reach.filter(F.col("distance") <= most)
 
 
 def k_hop(edges: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
@@ -67,6 +67,12 @@ def components(edges: DataFrame) -> DataFrame:
         current = _kept(large.join(least, "a").filter("b <> m").selectExpr("b as a", "m as b").unionByName(least.selectExpr("a", "m as b")).distinct())
 
 
+def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(seed, a, b): the edges between two nodes of a seed's neighbourhood (seed, node)."""
+    own = nodes.select("seed", F.col("node").alias("a")).join(edges.select("a", "b").distinct(), "a")
+    return own.join(nodes.select("seed", F.col("node").alias("b")), ["seed", "b"]).select("seed", "a", "b")
+
+
 def context_windows(tokens: DataFrame, most: int, key: str = "doc") -> DataFrame:
     """(key, i, left, right): the largest tree-connected run of up to `most` tokens around each token; ties go to the
     more balanced run, then to the one further right. tokens: (key, i, head), head equal to i or null at a root.
@@ -163,11 +169,101 @@ def tops(tokens: DataFrame, most_jump: int | None = None, key: str = "doc") -> D
 
 
 def heights(tokens: DataFrame, key: str = "doc") -> DataFrame:
-    """(key, i, height): steps from a token down to its farthest descendant."""
-    name = lambda c: F.concat_ws(":", F.col(key).cast("string"), F.col(c).cast("string"))
-    edges = tokens.filter("head is not null and head <> i").select(name("i").alias("child"), name("head").alias("parent"))
-    below = closure(edges).groupBy("ancestor").agg(F.max("distance").alias("height"))
-    return tokens.select(key, "i", name("i").alias("ancestor")).join(below, "ancestor", "left").select(key, "i", F.coalesce("height", F.lit(0)).cast("int").alias("height"))
+    """(key, i, height): steps from a token down to its farthest descendant; null on a cycle, and above one.
+
+    Depths give each token its own level; pointer doubling then hands the deepest level below to all ancestors: after k
+    rounds a token knows the deepest of its descendants within 2^k steps. Rows stay one a token, no pairs are made."""
+    level = depths(tokens, key)
+    at = level.withColumn("up", F.when((F.col("depth") > 0), F.col("head"))).select(key, "i", "depth", "up", F.col("depth").alias("deepest"))
+    at = _kept(at)
+    while at.filter("up is not null").take(1):
+        given = at.filter("up is not null").groupBy(key, F.col("up").alias("i")).agg(F.max("deepest").alias("_d"))
+        above = at.select(key, F.col("i").alias("up"), F.col("up").alias("_up"))
+        moved = at.join(given, [key, "i"], "left").join(above, [key, "up"], "left")
+        at = _kept(moved.select(key, "i", "depth", F.col("_up").alias("up"), F.greatest("deepest", F.coalesce("_d", "deepest")).alias("deepest")))
+    return at.select(key, "i", (F.col("deepest") - F.col("depth")).cast("int").alias("height"))
+
+
+def branch_chunks(tokens: DataFrame, threshold: int, key: str = "doc") -> DataFrame:
+    """(key, i, chunk): a branch higher than the threshold is a chunk of its own, named by its top; lower ones stay with their
+    head's chunk; roots name their own."""
+    high = heights(tokens, key)
+    own = tokens.join(high, [key, "i"]).withColumn("_head", F.when(F.col("head").isNull() | (F.col("head") == F.col("i")) | (F.col("height") > threshold), F.col("i")).otherwise(F.col("head")))
+    return tops(own.select(key, "i", F.col("_head").alias("head")), key=key).select(key, "i", F.col("top").alias("chunk"))
+
+
+def gap_components(tokens: DataFrame, shallow: int, boundary: str | None = None, key: str = "doc") -> DataFrame:
+    """(key, i, component): tokens that edges join which cross only shallow tokens: those whose height is at most `shallow`, and,
+    where a column tells whether a token stands at a boundary, any that do not. A component is named by its first token.
+
+    Deep tokens are counted by a running sum, so an edge's gap is a difference of two sums and no range join."""
+    high = tokens.join(heights(tokens, key), [key, "i"])
+    blocks = (F.col("height") > shallow) & (F.col(boundary) if boundary else F.lit(True))
+    sums = high.withColumn("_n", F.sum(blocks.cast("int")).over(W.partitionBy(key).orderBy("i"))).withColumn("_b", blocks.cast("int"))
+    ends = sums.select(key, F.col("i").alias("head"), F.col("_n").alias("_hn"), F.col("_b").alias("_hb"))
+    edges = sums.filter("head is not null and head <> i").join(ends, [key, "head"])
+    inside = F.when(F.col("head") > F.col("i"), F.col("_hn") - F.col("_hb") - F.col("_n")).otherwise(F.col("_n") - F.col("_b") - F.col("_hn"))
+    name = lambda c: F.struct(F.col(key).alias("d"), F.col(c).alias("i"))
+    found = components(edges.filter(inside == 0).select(name("i").alias("a"), name("head").alias("b")))
+    labels = found.select(F.col("node.d").alias(key), F.col("node.i").alias("i"), F.col("component.i").alias("component"))
+    return tokens.select(key, "i").join(labels, [key, "i"], "left").select(key, "i", F.coalesce("component", "i").alias("component"))
+
+
+def bottom_up_compressed(tokens: DataFrame, entities: DataFrame, threshold: int = 5, key: str = "doc") -> DataFrame:
+    """(key, i, chunk): bottom_up with each entity (key, first, last) as one place: distances count entities once, edges inside
+    one are left out, and all its tokens share a chunk."""
+    inside = entities.select(key, "first", F.explode(F.sequence("first", "last")).alias("i"))
+    placed = tokens.join(inside, [key, "i"], "left").withColumn("unit", F.coalesce("first", "i"))
+    rank = F.dense_rank().over(W.partitionBy(key).orderBy("unit"))
+    placed = placed.withColumn("p", rank - 1)
+    ends = placed.select(key, F.col("i").alias("head"), F.col("p").alias("hp"))
+    moved = placed.join(ends, [key, "head"], "left").filter("hp is not null and hp <> p")
+    units = placed.select(key, F.col("p").alias("i")).distinct()
+    edges = moved.select(key, F.col("p").alias("i"), F.col("hp").alias("head"))
+    near = edges.filter(F.abs(F.col("head") - F.col("i")) <= threshold)
+    name = lambda c: F.struct(F.col(key).alias("d"), F.col(c).alias("i"))
+    found = components(near.select(name("i").alias("a"), name("head").alias("b"))).select(F.col("node.d").alias(key), F.col("node.i").alias("p"), F.col("component.i").alias("c"))
+    labels = units.withColumnRenamed("i", "p").join(found, [key, "p"], "left").select(key, "p", F.coalesce("c", "p").alias("c"))
+    first = placed.groupBy(key, "p").agg(F.min("i").alias("_i")).withColumnRenamed("p", "c")
+    return placed.join(labels, [key, "p"]).join(first, [key, "c"]).select(key, "i", F.col("_i").alias("chunk"))
+
+
+def group_edges(groups: DataFrame, places: DataFrame, edges: DataFrame, key: str = "doc") -> DataFrame:
+    """groups (key, grp, first, last) with back (an edge from a token of the group to one of the group before it) and ahead (the
+    head that the group's last outgoing edge to the right leads to, or null). places: (key, i, island); edges: (key, i, head)."""
+    at = places.join(groups.select(key, "grp", F.explode(F.sequence("first", "last")).alias("island")), [key, "island"]).select(key, "i", "grp")
+    both = edges.filter("head is not null and head <> i").join(at, [key, "i"]).join(at.select(key, F.col("i").alias("head"), F.col("grp").alias("hg")), [key, "head"])
+    told = both.groupBy(key, "grp").agg(F.bool_or(F.expr("hg = grp - 1")).alias("back"), F.max_by("head", F.when(F.col("hg") > F.col("grp"), F.col("i"))).alias("ahead"))
+    return groups.join(told, [key, "grp"], "left").withColumn("back", F.coalesce("back", F.lit(False)))
+
+
+def absorbed(groups: DataFrame, key: str = "doc") -> DataFrame:
+    """(key, grp, first, last): a group with an edge back and none ahead joins the group before it; groups as group_edges gives
+    them. A run of such groups joins the same one, so a running count of the others names the result."""
+    w = W.partitionBy(key).orderBy("grp")
+    stays = ~(F.col("back") & F.col("ahead").isNull() & (F.col("first") == F.lag("last").over(w) + 1))
+    named = groups.withColumn("_s", F.coalesce(stays, F.lit(True)).cast("int")).withColumn("_g", F.sum("_s").over(w) - 1)
+    return named.groupBy(key, F.col("_g").alias("grp")).agg(F.min("first").alias("first"), F.max("last").alias("last"))
+
+
+def acl_gated(groups: DataFrame, gates: DataFrame, key: str = "doc") -> DataFrame:
+    """(key, grp, first, last): a group joins the one after it unless its edge ahead leads to a gate (key, i: roots and verbs that
+    are relative clauses) or it has none."""
+    gate = gates.select(key, F.col("i").alias("ahead"), F.lit(True).alias("_gate")).distinct()
+    held = groups.join(gate, [key, "ahead"], "left")
+    ends = (F.col("ahead").isNull() | F.coalesce("_gate", F.lit(False))).cast("int")
+    before = F.coalesce(F.sum(ends).over(W.partitionBy(key).orderBy("grp").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return held.withColumn("_g", before).groupBy(key, F.col("_g").alias("grp")).agg(F.min("first").alias("first"), F.max("last").alias("last"))
+
+
+def root_paths(tokens: DataFrame, key: str = "doc", most: int = 1000) -> DataFrame:
+    """(key, i, path): the heads of a token on its way up, nearest first, without the root; up to `most`."""
+    name = lambda c: F.struct(F.col(key).alias("d"), F.col(c).alias("i"))
+    pairs = closure(tokens.filter("head is not null and head <> i").select(name("i").alias("child"), name("head").alias("parent")), most)
+    roots = tokens.filter("head is null or head = i").select(name("i").alias("ancestor"))
+    inner = pairs.join(roots, "ancestor", "left_anti")
+    path = inner.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("distance", F.col("ancestor.i").alias("a"))))["a"].alias("path"))
+    return tokens.select(key, "i", name("i").alias("node")).join(path, "node", "left").select(key, "i", F.coalesce("path", F.expr("cast(array() as array<int>)")).alias("path"))
 
 
 def island_groups(places: DataFrame, edges: DataFrame, key: str = "doc") -> DataFrame:

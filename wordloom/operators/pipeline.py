@@ -12,7 +12,7 @@ from wordloom.operators.lexicon import lookup
 from wordloom.operators.segment import Weights, best_paths, lattice, priced
 
 
-def segments(docs: DataFrame, profile: ScriptProfile, lexicon: DataFrame, costs: DataFrame | None = None, w: Weights = Weights(), merge: bool = True, key: str = "doc_id", text_col: str = "text") -> DataFrame:
+def segments(docs: DataFrame, profile: ScriptProfile, lexicon: DataFrame, costs: DataFrame | None = None, w: Weights = Weights(), merge: bool = True, pairs: DataFrame | None = None, key: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(key, island, i, segment, is_known): script runs cut by the cheapest path, marks between them as they are.
 
     Equal runs are cut once, however often they occur. Neighbouring unknown segments of a run become one."""
@@ -20,7 +20,7 @@ def segments(docs: DataFrame, profile: ScriptProfile, lexicon: DataFrame, costs:
     found = F.regexp_extract_all(profile.norm(F.col(text_col)), F.lit(f"{profile.word}|{marks}"), F.lit(0))
     runs = docs.select(key, F.posexplode(found).alias("island", "run")).withColumn("is_word", F.col("run").rlike(f"^{profile.word}$"))
     distinct = runs.filter("is_word").select(F.col("run").alias("text")).distinct()
-    cut = best_paths(priced(lattice(distinct, profile, w.most, "text", "text"), lexicon, costs, w, profile), "text")
+    cut = best_paths(priced(lattice(distinct, profile, w.most, "text", "text"), lexicon, costs, w, profile), pairs, w, "text")
     parts = cut.select(F.col("text").alias("run"), F.posexplode("words").alias("k", "segment")).withColumn("word", profile.headword(F.col("segment")))
     words = lexicon.select("word", F.lit(True).alias("is_known")).distinct()
     parts = parts.join(words, "word", "left").select("run", "k", "segment", F.coalesce("is_known", F.lit(False)).alias("is_known"))
@@ -43,3 +43,16 @@ def analysed(docs: DataFrame, profile: ScriptProfile, entries: DataFrame, key: s
     placed = got.join(spans, [key, "i"]).withColumn("token", profile.headword(F.col("segment")))
     found = lookup(placed, entries)
     return found.select(key, "island", "i", "segment", F.col("span.start").alias("start"), F.col("span.end").alias("end"), "headword", "layer", "roman", "pos", "senses")
+
+
+def laid_out(docs: DataFrame, profile: ScriptProfile, lexicon: DataFrame, costs: DataFrame | None = None, key: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(key, text): each text as it stands, with spaces between the words inside runs of the script. Line by line files are
+    texts of one line each."""
+    found = F.regexp_extract_all(profile.norm(F.col(text_col)), F.lit(f"{profile.word}|[^{profile.letter}]+|."), F.lit(0))
+    runs = docs.select(key, F.posexplode_outer(found).alias("k", "run"))
+    is_word = F.col("run").rlike(f"^{profile.word}$")
+    distinct = runs.filter(is_word).select(F.col("run").alias("text")).distinct()
+    cut = best_paths(priced(lattice(distinct, profile, Weights().most, "text", "text"), lexicon, costs, profile=profile), key="text")
+    spaced = cut.select(F.col("text").alias("run"), F.array_join("words", " ").alias("spaced"))
+    parts = runs.join(spaced, "run", "left").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("k", F.coalesce("spaced", "run").alias("p")))).alias("all"))
+    return parts.select(key, F.array_join("all.p", "").alias("text"))

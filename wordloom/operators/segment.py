@@ -2,16 +2,17 @@
 
 A lattice row is a candidate word: (key, i, j, word, cost), clusters i..j of its text. The cheapest path is found from
 the right, one ordered fold over an island's candidates, and a pair's reward looks at the first word of the best path
-that follows. Ties take the shortest first word. Texts are independent, so the fold is one group per text.
+that follows. Ties take the shortest first word. Texts are independent and bounded (an island, a word, a name), so the fold
+is one group per text; equal texts are cut once by the caller. A text without clusters has no row.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from wordloom.functions.profile import ScriptProfile
 from wordloom.functions.text import clusters
@@ -58,55 +59,85 @@ def priced(candidates: DataFrame, lexicon: DataFrame, costs: DataFrame | None =
     return candidates.join(got, "word").withColumn("base", F.when(F.col("in_dict"), F.col("known_cost")).otherwise(other)).drop("known_cost").withColumn("in_lm", F.coalesce("in_lm", F.lit(False)))
 
 
-def best_paths(rows: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, words array): cheapest path by base costs alone, as one fold with arrays of costs and of next places."""
-    zero = F.col("n").cast("int")
-    grouped = rows.groupBy(key, "n").agg(F.array_sort(F.collect_list(F.struct((-F.col("i")).alias("back"), "j", "base", "piece"))).alias("all"))
-    start = F.struct(
-        F.transform(F.sequence(F.lit(0), zero), lambda k: F.when(k == F.col("n"), F.lit(0.0)).otherwise(F.lit(float("inf")))).alias("cost"),
-        F.array_repeat(F.lit(0), zero + 1).alias("to"), F.array_repeat(F.lit(""), zero + 1).alias("word"),
-    )
-
-    def put(arr, at, value):
-        return F.transform(arr, lambda x, k: F.when(k == at, value).otherwise(x))
-
-    def step(s, r):
-        i = -r["back"]
-        total = r["base"] + F.get(s["cost"], r["j"])
-        better = total < F.get(s["cost"], i)
-        return F.when(better, F.struct(put(s["cost"], i, total).alias("cost"), put(s["to"], i, r["j"]).alias("to"), put(s["word"], i, r["piece"]).alias("word"))).otherwise(s)
+def best_paths(rows: DataFrame, pairs: DataFrame | None = None, w: Weights = Weights(), key: str = "doc_id") -> DataFrame:
+    """(key, words, costs, nexts, firsts): the cheapest path of each text, and of each place the cost, the end of the first word
+    and the first word of the best path from there on.
+
+    rows: a priced lattice. pairs: (w1, w2, cost) of a word and the one after it; each text meets those that it can use in
+    a join, so no table is sent whole. A pair's reward looks at the first word of the best path that follows. Ties take the
+    shortest first word. A text's candidates are one fold from the right that appends one place a step."""
+    able = F.col("in_dict") | F.col("in_lm") if "in_lm" in rows.columns else F.col("in_dict")
+    if pairs is None:
+        held = rows.withColumn("near", F.lit(None).cast("map<string,double>"))
+    else:
+        after = rows.select(key, F.col("i").alias("j"), F.col("word").alias("w2")).distinct()
+        wanted = rows.filter(able).select(key, "j", F.col("word").alias("w1")).distinct().join(after, [key, "j"]).select(key, "w1", "w2").distinct()
+        used = wanted.join(pairs.select("w1", "w2", "cost"), ["w1", "w2"])
+        near = used.groupBy(key, F.col("w1").alias("word")).agg(F.map_from_entries(F.collect_list(F.struct("w2", "cost"))).alias("near"))
+        held = rows.join(near, [key, "word"], "left").withColumn("near", F.when(able, F.col("near")))
+    places = held.groupBy(key, "n", "i").agg(F.collect_list(F.struct("j", "base", "word", "piece", "near")).alias("c"))
+    grouped = places.groupBy(key, "n").agg(F.array_sort(F.collect_list(F.struct("i", "c")), lambda x, y: y["i"] - x["i"]).alias("all"))
+    # Place i lies at n - i of the arrays, which grow towards the left end of the text.
+    start = F.struct(F.array(F.lit(0.0)).alias("cost"), F.array(F.lit(0)).alias("to"), F.array(F.lit(None).cast("string")).alias("first"), F.array(F.lit("")).alias("piece"))
+
+    def step(s: Column, p: Column) -> Column:
+        def total(c: Column) -> Column:
+            at = F.col("n") - c["j"]
+            reward = w.bigram * w.scale / (F.try_element_at(c["near"], F.get(s["first"], at)) + 1e-9)
+            cost = c["base"] + F.get(s["cost"], at) - F.coalesce(reward, F.lit(0.0))
+            return F.struct(cost.alias("cost"), c["j"].cast("int").alias("j"), c["word"].alias("word"), c["piece"].alias("piece"))
+
+        best = F.array_min(F.transform(p["c"], total))
+        return F.struct(
+            F.array_append(s["cost"], best["cost"]).alias("cost"), F.array_append(s["to"], best["j"]).alias("to"),
+            F.array_append(s["first"], best["word"]).alias("first"), F.array_append(s["piece"], best["piece"]).alias("piece"),
+        )
 
     done = grouped.select(key, "n", F.aggregate("all", start, step).alias("s"))
+    place = lambda name, at: F.get(F.col(f"s.{name}"), F.col("n") - at)
     follow = F.aggregate(
-        F.sequence(F.lit(1), zero), F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out")),
-        lambda s, _: F.when(s["at"] < F.col("n"), F.struct(F.get(F.col("s.to"), s["at"]).alias("at"), F.array_append(s["out"], F.get(F.col("s.word"), s["at"])).alias("out"))).otherwise(s),
+        F.sequence(F.lit(1), F.col("n").cast("int")), F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out")),
+        lambda s, _: F.when(s["at"] < F.col("n"), F.struct(place("to", s["at"]).alias("at"), F.array_append(s["out"], place("piece", s["at"])).alias("out"))).otherwise(s),
         lambda s: s["out"],
     )
-    return done.select(key, follow.alias("words"))
-
-
-def best_paths_with_pairs(rows: DataFrame, pairs: dict[tuple[str, str], float] | None = None, w: Weights = Weights(), key: str = "doc_id") -> DataFrame:
-    """As best_paths, with the reward of pairs (word, next word) -> cost, and in time linear in the candidates: each text's
-    lattice is one bounded group. pairs must be small enough to send to every task; the caller checks that."""
-    pairs = pairs or {}
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        n = int(pdf["n"].iloc[0])
-        cost, to, first = [float("inf")] * n + [0.0], [0] * (n + 1), [None] * (n + 1)
-        pieces: list[str] = [""] * (n + 1)
-        ordered = pdf.sort_values(["i", "j"], ascending=[False, True])
-        for i, j, piece, word, base, able in zip(ordered["i"], ordered["j"], ordered["piece"], ordered["word"], ordered["base"], ordered["in_dict"] | ordered["in_lm"]):
-            near = pairs.get((word, first[j])) if able and j < n else None
-            total = base + cost[j] - (w.bigram * w.scale / (near + 1e-9) if near is not None else 0.0)
-            if total < cost[i]:
-                cost[i], to[i], pieces[i], first[i] = total, j, piece, word
-        out, at = [], 0
-        while at < n:
-            out.append(pieces[at])
-            at = to[at]
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "words": [out]})
-
-    return rows.groupBy(key).applyInPandas(walk, f"{key} {rows.schema[key].dataType.simpleString()}, words array<string>")
+    back = lambda name: F.reverse(F.col(f"s.{name}"))
+    return done.select(key, follow.alias("words"), back("cost").alias("costs"), back("to").alias("nexts"), back("first").alias("firsts"))
+
+
+def traced(rows: DataFrame, pairs: DataFrame | None = None, w: Weights = Weights(), key: str = "doc_id") -> DataFrame:
+    """(key, i, j, piece, base, reward, total, before, rank, chosen): every candidate with the word that follows it on the best
+    path, its pair's reward, its total cost, and its rank among those of its place."""
+    paths = best_paths(rows, pairs, w, key)
+    at = paths.select(key, F.posexplode_outer(F.arrays_zip("costs", "nexts", "firsts")).alias("p", "s")).select(key, "p", "s.*")
+    ends = at.select(key, F.col("p").alias("j"), F.col("costs").alias("rest"), F.col("firsts").alias("before"))
+    held = rows.join(ends, [key, "j"])
+    if pairs is not None:
+        held = held.join(pairs.select(F.col("w1").alias("word"), F.col("w2").alias("before"), F.col("cost").alias("_p")), ["word", "before"], "left")
+    else:
+        held = held.withColumn("_p", F.lit(None).cast("double"))
+    able = F.col("in_dict") | F.col("in_lm")
+    reward = F.when(able & F.col("_p").isNotNull(), w.bigram * w.scale / (F.col("_p") + 1e-9)).otherwise(0.0)
+    held = held.withColumn("reward", reward).withColumn("total", F.col("base") - F.col("reward") + F.col("rest"))
+    rank = F.row_number().over(W.partitionBy(key, "i").orderBy("total", "j"))
+    return held.withColumn("rank", rank).select(key, "i", "j", "piece", "base", "reward", "total", "before", "rank", (F.col("rank") == 1).alias("chosen"))
+
+
+def informed(paths: DataFrame, rows: DataFrame, pairs: DataFrame | None = None, w: Weights = Weights(), key: str = "doc_id") -> DataFrame:
+    """(key, k, segment, i, in_dict, in_lm, cost): the words of the best paths with their place. A cost is the candidate's own
+    with the reward of its pair with the word on its left, as it is reported to readers; the path's own cost looks right."""
+    cut = paths.select(key, F.posexplode_outer("words").alias("k", "segment"), "nexts").filter("k is not null")
+    step = W.partitionBy(key).orderBy("k")
+    starts = paths.select(key, F.posexplode_outer(F.aggregate(
+        F.sequence(F.lit(1), F.size("words")), F.array(F.lit(0)), lambda s, _: F.array_append(s, F.get("nexts", F.element_at(s, -1)))
+    )).alias("k", "i"))
+    placed = cut.drop("nexts").join(starts, [key, "k"]).withColumn("before", F.lag("segment").over(step))
+    held = placed.join(rows.select(key, "i", F.col("piece").alias("segment"), "word", "base", "in_dict", "in_lm"), [key, "i", "segment"], "left")
+    if pairs is not None:
+        held = held.join(pairs.select(F.col("w1").alias("word"), F.col("w2").alias("before"), F.col("cost").alias("_p")), ["word", "before"], "left")
+    else:
+        held = held.withColumn("_p", F.lit(None).cast("double"))
+    reward = F.coalesce(F.when(F.col("in_dict") | F.col("in_lm"), w.bigram * w.scale / (F.col("_p") + 1e-9)), F.lit(0.0))
+    return held.select(key, "k", "segment", "i", "in_dict", "in_lm", (F.col("base") - reward).alias("cost"))
 
 
 def max_match(rows: DataFrame, lexicon: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -122,6 +153,83 @@ def max_match(rows: DataFrame, lexicon: DataFrame, key: str = "doc_id") -> DataF
     return ordered.select(key, walk.alias("words"))
 
 
+def filled(rows: DataFrame, lexicon: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, parts array<(part, known)>, mode): how a token is filled from a lexicon. exact: it is a head, and its own part;
+    composite: it is none, but longest matches from the left cover it; else unknown, with its single clusters as unknown
+    parts."""
+    heads = lexicon.select("word").distinct()
+    whole = rows.filter("i = 0 and j = n").join(heads, "word", "left_semi").select(key, F.lit(True).alias("_head"), F.col("piece").alias("_whole"))
+    parts = _parts(rows, heads, key).join(whole, key, "left")
+    covered = ~F.exists("parts", lambda p: ~p["known"])
+    mode = F.when(F.col("_head"), "exact").when(covered, "composite").otherwise("unknown")
+    own = F.array(F.struct(F.col("_whole").alias("part"), F.lit(True).alias("known")))
+    return parts.select(key, F.when(F.col("_head"), own).otherwise(F.col("parts")).alias("parts"), mode.alias("mode"))
+
+
+def subwords(rows: DataFrame, lexicon: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, parts): longest matches from the left inside a head, the head itself left out; only where two parts or more are
+    known."""
+    inner = rows.filter("not (i = 0 and j = n)")
+    parts = _parts(inner, lexicon.select("word").distinct(), key)
+    return parts.filter(F.size(F.filter("parts", lambda p: p["known"])) >= 2)
+
+
+def _parts(rows: DataFrame, heads: DataFrame, key: str) -> DataFrame:
+    hits = rows.join(heads, "word", "left_semi").groupBy(key, "i").agg(F.max_by(F.struct("j", "piece"), "j").alias("m"))
+    single = rows.filter("j = i + 1").select(key, "i", F.struct("j", "piece").alias("s"))
+    at = single.join(hits, [key, "i"], "left").select(key, "i", F.coalesce("m", "s").alias("m"), F.col("m").isNotNull().alias("known"))
+    ordered = at.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", "m", "known"))).alias("all"))
+    none = F.expr("cast(array() as array<struct<part:string,known:boolean>>)")
+    walk = F.aggregate(
+        "all", F.struct(F.lit(0).alias("at"), none.alias("out")),
+        lambda s, r: F.when(r["i"] == s["at"], F.struct(r["m"]["j"].cast("int").alias("at"), F.array_append(s["out"], F.struct(r["m"]["piece"].alias("part"), r["known"].alias("known"))).alias("out"))).otherwise(s), lambda s: s["out"],
+    )
+    return ordered.select(key, walk.alias("parts"))
+
+
+def fewest(rows: DataFrame, lexicon: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, words): of all ways to cut a text into known words one with the fewest; ties take the shortest first word. Texts
+    that cannot be cut so have no row."""
+    known = rows.join(lexicon.select("word").distinct(), "word", "left_semi")
+    every = rows.select(key, "n", "i", "j", "piece", "word").join(known.select(key, "i", "j", F.lit(1.0).alias("base")), [key, "i", "j"], "left")
+    paths = best_paths(every.withColumn("base", F.coalesce("base", F.lit(1e9))).withColumn("in_dict", F.lit(True)), key=key)
+    return paths.filter(F.get("costs", F.lit(0)) < 1e9).select(key, "words")
+
+
+def merged_unknown(segments: DataFrame, candidates: DataFrame, most: int = 3, key: str = "doc_id") -> DataFrame:
+    """(key, i, j, text, word): runs of up to so many neighbouring unknown segments that together are near a candidate word,
+    longest first from the left, none of them in two runs. segments: (key, i, segment, is_known); candidates: (query, word,
+    distance), the best word of each query."""
+    w = W.partitionBy(key).orderBy("i")
+    runs = segments.withColumn("run", F.sum(F.col("is_known").cast("int")).over(w)).filter("not is_known")
+    at = runs.groupBy(key, "run").agg(F.array_sort(F.collect_list(F.struct("i", "segment"))).alias("s"))
+    spans = at.select(key, "run", "s", F.explode(F.sequence(F.lit(0), F.size("s") - 1)).alias("a")).select(key, "run", "s", "a", F.explode(F.sequence(F.lit(2), F.lit(most))).alias("size"))
+    spans = spans.filter("a + size <= size(s)").select(key, "run", F.element_at("s", F.col("a") + 1)["i"].alias("i"), "size", F.array_join(F.slice("s.segment", F.col("a") + 1, F.col("size")), "").alias("query"))
+    best = candidates.groupBy("query").agg(F.min_by("word", F.struct("distance", "word")).alias("word"))
+    longest = spans.join(best, "query").groupBy(key, "run", "i").agg(F.max_by(F.struct("size", "query", "word"), "size").alias("m"))
+    ordered = longest.groupBy(key, "run").agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("all"))
+    walk = F.aggregate(
+        "all", F.struct(F.lit(-1).cast("long").alias("at"), F.slice("all", 1, 0).alias("out")),
+        lambda s, r: F.when(r["i"] >= s["at"], F.struct((r["i"] + r["m"]["size"]).cast("long").alias("at"), F.array_append(s["out"], r).alias("out"))).otherwise(s), lambda s: s["out"],
+    )
+    taken = ordered.select(key, F.explode(walk).alias("r"))
+    return taken.select(key, F.col("r.i").alias("i"), (F.col("r.i") + F.col("r.m.size")).alias("j"), F.col("r.m.query").alias("text"), "r.m.word")
+
+
+def aligned_merges(tokens: DataFrame, spans: DataFrame, key: str = "doc_id") -> DataFrame:
+    """tokens (key, i, start, end, token) with those merged that together are exactly a dictionary span (key, start, end); spans
+    that cut a token change nothing. Of spans that share a token the longest wins, then the first."""
+    first = tokens.select(key, F.col("start"), F.col("i").alias("a"))
+    last = tokens.select(key, F.col("end"), F.col("i").alias("b"))
+    fit = spans.select(key, "start", "end").distinct().join(first, [key, "start"]).join(last, [key, "end"]).filter("b > a")
+    covered = fit.select(key, "a", "b", F.explode(F.sequence("a", "b")).alias("i"))
+    best = covered.groupBy(key, "i").agg(F.max_by(F.struct("a", "b"), F.struct((F.col("b") - F.col("a")).alias("n"), (-F.col("a")).alias("s"))).alias("m"))
+    kept = best.groupBy(key, "m").agg(F.count("*").alias("n")).filter("n = m.b - m.a + 1").select(key, F.col("m.a").alias("a"), F.col("m.b").alias("b"))
+    inside = kept.select(key, "a", F.explode(F.sequence("a", "b")).alias("i"))
+    grouped = tokens.join(inside, [key, "i"], "left").groupBy(key, F.coalesce("a", "i").alias("i"))
+    return grouped.agg(F.min("start").alias("start"), F.max("end").alias("end"), F.array_join(F.array_sort(F.collect_list(F.struct("start", "token")))["token"], "").alias("token"))
+
+
 def bilu(words):
     """Tags of each word's clusters by its number of clusters: U, or BL, B I ... L."""
     tag = lambda w: F.when(F.length(w) == 1, F.array(F.lit("U"))).otherwise(F.transform(F.sequence(F.lit(1), F.length(w)), lambda k: F.when(k == 1, "B").when(k == F.length(w), "L").otherwise("I")))

@@ -192,7 +192,7 @@ def dp_segment(spark, sf):
     costs = lm.unigram_costs(words.withColumnRenamed("word", "token"))[0]
     texts = part_texts(spark, sf)
     rows = segment.lattice(texts.select("text").distinct(), LATIN, 16, "text", "text")
-    cut = segment.best_paths(segment.priced(rows, words, costs), "text")
+    cut = segment.best_paths(segment.priced(rows, words, costs), key="text")
     return texts.join(cut, "text").select("p_partkey", F.array_join("words", " ").alias("words"))
 
 
