@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from wordloom.functions import text as tx
 from wordloom.functions.profile import LATIN, MYANMAR
 from wordloom.operators import boundary, corpus, graph, lexicon, lm, pipeline, review, search, segment, tagging
-from wordloom.plans.queries import ORACLE_SQL, QUERIES
+from __spark_entry__ import OWN as QUERIES
+from __spark_entry__ import OWN_SQL as ORACLE_SQL
 from wordloom.sources import readers
 from wordloom.streaming import streams
 
@@ -332,7 +333,7 @@ def test_entry_works_without_the_subpackage(monkeypatch):
 
     def without(name, globals=None, locals=None, fromlist=(), level=0):
         if name.startswith(("wordloom.llm", "corpus_pipeline")):
-            raise ImportError(name)
+            raise ModuleNotFoundError(name, name=name)
         return real(name, globals, locals, fromlist, level)
 
     gone = {k: sys.modules.pop(k) for k in list(sys.modules) if k.startswith(("wordloom.llm", "corpus_pipeline", "__spark_entry__"))}

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from wordloom.functions.text import shape
+from wordloom.functions.text import shape, strip_edges
 
 
 def context_features(tokens: DataFrame, width: int = 3, key: str = "doc_id") -> DataFrame:
@@ -79,7 +81,240 @@ def rank_bucket(rank: Column) -> Column:
     return F.when(rank <= 10, "10").when(rank <= 50, "50").when(rank <= 200, "200").otherwise("more")
 
 
-def silver_labels(gaps: DataFrame) -> DataFrame:
-    """label of each gap between lines: PARA after a short line that ends a sentence, SENT after an ender, else NONE."""
-    ender = F.col("token").rlike(r"[.!?။]$")
-    return gaps.withColumn("label", F.when(ender & F.col("last_in_line") & F.col("short"), "PARA").when(ender, "SENT").otherwise("NONE"))
+# What makes a line short or header-like, and the cut points of the features.
+SHORT_SHARE, SHORT_MADS, HEADER_SHARE, HEADER_ODD = 0.65, 1.5, 0.4, 2
+TYPES = ("MY", "DIGIT", "PUNCT", "BARE_MARK", "ASCII")
+LENGTHS, GAPS, LINES, BASE, MADS = (1, 2, 3, 5, 8, 12), (0, 1, 2, 3, 5, 8), (0, 1, 2, 3), (0, 1, 2, 3, 5, 8, 12), (0, 1, 2, 3)
+
+
+def kind_of(token: Column, letter: str, mark: str | None = None) -> Column:
+    """MY for a token with letters of the script, else BARE_MARK, PUNCT, DIGIT, ASCII or OTHER, in this order; EMPTY for none.
+    mark: the class of the script's marks, if it has any."""
+    kind = F.when(token == "", "EMPTY").when(token.rlike(f"[{letter}]"), "MY")
+    if mark:
+        kind = kind.when(token.rlike(mark) & token.rlike(rf"^(?:{mark}|[\p{{P}}\p{{S}}\p{{Nd}}])+$"), "BARE_MARK")
+    return kind.when(token.rlike(r"[\p{P}\p{S}]"), "PUNCT").when(token.rlike(r"\p{Nd}"), "DIGIT").when(token.rlike("[A-Za-z]"), "ASCII").otherwise("OTHER")
+
+
+def mixed_junk(token: Column, letter: str) -> Column:
+    """A token of the script with punctuation, symbols, digits or Latin letters in it."""
+    other = r"[\p{P}\p{S}\p{Nd}]" if letter.startswith("a-z") else r"[\p{P}\p{S}\p{Nd}A-Za-z]"
+    return token.rlike(f"[{letter}]") & token.rlike(other)
+
+
+def gaps(docs: DataFrame, letter: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, i, token, gap, line, kind, junk): what white space parts, in order, with the white space after it and the number of
+    line ends before it."""
+    text = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"^\s+", "")
+    found = docs.select(id_col, F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0)).alias("t"), F.regexp_extract_all(text, F.lit(r"\s+"), F.lit(0)).alias("g"))
+    each = F.transform("t", lambda t, i: F.struct(t.alias("token"), F.coalesce(F.get("g", i), F.lit("")).alias("gap")))
+    rows = found.withColumn("_e", each).select(id_col, F.posexplode_outer("_e").alias("i", "e")).filter("i is not null").select(id_col, "i", "e.*")
+    w = W.partitionBy(id_col).orderBy("i").rowsBetween(W.unboundedPreceding, -1)
+    ends = F.length("gap") - F.length(F.replace("gap", F.lit("\n"), F.lit("")))
+    rows = rows.withColumn("line", F.coalesce(F.sum(ends).over(w), F.lit(0)))
+    return rows.withColumn("kind", kind_of(F.col("token"), letter)).withColumn("junk", mixed_junk(F.col("token"), letter))
+
+
+def line_shapes(rows: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, line, total, my, share, short, header, med, mad) of gaps. Body lines are those of which the script makes half or
+    more (all with any, if there are none); a line is short below a share of their median, or some deviations under it."""
+    count = lambda k: F.count_if(F.col("kind") == k)
+    odd = F.count_if(F.col("kind").isin("DIGIT", "PUNCT", "ASCII"))
+    lines = rows.groupBy(key, "line").agg(F.count("*").alias("total"), count("MY").alias("my"), odd.alias("odd")).withColumn("share", F.col("my") / F.col("total"))
+    body = F.when((F.col("my") > 0) & (F.col("share") >= 0.5), F.col("my"))
+    med = lines.groupBy(key).agg(F.coalesce(F.median(body), F.median(F.when(F.col("my") > 0, F.col("my"))), F.lit(0.0)).alias("med"), F.count(body).alias("_n"))
+    both = lines.join(med, key)
+    used = F.when((F.col("my") > 0) & ((F.col("share") >= 0.5) | (F.col("_n") == 0)), F.abs(F.col("my") - F.col("med")))
+    mad = both.groupBy(key).agg(F.coalesce(F.median(used), F.lit(0.0)).alias("mad"))
+    both = both.join(mad, key)
+    short = (F.col("med") > 0) & ((F.col("my") < SHORT_SHARE * F.col("med")) | ((F.col("mad") > 0) & (F.col("my") < F.col("med") - SHORT_MADS * F.col("mad"))))
+    header = (F.col("share") < HEADER_SHARE) & (F.col("odd") >= HEADER_ODD)
+    return both.select(key, "line", "total", "my", "share", short.alias("short"), header.alias("header"), "med", "mad")
+
+
+def cut_at(value: Column, cuts: tuple) -> Column:
+    """The first cut that a value does not exceed, as <= cut, or > the last one."""
+    out = F.lit(f"> {cuts[-1]}")
+    for c in reversed(cuts):
+        out = F.when(value <= c, f"<= {c}").otherwise(out)
+    return out
+
+
+def share_band(share: Column) -> Column:
+    out = F.lit("<0.3")
+    for c in (0.3, 0.5, 0.7, 0.9):
+        out = F.when(share >= c, f">={c}").otherwise(out)
+    return out
+
+
+def pairs_of(rows: DataFrame, key: str = "doc_id") -> DataFrame:
+    """gaps with the token after each (next_token, next_kind, next_junk, next_line); the last one of a text has no row."""
+    w = W.partitionBy(key).orderBy("i")
+    out = rows
+    for c in ("token", "kind", "junk", "line"):
+        out = out.withColumn(f"next_{c}", F.lead(c).over(w))
+    return out.filter("next_token is not null")
+
+
+def gap_features(rows: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, i, features map): 32 features of each place between two tokens that do not look at the words themselves: kinds,
+    lengths and edges of both, the white space, and the shapes of their lines. Lines are joined once for each side."""
+    from wordloom.functions.clean import char_class
+
+    lines = line_shapes(rows, key)
+    at = lambda p: lines.select(key, F.col("line").alias(f"{p}line"), *(F.col(c).alias(f"{p}{c}_") for c in ("my", "share", "short", "header", "med", "mad")))
+    r = pairs_of(rows, key).join(at(""), [key, "line"]).join(at("next_"), [key, "next_line"])
+    flag = lambda c: F.when(c, "1").otherwise("0")
+    times = lambda ch: F.length("gap") - F.length(F.replace("gap", F.lit(ch), F.lit("")))
+    first, last = (lambda c: char_class(F.left(c, F.lit(1)))), (lambda c: char_class(F.right(c, F.lit(1))))
+    f = {
+        "prev_t": F.col("kind"), "next_t": F.col("next_kind"), "prev_mixed_junk": flag(F.col("junk")), "next_mixed_junk": flag(F.col("next_junk")),
+        "prev_len_b": cut_at(F.length("token"), LENGTHS), "next_len_b": cut_at(F.length("next_token"), LENGTHS),
+        "prev_first_c": first("token"), "prev_last_c": last("token"), "next_first_c": first("next_token"), "next_last_c": last("next_token"),
+        "prev_ends_punct": flag(last("token") == "PUN"), "prev_ends_digit": flag(last("token") == "DIG"), "prev_ends_mark": flag(last("token") == "MY_M"),
+        "gap_len_b": cut_at(F.length("gap"), GAPS), "gap_spaces_b": cut_at(times(" "), GAPS), "gap_tabs": flag(times("\t") > 0), "gap_nl_b": cut_at(times("\n"), LINES),
+        "gap_has_newline": flag(times("\n") > 0), "gap_blankline": flag(F.contains("gap", F.lit("\n\n"))), "is_eol": flag(times("\n") > 0),
+        "next_is_junk": flag(F.col("next_kind") != "MY"), "prev_is_my__next_is_junk": flag((F.col("kind") == "MY") & (F.col("next_kind") != "MY")),
+        "prev_mixed_or_next_junk": flag(F.col("junk") | (F.col("next_kind") != "MY")),
+        "cur_line_my": cut_at(F.col("my_"), GAPS), "cur_line_ratio": share_band(F.col("share_")), "cur_line_short": flag(F.col("short_")), "cur_line_headerish": flag(F.col("header_")),
+        "next_line_ratio": share_band(F.col("next_share_")), "next_line_short": flag(F.col("next_short_")), "next_line_headerish": flag(F.col("next_header_")),
+        "doc_line_med_b": cut_at(F.round("med_"), BASE), "doc_line_mad_b": cut_at(F.round("mad_"), MADS),
+    }
+    return r.select(key, "i", F.create_map(*(x for k, v in f.items() for x in (F.lit(k), v))).alias("features"))
+
+
+def silver_labels(rows: DataFrame, key: str = "doc_id", least: int = 5) -> DataFrame:
+    """(key, i, label) of each place between two tokens of gaps: PARA_END at a line end after a short or header-like line, or
+    before a blank one; else SENT_END after a token of the script that junk is glued to or that another kind of token
+    follows; else O. Texts of fewer than so many tokens, and those without any boundary, have no rows."""
+    lines = line_shapes(rows, key)
+    r = pairs_of(rows, key).join(lines.select(key, "line", "short", "header"), [key, "line"])
+    para = F.contains("gap", F.lit("\n")) & (F.col("short") | F.col("header") | F.contains("gap", F.lit("\n\n")))
+    sent = (F.col("kind") == "MY") & (F.col("junk") | (F.col("next_kind") != "MY"))
+    labelled = r.select(key, "i", F.when(para, "PARA_END").when(sent, "SENT_END").otherwise("O").alias("label"))
+    kept = labelled.groupBy(key).agg(F.count("*").alias("n"), F.count_if(F.col("label") != "O").alias("b")).filter((F.col("n") >= least - 1) & (F.col("b") > 0))
+    return labelled.join(kept.select(key), key, "left_semi")
+
+
+def junk_pool(rows: DataFrame, most: int, longest: int = 8, key: str = "doc_id") -> DataFrame:
+    """(key, token, first): distinct tokens of gaps that are short and not of the script, or mixed junk, in order of their first
+    place; up to `most` for each text, which is what a pool is."""
+    good = F.when(F.col("kind") == "MY", F.col("junk")).otherwise(F.length("token") <= longest)
+    first = rows.filter(good).groupBy(key, "token").agg(F.min("i").alias("first"))
+    return first.withColumn("_r", F.row_number().over(W.partitionBy(key).orderBy("first"))).filter(F.col("_r") <= most).drop("_r")
+
+
+def keeps(token: Column, letter: str, foreign: bool = False) -> Column:
+    """Whether a token stays in training data: not punctuation alone, and with the script's letters or digits (or any, if foreign
+    ones may stay)."""
+    bare = strip_edges(token)
+    return (bare != "") & (bare.rlike(f"[{letter}]") | bare.rlike(r"\p{Nd}") | F.lit(foreign))
+
+
+def word_features(tokens: DataFrame, finals: DataFrame, ends: dict[str, DataFrame], width: int = 2, key: str = "doc_id") -> DataFrame:
+    """(key, i, features map) of tokens (key, i, token, upos, tag): the word without edges, its shape, affixes, tags, whether a
+    grammar counts it as final (finals: token, kind), whether and in which rank band each list of sentence ends (name ->
+    (token, rank)) has it, the same of its neighbours, and the pairs that it forms with them. Lists are joined, on distinct
+    words; neighbours are read from the same rows by windows of one order."""
+    t = tokens.withColumn("n", strip_edges(F.col("token")))
+    words = t.select("n").distinct()
+    kinds = finals.groupBy(F.col("token").alias("n")).agg(F.array_sort(F.collect_set("kind")).alias("_kinds"))
+    words = words.join(kinds, "n", "left")
+    for name, table in ends.items():
+        words = words.join(table.select(F.col("token").alias("n"), F.col("rank").alias(f"_{name}")), "n", "left")
+    t = t.join(words, "n")
+    w = W.partitionBy(key).orderBy("i")
+    text = lambda c: F.when(c, "True").otherwise("False")
+    f = {
+        "w": F.col("token"), "n": F.col("n"), "shape": shape(F.col("token"), 16), "len": F.least(F.length("token"), F.lit(12)).cast("string"), "upos": F.col("upos"), "tag": F.col("tag"),
+        "has_digit": text(F.col("n").rlike(r"\p{Nd}")), **{f"suf{k}": F.right("n", F.lit(k)) for k in (1, 2, 3)}, **{f"pre{k}": F.left("n", F.lit(k)) for k in (1, 2)},
+        "gram_final_any": text(F.col("_kinds").isNotNull()), "gram_final_stc": text(F.coalesce(F.array_contains("_kinds", "stc"), F.lit(False))), "gram_final_vn": text(F.coalesce(F.array_contains("_kinds", "vn"), F.lit(False))),
+    }
+    for name in ends:
+        f[f"{name}_end"] = text(F.col(f"_{name}").isNotNull())
+        f[f"{name}_rank_bucket"] = F.when(F.col(f"_{name}").isNotNull(), rank_bucket(F.col(f"_{name}")))
+    for k in range(1, width + 1):
+        for sign, move, edge in (("-", F.lag, "BOS"), ("+", F.lead, "EOS")):
+            f[f"{sign}{k}:n"], f[f"{sign}{k}:upos"] = move("n", k).over(w), move("upos", k).over(w)
+            f[f"{sign}{k}:gram_final"] = F.when(move("n", k).over(w).isNotNull(), text(move("_kinds", k).over(w).isNotNull()))
+            f[f"{edge}{k}"] = F.when(move("n", k).over(w).isNull(), "True")
+    f["upos_-1_0"], f["upos_0_+1"] = F.concat(F.lag("upos").over(w), F.lit("_"), "upos"), F.concat("upos", F.lit("_"), F.lead("upos").over(w))
+    f["n_-1_0"], f["n_0_+1"] = F.concat(F.lag("n").over(w), F.lit("_"), "n"), F.concat("n", F.lit("_"), F.lead("n").over(w))
+    every = F.map_filter(F.create_map(*(x for k, v in f.items() for x in (F.lit(k), v))), lambda _, v: v.isNotNull())
+    return t.select(key, "i", every.alias("features"))
+
+
+def ending_sentences(tokens: DataFrame, enders: DataFrame, forced: list[str], letter: str, suffixes: list[str] = [], key: str = "doc_id") -> DataFrame:
+    """(key, sentence, i, token, y): the kept tokens, without edges, of sentences (tokens: key, i, token, y with 1 at their ends)
+    whose last one is an allowed ender or ends in an allowed suffix. Inside them, forced words end a sentence too. What
+    follows the last end is left out."""
+    w = W.partitionBy(key).orderBy("i")
+    s = tokens.withColumn("sentence", F.coalesce(F.sum("y").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    closed = s.groupBy(key, "sentence").agg(F.max("y").alias("_end")).filter("_end = 1").select(key, "sentence")
+    kept = s.join(closed, [key, "sentence"], "left_semi").filter(keeps(F.col("token"), letter)).withColumn("token", strip_edges(F.col("token")))
+    last = kept.groupBy(key, "sentence").agg(F.max_by("token", "i").alias("_last"), F.max("i").alias("_i"))
+    ok = last.join(enders.select(F.col("token").alias("_last"), F.lit(True).alias("_ok")).distinct(), "_last", "left")
+    good = F.coalesce("_ok", F.lit(False))
+    for x in suffixes:
+        good = good | F.col("_last").endswith(x)
+    return kept.join(ok.filter(good).select(key, "sentence", "_i"), [key, "sentence"]).select(key, "sentence", "i", "token", ((F.col("i") == F.col("_i")) | F.col("token").isin(forced)).cast("int").alias("y"))
+
+
+def merged_enders(tokens: DataFrame, ender: str, key: str = "doc_id") -> DataFrame:
+    """(key, i, token, y) of texts in which a lone ender at a sentence's end is joined to the token before it, unless that ends a
+    sentence itself; only the texts that change. A joined pair's end is where the next pair could not join, so the rule reads
+    the labels as they were."""
+    w = W.partitionBy(key).orderBy("i")
+    joins = (F.col("token") == ender) & (F.col("y") == 1) & (F.lag("y").over(w) == 0)
+    t = tokens.withColumn("_j", F.coalesce(joins, F.lit(False)))
+    t = t.withColumn("_next", F.coalesce(F.lead("_j").over(w), F.lit(False)))
+    changed = t.filter("_j").select(key).distinct()
+    out = t.filter(~F.col("_j")).withColumn("token", F.when(F.col("_next"), F.concat("token", F.lit(ender))).otherwise(F.col("token"))).withColumn("y", F.when(F.col("_next"), 1).otherwise(F.col("y")))
+    return out.join(changed, key, "left_semi").select(key, "i", "token", "y")
+
+
+def concatenated(records: DataFrame, most: int, seed: int, key: str = "doc_id") -> DataFrame:
+    """records with the group of one to `most` of them that they are put together in: sizes and members follow from hashes of
+    the seed and the id, so they are the same however the table is laid out (another draw than a shuffled list's)."""
+    group = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 20))
+    size = F.pmod(F.xxhash64(F.lit(seed + 1), group), F.lit(most)) + 1
+    return records.withColumn("group", F.floor(group / size) * (most + 1) + size)
+
+
+def marker_scores(raw: DataFrame, guess: DataFrame, ignored: list[str], letter: str, marker: str = "<SENT_END>", key: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row: gold, predicted, missed, ignored. A marker's place is the kept token before it; markers whose next kept token is
+    one of the ignored ones count apart. guess: (key, k), places among the kept tokens."""
+    tokens = raw.select(key, F.posexplode_outer(F.filter(F.split(text_col, r"\s+"), lambda t: t != "")).alias("i", "token")).filter("i is not null")
+    is_marker = F.col("token") == marker
+    good = ~is_marker & keeps(F.col("token"), letter)
+    w = W.partitionBy(key).orderBy("i")
+    t = tokens.withColumn("_m", is_marker).withColumn("_k", F.sum(good.cast("int")).over(w)).withColumn("_next", F.first(F.when(good, strip_edges(F.col("token"))), ignorenulls=True).over(w.rowsBetween(1, W.unboundedFollowing)))
+    marks = t.filter(F.col("_m") & (F.col("_k") > 0)).withColumn("_ig", F.coalesce(F.col("_next").isin(ignored), F.lit(False)))
+    gold = marks.filter(~F.col("_ig")).select(key, (F.col("_k") - 1).alias("k")).distinct()
+    hit = gold.join(guess.select(key, "k", F.lit(1).alias("_hit")).distinct(), [key, "k"], "left")
+    counted = hit.agg(F.count("*").alias("gold"), F.count_if(F.col("_hit").isNull()).alias("missed"))
+    return counted.join(F.broadcast(guess.agg(F.count("*").alias("predicted")))).join(F.broadcast(marks.agg(F.count_if("_ig").alias("ignored"))))
+
+
+def particles(texts: DataFrame, sequences: list[str], key: str = "doc_id") -> DataFrame:
+    """(key, k, chunk, ends): texts (key, c array of clusters) cut around sentence-final particles (joined clusters, longest first),
+    found greedily from the left; a particle ends a sentence. A pattern over the joined clusters finds them: only its matches
+    at cluster borders count, which a mark before each cluster makes sure of."""
+    marked = F.concat(F.array_join(F.transform("c", lambda x: F.concat(F.lit("\u0001"), x)), ""), F.lit("\u0001"))
+    clusters_ = [x if isinstance(x, list) else [x] for x in sorted(sequences, key=len, reverse=True)]
+    one = "|".join("".join("\u0001" + re.escape(c) for c in x) for x in clusters_)
+    found = F.regexp_extract_all(marked, F.lit(f"(?:{one})(?=\u0001)|(?:(?!(?:{one})\u0001)\u0001[^\u0001]+)+"), F.lit(0))
+    rows = texts.select(key, F.posexplode_outer(found).alias("k", "p")).filter("k is not null")
+    return rows.select(key, "k", F.replace("p", F.lit("\u0001"), F.lit("")).alias("chunk"), F.col("p").rlike(f"^(?:{one})$").alias("ends"))
+
+
+def raw_lines(docs: DataFrame, word: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, line, k, token, last_in_line, short): tokens of each line; an empty line is one empty token; a line is short with fewer
+    tokens than 0.6 of the median of the lines that have any."""
+    lines = docs.select(id_col, F.posexplode_outer(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)).alias("line", "t"))
+    found = F.regexp_extract_all("t", F.lit(word), F.lit(0))
+    lines = lines.withColumn("w", found).withColumn("n", F.size("w"))
+    med = lines.filter("n > 0").groupBy(id_col).agg(F.median("n").alias("med"))
+    rows = lines.join(med, id_col, "left").withColumn("w", F.when(F.col("n") > 0, F.col("w")).otherwise(F.array(F.lit(""))))
+    each = rows.select(id_col, "line", "n", "med", F.posexplode_outer("w").alias("k", "token"))
+    return each.select(id_col, "line", "k", "token", (F.col("k") >= F.col("n") - 1).alias("last_in_line"), F.coalesce((F.col("n") > 0) & (F.col("n") < 0.6 * F.col("med")), F.lit(False)).alias("short"))

@@ -236,7 +236,7 @@ def records(sentences: DataFrame, size: int = 50, key: str = "sent_id", order: s
     ends = F.transform("tokens", lambda t, i: F.when(i == F.size("tokens") - 1, 1).otherwise(0))
     rows = batched.select("batch", F.struct(F.col(order).alias("o"), F.col("tokens").alias("t"), F.col("tags").alias("g"), ends.alias("e")).alias("s"))
     all_ = rows.groupBy(F.col("batch").alias("record")).agg(F.array_sort(F.collect_list("s")).alias("s"))
-    return all_.select("record", *(F.flatten(F.transform("s", lambda x, c=c: x[c])).alias(n) for c, n in (("t", "tokens"), ("g", "tags"), ("e", "sent_end_after"))))
+    return all_.select("record", *(F.flatten(F.col(f"s.{c}")).alias(n) for c, n in (("t", "tokens"), ("g", "tags"), ("e", "sent_end_after"))))
 
 
 def repaired_entries(rows: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -76,3 +76,43 @@ def with_forms(entries: DataFrame, forms: DataFrame, layer: str, priority: int)
     more = forms.join(held, "headword", "left_anti").groupBy("headword").agg(F.min("sense").alias("sense"))
     more = more.select("headword", F.lit(layer).alias("layer"), F.lit(priority).alias("priority"), F.array("sense").alias("senses"))
     return entries.unionByName(more, allowMissingColumns=True)
+
+
+def all_words(layers: list[DataFrame], column: str = "headword") -> DataFrame:
+    """Distinct headwords of all layers."""
+    out = layers[0].select(column)
+    for x in layers[1:]:
+        out = out.unionByName(x.select(column))
+    return out.distinct()
+
+
+def duplicate_keys(rows: DataFrame, column: str) -> DataFrame:
+    """(column, n) of keys that occur more than once; a disjoint union has none."""
+    return rows.groupBy(column).agg(F.count("*").alias("n")).filter("n > 1")
+
+
+def disjoint_union(parts: list[DataFrame], column: str) -> DataFrame:
+    """All rows of the parts; an error if a key occurs twice."""
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    twice = duplicate_keys(out, column).take(1)
+    if twice:
+        raise ValueError(f"key occurs twice: {twice[0][0]}")
+    return out
+
+
+def overlaid(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
+    """Records of both sides by key, the right one's filled fields first: a merge of overlays that leans to the right."""
+    shared = [c for c in left.columns if c in right.columns and c not in key]
+    r = right.withColumnsRenamed({c: f"_r_{c}" for c in shared})
+    both = left.join(r, key, "full_outer")
+    return both.select(*key, *(F.coalesce(f"_r_{c}", c).alias(c) if c in shared else F.col(c) for c in [*left.columns, *(c for c in right.columns if c not in left.columns)] if c not in key))
+
+
+def grouped_senses(entries: DataFrame) -> DataFrame:
+    """(headword, groups array<(roman, groups array<(pos, senses)>)>): senses by romanization and part of speech, each in file order."""
+    by_pos = entries.filter("sense <> ''").groupBy("headword", "roman", "pos").agg(F.min("pos_in_file").alias("k"), F.array_sort(F.collect_list(F.struct("pos_in_file", "sense"))).alias("s"))
+    by_pos = by_pos.select("headword", "roman", F.struct("k", "pos", F.col("s.sense").alias("senses")).alias("p"))
+    by_roman = by_pos.groupBy("headword", "roman").agg(F.array_sort(F.collect_list("p")).alias("p")).select("headword", F.struct(F.get("p", F.lit(0))["k"].alias("k"), "roman", F.transform("p", lambda x: F.struct(x["pos"].alias("pos"), x["senses"].alias("senses"))).alias("groups")).alias("r"))
+    return by_roman.groupBy("headword").agg(F.array_sort(F.collect_list("r")).alias("r")).select("headword", F.transform("r", lambda x: F.struct(x["roman"].alias("roman"), x["groups"].alias("groups"))).alias("groups"))

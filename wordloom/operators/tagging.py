@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from wordloom.functions.tags import allowed, upos_of
+
 LEXICAL, TRANSITION, SMOOTH, FLOOR = 1.0, 0.7, 0.1, 1e-4
 
 
@@ -93,11 +95,11 @@ def overlap(spans: DataFrame, segments: DataFrame, key: str = "doc", width: int
     return hit.groupBy(key, "span_id").agg(F.min("seg_i").alias("first"), F.max("seg_i").alias("last"))
 
 
-def override(logits: DataFrame, allowed: DataFrame, key: str = "doc") -> DataFrame:
+def override(logits: DataFrame, permitted: DataFrame, key: str = "doc") -> DataFrame:
     """(key, i, tag, changed): the predicted tag if the dictionary allows it, else the allowed tag of the greatest logit.
-    logits: (key, i, label, logit); allowed: (key, i, tags array), null or empty where nothing is known."""
+    logits: (key, i, label, logit); permitted: (key, i, tags array), null or empty where nothing is known."""
     best = logits.groupBy(key, "i").agg(F.max_by("label", F.struct("logit", "label")).alias("guess"))
-    ok = logits.join(allowed, [key, "i"], "left").filter(F.array_contains("tags", F.col("label"))).groupBy(key, "i").agg(F.max_by("label", F.struct("logit", "label")).alias("best"))
+    ok = logits.join(permitted, [key, "i"], "left").filter(F.array_contains("tags", F.col("label"))).groupBy(key, "i").agg(F.max_by("label", F.struct("logit", "label")).alias("best"))
     both = best.join(ok, [key, "i"], "left")
     return both.select(key, "i", F.coalesce("best", "guess").alias("tag"), (F.coalesce("best", "guess") != F.col("guess")).alias("changed"))
 
@@ -122,3 +124,92 @@ def confidence(scores: DataFrame, key: list[str]) -> DataFrame:
 def certainty_weight(certainty, low: float = 0.40, high: float = 0.85):
     """A predictor's weight against the dictionary's: half up to the low certainty, all from the high one, linear between."""
     return 0.5 + 0.5 * F.least(F.greatest((certainty - low) / (high - low), F.lit(0.0)), F.lit(1.0))
+
+
+def decided(fills: DataFrame, key: str = "token") -> DataFrame:
+    """(key, allowed, source): which universal tags the dictionary fills (key, label[, locked]) of a token allow: none where it is
+    locked (source locked), where no fill has a tag (no_pos), or where some of several have none (partial); else all tags of
+    its fills and those that count as equal (single, multi_fill)."""
+    tags_ = upos_of(F.col("label"))
+    locked = F.bool_or(F.col("locked") if "locked" in fills.columns else F.lit(False))
+    told = fills.withColumn("_t", tags_).groupBy(key).agg(
+        F.array_distinct(F.flatten(F.collect_list("_t"))).alias("_u"), F.bool_and(F.size("_t") == 0).alias("_none"), F.bool_or(F.size("_t") == 0).alias("_some"), F.count("*").alias("_n"), locked.alias("_l")
+    )
+    source = F.when(F.col("_l"), "locked").when(F.col("_none"), "no_pos").when((F.col("_n") > 1) & F.col("_some"), "partial").when(F.col("_n") > 1, "multi_fill").otherwise("single")
+    free = F.col("_l") | F.col("_none") | ((F.col("_n") > 1) & F.col("_some"))
+    return told.select(key, F.when(free, F.expr("cast(array() as array<string>)")).otherwise(allowed(F.col("_u"))).alias("allowed"), source.alias("source"))
+
+
+def override_counts(guesses: DataFrame, counts: DataFrame, key: str = "doc") -> DataFrame:
+    """(key, i, tag, changed): a guess (key, i, label) that is among the counted tags (key, i, label, n) stays; else the most
+    frequent of them; without any it stays."""
+    best = counts.groupBy(key, "i").agg(F.max_by("label", F.struct("n", "label")).alias("best"), F.collect_set("label").alias("_all"))
+    g = guesses.join(best, [key, "i"], "left")
+    keep = F.col("_all").isNull() | F.array_contains("_all", F.col("label"))
+    return g.select(key, "i", F.when(keep, F.col("label")).otherwise(F.col("best")).alias("tag"), (~keep).alias("changed"))
+
+
+def blended(logits: DataFrame, parts: DataFrame, key: str = "doc") -> DataFrame:
+    """(key, i, tag, score): for compounds, of the tags that the parts allow (key, i, label, score) the best by half of the
+    token's own score, which is its logit moved above 0 and scaled to 1 at most, and half of the parts', scaled so, too."""
+    every = W.partitionBy(key, "i")
+    own = logits.groupBy(key, "i", "label").agg(F.sum("logit").alias("v")).withColumn("v", F.col("v") - F.least(F.min("v").over(every), F.lit(0.0)))
+    own = own.withColumn("own", F.coalesce(F.col("v") / F.nullif(F.max("v").over(every), F.lit(0.0)), F.lit(0.0))).select(key, "i", "label", "own")
+    sub = parts.withColumn("sub", F.coalesce(F.col("score") / F.nullif(F.max("score").over(every), F.lit(0.0)), F.lit(0.0))).select(key, "i", "label", "sub")
+    both = sub.join(own, [key, "i", "label"], "left").withColumn("score", 0.5 * F.coalesce("own", F.lit(0.0)) + 0.5 * F.col("sub"))
+    rank = F.row_number().over(every.orderBy(F.desc("score"), "label"))
+    return both.withColumn("_r", rank).filter("_r = 1").select(key, "i", F.col("label").alias("tag"), "score")
+
+
+def subword_scores(parts: DataFrame, key: str = "doc") -> DataFrame:
+    """(key, i, label, score): tag scores (key, i, part, label, logit) of a compound's parts put together: each part's are moved
+    above 0 and made to add up to 1, averaged over the parts, and scaled to 1 at most."""
+    one = W.partitionBy(key, "i", "part")
+    s = parts.withColumn("v", F.col("logit") - F.least(F.min("logit").over(one), F.lit(0.0)))
+    s = s.withColumn("v", F.coalesce(F.col("v") / F.nullif(F.sum("v").over(one), F.lit(0.0)), F.lit(0.0)))
+    n = parts.groupBy(key, "i").agg(F.count_distinct("part").alias("_n"))
+    mean = s.groupBy(key, "i", "label").agg(F.sum("v").alias("v")).join(n, [key, "i"]).withColumn("v", F.col("v") / F.col("_n"))
+    return mean.select(key, "i", "label", F.coalesce(F.col("v") / F.nullif(F.max("v").over(W.partitionBy(key, "i")), F.lit(0.0)), F.lit(0.0)).alias("score"))
+
+
+def grammar_overlay(tokens: DataFrame, entries: DataFrame, rules: DataFrame, key: str = "doc") -> DataFrame:
+    """(key, i, category, type, gloss, active, target, direction): one row for each grammar entry (token, category, type, gloss) of
+    a token (key, i, token, pos array); an entry is active where its type's rule finds a neighbour."""
+    own = tokens.join(entries, "token").select(key, "i", "token", "category", "type", "gloss")
+    typed = own.select(key, "i", "type").distinct().join(tokens.select(key, "i", "pos"), [key, "i"])
+    rest = tokens.select(key, "i", "pos").join(typed.select(key, "i"), [key, "i"], "left_anti").withColumn("type", F.lit(None).cast("string"))
+    links = neighbour_links(typed.select(key, "i", "type", "pos").unionByName(rest.select(key, "i", "type", "pos")).dropDuplicates([key, "i", "type"]), rules, key)
+    hit = links.select(key, F.col("from").alias("i"), "type", F.col("to").alias("target"), "role")
+    out = own.join(hit, [key, "i", "type"], "left")
+    return out.select(key, "i", "category", "type", "gloss", F.col("target").isNotNull().alias("active"), "target", F.when(F.col("target") < F.col("i"), "left").when(F.col("target") > F.col("i"), "right").alias("direction"))
+
+
+def off_last_islands(entities: DataFrame, islands: DataFrame, key: str = "doc") -> DataFrame:
+    """entities (key, start, end, ...) without those that touch the last island of the sentence that they begin in; islands: (key,
+    sentence, sent_start, sent_end, start, end)."""
+    last = islands.groupBy(key, "sentence", "sent_start", "sent_end").agg(F.max_by(F.struct("start", "end"), "start").alias("_l"))
+    l = last.select(F.col(key).alias("_k"), "sent_start", "sent_end", F.col("_l.start").alias("_s"), F.col("_l.end").alias("_e"))
+    in_sentence = (F.col(key) == F.col("_k")) & (F.col("start") >= F.col("sent_start")) & (F.col("start") < F.col("sent_end"))
+    return entities.join(l, in_sentence & (F.col("start") < F.col("_e")) & (F.col("end") > F.col("_s")), "left_anti")
+
+
+def flagged_fills(fills: DataFrame, entities: DataFrame, key: str = "doc") -> DataFrame:
+    """fills (key, i, ...) with ner_protected and ner_label anew: those of the last entity (key, start, end, label) over a segment."""
+    inside = entities.filter("end > start").select(key, "start", "label", F.explode(F.sequence("start", F.col("end") - 1)).alias("i"))
+    flags = inside.groupBy(key, "i").agg(F.max_by("label", "start").alias("ner_label"))
+    out = fills.drop("ner_protected", "ner_label").join(flags.withColumn("_f", F.lit(True)), [key, "i"], "left")
+    return out.withColumn("ner_protected", F.coalesce("_f", F.lit(False))).drop("_f")
+
+
+def collapsed(segments: DataFrame, runs: DataFrame, key: str = "doc") -> DataFrame:
+    """(key, p, text, members, label): segments (key, i, segment) with each entity run (key, first, last, label) as one token, and
+    the places that each stands for; runs do not overlap."""
+    inside = runs.select(key, "first", "label", F.explode(F.sequence("first", "last")).alias("i"))
+    at = segments.join(inside, [key, "i"], "left")
+    one = at.groupBy(key, F.coalesce("first", "i").alias("_f")).agg(F.array_sort(F.collect_list(F.struct("i", "segment"))).alias("s"), F.first("label", ignorenulls=True).alias("label"))
+    return one.select(key, (F.row_number().over(W.partitionBy(key).orderBy("_f")) - 1).alias("p"), F.array_join("s.segment", "").alias("text"), F.col("s.i").alias("members"), "label")
+
+
+def expanded_overlay(overlay: DataFrame, key: str = "doc") -> DataFrame:
+    """A parser's tokens (key, i, seg_span array or null, ...) as one row for each segment that they stand for."""
+    return overlay.withColumn("segment", F.explode(F.coalesce("seg_span", F.array("i")))).filter("segment >= 0").drop("seg_span")

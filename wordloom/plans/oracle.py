@@ -110,10 +110,10 @@ ORACLE_SQL |= {
     "unknown_tokens": f"WITH {tok()}, {VOC} SELECT doc_id, count(*) AS n_unknown, min(i) AS first_i FROM tok WHERE NOT EXISTS (SELECT 1 FROM voc WHERE word = token) GROUP BY 1",
     "unknown_summary": f"""WITH {tok()}, {VOC} SELECT token, count(*) AS n, count(DISTINCT doc_id) AS docs, min(i) AS first_i FROM tok
         WHERE NOT EXISTS (SELECT 1 FROM voc WHERE word = token) AND length(token) <= 30 GROUP BY 1""",
-    "unknown_runs": f"""WITH {TALK}, {VOC}, m AS (SELECT id, i, token, word IS NOT NULL AS k FROM ttok LEFT JOIN voc ON word = token),
-        b AS (SELECT *, CASE WHEN k OR coalesce(lag(k) OVER (PARTITION BY id ORDER BY i), TRUE) THEN 1 ELSE 0 END AS b FROM m),
-        r AS (SELECT *, sum(b) OVER (PARTITION BY id ORDER BY i) AS run FROM b)
-        SELECT id, min(i) AS first, count(*) AS n, string_agg(token, '' ORDER BY i) AS token, any_value(k) AS is_known FROM r GROUP BY id, run""",
+    "unknown_runs": f"""WITH {tok()}, {VOC}, m AS (SELECT doc_id, i, token, word IS NOT NULL AS k FROM tok LEFT JOIN voc ON word = token),
+        b AS (SELECT *, CASE WHEN k OR coalesce(lag(k) OVER (PARTITION BY doc_id ORDER BY i), TRUE) THEN 1 ELSE 0 END AS b FROM m),
+        r AS (SELECT *, sum(b) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM b)
+        SELECT doc_id, min(i) AS first, count(*) AS n, string_agg(token, '' ORDER BY i) AS token, any_value(k) AS is_known FROM r GROUP BY doc_id, run""",
     "max_match": f"""WITH RECURSIVE {PWORDS}, t AS (SELECT DISTINCT replace(p_name, ' ', '') AS text FROM part),
         s AS (SELECT text, '' AS done, 0 AS pos FROM t UNION ALL
             SELECT text, CASE WHEN done = '' THEN w ELSE done || ' ' || w END, pos + length(w) FROM (
@@ -269,9 +269,6 @@ ORACLE_SQL |= {
     "post_filter": """WITH RECURSIVE e AS (SELECT user_id AS doc_id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1)::INTEGER AS i, value AS p FROM events), c AS (SELECT doc_id, i FROM e WHERE p >= 20),
         s AS (SELECT doc_id, min(i) AS i FROM c GROUP BY 1 UNION ALL SELECT doc_id, i FROM (SELECT s.doc_id, (SELECT min(c.i) FROM c WHERE c.doc_id = s.doc_id AND c.i >= s.i + 3) AS i FROM s) WHERE i IS NOT NULL)
         SELECT doc_id, i FROM s""",
-    "silver_labels": f"""WITH l AS (SELECT doc_id, unnest(s) AS t FROM (SELECT doc_id, string_split(lower(text), chr(10)) AS s FROM documents)), c AS (SELECT doc_id, t, len(regexp_extract_all(t, '{WORD}')) AS n FROM l), k AS (SELECT * FROM c WHERE n > 0),
-        m AS (SELECT doc_id, median(n) AS med FROM k GROUP BY 1), x AS (SELECT doc_id, regexp_matches(t, '[.!?]$') AS e, n < 0.6::DOUBLE * med AS short FROM k JOIN m USING (doc_id))
-        SELECT doc_id, CASE WHEN e AND short THEN 'PARA' WHEN e THEN 'SENT' ELSE 'NONE' END AS label, count(*) AS n FROM x GROUP BY ALL""",
     "unknown_log_counters": rf"""WITH {VOC}, t AS (SELECT regexp_replace(lower(token), '^[\p{{P}}\p{{S}}\s]+|[\p{{P}}\p{{S}}\s]+$', '', 'g') AS token FROM {RAW.format(k='conv_id', t='conversations')})
         SELECT CASE WHEN token = '' THEN 'empty' WHEN NOT regexp_full_match(token, '{WORD}') THEN 'foreign' WHEN length(token) > 12 THEN 'long' WHEN token IN (SELECT word FROM voc) THEN 'known' ELSE 'kept' END AS reason, count(*) AS n
         FROM t GROUP BY 1""",

@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from wordloom.functions import romanize
 from wordloom.functions import text as tx
-from wordloom.functions.profile import LATIN, MYANMAR
+from wordloom.functions.profile import LATIN
 from wordloom.operators import boundary, corpus, graph, lexicon, lm, review, search, segment, tagging
 from wordloom.plans.oracle import ORACLE_SQL  # noqa: F401
 from wordloom.streaming import streams
@@ -173,8 +172,7 @@ def unknown_summary(spark, sf):
 
 @query
 def unknown_runs(spark, sf):
-    runs = lexicon.merge_unknown_runs(tx.tokens(table(spark, sf, "conversations").withColumn("id", F.col("conv_id") * 1000 + F.col("turn")), LATIN, "id"), vocabulary(spark, sf), "id")
-    return runs.select("id", "first", "n", "token", "is_known")
+    return lexicon.merge_unknown_runs(doc_tokens(spark, sf), vocabulary(spark, sf)).select("doc_id", "first", "n", "token", "is_known")
 
 
 def part_texts(spark, sf) -> DataFrame:
@@ -454,23 +452,6 @@ def events_session(spark, sf):
     return streams.sessions(table(spark, sf, "events"), "2 hours").select("user_id", "start", "n", F.round("total", 4).alias("total"))
 
 
-@query
-def clusters_fixture(spark, sf):
-    """Myanmar texts, their clusters and where these begin; no table holds such text."""
-    t = spark.createDataFrame([("မြန်မာစာဖတ်",), ("မင်္ဂလာပါ",), ("စာ၊ ဖတ်။",)], "text string").withColumn("c", tx.clusters(F.col("text"), MYANMAR))
-    return t.select("text", F.array_join("c", "·").alias("clusters"), F.array_join(tx.starts_of(F.col("c")).cast("array<string>"), ",").alias("starts"))
-
-
-@query
-def nfc_fixture(spark, sf):
-    return spark.createDataFrame([("é",), ("é",), ("plain",), ("가",)], "text string").select("text", tx.nfc(F.col("text")).alias("nfc"))
-
-
-def raw_tokens(spark, sf, name: str, key: str) -> DataFrame:
-    found = F.regexp_extract_all("text", F.lit(r"[^ \t\n\r\f]+"), F.lit(0))
-    return table(spark, sf, name).select(key, F.posexplode(found).alias("i", "token"))
-
-
 @query
 def token_classes(spark, sf):
     return raw_tokens(spark, sf, "documents", "doc_id").groupBy(tx.token_type(F.col("token")).alias("class")).agg(F.count("*").alias("n"), F.count_if(tx.is_garbage(F.col("token"))).alias("garbage"))
@@ -602,15 +583,6 @@ def post_filter(spark, sf):
     return boundary.post_filter(e, 20.0, 3)
 
 
-@query
-def silver_labels(spark, sf):
-    """Labels of lines by how they end and whether they are short."""
-    lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split(F.lower("text"), "\n", -1)).alias("line", "t"))
-    stats = boundary.line_stats(table(spark, sf, "documents").withColumn("text", F.lower("text")), LATIN.word).select("doc_id", "line", "short")
-    gaps = lines.join(stats, ["doc_id", "line"]).select("doc_id", F.regexp_extract("t", r"([^ ]*)$", 1).alias("token"), F.lit(True).alias("last_in_line"), "short")
-    return boundary.silver_labels(gaps).groupBy("doc_id", "label").agg(F.count("*").alias("n"))
-
-
 @query
 def unknown_log_counters(spark, sf):
     """Why raw tokens of the conversations are no unknown words, in the order in which they are asked."""
@@ -629,25 +601,6 @@ def allowed_tags(spark, sf):
     return g.select("user_id", F.col("day").cast("string").alias("day"), F.array_join("tags", "|").alias("allowed"), F.when(F.col("all"), F.array_join("tags", "|")).alias("strict"))
 
 
-@query
-def g2p_fixture(spark, sf):
-    t = spark.createDataFrame([("စာ",), ("မြန်မာ",), ("ကျောင်း",)], "text string")
-    return t.select("text", romanize.romanized(F.col("text")).alias("roman"))
-
-
-@query
-def chunk_fixture(spark, sf):
-    rows = [(2, 0, 2, "NOUN", "obj"), (2, 1, 2, "PART", "case"), (2, 2, 2, "VERB", "ROOT"), (2, 3, 2, "ADJ", "acl"), (2, 4, 3, "NOUN", "nsubj")]
-    c = graph.chunk_model(spark.createDataFrame(rows, "doc long, i int, head int, upos string, dep string"))
-    return c.select("doc", "chunk_head", F.array_join(F.array_sort("members").cast("array<string>"), ",").alias("members"), "depth", "pos")
-
-
-@query
-def viterbi_fixture(spark, sf):
-    rows = [(1, 0, [("n", -1.0), ("v", -0.9)]), (1, 1, None), (1, 2, [("v", -1.0), ("n", -1.1)])]
-    return tagging.viterbi(spark.createDataFrame(rows, "doc long, i int, candidates array<struct<tag: string, score: double>>"), {("n", "v"): -0.1})
-
-
 @query
 def tag_confidence(spark, sf):
     local = tagging.tag_stats(tagged(spark, sf).filter("tag is not null")).select("word", "tag", F.ln("p").alias("score"))
