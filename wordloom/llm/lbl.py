@@ -256,20 +256,25 @@ class Trainer:
         d_guess, g_real, g_false = self.contrast(guess, weight, m.g, m.d, self.log_group, own, noise)
         d_g = rows_added(own, g_real[:, None] * guess, groups) + rows_added(noise, g_false.T @ guess, groups)
         d_d = np.bincount(own, g_real, groups) + np.bincount(noise, g_false.sum(axis=0), groups)
-        d_r, d_b = np.zeros_like(m.r), np.zeros(u)
         order = np.argsort(own, kind="stable")
         starts = np.searchsorted(own[order], np.arange(groups + 1))
+        g_unit, drawn, to_noise, b_noise = np.zeros(len(target), np.float32), [], [], []
         for k in np.flatnonzero(np.diff(starts)).tolist():
             members = m.members[k]
             if len(members) > 1:
                 rows = order[starts[k] : starts[k + 1]]
                 noise = members[self.drawn(self.inner[k], self.s.noise // 2)]
-                to_guess, g_real, g_false = self.contrast(guess[rows], weight[rows], m.r, m.b, self.log_unit, target[rows], noise)
+                to_guess, g_unit[rows], g_false = self.contrast(guess[rows], weight[rows], m.r, m.b, self.log_unit, target[rows], noise)
                 d_guess[rows] += to_guess
-                np.add.at(d_r, noise, g_false.T @ guess[rows])
-                np.add.at(d_b, noise, g_false.sum(axis=0))
-                np.add.at(d_r, target[rows], g_real[:, None] * guess[rows])
-                np.add.at(d_b, target[rows], g_real)
+                drawn.append(noise)
+                to_noise.append(g_false.T @ guess[rows])
+                b_noise.append(g_false.sum(axis=0))
+        d_r = rows_added(target, g_unit[:, None] * guess, u)
+        d_b = np.bincount(target, g_unit, u)
+        if drawn:
+            drawn = np.concatenate(drawn)
+            d_r += rows_added(drawn, np.concatenate(to_noise), u)
+            d_b += np.bincount(drawn, np.concatenate(b_noise), u)
         d_c = []
         for w, c in zip((w1, w2), m.c):
             d_place = rows_added(w, d_guess, u)
