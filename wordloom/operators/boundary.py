@@ -107,7 +107,8 @@ def gaps(docs: DataFrame, letter: str, id_col: str = "doc_id", text_col: str = "
     line ends before it."""
     text = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"^\s+", "")
     found = docs.select(id_col, F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0)).alias("t"), F.regexp_extract_all(text, F.lit(r"\s+"), F.lit(0)).alias("g"))
-    each = F.transform("t", lambda t, i: F.struct(t.alias("token"), F.coalesce(F.get("g", i), F.lit("")).alias("gap")))
+    each = F.zip_with("t", F.slice("g", 1, F.size("t")), lambda t, g: F.struct(t.alias("token"), F.coalesce(g, F.lit("")).alias("gap")))
+    # (Zipped, since an array that a lambda names may be computed again for each item.)
     rows = found.withColumn("_e", each).select(id_col, F.posexplode_outer("_e").alias("i", "e")).filter("i is not null").select(id_col, "i", "e.*")
     w = W.partitionBy(id_col).orderBy("i").rowsBetween(W.unboundedPreceding, -1)
     ends = F.length("gap") - F.length(F.replace("gap", F.lit("\n"), F.lit("")))
