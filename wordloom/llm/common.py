@@ -72,7 +72,11 @@ def gathered(table: list[bytes], codes: np.ndarray, sizes: np.ndarray, kind: str
     """Rows put together from parts: codes name the parts (entries of table, numbers of a four-byte kind), sizes[r] of them
     for row r. Gives all numbers one after another, and how many each row has."""
     lengths = np.fromiter(map(len, table), np.int64, len(table)) // 4
-    flat = np.frombuffer(b"".join(table), kind)
+    return taken(np.frombuffer(b"".join(table), kind), lengths, codes, sizes)
+
+
+def taken(flat: np.ndarray, lengths: np.ndarray, codes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As gathered, of parts whose numbers lie one after another, so many for each."""
     first = np.cumsum(lengths) - lengths
     n = lengths[codes]
     ends = np.cumsum(n)
