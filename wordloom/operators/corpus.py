@@ -257,8 +257,12 @@ def repaired_entries(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     good = pos.rlike(r"(?i)^(n|v|adj|adv|num|pron|aux|prep|postp|conj|interj|part|m|nm)\b")
     own = own.withColumn("pos", F.when(good, pos).otherwise("")).withColumn("plain", clean.clean_definition(F.col("definition"))).withColumn("head", F.coalesce("number", "head"))
     lemma = F.col("head").rlike(f"[{clean.SCRIPT}]")
-    at = own.withColumn("lemma", F.last(F.when(lemma, F.col("k")), ignorenulls=True).over(W.orderBy("k") if "part" not in rows.columns else W.partitionBy("part").orderBy("k")))
-    at = at.withColumn("is_lemma", lemma)
+    # The last lemma up to a row: within its block of places, else the last one of the blocks before (a row for 4,096 places).
+    at = own.withColumn("is_lemma", lemma).withColumn("_b", F.floor(F.col("k") / 4096))
+    inner = F.last(F.when(F.col("is_lemma"), F.col("k")), ignorenulls=True).over(W.partitionBy("_b").orderBy("k"))
+    blocks = at.groupBy("_b").agg(F.max(F.when(F.col("is_lemma"), F.col("k"))).alias("_m"))
+    before = blocks.select("_b", F.max("_m").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)).alias("_before"))
+    at = at.withColumn("_in", inner).join(before, "_b").withColumn("lemma", F.coalesce("_in", "_before"))
     kept = at.filter(F.col("lemma").isNotNull() & (F.col("is_lemma") | (F.col("plain") != "")))
     parts = kept.groupBy("lemma").agg(F.array_sort(F.collect_list(F.struct("k", "head", "romanization", "pos", "plain"))).alias("p"))
     filled = lambda c: F.filter(F.col(f"p.{c}"), lambda x: x != "")

@@ -452,6 +452,11 @@ def events_session(spark, sf):
     return streams.sessions(table(spark, sf, "events"), "2 hours").select("user_id", "start", "n", F.round("total", 4).alias("total"))
 
 
+def raw_tokens(spark, sf, name: str, key: str) -> DataFrame:
+    found = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^ \t\n\r\f]+"), F.lit(0))
+    return table(spark, sf, name).select(key, F.posexplode_outer(found).alias("i", "token")).filter("i is not null")
+
+
 @query
 def token_classes(spark, sf):
     return raw_tokens(spark, sf, "documents", "doc_id").groupBy(tx.token_type(F.col("token")).alias("class")).agg(F.count("*").alias("n"), F.count_if(tx.is_garbage(F.col("token"))).alias("garbage"))

@@ -31,7 +31,7 @@ def read_lexicon(spark: SparkSession, path: str, layer: str, priority: int, prof
     if header:
         rows = rows.filter(F.lower("headword") != "headword")
     kept = rows.filter(profile.in_script(F.col("headword")))
-    senses = F.filter(F.transform(F.split("definition", r"\\n|\n"), F.trim), lambda s: s != "")
+    senses = F.filter(F.transform(F.split("definition", r"\\n|\n"), lambda x: F.trim(x)), lambda s: s != "")
     out = kept.select("headword", "roman", F.col("pos_tag").alias("pos"), F.posexplode_outer(senses).alias("k", "sense"), F.col("pos").alias("_p"))
     return out.select(F.lit(layer).alias("layer"), F.lit(priority).alias("priority"), "headword", "roman", "pos", F.coalesce("sense", F.lit("")).alias("sense"), (F.col("_p") * 1000 + F.coalesce("k", F.lit(0))).alias("pos_in_file"))
 

@@ -113,7 +113,7 @@ def sniffed(spark: SparkSession, path: str, most: int = 200) -> str:
 
 def marked_sentences(texts: DataFrame, marker: str = "<SENT_END>", key: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(key, k, sentence): texts cut at a literal marker, without empty pieces; null texts have none."""
-    parts = F.filter(F.transform(F.split(F.col(text_col), rf"\Q{marker}\E"), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(F.col(text_col), rf"\Q{marker}\E"), lambda x: F.trim(x)), lambda x: x != "")
     return texts.select(key, F.posexplode_outer(parts).alias("k", "sentence")).filter("k is not null")
 
 
