@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 UNIGRAM_ALPHA, BIGRAM_ALPHA, BACKOFF = 1.0, 0.1, 0.5
 GLOBAL_DEFAULT = 10.0
 WORD, PAIR, PHRASE, PHRASE_PAIR = 0.05, 0.10, 0.02, 0.04
+#: An inventory of up to so many phrases is sent to all tasks; a larger one is joined by shuffling.
+SENT = 200_000
 
 
 def unigrams(tokens: DataFrame) -> DataFrame:
@@ -102,6 +104,8 @@ def phrases(rows: DataFrame, inventory: DataFrame, most: int = 4, key: str = "do
     Candidate runs are made within a row and meet the inventory in a join; which of the longest ones the greedy walk takes is
     a fold over a row's matches."""
     candidates = rows.select(key, F.explode_outer(runs_of(2, most)).alias("p")).filter("p is not null").select(key, "p.*")
+    if inventory.limit(SENT + 1).count() <= SENT:
+        inventory = F.broadcast(inventory)
     longest = candidates.join(inventory, ["phrase", "size"]).groupBy(key, "i").agg(F.max_by(F.struct("size", "phrase", "n"), "size").alias("m"))
     ordered = longest.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", "m.size", "m.phrase", "m.n"))).alias("all"))
     empty = F.expr("cast(array() as array<struct<i:int,size:int,phrase:string,n:bigint>>)")
