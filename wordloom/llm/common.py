@@ -87,10 +87,10 @@ def taken(flat: np.ndarray, lengths: np.ndarray, codes: np.ndarray, sizes: np.nd
     return flat[at], upto[last] - upto[last - sizes]
 
 
-def word_codes(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+def word_codes(column: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Of a column of texts, lower-cased in A-Z and cut at ASCII white space: the distinct words, the number of each word of
     the texts one after another among them, and how many words each text has."""
-    split = pc.ascii_split_whitespace(pc.ascii_lower(column))
+    split = pc.ascii_split_whitespace(pc.ascii_lower(column) if lower else column)
     sizes = np.asarray(pc.list_value_length(split), dtype=np.int64)
     marked = split.flatten().dictionary_encode()
     words, codes = marked.dictionary, np.asarray(marked.indices, dtype=np.int64)

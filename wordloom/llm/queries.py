@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.llm import blocks, bpe, chat, html, lbl, neighbours, packing, pii, quality, simhash
+from wordloom.llm import blocks, bpe, chat, filters, html, lbl, neighbours, packing, pii, quality, simhash
 from wordloom.llm.common import shared_folder
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -79,7 +79,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_quality_rules, op3_pii, op4_html_text, op5_lbl_scores, op6_exact_top_k, op7_token_blocks, op8_chat_windows, op9_simhash, op10_packing)}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_quality_rules, op3_pii, op4_html_text, op5_lbl_scores, op6_exact_top_k, op7_token_blocks, op8_chat_windows, op9_simhash, op10_packing, op11_filter_audit)}
 
 #: DuckDB's counterparts, where SQL can express the operator.
 ORACLE_SQL = {
@@ -110,4 +114,19 @@ ORACLE_SQL = {
         d AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
             coalesce(string_agg(text, '' ORDER BY k) FILTER (WHERE role = 'assistant'), '') AS learnt FROM t GROUP BY 1)
         SELECT conv_id, n_turns, turns_sha256, length(learnt) AS loss_chars, sha256(learnt) AS loss_sha256, formatted_chars FROM d JOIN f USING (conv_id)""",
+    "op11_filter_audit": r"""
+        WITH RECURSIVE t AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS part, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+                min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS least FROM documents),
+        l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY 1),
+        m AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, CASE WHEN len(w) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END
+                || CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END
+                || CASE WHEN least < doc_id THEN 'E' ELSE '' END AS fails FROM t LEFT JOIN l USING (doc_id)),
+        c AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY 1, 2),
+        o AS (SELECT '' AS filter_order UNION ALL SELECT filter_order || f FROM o, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f) WHERE NOT contains(filter_order, f)),
+        s AS (SELECT part, filter_order, step, substr(filter_order, step, 1) AS f, sum(CASE WHEN place = step THEN n ELSE 0 END)::BIGINT AS removed, sum(CASE WHEN place > step THEN n ELSE 0 END)::BIGINT AS kept,
+                sum(CASE WHEN place < step AND contains(fails, substr(filter_order, step, 1)) THEN n ELSE 0 END)::BIGINT AS redundant, sum(CASE WHEN fails = substr(filter_order, step, 1) THEN n ELSE 0 END)::BIGINT AS unique_fails,
+                sum(CASE WHEN place = step THEN good ELSE 0 END)::BIGINT AS good_lost, sum(CASE WHEN place = step THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+            FROM (SELECT c.*, filter_order, coalesce(list_min(list_filter([1, 2, 3, 4, 5], lambda i: contains(fails, substr(filter_order, i, 1)))), 6) AS place FROM c, o WHERE length(filter_order) = 5), (SELECT unnest([1, 2, 3, 4, 5]) AS step)
+            GROUP BY 1, 2, 3)
+        SELECT part, filter_order, step::INTEGER AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) OVER (PARTITION BY part, f)::BIGINT AS shapley FROM s""",
 }
