@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.llm import blocks, bpe, chat, filters, html, lbl, neighbours, packing, pii, quality, simhash
+from wordloom.llm import blocks, bpe, chat, filters, html, lbl, neighbours, packing, pii, quality, rtree, simhash
 from wordloom.llm.common import shared_folder
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -83,7 +83,11 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_quality_rules, op3_pii, op4_html_text, op5_lbl_scores, op6_exact_top_k, op7_token_blocks, op8_chat_windows, op9_simhash, op10_packing, op11_filter_audit)}
+def op12_jaccard_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rtree.classes(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_quality_rules, op3_pii, op4_html_text, op5_lbl_scores, op6_exact_top_k, op7_token_blocks, op8_chat_windows, op9_simhash, op10_packing, op11_filter_audit, op12_jaccard_classes)}
 
 #: DuckDB's counterparts, where SQL can express the operator.
 ORACLE_SQL = {
@@ -129,4 +133,13 @@ ORACLE_SQL = {
             FROM (SELECT c.*, filter_order, coalesce(list_min(list_filter([1, 2, 3, 4, 5], lambda i: contains(fails, substr(filter_order, i, 1)))), 6) AS place FROM c, o WHERE length(filter_order) = 5), (SELECT unnest([1, 2, 3, 4, 5]) AS step)
             GROUP BY 1, 2, 3)
         SELECT part, filter_order, step::INTEGER AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) OVER (PARTITION BY part, f)::BIGINT AS shapley FROM s""",
+    "op12_jaccard_classes": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) <= 3 THEN [array_to_string(w, ' ')]
+                ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM w),
+        e AS (SELECT doc_id, len(s) AS n, hash(unnest(s)) AS h FROM s),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.h = b.h AND a.doc_id < b.doc_id AND 10 * a.n >= 9 * b.n AND 10 * b.n >= 9 * a.n
+              GROUP BY 1, 2, a.n, b.n HAVING 190 * count(*) >= 90 * (a.n + b.n)),
+        r AS (SELECT a AS node, b AS reach FROM p UNION SELECT b, a FROM p UNION SELECT r.node, CASE WHEN p.a = r.reach THEN p.b ELSE p.a END FROM r JOIN p ON p.a = r.reach OR p.b = r.reach)
+        SELECT doc_id, len(s) AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id FROM s LEFT JOIN (SELECT node AS doc_id, min(reach) AS m FROM r GROUP BY 1) USING (doc_id)""",
 }
