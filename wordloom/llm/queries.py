@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.llm import blocks, bpe, chat, filters, html, lbl, neighbours, packing, pii, quality, rtree, simhash
+from wordloom.llm import blocks, bpe, chat, divergence, filters, html, lbl, neighbours, packing, pii, quality, rtree, simhash
 from wordloom.llm.common import shared_folder
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -87,7 +87,11 @@ def op12_jaccard_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rtree.classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_quality_rules, op3_pii, op4_html_text, op5_lbl_scores, op6_exact_top_k, op7_token_blocks, op8_chat_windows, op9_simhash, op10_packing, op11_filter_audit, op12_jaccard_classes)}
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_quality_rules, op3_pii, op4_html_text, op5_lbl_scores, op6_exact_top_k, op7_token_blocks, op8_chat_windows, op9_simhash, op10_packing, op11_filter_audit, op12_jaccard_classes, op13_source_divergence)}
 
 #: DuckDB's counterparts, where SQL can express the operator.
 ORACLE_SQL = {
@@ -142,4 +146,19 @@ ORACLE_SQL = {
               GROUP BY 1, 2, a.n, b.n HAVING 190 * count(*) >= 90 * (a.n + b.n)),
         r AS (SELECT a AS node, b AS reach FROM p UNION SELECT b, a FROM p UNION SELECT r.node, CASE WHEN p.a = r.reach THEN p.b ELSE p.a END FROM r JOIN p ON p.a = r.reach OR p.b = r.reach)
         SELECT doc_id, len(s) AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id FROM s LEFT JOIN (SELECT node AS doc_id, min(reach) AS m FROM r GROUP BY 1) USING (doc_id)""",
+    "op13_source_divergence": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+        c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS docs FROM (SELECT r, lang, source, unnest(w) AS term FROM d) GROUP BY 1, 2, 3),
+        k AS (SELECT lang, term, sum(n)::HUGEINT AS n FROM c GROUP BY 1, 2 HAVING sum(docs) >= 10),
+        v AS (SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS lang_total FROM k GROUP BY 1),
+        u AS (SELECT c.lang, c.source, c.term, c.n::HUGEINT AS n FROM c JOIN k USING (lang, term)),
+        g AS (SELECT lang, source, coalesce(sum(n), 0)::HUGEINT AS total FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN u USING (lang, source) GROUP BY 1, 2),
+        p AS (SELECT g.lang, g.source, k.term, coalesce(u.n, 0) AS n, 1 + (1000000000 * (coalesce(u.n, 0) + 2)) // (g.total + 2 * v.v) AS p, 1 + (1000000000 * (k.n + 2)) // (v.lang_total + 2 * v.v) AS q
+              FROM g JOIN k ON k.lang = g.lang JOIN v ON v.lang = g.lang LEFT JOIN u ON u.lang = g.lang AND u.source = g.source AND u.term = k.term),
+        s AS (SELECT x.lang, x.source AS a, y.source AS b, sum(((x.p - y.p) * (x.p - y.p)) // (x.p + y.p))::BIGINT AS value FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source < y.source GROUP BY 1, 2, 3),
+        e AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+                LEFT JOIN s ON s.lang = a.lang AND s.a = least(a.source, b.source) AND s.b = greatest(a.source, b.source)
+              UNION ALL SELECT lang, source, 'term', term, (((p - q) * (p - q)) // (p + q))::BIGINT FROM p WHERE n > 0 AND p > q)
+        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM e) WHERE part = 'pair' OR rank <= 10""",
 }
