@@ -82,9 +82,9 @@ def counts(docs: DataFrame) -> DataFrame:
 
 def tile_sums(tiles: DataFrame) -> DataFrame:
     """(lang, a, b, value): for each pair of sources a < b of two tiles, what their terms add. tiles: (lang, ti, tj, chunk,
-    tile, at, total, kept, light, terms, counts), a row for each source of either tile. With a chunk, terms and counts are
-    the heavy terms of the chunk that it has; without (-1), counts are the counts of its light terms and terms tells how
-    many have each."""
+    tile, at, total, kept, many, terms, counts), a row for each source of either tile. With a chunk, terms and counts are
+    the heavy terms of the chunk that it has, of many; without (-1), counts are the counts of its light terms and terms
+    tells how many have each, of many light terms."""
 
     def heavy(rows: dict[str, list], first: list[int], second: list[int], base: np.ndarray) -> np.ndarray:
         lists = rows["terms"]
@@ -93,7 +93,8 @@ def tile_sums(tiles: DataFrame) -> DataFrame:
         source = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
         n = np.concatenate([*rows["counts"], np.zeros(0, np.int64)])
         p[source, place] = share(n, rows["total"][source], rows["kept"][0])
-        return np.stack([divergence(p[i][None, :], p[second]).sum(axis=1) for i in first])
+        absent = rows["many"][0] - len(names)  # terms of the chunk that no source of the two tiles has
+        return np.stack([divergence(p[i][None, :], p[second]).sum(axis=1) + absent * divergence(base[i], base[second]) for i in first])
 
     def light(rows: dict[str, list], first: list[int], second: list[int], base: np.ndarray) -> np.ndarray:
         none = divergence(base[:, None], base[None, :])
@@ -102,11 +103,11 @@ def tile_sums(tiles: DataFrame) -> DataFrame:
             for k in range(0, len(n), 4096):
                 p = share(n[k : k + 4096], rows["total"][i], rows["kept"][0])
                 more[i] += ((divergence(p[:, None], base[None, :]) - none[i]) * many[k : k + 4096, None]).sum(axis=0)
-        return (rows["light"][0] * none + more + more.T)[np.ix_(first, second)]
+        return (rows["many"][0] * none + more + more.T)[np.ix_(first, second)]
 
     def tile(key: tuple, table: pa.Table) -> pa.Table:
         lang, ti, tj, chunk = (k.as_py() for k in key)
-        rows = {c: table[c].to_numpy() for c in ("tile", "at", "total", "kept", "light")}
+        rows = {c: table[c].to_numpy() for c in ("tile", "at", "total", "kept", "many")}
         rows |= {c: [np.asarray(x, np.int64) for x in table[c].to_pylist()] for c in ("terms", "counts")}
         first, second = np.flatnonzero(rows["tile"] == ti), np.flatnonzero(rows["tile"] == tj)
         base = share(np.zeros(len(rows["at"]), np.int64), rows["total"], rows["kept"][0]) if rows["kept"][0] else np.ones(len(rows["at"]), np.int64)
@@ -178,19 +179,19 @@ def audit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", source_
     more = used.select("lang", "source", F.col("term").alias("item"), p.alias("p"), q.alias("q")).filter("p > q").select("lang", "source", F.lit("term").alias("part"), "item", f.alias("value"))
     more = more.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top)
 
-    heavy_terms = F.count_if(F.col("sources") > heavy)
-    chunks = terms.groupBy("lang").agg(F.ceil(heavy_terms / chunk).cast("int").alias("chunks")).filter("chunks > 0").select("lang", "chunks", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    chunks = F.ceil(F.col("heavy") / chunk).cast("int")
+    in_chunk = terms.filter(F.col("sources") > heavy).join(of_lang.select("lang", (F.col("kept") - F.col("light")).alias("heavy")), "lang")
+    in_chunk = in_chunk.select("lang", "term", F.pmod(F.xxhash64("term"), chunks).cast("int").alias("chunk"))
     own = lambda name: F.transform(F.sort_array(F.collect_list(F.struct("_1", "_2"))), lambda s: s[name])
-    dense = used.filter(F.col("sources") > heavy).join(chunks.select("lang", "chunks").distinct(), "lang").withColumn("chunk", F.pmod(F.xxhash64("term"), "chunks").cast("int"))
-    dense = dense.select("lang", "at", "chunk", F.xxhash64(F.lit(1), "term").alias("_1"), F.col("n").alias("_2"))
+    dense = used.join(in_chunk, ["lang", "term"]).select("lang", "at", "chunk", F.xxhash64(F.lit(1), "term").alias("_1"), F.col("n").alias("_2"))
     histogram = used.filter(F.col("sources") <= heavy).groupBy("lang", "at", F.col("n").alias("_2")).agg(F.count("*").alias("_1")).withColumn("chunk", F.lit(-1))
     lists = dense.unionByName(histogram).groupBy("lang", "at", "chunk").agg(own("_1").alias("terms"), own("_2").alias("counts"))
-    grid = groups.join(chunks.select("lang", "chunk"), "lang").unionByName(groups.withColumn("chunk", F.lit(-1)))
+    grid = groups.drop("light").join(in_chunk.groupBy("lang", "chunk").agg(F.count("*").alias("many")), "lang").unionByName(groups.withColumnRenamed("light", "many").withColumn("chunk", F.lit(-1)))
     last = groups.groupBy("lang").agg(F.floor(F.max("at") / tile).alias("last"))
     none = F.expr("cast(array() as array<bigint>)")
     rows = grid.join(lists, ["lang", "at", "chunk"], "left").join(last, "lang").withColumn("tile", F.floor(F.col("at") / tile)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), "last")))
     rows = rows.select(
-        "lang", F.least("tile", "other").alias("ti"), F.greatest("tile", "other").alias("tj"), "chunk", "tile", "at", "total", "kept", "light", F.coalesce("terms", none).alias("terms"), F.coalesce("counts", none).alias("counts")
+        "lang", F.least("tile", "other").alias("ti"), F.greatest("tile", "other").alias("tj"), "chunk", "tile", "at", "total", "kept", "many", F.coalesce("terms", none).alias("terms"), F.coalesce("counts", none).alias("counts")
     )
     entry = F.sort_array(F.collect_list(F.struct("at", "n", "total")))
     postings = used.filter((F.col("sources") <= heavy) & (F.col("sources") > 1)).groupBy("lang", "term").agg(F.first("kept").alias("kept"), entry.alias("e"))
