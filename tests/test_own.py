@@ -5,7 +5,10 @@ import importlib
 import random
 import sys
 
+from collections import Counter
+
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -237,7 +240,7 @@ def test_dictionary_repair(spark):
 def test_viterbi_and_links(spark):
     rows = [(1, 0, [("n", -1.0), ("v", -0.9)]), (1, 1, None), (1, 2, [("v", -1.0), ("n", -1.1)])]
     df = spark.createDataFrame(rows, "doc long, i int, candidates array<struct<tag: string, score: double>>")
-    got = [(r.i, r.tag) for r in tagging.viterbi(df, {("n", "v"): -0.1}).orderBy("i").collect()]
+    got = [(r.i, r.tag) for r in tagging.viterbi(df, spark.createDataFrame([("n", "v", -0.1)], "prev string, tag string, logp double")).orderBy("i").collect()]
     assert got == [(0, "n"), (1, None), (2, "v")]
     toks = spark.createDataFrame([(1, 0, None, ["N"]), (1, 1, "NOUN_MARKER", ["PART"]), (1, 2, "NEGATION_MARKER", ["PART"]), (1, 3, None, ["V"]), (1, 4, "SENTENCE_MARKER", ["PART"])], "doc long, i int, type string, pos array<string>")
     rules = spark.createDataFrame([("NOUN_MARKER", "case", "LEFT", ["N", "PRON"], 1), ("NEGATION_MARKER", "negation", "RIGHT", ["V"], 1), ("SENTENCE_MARKER", "end", "NONE", [], 0)], "type string, role string, direction string, wanted array<string>, distance int")
@@ -370,3 +373,34 @@ def test_confidence_by_lead(spark):
     rows = [("a", "n", -1.0), ("b", "n", -0.1), ("b", "v", -0.7), ("c", "n", 0.0), ("c", "v", 0.0), ("d", "n", -0.01), ("d", "v", -5.0)]
     got = tagging.confidence(spark.createDataFrame(rows, "word string, tag string, score double"), ["word"]).collect()
     assert {r.word: (r.tag, r.confidence) for r in got} == {"a": ("n", 1.0), "b": ("n", 0.4), "c": ("v", 0.25), "d": ("n", 1.0)}
+
+
+def test_groups_of_islands_grow(spark):
+    """The third group's only head lies in the first: it joins since the second has joined before it."""
+    at = spark.createDataFrame([("d", i, i // 2) for i in range(6)], "doc string, i int, island int")
+    heads = spark.createDataFrame([("d", 1, 0), ("d", 2, 1), ("d", 3, 2), ("d", 4, 1), ("d", 5, 4)], "doc string, i int, head int")
+    alone = spark.createDataFrame([("d", k, k, k) for k in range(3)], "doc string, grp long, first int, last int")
+    edges = graph.group_edges(alone, at, heads)
+    assert {r.grp: (r.back, r.ahead) for r in edges.collect()} == {0: (None, None), 1: (0, None), 2: (0, None)}
+    assert [tuple(r)[1:] for r in graph.absorbed(edges).collect()] == [(0, 0, 2)]
+    # A group ends at its own first token with a head ahead, if that is a gate, whatever the head is.
+    ahead = graph.group_edges(alone, at, spark.createDataFrame([("d", 0, 3), ("d", 1, 2), ("d", 3, 4)], "doc string, i int, head int"))
+    assert {r.grp: r.ahead for r in ahead.collect()} == {0: 0, 1: 3, 2: None}
+    gates = lambda *i: spark.createDataFrame([("d", x) for x in i], "doc string, i int")
+    runs = lambda g: sorted((r["first"], r["last"]) for r in graph.acl_gated(ahead, g).collect())
+    assert runs(gates(0)) == [(0, 0), (1, 2)] and runs(gates(4)) == [(0, 2)] and runs(gates(3)) == [(0, 1), (2, 2)]
+
+
+def test_random_groups_are_a_renewal_process(spark):
+    records = spark.range(5000).select((F.col("id") * 3).alias("doc_id"))
+    whole = {r.doc_id // 3: r.start for r in boundary.concatenated(records, 5, 11, least=2).collect()}
+    for block in (7, 64):
+        assert {r.doc_id // 3: r.start for r in boundary.concatenated(records.repartition(3), 5, 11, least=2, block=block).collect()} == whole
+    at, starts = 0, []
+    while at < 5000:
+        starts.append(at)
+        at += int(boundary.drawn(np.array([at], dtype=np.int64), 2, 5, 11)[0])
+    assert [i for i in range(5000) if whole[i] == i] == starts
+    sizes = Counter(np.diff(starts).tolist())
+    assert set(sizes) == {2, 3, 4, 5} and min(sizes.values()) > 0.8 * max(sizes.values())
+    assert boundary.concatenated(records.limit(0), 5, 11).count() == 0

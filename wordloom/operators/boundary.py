@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from wordloom.functions.text import shape, strip_edges
+from wordloom.operators.corpus import ranked
 
 
 def context_features(tokens: DataFrame, width: int = 3, key: str = "doc_id") -> DataFrame:
@@ -274,12 +277,76 @@ def merged_enders(tokens: DataFrame, ender: str, key: str = "doc_id") -> DataFra
     return out.join(changed, key, "left_semi").select(key, "i", "token", "y")
 
 
-def concatenated(records: DataFrame, most: int, seed: int, key: str = "doc_id") -> DataFrame:
-    """records with the group of one to `most` of them that they are put together in: sizes and members follow from hashes of
-    the seed and the id, so they are the same however the table is laid out (another draw than a shuffled list's)."""
-    group = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 20))
-    size = F.pmod(F.xxhash64(F.lit(seed + 1), group), F.lit(most)) + 1
-    return records.withColumn("group", F.floor(group / size) * (most + 1) + size)
+PRIME = 2**31 - 1
+
+
+def drawn(place, least: int, most: int, seed: int):
+    """A number from least to most for each place (numpy numbers or a column of them): a fifth power of the place, moved by the
+    seed, modulo a prime, so that any place's draw can be made again anywhere."""
+    x = (place % PRIME * 48271 + seed % PRIME) % PRIME
+    square = x * x % PRIME
+    x = square * square % PRIME * x % PRIME * (most - least + 1)
+    return least + (x // PRIME if isinstance(place, np.ndarray) else F.floor(x / PRIME))
+
+
+def concatenated(records: DataFrame, most: int, seed: int, key: str = "doc_id", least: int = 1, block: int = 1 << 16) -> DataFrame:
+    """records with start: the number (from 0, in the order of key) of the first of the least to `most` neighbours that they are
+    put together with. A size is drawn where a group starts, and the next one starts after it; the last may be short.
+
+    A size depends on the seed and the place alone, so each block of places tells by itself, for each place at which its
+    first group may start, where the last one begins and how far it reaches into the next block (pointer doubling within
+    the block). Blocks are then put one after another: one short row for each block, the only step in one task."""
+    placed = ranked(records, key).withColumnRenamed("nth", "_nth")
+    total = placed.agg(F.coalesce(F.max("total"), F.lit(0)).alias("n")).first().n
+
+    def ways(first: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of each place of a block: the last group's first place on the way from it, and where the group after it starts."""
+        place = np.arange(block, dtype=np.int64)
+        after = place + drawn(first + place, least, most, seed)
+        last, inside = place.copy(), after < block
+        while inside.any():
+            last[inside] = last[after[inside]]
+            after[inside] = after[after[inside]]
+            inside = after < block
+        return last, after
+
+    def transfers(batches):
+        for b in batches:
+            rows = [(int(n), *(x[:most].tolist() for x in ways(int(n) * block))) for n in b["id"]]
+            yield pd.DataFrame(rows, columns=["block", "last", "after"])
+
+    def entries(batches):
+        at, begun = 0, 0  # where in the block the first group starts, and the place of the group before it
+        for b in batches:
+            out = []
+            for n, last, after in zip(b["block"], b["last"], b["after"]):
+                out.append((n, at, begun))
+                begun, at = (n * block + last[at], after[at] - block) if at < block else (begun, at - block)
+            yield pd.DataFrame(out, columns=["block", "at", "begun"])
+
+    spark = records.sparkSession
+    told = spark.range(-(-total // block)).mapInPandas(transfers, "block long, last array<long>, after array<long>")
+    told = told.repartition(1).sortWithinPartitions("block").mapInPandas(entries, "block long, at long, begun long")
+
+    def starts(batches):
+        for b in batches:
+            for n, at, begun in zip(b["block"], b["at"], b["begun"]):
+                place = np.arange(block, dtype=np.int64)
+                jump = place + drawn(n * block + place, least, most, seed)
+                is_start = np.zeros(block + 1, bool)
+                is_start[min(at, block)] = True
+                while True:  # the places reached so far, and those that lie as many groups further
+                    more = np.minimum(jump[np.flatnonzero(is_start[:block])], block)
+                    if is_start[more].all():
+                        break
+                    is_start[more] = True
+                    jump = np.where(jump < block, jump[np.minimum(jump, block - 1)], block)
+                own = np.where(is_start[:block], place, -1)
+                own = np.maximum.accumulate(own)
+                yield pd.DataFrame({"_nth": n * block + place, "start": np.where(own < 0, begun, n * block + own)})
+
+    marks = told.repartition("block").mapInPandas(starts, "_nth long, start long")
+    return placed.join(marks, "_nth").drop("_nth", "total")
 
 
 def marker_scores(raw: DataFrame, guess: DataFrame, ignored: list[str], letter: str, marker: str = "<SENT_END>", key: str = "doc_id", text_col: str = "text") -> DataFrame:

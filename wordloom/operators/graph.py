@@ -229,26 +229,38 @@ def bottom_up_compressed(tokens: DataFrame, entities: DataFrame, threshold: int
 
 
 def group_edges(groups: DataFrame, places: DataFrame, edges: DataFrame, key: str = "doc") -> DataFrame:
-    """groups (key, grp, first, last) with back (an edge from a token of the group to one of the group before it) and ahead (the
-    head that the group's last outgoing edge to the right leads to, or null). places: (key, i, island); edges: (key, i, head)."""
+    """groups (key, grp, first, last) with back (the last group before it that a head of its tokens lies in) and ahead (its first
+    token whose head lies to the right of the whole group), null without such. places: (key, i, island); edges: (key, i,
+    head); a key is one sentence."""
     at = places.join(groups.select(key, "grp", F.explode(F.sequence("first", "last")).alias("island")), [key, "island"]).select(key, "i", "grp")
-    both = edges.filter("head is not null and head <> i").join(at, [key, "i"]).join(at.select(key, F.col("i").alias("head"), F.col("grp").alias("hg")), [key, "head"])
-    told = both.groupBy(key, "grp").agg(F.bool_or(F.expr("hg = grp - 1")).alias("back"), F.max_by("head", F.when(F.col("hg") > F.col("grp"), F.col("i"))).alias("ahead"))
-    return groups.join(told, [key, "grp"], "left").withColumn("back", F.coalesce("back", F.lit(False)))
+    ends = at.withColumn("_last", F.max("i").over(W.partitionBy(key, "grp")))
+    own = edges.filter("head is not null and head <> i").select(key, "i", "head").join(ends, [key, "i"])
+    both = own.join(at.select(key, F.col("i").alias("head"), F.col("grp").alias("hg")), [key, "head"], "left")
+    told = both.groupBy(key, "grp").agg(F.max(F.when(F.col("hg") < F.col("grp"), F.col("hg"))).alias("back"), F.min(F.when(F.col("head") > F.col("_last"), F.col("i"))).alias("ahead"))
+    return groups.join(told, [key, "grp"], "left")
 
 
 def absorbed(groups: DataFrame, key: str = "doc") -> DataFrame:
-    """(key, grp, first, last): a group with an edge back and none ahead joins the group before it; groups as group_edges gives
-    them. A run of such groups joins the same one, so a running count of the others names the result."""
-    w = W.partitionBy(key).orderBy("grp")
-    stays = ~(F.col("back") & F.col("ahead").isNull() & (F.col("first") == F.lag("last").over(w) + 1))
-    named = groups.withColumn("_s", F.coalesce(stays, F.lit(True)).cast("int")).withColumn("_g", F.sum("_s").over(w) - 1)
-    return named.groupBy(key, F.col("_g").alias("grp")).agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    """(key, grp, first, last): a group with no token ahead and an edge back into the group before it, as grown so far, joins
+    that one; groups as group_edges gives them. A fold over a sentence's groups whose state is the grown group."""
+    one = F.struct("grp", "first", "last", "back", "ahead")
+    every = groups.groupBy(key).agg(F.array_sort(F.collect_list(one)).alias("g"))
+
+    def step(done, x):
+        grown = F.element_at(done, -1)
+        joins = x["ahead"].isNull() & F.coalesce(x["back"] >= grown["grp"], F.lit(False)) & (x["first"] == grown["last"] + 1)
+        own = F.struct(x["grp"].alias("grp"), x["first"].alias("first"), x["last"].alias("last"))
+        longer = F.struct(grown["grp"].alias("grp"), grown["first"].alias("first"), x["last"].alias("last"))
+        return F.when(joins, F.array_append(F.slice(done, 1, F.size(done) - 1), longer)).otherwise(F.array_append(done, own))
+
+    first = F.transform(F.slice("g", 1, 1), lambda x: F.struct(x["grp"].alias("grp"), x["first"].alias("first"), x["last"].alias("last")))
+    grown = F.aggregate(F.slice("g", 2, F.greatest(F.size("g") - 1, F.lit(0))), first, step)
+    return every.select(key, F.posexplode(grown).alias("grp", "_g")).select(key, F.col("grp").cast("long").alias("grp"), "_g.first", "_g.last")
 
 
 def acl_gated(groups: DataFrame, gates: DataFrame, key: str = "doc") -> DataFrame:
-    """(key, grp, first, last): a group joins the one after it unless its edge ahead leads to a gate (key, i: roots and verbs that
-    are relative clauses) or it has none."""
+    """(key, grp, first, last): a group joins the one after it unless its token ahead is a gate (key, i: roots and verbs that are
+    relative clauses) or it has none; groups as group_edges gives them for what absorbed leaves."""
     gate = gates.select(key, F.col("i").alias("ahead"), F.lit(True).alias("_gate")).distinct()
     held = groups.join(gate, [key, "ahead"], "left")
     ends = (F.col("ahead").isNull() | F.coalesce("_gate", F.lit(False))).cast("int")

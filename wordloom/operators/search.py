@@ -100,19 +100,22 @@ def unknown_run(tokens: DataFrame, targets: DataFrame, key: str = "doc_id") -> D
     return placed.join(bounds, [key, "_b"]).select(key, "target", "first", "last")
 
 
-def expanded(tokens: DataFrame, targets: DataFrame, vocabulary: DataFrame, costs: DataFrame, k: int = 10, key: str = "doc_id", most: int = 8) -> DataFrame:
+def expanded(tokens: DataFrame, targets: DataFrame, vocabulary: DataFrame, costs: DataFrame, k: int = 10, key: str = "doc_id") -> DataFrame:
     """(key, target, start, end, text, word, distance, rank): what an unknown target may have been. All spans that cover its
-    run of unknown tokens, up to `most` tokens longer, are looked up at distance 1, and at 2 only if no span has a match at 1.
+    run of unknown tokens are looked up at distance 1, and at 2 only if no span has a match at 1. (A span two letters longer
+    than the longest word cannot match, so longer ones, in letters or in tokens, are not made.)
     A match begins with the known tokens before the run and ends with those after it, and more stands between them. Longer
     spans come first, then longer texts, then cheaper words; k in all for each target. tokens: (key, i, token, known) of one
     island each; vocabulary: (word); costs: (word, cost)."""
     run = unknown_run(tokens, targets, key)
     size = tokens.groupBy(key).agg(F.max("i").alias("_max"), F.array_sort(F.collect_list(F.struct("i", "token"))).alias("_t"))
-    held = run.join(size, key)
-    starts = held.select("*", F.explode(F.sequence(F.greatest(F.col("first") - most, F.lit(0)), F.col("first"))).alias("start"))
-    ends = starts.select("*", F.explode(F.sequence(F.col("last"), F.least(F.col("last") + most, F.col("_max")))).alias("end"))
+    longest = vocabulary.agg((F.coalesce(F.max(F.length("word")), F.lit(0)) + 2).alias("_most"))
+    held = run.join(size, key).join(F.broadcast(longest)).filter("last - first < _most")
+    starts = held.select("*", F.explode(F.sequence(F.greatest(F.col("last") + 1 - F.col("_most"), F.lit(0)), F.col("first"))).alias("start"))
+    ends = starts.select("*", F.explode(F.sequence(F.col("last"), F.least(F.col("start") + F.col("_most") - 1, F.col("_max")))).alias("end"))
     text = lambda a, b: F.array_join(F.slice("_t.token", a + 1, F.greatest(b - a, F.lit(0))), "")
-    spans = ends.select(key, "target", "start", "end", text(F.col("start"), F.col("end") + 1).alias("text"), text(F.col("start"), F.col("first")).alias("left"), text(F.col("last") + 1, F.col("end") + 1).alias("right"))
+    spans = ends.select(key, "target", "start", "end", text(F.col("start"), F.col("end") + 1).alias("text"), text(F.col("start"), F.col("first")).alias("left"), text(F.col("last") + 1, F.col("end") + 1).alias("right"), "_most")
+    spans = spans.filter(F.length("text") <= F.col("_most")).drop("_most")
     found = within(spans.select(F.col("text").alias("query")), vocabulary, 2).filter("distance > 0").withColumnRenamed("query", "text")
     ok = F.startswith("word", F.col("left")) & F.endswith("word", F.col("right")) & (F.length("word") > F.length("left") + F.length("right"))
     hits = spans.join(found, "text").filter(ok)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -29,39 +28,40 @@ def transitions(tagged: DataFrame, chain: str, order: str) -> DataFrame:
     return joined.select("prev", "tag", "n", F.ln((F.col("n") + SMOOTH) / (F.col("total") + SMOOTH * F.col("tags"))).alias("logp"))
 
 
-def viterbi(tokens: DataFrame, logp: dict[tuple[str, str], float], key: str = "doc") -> DataFrame:
-    """(key, i, tag): best tag sequence. tokens: (key, i, candidates array<struct<tag, score>>); a token without candidates
-    passes through with a null tag and breaks nothing. logp is bounded by the square of the tag set. A sentence is a
-    bounded group."""
-    floor = float(np.log(FLOOR))
-
-    def decode(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = pdf.sort_values("i")
-        rows, prev = [], None
-        for i, cands in zip(t["i"], t["candidates"]):
-            cands = [] if cands is None else [(c["tag"], c["score"]) for c in cands]
-            if not cands:
-                rows.append((i, None))
-                continue
-            now = {}
-            for tag, score in cands:
-                if prev is None:
-                    now[tag] = (score, None)
-                else:
-                    now[tag] = max(((s + TRANSITION * logp.get((p, tag), floor) + score, p) for p, (s, _) in prev.items()), key=lambda x: x[0])
-            rows.append((i, now))
-            prev = now
-        out, want = [], None
-        for i, now in reversed(rows):
-            if now is None:
-                out.append((i, None))
-                continue
-            tag = want if want is not None else max(now, key=lambda g: now[g][0])
-            out.append((i, tag))
-            want = now[tag][1]
-        return pd.DataFrame([(pdf[key].iloc[0], i, g) for i, g in reversed(out)], columns=[key, "i", "tag"])
-
-    return tokens.groupBy(key).applyInPandas(decode, f"{key} {tokens.schema[key].dataType.simpleString()}, i int, tag string")
+def viterbi(tokens: DataFrame, moves: DataFrame, key: str = "doc") -> DataFrame:
+    """(key, i, tag): best tag sequence. tokens: (key, i, candidates array<struct<tag, score>>); moves: (prev, tag, logp). A token
+    without candidates gets a null tag and breaks nothing; ties take the candidate named first.
+
+    Each text meets those moves that its own candidates can make in a join, so no table is sent whole; then a sentence, which
+    is bounded, is one fold that keeps the best way to each candidate, and one fold back."""
+    held = tokens.select(key, "i", F.expr("coalesce(candidates, slice(array(named_struct('tag', '', 'score', 0d)), 1, 0))").alias("c"))
+    texts = held.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", "c"))).alias("t"))
+    own = texts.select(key, F.array_distinct(F.flatten(F.transform("t", lambda x: x["c"]["tag"]))).alias("g"))
+    pairs = own.select(key, "g", F.explode("g").alias("prev")).select(key, "prev", F.explode("g").alias("tag"))
+    near = pairs.join(moves.select("prev", "tag", "logp"), ["prev", "tag"]).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\u0001", "prev", "tag"), "logp"))).alias("near"))
+    floor = F.lit(float(np.log(FLOOR)))
+    none = F.expr("cast(array() as array<struct<score:double,tag:string,from:string>>)")
+
+    def step(s, x):
+        def reached(c):
+            ways = F.transform(s["at"], lambda p, k: F.struct((p["score"] + TRANSITION * F.coalesce(F.try_element_at("near", F.concat_ws("\u0001", p["tag"], c["tag"])), floor) + c["score"]).alias("score"), (-k).alias("k"), p["tag"].alias("from")))
+            best = F.array_max(ways)
+            return F.struct(F.coalesce(best["score"], c["score"].cast("double")).alias("score"), c["tag"].alias("tag"), best["from"].alias("from"))
+
+        now = F.transform(x["c"], reached)
+        return F.struct(F.when(F.size(now) > 0, now).otherwise(s["at"]).alias("at"), F.array_append(s["all"], now).alias("all"))
+
+    best = F.aggregate("t", F.struct(none.alias("at"), F.slice(F.array(none), 1, 0).alias("all")), step)
+    last = lambda s: F.array_max(F.transform(s["at"], lambda p, k: F.struct(p["score"], -k, p["tag"].alias("tag"))))["tag"]
+
+    def back(s, x):
+        chosen = F.get(F.filter(x, lambda c: c["tag"] == s["want"]), F.lit(0))
+        return F.struct(F.when(F.size(x) > 0, chosen["from"]).otherwise(s["want"]).alias("want"), F.array_append(s["tags"], F.when(F.size(x) > 0, s["want"])).alias("tags"))
+
+    done = texts.join(near, key, "left").withColumn("near", F.coalesce("near", F.expr("cast(map() as map<string,double>)"))).select(key, "t", best.alias("s"))
+    start = F.struct(last(F.col("s")).alias("want"), F.expr("cast(array() as array<string>)").alias("tags"))
+    tags = F.aggregate(F.reverse("s.all"), start, back, lambda s: F.reverse(s["tags"]))
+    return done.select(key, F.explode(F.arrays_zip(F.col("t")["i"].alias("i"), tags.alias("tag"))).alias("x")).select(key, F.col("x.i").alias("i"), F.col("x.tag").alias("tag"))
 
 
 def lexical_score(p, single, numeric, tag):

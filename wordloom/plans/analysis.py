@@ -289,8 +289,14 @@ def compressed_chunks(spark, sf):
 IGR = f"""{TREES}, igl AS (SELECT DISTINCT doc, greatest(i // 5, head // 5) AS island FROM tre WHERE head IS NOT NULL AND abs(i // 5 - head // 5) = 1), igs AS (SELECT DISTINCT doc, i // 5 AS island FROM tre),
     igg AS (SELECT s.doc, s.island, sum(CASE WHEN l.island IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY s.doc ORDER BY s.island) - 1 AS grp FROM igs s LEFT JOIN igl l ON l.doc = s.doc AND l.island = s.island),
     grs AS (SELECT doc, grp, min(island) AS first, max(island) AS last FROM igg GROUP BY ALL), tg AS (SELECT t.doc, t.i, t.head, g.grp FROM tre t JOIN igg g ON g.doc = t.doc AND g.island = t.i // 5),
-    ge AS (SELECT a.doc, a.grp, bool_or(b.grp = a.grp - 1) AS back, arg_max(a.head, a.i) FILTER (WHERE b.grp > a.grp) AS ahead FROM tg a JOIN tg b ON b.doc = a.doc AND b.i = a.head GROUP BY ALL),
-    gi AS (SELECT g.*, coalesce(back, FALSE) AS back, ahead FROM grs g LEFT JOIN ge USING (doc, grp))"""
+    gm AS (SELECT doc, grp, max(i) AS m FROM tg GROUP BY ALL),
+    ge AS (SELECT a.doc, a.grp, max(b.grp) FILTER (WHERE b.grp < a.grp) AS back, min(a.i) FILTER (WHERE a.head > m) AS ahead FROM tg a JOIN gm USING (doc, grp) LEFT JOIN tg b ON b.doc = a.doc AND b.i = a.head GROUP BY ALL),
+    gi AS (SELECT g.*, back, ahead FROM grs g LEFT JOIN ge USING (doc, grp)),
+    ab AS (SELECT doc, grp, first, last, grp AS s FROM gi WHERE grp = 0
+        UNION ALL SELECT n.doc, n.grp, n.first, n.last, CASE WHEN n.ahead IS NULL AND coalesce(n.back >= ab.s, FALSE) AND n.first = ab.last + 1 THEN ab.s ELSE n.grp END FROM ab JOIN gi n ON n.doc = ab.doc AND n.grp = ab.grp + 1),
+    ar AS (SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY s) - 1 AS grp, min(first) AS first, max(last) AS last FROM ab GROUP BY doc, s),
+    at2 AS (SELECT t.doc, t.i, t.head, r.grp FROM tre t JOIN ar r ON r.doc = t.doc AND t.i // 5 BETWEEN r.first AND r.last), am AS (SELECT doc, grp, max(i) AS m FROM at2 GROUP BY ALL),
+    ai AS (SELECT doc, grp, any_value(first) AS first, any_value(last) AS last, min(i) FILTER (WHERE head > m) AS ahead FROM at2 JOIN am USING (doc, grp) JOIN ar USING (doc, grp) GROUP BY ALL)"""
 
 
 def island_edges(spark, sf) -> DataFrame:
@@ -299,17 +305,19 @@ def island_edges(spark, sf) -> DataFrame:
     return graph.group_edges(graph.island_groups(places, t), places, t)
 
 
-@query(f"""WITH {IGR}, s AS (SELECT *, CASE WHEN back AND ahead IS NULL AND first = lag(last) OVER (PARTITION BY doc ORDER BY grp) + 1 THEN 0 ELSE 1 END AS s FROM gi), n AS (SELECT *, sum(s) OVER (PARTITION BY doc ORDER BY grp) - 1 AS g FROM s)
-    SELECT doc, g AS grp, min(first) AS first, max(last) AS last FROM n GROUP BY ALL""")
+@query(f"WITH RECURSIVE {IGR} SELECT doc, grp, first, last FROM ar")
 def absorbed_groups(spark, sf):
     return graph.absorbed(island_edges(spark, sf))
 
 
-@query(f"""WITH {IGR}, s AS (SELECT *, CASE WHEN ahead IS NULL OR ahead % 3 = 0 THEN 1 ELSE 0 END AS e FROM gi), n AS (SELECT *, coalesce(sum(e) OVER (PARTITION BY doc ORDER BY grp ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM s)
+@query(f"""WITH RECURSIVE {IGR}, s AS (SELECT *, CASE WHEN ahead IS NULL OR ahead % 3 = 0 THEN 1 ELSE 0 END AS e FROM ai), n AS (SELECT *, coalesce(sum(e) OVER (PARTITION BY doc ORDER BY grp ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM s)
     SELECT doc, g AS grp, min(first) AS first, max(last) AS last FROM n GROUP BY ALL""")
 def gated_groups(spark, sf):
-    """Groups merged up to gates, here the tokens at places divisible by three."""
-    return graph.acl_gated(island_edges(spark, sf), trees(spark, sf).filter("i % 3 = 0").select("doc", "i"))
+    """Absorbed groups merged up to gates, here the tokens at places divisible by three."""
+    t = trees(spark, sf)
+    places = t.select("doc", "i", F.floor(F.col("i") / 5).alias("island")).checkpoint()
+    grown = graph.absorbed(graph.group_edges(graph.island_groups(places, t), places, t))
+    return graph.acl_gated(graph.group_edges(grown, places, t), t.filter("i % 3 = 0").select("doc", "i"))
 
 
 @query(f"""WITH RECURSIVE {TREES}, c AS (SELECT doc, i, head AS a, 1 AS d FROM tre WHERE head IS NOT NULL UNION ALL SELECT c.doc, c.i, t.head, c.d + 1 FROM c JOIN tre t ON t.doc = c.doc AND t.i = c.a WHERE t.head IS NOT NULL),
@@ -483,6 +491,16 @@ def word_features(spark, sf):
     return out.select("item_id", "i", f["n"].alias("n"), f["suf2"].alias("suf2"), f["gram_final_any"].alias("final"), f["chron_rank_bucket"].alias("bucket"), f["n_-1_0"].alias("before"), f["n_0_+1"].alias("after"))
 
 
+DRAW = "(1 + ((x * x % 2147483647) * (x * x % 2147483647) % 2147483647 * x % 2147483647) * 4 // 2147483647)"
+
+
+@query(f"""WITH RECURSIVE n AS (SELECT count(*) AS n FROM documents), s AS (SELECT 0::BIGINT AS start UNION ALL SELECT start + {DRAW} FROM (SELECT start, (start % 2147483647 * 48271 + 7) % 2147483647 AS x FROM s), n WHERE start + {DRAW} < n),
+    d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS nth FROM documents) SELECT doc_id, start FROM d ASOF JOIN s ON d.nth >= s.start""")
+def random_groups(spark, sf):
+    """The documents in groups of one to four neighbours."""
+    return boundary.concatenated(table(spark, sf, "documents").select("doc_id"), 4, 7, block=256)
+
+
 # Labels.
 
 LABELS = ["n", "v|n", "noun, adj", "adv", "postp", "particle", "conj", "prefix", "x", "", "PROPN", "num+tn", "exp;int", "Unknown", "CONJ", "verb/aux"]
@@ -583,11 +601,18 @@ def script_romanized(spark, sf):
     return w.select("word", romanized(F.col("word")).alias("roman"))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id AS doc, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, event_id, json_extract_string(props, '$.k') AS word, CASE WHEN event_type <> 'error' THEN event_type END AS tag FROM events),
+    sn AS (SELECT word, tag, count(*) AS n FROM e WHERE tag IS NOT NULL GROUP BY 1, 2), st AS (SELECT word, tag, ln(n / sum(n) OVER (PARTITION BY word)) AS score FROM sn),
+    un AS (SELECT tag, count(*) AS total FROM e WHERE tag IS NOT NULL GROUP BY 1), sz AS (SELECT count(*) AS tags FROM un), pr AS (SELECT tag, lag(tag) OVER (PARTITION BY doc ORDER BY i) AS prev FROM e),
+    mv AS (SELECT prev, p.tag, ln((count(*) + 0.1::DOUBLE) / (any_value(total) + 0.1::DOUBLE * any_value(tags))) AS logp FROM pr p JOIN un u ON u.tag = p.prev, sz WHERE prev IS NOT NULL AND p.tag IS NOT NULL GROUP BY prev, p.tag),
+    c AS (SELECT e.doc, dense_rank() OVER (PARTITION BY e.doc ORDER BY e.i) AS k, e.i, s.tag, s.score FROM e JOIN st s ON s.word = e.word), m AS (SELECT doc, max(k) AS m FROM c GROUP BY 1),
+    v AS (SELECT doc, k, tag, score, [tag] AS path FROM c WHERE k = 1 UNION ALL SELECT doc, k, tag, -b.x, list_append(b.path, tag) FROM (
+        SELECT n.doc, n.k, n.tag, min({'x': -(v.score + 0.7::DOUBLE * coalesce(mv.logp, ln(1e-4)) + n.score), 'p': v.tag, 'path': v.path}) AS b FROM v JOIN c n ON n.doc = v.doc AND n.k = v.k + 1 LEFT JOIN mv ON mv.prev = v.tag AND mv.tag = n.tag GROUP BY n.doc, n.k, n.tag)),
+    w AS (SELECT doc, b.path AS path FROM (SELECT v.doc, min({'x': -score, 't': tag, 'path': path}) AS b FROM v JOIN m ON m.doc = v.doc AND k = m GROUP BY 1))
+    SELECT e.doc, e.i::INTEGER AS i, path[c.k] AS tag FROM e LEFT JOIN (SELECT DISTINCT doc, i, k FROM c) c ON c.doc = e.doc AND c.i = e.i LEFT JOIN w ON w.doc = e.doc""")
 def viterbi_events(spark, sf):
     """Best tag sequences of the users' events by the statistics of all."""
     e = tagged(spark, sf)
     stats = tagging.tag_stats(e.filter("tag is not null")).select("word", F.struct("tag", F.ln("p").alias("score")).alias("c")).groupBy("word").agg(F.array_sort(F.collect_list("c")).alias("candidates"))
-    logp = {(r.prev, r.tag): r.logp for r in tagging.transitions(e, "user_id", "event_id").select("prev", "tag", "logp").limit(10_000).collect()}
     rows = e.join(stats, "word", "left").select(F.col("user_id").alias("doc"), F.row_number().over(W.partitionBy("user_id").orderBy("event_id")).alias("i"), "candidates")
-    return tagging.viterbi(rows, logp)
+    return tagging.viterbi(rows, tagging.transitions(e, "user_id", "event_id").select("prev", "tag", "logp"))

@@ -58,7 +58,7 @@ HIER = """hier AS (SELECT 'r' || r_regionkey AS child, NULL::VARCHAR AS parent F
         UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier)"""
 CLOS = f"""{HIER}, clos AS (SELECT parent AS ancestor, child AS node, 1 AS distance FROM hier WHERE parent IS NOT NULL
         UNION ALL SELECT h.parent, c.node, c.distance + 1 FROM clos c JOIN hier h ON h.child = c.ancestor WHERE h.parent IS NOT NULL)"""
-TREES = f"""{BENCH}, tre AS (SELECT a.item_id AS doc, a.i, (SELECT min(b.i) FROM btok b WHERE b.item_id = a.item_id AND b.i > a.i AND least(length(b.token), 40) > least(length(a.token), 40)) AS head FROM btok a)"""
+TREES = f"""{BENCH}, tre AS (SELECT a.item_id AS doc, a.i, (SELECT min(b.i) FROM btok b WHERE b.item_id = a.item_id AND b.i > a.i AND length(b.token) > length(a.token)) AS head FROM btok a)"""
 SEEN = """seen AS (SELECT json_extract_string(props, '$.k') AS head, ts, event_type AS form, event_id AS tie FROM events)"""
 SM2 = f"""{SEEN}, rev AS (SELECT head, ts, tie, form = 'purchase' AS knew, row_number() OVER (PARTITION BY head ORDER BY ts, tie) AS k FROM seen WHERE form IN ('purchase', 'error')),
     fold AS (SELECT head, 0::BIGINT AS k, 0 AS repetitions, 0::DOUBLE AS interval_, 2.5::DOUBLE AS ease FROM (SELECT DISTINCT head FROM rev)

@@ -386,12 +386,17 @@ def k_hop(spark, sf):
 
 
 def trees(spark, sf) -> DataFrame:
-    """Tokens of the benchmark passages; a token's head is the next token that is longer (lengths over 40 count as 40), the
-    others are roots. One sort gives the next place of each length; no pairs are made."""
-    t = tx.tokens(table(spark, sf, "benchmark"), LATIN, "item_id").select(F.col("item_id").alias("doc"), "i", F.least(F.length("token"), F.lit(40)).alias("n"))
-    after = W.partitionBy("doc").orderBy("i").rowsBetween(1, W.unboundedFollowing)
-    longer = F.array(*(F.min(F.when(F.col("n") > k, F.col("i"))).over(after) for k in range(1, 40)))
-    return t.withColumn("_next", longer).select("doc", "i", F.get("_next", F.col("n") - 1).alias("head"))
+    """Tokens of the benchmark passages; a token's head is the next token that is longer, the others are roots. A fold from the
+    right keeps the tokens that may still be a head, each longer than the one before it."""
+    t = bench_arrays(spark, sf).select(F.col("item_id").alias("doc"), F.transform("t", lambda x, k: F.struct(k.alias("i"), F.length(x).alias("n"))).alias("t"))
+    none = F.slice("t", 1, 0)
+
+    def step(s, x):
+        open_ = F.filter(s["open"], lambda o: o["n"] > x["n"])
+        return F.struct(F.concat(F.array(x), open_).alias("open"), F.array_append(s["heads"], F.get(open_, F.lit(0))["i"]).alias("heads"))
+
+    heads = F.aggregate(F.reverse("t"), F.struct(none.alias("open"), F.expr("cast(array() as array<int>)").alias("heads")), step, lambda s: F.reverse(s["heads"]))
+    return t.select("doc", F.posexplode(heads).alias("i", "head"))
 
 
 @query
