@@ -51,10 +51,33 @@ def clean_definition(text: Column) -> Column:
     return F.trim(F.regexp_replace(s, r"\s+", " "))
 
 
-def ocr_clean(text: Column, letters: str = SCRIPT) -> Column:
-    """For scanned text: digits in the script's own form, other scripts out, marks that repeat once."""
-    own = F.translate(text, "0123456789", "၀၁၂၃၄၅၆၇၈၉")
-    return F.regexp_replace(F.regexp_replace(own, f"[^\\s{letters}]", ""), f"({MY_MARK})\\1+", "$1")
+def script_nfc(text: Column) -> Column:
+    """Canonical composition as far as it concerns the script: the one pair that composes, and marks of a class in order."""
+    composed = F.replace(text, F.lit("\u1025\u102E"), F.lit("\u1026"))
+    ordered = F.regexp_replace(composed, "(\u108D+)([\u1037\u1039\u103A]+)", "$2$1")
+    return F.regexp_replace(ordered, "([\u1039\u103A]+)(\u1037+)", "$2$1")
+
+
+# Marks that follow a base character, those of them that stand once on a base, and what counts as a space.
+FOLLOWING = "\u102B-\u103E\u1056-\u1059"
+ONCE = "\u102B\u102C\u102D\u102E\u102F\u1030\u1032\u1036\u1037\u1038\u103A"
+SPACES = "\u0009-\u000D\u001C-\u0020\u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+
+
+def ocr_clean(text: Column) -> Column:
+    """For scanned text: the digit zero is the letter wa, characters of other scripts go without a trace (so marks meet the base
+    before them), a mark without a base before it goes, and each mark stands once on a base but for those that may repeat.
+    White space is one space, none at the ends. Null stays null."""
+    s = script_nfc(F.replace(F.replace(text, F.lit("\u1040"), F.lit("\u101D")), F.lit("\u00B0"), F.lit("")))
+    s = F.regexp_replace(F.regexp_replace(s, f"[^{SPACES}\u1000-\u109F\uA9E0-\uA9FF\uAA60-\uAA7F]", ""), f"[{SPACES}]+", " ")
+    s = F.regexp_replace(s, f"(^|[ \u104A\u104B])[{FOLLOWING}]+", "$1")
+
+    def once(cluster: Column) -> Column:
+        chars = F.split(cluster, "")
+        return F.array_join(F.filter(chars, lambda c, k: ~c.rlike(f"^[{ONCE}]$") | (F.array_position(chars, c) == k + 1)), "")
+
+    clusters = F.regexp_extract_all(s, F.lit(f"[^{FOLLOWING}][{FOLLOWING}]*"), F.lit(0))
+    return F.trim(F.regexp_replace(F.array_join(F.transform(clusters, once), ""), " +", " "))
 
 
 def finite(value: Column, default: float = 0.0) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql.window import Window as W
 from wordloom.functions import clean, tags
 from wordloom.functions import text as tx
 from wordloom.functions.profile import LATIN, MYANMAR
-from wordloom.operators import boundary, corpus, graph, lexicon, lm, pipeline, search, segment, tagging
+from wordloom.operators import boundary, corpus, graph, lexicon, lm, pipeline, repair, search, segment, tagging
 from wordloom.plans.oracle import BCOST, BENCH, LAYERS, NAMES, PWORDS, TREES, UCOST, VOC, WORD, tok
 from wordloom.plans.queries import bench_arrays, doc_arrays, doc_pairs, doc_tokens, layers, misspelt, part_names, part_texts, part_words, r6, table, tagged, trees, vocabulary
 from wordloom.functions.romanize import romanized
@@ -186,6 +186,75 @@ def layout_segments(spark, sf):
     return pipeline.laid_out(script_docs(spark, sf, "benchmark", "item_id"), MYANMAR, v, key="item_id").select("item_id", F.md5("text").alias("text_md5"))
 
 
+def cut_sql(name: str, source: str, lexicon: str) -> str:
+    """Cheapest paths as SQL: {name}s (text, k, seg, place) of the texts of a source, by a table of words with their costs (word, c)."""
+    return f"""{name}l AS (SELECT text, i, unnest(range(i + 1, least(length(text), i + 16) + 1)) AS j FROM (SELECT text, unnest(range(length(text))) AS i FROM {source})),
+    {name}r AS (SELECT text, i, j, substring(text, i + 1, j - i) AS w, coalesce(c, 5 + 0.2::DOUBLE * 15 + (j - i - 1) * 10) AS c FROM {name}l LEFT JOIN {lexicon} ON word = substring(text, i + 1, j - i)),
+    {name}d AS (SELECT text, length(text) AS i, MAP {{length(text): 0::DOUBLE}} AS best, MAP {{length(text): length(text)}} AS nxt FROM {source}
+        UNION ALL SELECT text, i, map_concat(best, MAP {{i: x.cost}}), map_concat(nxt, MAP {{i: x.j}}) FROM (SELECT d.text, p.i, any_value(d.best) AS best, any_value(d.nxt) AS nxt, min({{'cost': p.c + d.best[p.j], 'j': p.j}}) AS x
+            FROM {name}d d JOIN {name}r p ON p.text = d.text AND p.i = d.i - 1 GROUP BY d.text, p.i)),
+    {name}w AS (SELECT text, nxt, 0::BIGINT AS pos, 0 AS k FROM {name}d WHERE i = 0 UNION ALL SELECT text, nxt, nxt[pos], k + 1 FROM {name}w WHERE pos < length(text)),
+    {name}s AS (SELECT text, k, substring(text, pos + 1, nxt[pos] - pos) AS seg, pos AS place FROM {name}w WHERE pos < length(text))"""
+
+
+COSTED = f"""{PWORDS}, wm AS (SELECT sum(n) + count(*) AS m FROM wrd), wc AS (SELECT word, 1 + 0.2::DOUBLE * least(-ln((n + 1) / m), 15) AS c FROM wrd, wm)"""
+MISREAD = "array_to_string(list_transform(string_split(p_name, ' '), lambda w: CASE WHEN length(w) <= 4 THEN left(w, 1) || substring(w, 3) ELSE w END), '')"
+NEAREST = "row_number() OVER (PARTITION BY q ORDER BY 1 - levenshtein(q, word) / greatest(length(q), length(word)) DESC, length(word), word) AS r FROM {q}, wrd WHERE length(q) > 1 AND length(word) > 1 AND left(q, 1) = left(word, 1) AND abs(length(q) - length(word)) <= {slack} AND levenshtein(q, word) <= {most} AND 1 - levenshtein(q, word) / greatest(length(q), length(word)) >= {least}::DOUBLE"
+
+
+@query(f"""WITH RECURSIVE {COSTED}, t AS (SELECT DISTINCT {MISREAD} AS text FROM part), {cut_sql('fa', 't', 'wc')},
+    o AS (SELECT s.*, w.word IS NULL AS open FROM fas s LEFT JOIN wrd w ON w.word = seg),
+    p AS (SELECT *, CASE WHEN NOT open THEN 0 WHEN NOT coalesce(lead(open) OVER x, FALSE) THEN 1 WHEN NOT coalesce(lead(open, 2) OVER x, FALSE) THEN 2 ELSE 3 END AS n, seg || coalesce(lead(seg) OVER x, '') AS s2, seg || coalesce(lead(seg) OVER x, '') || coalesce(lead(seg, 2) OVER x, '') AS s3 FROM o WINDOW x AS (PARTITION BY text ORDER BY k)),
+    g AS (SELECT *, CASE n WHEN 2 THEN s2 WHEN 3 THEN s3 END AS run FROM p), q1 AS (SELECT DISTINCT seg AS q FROM g WHERE open), q2 AS (SELECT DISTINCT run AS q FROM g WHERE run IS NOT NULL),
+    c1 AS (SELECT q, word FROM (SELECT q, word, {NEAREST.format(q='q1', slack=1, most=2, least=0.6)}) WHERE r = 1), c2 AS (SELECT q, word FROM (SELECT q, word, {NEAREST.format(q='q2', slack=2, most=3, least=0.5)}) WHERE r = 1),
+    h AS (SELECT g.*, c2.word AS m, c1.word AS one FROM g LEFT JOIN c2 ON c2.q = run LEFT JOIN c1 ON c1.q = seg AND open),
+    v AS (SELECT text, 0::BIGINT AS k, '' AS done, '' AS marks FROM t UNION ALL
+        SELECT v.text, v.k + CASE WHEN m IS NOT NULL THEN n ELSE 1 END, done || coalesce(m, one, seg), marks || CASE WHEN m IS NOT NULL THEN length(done) || ':' || m || ':' || run || ':greedy_merge;' WHEN one IS NOT NULL THEN length(done) || ':' || one || ':' || seg || ':spell_correct;' ELSE '' END
+        FROM v JOIN h ON h.text = v.text AND h.k = v.k),
+    f AS (SELECT text, arg_max(done, k) AS done, arg_max(marks, k) AS marks FROM v GROUP BY 1), u AS (SELECT DISTINCT done AS text FROM f WHERE marks <> ''), {cut_sql('fb', 'u', 'wc')},
+    sa AS (SELECT text, string_agg(seg, ' ' ORDER BY k) AS words FROM fas GROUP BY 1), sb AS (SELECT text, string_agg(seg, ' ' ORDER BY k) AS words FROM fbs GROUP BY 1)
+    SELECT f.text, CASE WHEN marks = '' THEN sa.words ELSE sb.words END AS words, marks FROM f LEFT JOIN sa ON sa.text = f.text LEFT JOIN sb ON sb.text = f.done""")
+def ocr_repaired(spark, sf):
+    """Part names without spaces, their short words misread: cut, corrected, and cut again where they changed."""
+    misread = F.transform(F.split("p_name", " "), lambda w: F.when(F.length(w) <= 4, F.concat(F.left(w, F.lit(1)), F.substring(w, 3, 100))).otherwise(w))
+    texts = table(spark, sf, "part").select(F.array_join(misread, "").alias("text")).distinct().withColumn("name", F.col("text"))
+    words = part_words(spark, sf).checkpoint()
+    costs = lm.unigram_costs(words.withColumnRenamed("word", "token"))[0].checkpoint()
+    cut = lambda t: segment.best_paths(segment.priced(segment.lattice(t, LATIN, 16, "name", "text"), words, costs), key="name").select("name", "words")
+    done = repair.repaired(cut(texts), words, cut, LATIN, key="name")
+    marks = F.array_join(F.transform("marks", lambda m: F.concat(m["start"].cast("string"), F.lit(":"), m["text"], F.lit(":"), m["original"], F.lit(":"), m["method"], F.lit(";"))), "")
+    return done.select(F.col("name").alias("text"), F.array_join("words", " ").alias("words"), marks.alias("marks"))
+
+
+@query(f"""WITH RECURSIVE {COSTED}, lw AS (SELECT * FROM wc WHERE length(word) >= 6), t AS (SELECT DISTINCT replace(p_name, ' ', '') AS text FROM part), {cut_sql('fa', 't', 'lw')},
+    m AS (SELECT text, 0 AS place, '' AS seg FROM t UNION ALL SELECT text, place + length(seg), coalesce((SELECT arg_max(word, length(word)) FROM wrd WHERE starts_with(substring(r.text, r.place + length(r.seg) + 1), word)), substring(text, place + length(seg) + 1, 1)) FROM m r WHERE place + length(seg) < length(text)),
+    b AS (SELECT text, place, place + length(seg) AS e, seg FROM m WHERE seg <> ''), a AS (SELECT s.text, place, place + length(seg) AS e, seg, w.word IS NULL AS open FROM fas s LEFT JOIN wrd w ON w.word = seg),
+    r AS (SELECT *, sum(CASE WHEN open THEN 0 ELSE 1 END) OVER (PARTITION BY text ORDER BY place) AS run FROM a), n AS (SELECT text, run, min(place) AS s, max(e) AS e FROM r WHERE open GROUP BY ALL),
+    x AS (SELECT n.* FROM n WHERE EXISTS (SELECT 1 FROM b WHERE b.text = n.text AND b.place = n.s) AND EXISTS (SELECT 1 FROM b WHERE b.text = n.text AND b.e = n.e)),
+    y AS (SELECT text, place, seg FROM a WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.text = a.text AND a.place >= x.s AND a.e <= x.e) UNION ALL SELECT text, place, seg FROM b WHERE EXISTS (SELECT 1 FROM x WHERE x.text = b.text AND b.place >= x.s AND b.e <= x.e))
+    SELECT text, string_agg(seg, ' ' ORDER BY place) AS words FROM y GROUP BY 1""")
+def arbitrated_names(spark, sf):
+    """Part names cut by words of six letters or more alone; longest matches of all words decide the unknown runs."""
+    texts = part_texts(spark, sf).select("text").distinct()
+    words = part_words(spark, sf).checkpoint()
+    rows = segment.lattice(texts, LATIN, 16, "text", "text").checkpoint()
+    costs = lm.unigram_costs(words.withColumnRenamed("word", "token"))[0]
+    first = segment.best_paths(segment.priced(rows, words.filter(F.length("word") >= 6), costs.filter(F.length("token") >= 6)), key="text")
+    return repair.arbitrated(first, segment.max_match(rows, words, "text"), words, LATIN, key="text").select("text", F.array_join("words", " ").alias("words"))
+
+
+@query()
+def ocr_words(spark, sf):
+    """What spaces part in the documents in Myanmar letters, cleaned as scanned text, as words of the passages: cut, corrected,
+    cut again, arbitrated. Equal words are cut once."""
+    found = F.split(clean.ocr_clean(F.col("text")), "[ ၊။]")
+    texts = script_docs(spark, sf).select(F.explode(F.array_distinct(found)).alias("text")).filter("text <> ''").distinct().withColumn("found", F.col("text"))
+    words = lm.unigrams(tx.tokens(table(spark, sf, "benchmark"), LATIN, "item_id")).select(clean.ocr_clean(F.translate("token", FROM, TO)).alias("token"), "n")
+    words = words.filter("token <> ''").groupBy("token").agg(F.sum("n").alias("n")).checkpoint()
+    done = repair.scanned(texts, words.select(F.col("token").alias("word")), lm.unigram_costs(words)[0], MYANMAR, key="found")
+    return done.select("found", F.array_join("words", " ").alias("words"), F.size("marks").alias("n_marks"))
+
+
 # Search.
 
 CTX = f"""{NAMES}, cw AS (SELECT DISTINCT query, left(query, 3) AS other FROM mis)"""
@@ -587,6 +656,19 @@ def script_lines(spark, sf):
     return script_docs(spark, sf).select("doc_id", t.alias("t")).select("doc_id", F.length("t").alias("n"), F.md5("t").alias("text_md5"))
 
 
+FOLLOW, ONCE = r"\x{102B}-\x{103E}\x{1056}-\x{1059}", r"\x{102B}\x{102C}\x{102D}\x{102E}\x{102F}\x{1030}\x{1032}\x{1036}\x{1037}\x{1038}\x{103A}"
+
+
+@query(rf"""WITH n AS (SELECT doc_id, nfc_normalize(replace(replace({MY_SQL}, chr(4160), chr(4125)), chr(176), '')) AS t FROM documents),
+    k AS (SELECT doc_id, regexp_replace(regexp_replace(t, '[^ \t-\r\x{{1000}}-\x{{109F}}\x{{A9E0}}-\x{{A9FF}}\x{{AA60}}-\x{{AA7F}}]', '', 'g'), '[ \t-\r]+', ' ', 'g') AS t FROM n),
+    c AS (SELECT doc_id, regexp_extract_all(regexp_replace(t, '(^|[ \x{{104A}}\x{{104B}}])[{FOLLOW}]+', '\1', 'g'), '[^{FOLLOW}][{FOLLOW}]*') AS c FROM k),
+    o AS (SELECT doc_id, trim(regexp_replace(array_to_string(list_transform(c, lambda x: array_to_string(list_filter(regexp_extract_all(x, '(?s).'), lambda m, i: NOT regexp_matches(m, '^[{ONCE}]$') OR list_position(regexp_extract_all(x, '(?s).'), m) = i), '')), ''), ' +', ' ', 'g')) AS t FROM c)
+    SELECT doc_id, length(t)::INTEGER AS n, md5(t) AS text_md5 FROM o""")
+def script_ocr_cleaned(spark, sf):
+    """The documents in Myanmar letters, cleaned as scanned text."""
+    return script_docs(spark, sf).select("doc_id", clean.ocr_clean(F.col("text")).alias("t")).select("doc_id", F.length("t").alias("n"), F.md5("t").alias("text_md5"))
+
+
 @query("WITH t AS (SELECT doc_id, nfc_normalize(replace(replace(coalesce(text, ''), 'é', 'e' || chr(769)), 'ñ', 'n' || chr(771))) AS t FROM documents) SELECT doc_id, length(t)::INTEGER AS n, md5(t) AS text_md5 FROM t")
 def nfc_texts(spark, sf):
     """The documents with some letters taken apart, composed again."""
