@@ -151,14 +151,15 @@ def posting_sums(postings: DataFrame, most: int = 1 << 18) -> DataFrame:
     return postings.mapInArrow(run, "lang string, a long, b long, value long")
 
 
-def audit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least_docs: int = 10, top: int = 10, heavy: int = HEAVY, tile: int = TILE, chunk: int = CHUNK) -> DataFrame:
+def audit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least_docs: int = 10, top: int = 10, heavy: int = HEAVY, tile: int = TILE, chunk: int = CHUNK, most_sent: int = 100_000) -> DataFrame:
     """(lang, source, part, item, value, rank): part `pair` has each other source of the language by divergence, part `term`
     the top terms that the group has more often than its language.
 
     Null texts, languages and sources are empty strings; a group of empty texts alone is a group still, without counts. A
     language keeps the terms of at least so many of its documents; without any, pairs have the value 0. Ties go to the
     lesser name in UTF-8. Repeated rows count each. An empty table gives none. What a task holds is bounded by the tile
-    (sources) and the chunk (terms); the result has a row for each ordered pair of sources of a language.
+    (sources) and the chunk (terms); the result has a row for each ordered pair of sources of a language. Up to most_sent languages, their
+    totals are sent to all tasks; more are joined.
     """
     src = df.select(*(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(n) for c, n in ((text_col, "text"), (lang_col, "lang"), (source_col, "source"))))
     counted = written(counts(src), "counts")
@@ -168,7 +169,9 @@ def audit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", source_
     of_lang = terms.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("in_lang").alias("lang_total"), F.count_if(F.col("sources") <= heavy).alias("light"))
     totals = used.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    groups = counted.filter("term is null").select("lang", "source").join(totals, ["lang", "source"], "left").join(of_lang, "lang", "left")
+    of_lang = written(of_lang, "langs")
+    sent = F.broadcast if of_lang.count() <= most_sent else lambda df: df  # noqa: E731  a row for each language: else joined
+    groups = counted.filter("term is null").select("lang", "source").join(totals, ["lang", "source"], "left").join(sent(of_lang), "lang", "left")
     place = F.row_number().over(Window.partitionBy("lang").orderBy("source")).cast("long") - 1
     groups = written(groups.select("lang", "source", *map(zero, ("total", "kept", "lang_total", "light"))).withColumn("at", place), "groups")
     used = used.join(groups, ["lang", "source"])
@@ -180,7 +183,7 @@ def audit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", source_
     more = more.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top)
 
     chunks = F.ceil(F.col("heavy") / chunk).cast("int")
-    in_chunk = terms.filter(F.col("sources") > heavy).join(of_lang.select("lang", (F.col("kept") - F.col("light")).alias("heavy")), "lang")
+    in_chunk = terms.filter(F.col("sources") > heavy).join(sent(of_lang.select("lang", (F.col("kept") - F.col("light")).alias("heavy"))), "lang")
     in_chunk = in_chunk.select("lang", "term", F.pmod(F.xxhash64("term"), chunks).cast("int").alias("chunk"))
     own = lambda name: F.transform(F.sort_array(F.collect_list(F.struct("_1", "_2"))), lambda s: s[name])
     dense = used.join(in_chunk, ["lang", "term"]).select("lang", "at", "chunk", F.xxhash64(F.lit(1), "term").alias("_1"), F.col("n").alias("_2"))
