@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from wordloom.functions import text as tx
 from wordloom.functions.profile import LATIN, MYANMAR
-from wordloom.operators import boundary, corpus, graph, lexicon, lm, pipeline, review, search, segment, tagging
+from wordloom.operators import boundary, corpus, graph, lexicon, lm, pipeline, review, search, segment, tagging, trees
 from __spark_entry__ import OWN as QUERIES
 from __spark_entry__ import OWN_SQL as ORACLE_SQL
 from wordloom.sources import readers
@@ -188,7 +188,7 @@ def test_brackets_and_chunks(spark):
 def test_graph(spark):
     tokens = [(1, 0, 1, "NOUN", "obj"), (1, 1, 1, "VERB", "ROOT"), (2, 0, 2, "NOUN", "obj"), (2, 1, 2, "PART", "case"), (2, 2, 2, "VERB", "ROOT"), (2, 3, 2, "ADJ", "acl"), (2, 4, 3, "NOUN", "nsubj")]
     df = spark.createDataFrame(tokens, "doc long, i int, head int, upos string, dep string")
-    got = {(r.doc, r.chunk_head): (sorted(r.members), r.depth, r.pos) for r in graph.chunk_model(df).collect()}
+    got = {(r.doc, r.chunk_head): (sorted(r.members), r.depth, r.pos) for r in trees.chunk_model(df).collect()}
     assert got == {(1, 1): ([0, 1], 0, "ROOT"), (2, 2): ([0, 1, 2], 0, "ROOT"), (2, 3): ([3, 4], 1, "ADJ")}
     depth = {(r.doc, r.i): r.depth for r in graph.depths(df.select("doc", "i", "head")).collect()}
     assert depth == {(1, 0): 1, (1, 1): 0, (2, 0): 1, (2, 1): 1, (2, 2): 0, (2, 3): 1, (2, 4): 2}

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -102,56 +101,6 @@ def bottom_up(tokens: DataFrame, threshold: int = 5, key: str = "doc") -> DataFr
     return tokens.select(key, "i").join(labels, [key, "i"], "left").select(key, "i", F.coalesce("chunk", "i").alias("chunk"))
 
 
-def chunk_model(tokens: DataFrame, max_depth: int = 4, key: str = "doc") -> DataFrame:
-    """(key, chunk_head, members, depth, pos, i_depth): contiguous pieces of the subtrees down to a depth.
-
-    tokens: (key, i, head, upos, dep). A root's phrase is the run around it of its own leaf children; every other
-    child that has children heads a chunk of the run of its subtree around it. A sentence is one bounded group."""
-
-    def model(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = pdf.sort_values("i")
-        ids = t["i"].tolist()
-        head, upos, dep = dict(zip(ids, t["head"])), dict(zip(ids, t["upos"])), dict(zip(ids, t["dep"]))
-        kids: dict = {i: [] for i in ids}
-        roots = []
-        for i in ids:
-            (roots if head[i] == i or head[i] not in kids else kids[head[i]]).append(i)
-        depth, todo = {}, [(r, 0) for r in roots]
-        order = []
-        while todo:
-            i, d = todo.pop()
-            if i not in depth:
-                depth[i] = d
-                order.append(i)
-                todo += [(k, d + 1) for k in kids[i]]
-        below = {i: {i} for i in ids}
-        for i in reversed(order):
-            for k in kids[i]:
-                below[i] |= below[k]
-
-        def run(center, members):
-            lo = hi = center
-            while lo - 1 in members:
-                lo -= 1
-            while hi + 1 in members:
-                hi += 1
-            return list(range(lo, hi + 1))
-
-        out = []
-        for i in ids:
-            if i in roots:
-                out.append((i, run(i, {i, *(k for k in kids[i] if not kids[k])}), 0, "ROOT"))
-            elif i in depth and kids[i] and depth[i] <= max_depth:
-                out.append((i, run(i, below[i]), depth[i], upos[i]))
-            elif i in depth and dep[i] == "acl" and depth[i] <= max_depth:
-                out.append((i, [i], depth[i], upos[i]))
-        k = pdf[key].iloc[0]
-        return pd.DataFrame([(k, h, m, d, p) for h, m, d, p in out], columns=[key, "chunk_head", "members", "depth", "pos"])
-
-    kind = tokens.schema[key].dataType.simpleString()
-    return tokens.groupBy(key).applyInPandas(model, f"{key} {kind}, chunk_head int, members array<int>, depth int, pos string")
-
-
 def tops(tokens: DataFrame, most_jump: int | None = None, key: str = "doc") -> DataFrame:
     """(key, i, top): the last ancestor that a token reaches by steps to its head, none of them longer than a jump.
     Pointer doubling, as in depths; a cycle ends after as many rounds as its tokens can need."""

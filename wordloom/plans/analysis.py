@@ -13,6 +13,7 @@ from wordloom.functions import clean, tags
 from wordloom.functions import text as tx
 from wordloom.functions.profile import LATIN, MYANMAR
 from wordloom.operators import boundary, corpus, graph, lexicon, lm, pipeline, repair, search, segment, tagging
+from wordloom.operators import trees as tours
 from wordloom.plans.oracle import BCOST, BENCH, LAYERS, NAMES, PWORDS, TREES, UCOST, VOC, WORD, tok
 from wordloom.plans.queries import bench_arrays, doc_arrays, doc_pairs, doc_tokens, layers, misspelt, part_names, part_texts, part_words, r6, table, tagged, trees, vocabulary
 from wordloom.functions.romanize import romanized
@@ -395,11 +396,111 @@ def root_paths(spark, sf):
     return graph.root_paths(trees(spark, sf)).select("doc", "i", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
 
 
-@query()
+def split_sql(name: str, source: str) -> str:
+    """Clauses with several tops split, as SQL: {name} (doc, i, clause) of source (doc, i, clause); new ones are numbered on."""
+    return f"""{name}b AS (SELECT a.doc, a.i, min(a.d) AS b FROM anc a JOIN {source} x ON x.doc = a.doc AND x.i = a.i JOIN {source} y ON y.doc = a.doc AND y.i = a.a WHERE x.clause <> y.clause GROUP BY 1, 2),
+    {name}t AS (SELECT a.doc, a.i, arg_max(a.a, a.d) AS top FROM anc a LEFT JOIN {name}b b ON b.doc = a.doc AND b.i = a.i WHERE a.d < coalesce(b.b, 1000000) GROUP BY 1, 2),
+    {name}o AS (SELECT s.doc, s.i, s.clause, t.top, n.up, n.kids FROM {source} s JOIN {name}t t ON t.doc = s.doc AND t.i = s.i JOIN tn n ON n.doc = s.doc AND n.i = s.i),
+    {name}g AS (SELECT doc, clause, count(*) > 1 AND count(DISTINCT coalesce(up, -1)) = 1 AS whole, min(i) AS f0, min(i) FILTER (WHERE kids) AS f1 FROM {name}o WHERE i = top AND clause <> 0 GROUP BY 1, 2),
+    {name}n AS (SELECT o.doc, o.clause, o.i AS top, (SELECT max(clause) FROM {source} m WHERE m.doc = o.doc) + row_number() OVER (PARTITION BY o.doc ORDER BY o.clause, o.i) AS new
+        FROM {name}o o JOIN {name}g g ON g.doc = o.doc AND g.clause = o.clause WHERE o.i = o.top AND (whole OR o.kids) AND o.i <> CASE WHEN whole THEN f0 ELSE f1 END),
+    {name} AS (SELECT o.doc, o.i, CASE WHEN n.new IS NOT NULL AND (g.whole OR o.kids) THEN n.new ELSE o.clause END AS clause FROM {name}o o LEFT JOIN {name}g g ON g.doc = o.doc AND g.clause = o.clause LEFT JOIN {name}n n ON n.doc = o.doc AND n.clause = o.clause AND n.top = o.top)"""
+
+
+def clause_sql(branch: int = 1, drop: int = 3) -> str:
+    """Linear clauses as SQL: cls (doc, i, clause) of tre (doc, i, head)."""
+    return f"""anc AS (SELECT doc, i, i AS a, 0 AS d FROM tre UNION ALL SELECT c.doc, c.i, t.head, c.d + 1 FROM anc c JOIN tre t ON t.doc = c.doc AND t.i = c.a WHERE t.head IS NOT NULL),
+    hg AS (SELECT doc, a AS i, max(d) AS h, count(*) AS size FROM anc GROUP BY 1, 2), dp AS (SELECT doc, i, max(d) AS depth FROM anc GROUP BY 1, 2),
+    tn AS (SELECT t.doc, t.i, t.head AS up, depth, h > 0 AS kids, h > {branch} AS br FROM tre t JOIN hg USING (doc, i) JOIN dp USING (doc, i)),
+    bh AS (SELECT doc, i, lag(i) OVER (PARTITION BY doc ORDER BY i) AS p FROM tn WHERE br), bl AS (SELECT b.doc, b.i, bool_or(a.i IS NOT NULL) AS line FROM bh b LEFT JOIN anc a ON a.doc = b.doc AND ((a.i = b.i AND a.a = b.p) OR (a.i = b.p AND a.a = b.i)) GROUP BY 1, 2),
+    bg AS (SELECT doc, i, sum(CASE WHEN line THEN 0 ELSE 1 END) OVER (PARTITION BY doc ORDER BY i)::BIGINT AS g FROM bl), nb AS (SELECT a.doc, a.i, arg_min(g, d) AS g FROM anc a JOIN bg ON bg.doc = a.doc AND bg.i = a.a GROUP BY 1, 2), ab AS (SELECT doc, bool_or(br) AS anybr FROM tn GROUP BY 1),
+    c0 AS (SELECT t.doc, t.i, depth, anybr, CASE WHEN anybr THEN coalesce(g, 0) ELSE 1 END AS c FROM tn t JOIN ab USING (doc) LEFT JOIN nb USING (doc, i)), cf AS (SELECT *, anybr AND c <> 0 AND coalesce(depth - lag(depth) OVER (PARTITION BY doc, c ORDER BY i) >= {drop}, FALSE) AS falls FROM c0),
+    cp AS (SELECT *, sum(falls::INTEGER) OVER (PARTITION BY doc, c ORDER BY i) AS part FROM cf), c1 AS (SELECT doc, i, CASE WHEN c = 0 THEN 0 ELSE dense_rank() OVER (PARTITION BY doc ORDER BY c, part) END AS clause FROM cp), {split_sql('s1', 'c1')},
+    c2 AS (SELECT s.doc, s.i, CASE WHEN n.kids OR u.clause IS NULL THEN s.clause ELSE u.clause END AS clause FROM s1 s JOIN tn n USING (doc, i) LEFT JOIN s1 u ON u.doc = s.doc AND u.i = n.up),
+    cb AS (SELECT *, last_value(nullif(clause, 0) IGNORE NULLS) OVER (PARTITION BY doc ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM c2),
+    c3 AS (SELECT doc, i, CASE WHEN clause = 0 THEN 0 ELSE sum(CASE WHEN clause <> 0 AND clause IS DISTINCT FROM b THEN 1 ELSE 0 END) OVER (PARTITION BY doc ORDER BY i) END AS clause FROM cb), {split_sql('s2', 'c3')}, cls AS (SELECT doc, i, clause::BIGINT AS clause FROM s2)"""
+
+
+def chunk_sql(most: int = 4) -> str:
+    """Chunk members as SQL: mem (doc, head, depth, i, kind) of the trees and clauses of clause_sql."""
+    return f"""lf AS (SELECT doc, i, up FROM tn WHERE NOT kids AND up IS NOT NULL), bt AS (SELECT l.doc, l.i, count(m.i) = abs(l.i - l.up) - 1 AS beside FROM lf l LEFT JOIN lf m ON m.doc = l.doc AND m.up = l.up AND m.i > least(l.i, l.up) AND m.i < greatest(l.i, l.up) GROUP BY l.doc, l.i, l.up),
+    mem AS (SELECT a.doc, a.a AS head, h.depth, a.i, CASE WHEN a.d = 0 THEN 'own' WHEN n.kids OR beside THEN 'member' ELSE 'extra' END AS kind FROM anc a JOIN tn h ON h.doc = a.doc AND h.i = a.a AND h.kids AND h.depth <= {most} JOIN tn n ON n.doc = a.doc AND n.i = a.i
+        LEFT JOIN bt ON bt.doc = a.doc AND bt.i = a.i JOIN cls x ON x.doc = a.doc AND x.i = a.i JOIN cls y ON y.doc = a.doc AND y.i = a.a WHERE CASE WHEN h.depth = 0 THEN a.d = 0 OR (a.d = 1 AND NOT n.kids) ELSE x.clause = y.clause END)"""
+
+
+UPOS_SQL = "CASE WHEN {i} % 3 = 0 THEN 'NOUN' ELSE 'VERB' END"
+
+
+def tagged_trees(spark, sf) -> DataFrame:
+    return trees(spark, sf).withColumn("upos", F.when(F.col("i") % 3 == 0, "NOUN").otherwise("VERB")).checkpoint()
+
+
+@query(f"WITH RECURSIVE {TREES}, {clause_sql()} SELECT doc, i, clause FROM cls")
+def linear_clauses(spark, sf):
+    """Clauses of the passages' trees, from left to right."""
+    return tours.clause_groups(trees(spark, sf))
+
+
+@query(f"""WITH RECURSIVE {TREES}, {clause_sql()}, {chunk_sql()}, c AS (SELECT doc, head, depth, list_sort(list(i) FILTER (WHERE kind <> 'extra')) AS m, list_sort(coalesce(list(i) FILTER (WHERE kind = 'extra'), [])) AS x FROM mem GROUP BY 1, 2, 3)
+    SELECT doc, head AS chunk_head, array_to_string(m, ',') AS members, array_to_string(x, ',') AS extras, depth::INTEGER AS depth, CASE WHEN depth = 0 THEN 'ROOT' ELSE {UPOS_SQL.format(i='head')} END AS pos, FALSE AS singleton FROM c
+    UNION ALL SELECT doc, i, i::VARCHAR, '', depth, {UPOS_SQL.format(i='i')}, TRUE FROM mem WHERE kind = 'extra'""")
 def chunk_models(spark, sf):
-    """Chunks of the passages' trees."""
-    t = trees(spark, sf).withColumn("head", F.coalesce("head", "i")).withColumn("upos", F.when(F.col("i") % 3 == 0, "NOUN").otherwise("VERB")).withColumn("dep", F.when(F.col("i") % 5 == 0, "acl").otherwise("obj"))
-    return graph.chunk_model(t).select("doc", "chunk_head", F.array_join(F.array_sort("members").cast("array<string>"), ",").alias("members"), "depth", "pos")
+    """Chunks of the passages' trees, split at clauses."""
+    t = tagged_trees(spark, sf)
+    tour = tours.euler(t)
+    listed = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
+    return tours.chunk_model(t, clauses=tours.clause_groups(t, tour=tour), tour=tour).select("doc", "chunk_head", listed("members"), listed("extras"), "depth", "pos", "singleton")
+
+
+@query(f"""WITH RECURSIVE {TREES}, {clause_sql()}, {chunk_sql()}, b AS (SELECT doc, i, arg_max({{'h': head, 'd': depth, 'k': kind}}, depth) AS c FROM mem GROUP BY 1, 2)
+    SELECT t.doc, t.i, CASE WHEN c.k = 'extra' THEN t.i ELSE coalesce(c.h, t.i) END AS chunk_head, coalesce(c.d, -1)::INTEGER AS depth, CASE WHEN c IS NULL OR c.k = 'extra' THEN {UPOS_SQL.format(i='t.i')} WHEN c.d = 0 THEN 'ROOT' ELSE {UPOS_SQL.format(i='c.h')} END AS pos
+    FROM tre t LEFT JOIN b ON b.doc = t.doc AND b.i = t.i""")
+def canonical_chunks(spark, sf):
+    t = tagged_trees(spark, sf)
+    tour = tours.euler(t)
+    return tours.canonical_chunks(t, clauses=tours.clause_groups(t, tour=tour), tour=tour)
+
+
+@query(f"""WITH RECURSIVE {TREES}, w AS (SELECT doc, i, lpad(i::VARCHAR, 6, '0') AS path, 0 AS depth FROM tre WHERE head IS NULL UNION ALL SELECT t.doc, t.i, w.path || '/' || lpad(t.i::VARCHAR, 6, '0'), w.depth + 1 FROM w JOIN tre t ON t.doc = w.doc AND t.head = w.i),
+    s AS (SELECT a.doc, a.i, count(*) AS size, max(b.depth) - a.depth AS height FROM w a JOIN w b ON b.doc = a.doc AND (b.path = a.path OR starts_with(b.path, a.path || '/')) GROUP BY a.doc, a.i, a.depth)
+    SELECT w.doc, w.i, w.depth::INTEGER AS depth, row_number() OVER (PARTITION BY w.doc ORDER BY string_split(path, '/')) - 1 AS entry, size, height::INTEGER AS height, split_part(path, '/', 1)::INTEGER AS root FROM w JOIN s ON s.doc = w.doc AND s.i = w.i""")
+def euler_tours(spark, sf):
+    return tours.euler(trees(spark, sf)).select("doc", "i", "depth", "entry", "size", "height", "root")
+
+
+def highlight_sql(roll: bool) -> str:
+    """Highlight sets as SQL, from the trees alone."""
+    acl, verb = "{i} % 5 = 0", "{i} % 3 <> 0"
+    counts = acl.format(i="h.br") if roll else "TRUE"
+    rolls = f"NOT x.kids OR NOT ({acl.format(i='x.br')})" if roll else "NOT x.kids"
+    reach = f"""UNION SELECT m.doc, m.root, m.i FROM br m JOIN tk k ON k.doc = m.doc AND k.br = m.br WHERE m.i <> m.root AND k.kids AND NOT EXISTS (SELECT 1 FROM tk s WHERE s.doc = k.doc AND s.root = k.root AND s.kids AND {acl.format(i='s.br')} AND {verb.format(i='s.br')}
+            AND sign(s.br - s.root) = sign(k.br - k.root) AND abs(s.br - s.root) <= abs(k.br - k.root))""" if roll else ""
+    return f"""anc AS (SELECT doc, i, i AS a, 0 AS d FROM tre UNION ALL SELECT c.doc, c.i, t.head, c.d + 1 FROM anc c JOIN tre t ON t.doc = c.doc AND t.i = c.a WHERE t.head IS NOT NULL), kd AS (SELECT DISTINCT doc, head AS i FROM tre WHERE head IS NOT NULL),
+    rt AS (SELECT doc, i, arg_max(a, d) AS root, max(d) AS depth FROM anc GROUP BY 1, 2), br AS (SELECT r.doc, r.i, r.root, coalesce(a.a, r.i) AS br FROM rt r LEFT JOIN anc a ON a.doc = r.doc AND a.i = r.i AND r.depth > 0 AND a.d = r.depth - 1),
+    tk AS (SELECT b.doc, b.i AS br, b.root, k.i IS NOT NULL AS kids FROM br b LEFT JOIN kd k ON k.doc = b.doc AND k.i = b.i WHERE b.i = b.br AND b.i <> b.root),
+    ps AS (SELECT b.doc, b.root, b.i FROM br b JOIN tk h ON h.doc = b.doc AND h.br = b.br AND h.kids AND {counts}),
+    nr AS (SELECT doc, root, root AS i FROM rt WHERE depth = 0 UNION SELECT x.doc, x.root, x.br FROM tk x WHERE NOT x.kids AND abs(x.br - x.root) - 1 = (SELECT count(*) FROM tk y WHERE y.doc = x.doc AND y.root = x.root AND NOT y.kids AND y.br > least(x.br, x.root) AND y.br < greatest(x.br, x.root)) {reach}),
+    nr0 AS (SELECT n.* FROM nr n JOIN br b ON b.doc = n.doc AND b.i = n.i LEFT JOIN tk t ON t.doc = b.doc AND t.br = b.br WHERE b.i = b.root OR (b.i = b.br AND NOT t.kids)),
+    rl AS (SELECT x.doc, x.br, x.root, ({rolls}) AND NOT EXISTS (SELECT 1 FROM ps WHERE ps.doc = x.doc AND ps.root = x.root AND ps.i > least(x.br, x.root) AND ps.i < greatest(x.br, x.root)) AS rolled FROM tk x),
+    mm AS (SELECT doc, br AS branch, i FROM br WHERE br <> root UNION SELECT l.doc, l.br, n.i FROM rl l JOIN nr n ON n.doc = l.doc AND n.root = l.root WHERE rolled UNION SELECT doc, root, i FROM nr0)
+    SELECT mm.doc, branch, array_to_string(list_sort(list(mm.i)), ',') AS members, coalesce(any_value(rolled), FALSE) AS rolled FROM mm LEFT JOIN rl ON rl.doc = mm.doc AND rl.br = branch GROUP BY mm.doc, branch"""
+
+
+def highlighted(spark, sf, roll: bool) -> DataFrame:
+    t = tagged_trees(spark, sf).withColumn("dep", F.when(F.col("i") % 5 == 0, "acl").otherwise("obj"))
+    sets = tours.highlights(t, roll)[1]
+    return sets.select("doc", "branch", F.array_join(F.col("members").cast("array<string>"), ",").alias("members"), "rolled")
+
+
+@query(f"WITH RECURSIVE {TREES}, {highlight_sql(False)}")
+def highlight_sets(spark, sf):
+    """What each branch of the passages' trees shows."""
+    return highlighted(spark, sf, False)
+
+
+@query(f"WITH RECURSIVE {TREES}, {highlight_sql(True)}")
+def highlight_sets_rolled(spark, sf):
+    return highlighted(spark, sf, True)
 
 
 # Treebanks.
