@@ -2,8 +2,10 @@
 
 Every node of the page's tree gets its characters per tag, adjusted by how much of both is links. The block whose
 children's densities sum up highest is the core of the article; the least density on its way up to the body is the
-threshold that its neighbours must reach to belong to it. Elements that are something else by their tag or role (menus,
-forms, scripts), and those whose class or id names them adverts, reader comments or notices, take no part.
+threshold that its neighbours must reach to belong to it. The core is a part where an article is made of several: it grows
+to the <article> that holds it, or else takes the headings, sections and other blocks beside it and beside what holds it,
+where they are no lists of links. Elements that are something else by their tag or role (menus, forms, scripts) take no
+part, nor do containers whose class or id names them reader comments, or adverts and notices where they hold few blocks.
 """
 
 from __future__ import annotations
@@ -44,11 +46,15 @@ ASIDE = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored comment comments commentlist disqus cookie cookies "
     "consent gdpr breadcrumb breadcrumbs newsletter paywall popup modal lightbox skip".split()
 )
+COMMENTS = frozenset(["comment", "comments", "commentlist", "disqus"])
+HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
+#: What an article is made of, beside plain containers; and what a class or id may name: containers and links.
+PARTS = HEADINGS | frozenset(["section", "header", "hgroup", "p", "pre", "blockquote", "figure", "table", "dl", "ul", "ol", "details", "address"])
 TEXTUAL = frozenset("p pre blockquote h1 h2 h3 li td dd".split())
 
 PARAGRAPHS = frozenset("p pre h1 h2 h3 h4 h5 h6".split())
 
-OPENS, HINTED = BLOCK | {"a", "span", "b", "i"}, BLOCK | {"span", "ins", "a"}
+OPENS, HINTED = BLOCK | {"a", "span", "b", "i"}, BLOCK - PARAGRAPHS - {"blockquote", "figcaption", "caption", "summary", "td", "dd"}
 P, NO_FENCE = frozenset(["p"]), frozenset()
 P_FENCE = frozenset("button td th li table object applet".split())
 
@@ -132,12 +138,14 @@ class Page:
 
 
 def marks(attrs: str) -> tuple[set[str], str, bool]:
-    """Words of class and id, role, and whether the element is hidden."""
+    """Words of class and of an id of one or two words (longer ones are made of titles), role, and whether the element is hidden."""
     words, role, hidden = set(), "", False
     for name, a, b, c in ATTRIBUTE.findall(attrs):
         name, value = name.lower(), (a or b or c).lower()
         if name in ("class", "id"):
-            words.update(WORD.findall(value))
+            found = WORD.findall(value)
+            if name == "class" or len(found) <= 2:
+                words.update(found)
         elif name == "role":
             role = value.strip()
         elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
@@ -150,12 +158,19 @@ def extract(html: str) -> str:
     page = Page(html)
     tag, parent, n = page.tag, page.parent, len(page.tag)
     clean = [(k, unescape(t) if "&" in t else t) for k, t in page.runs]
-    plain = [0] * n  # characters of textual elements, to tell containers of the article from side matter
+    plain, linked, several = [0] * n, [0] * n, [0] * n  # to tell what names itself side matter from parts of the article
+    link = [False] * n
+    for k in range(1, n):
+        link[k] = link[parent[k]] or tag[k] == "a"
     for k, t in clean:
         if t:
             plain[k] += len(t.strip())
+            linked[k] += link[k] and len(t.strip())
     for k in range(n - 1, 0, -1):
-        plain[parent[k]] += plain[k]
+        up = parent[k]
+        plain[up] += plain[k]
+        linked[up] += linked[k]
+        several[up] += several[k] + (tag[k] in TEXTUAL and plain[k] > 0)
     out, inside = [False] * n, [False] * n
     for k in range(1, n):
         up = parent[k]
@@ -169,12 +184,12 @@ def extract(html: str) -> str:
             words, role, hidden = marks(page.attrs[k])
             if hidden or role in ROLES:
                 out[k] = tag[k] not in ("body", "html", "main")
-            elif tag[k] not in ("body", "html", "main") and tag[k] in HINTED:
-                out[k] = bool(words & ASIDE) and 2 * plain[k] < 1.9 * plain[0]  # not what holds nearly all of the text
+            elif tag[k] == "a":
+                out[k] = "skip" in words
+            elif tag[k] not in ("body", "html", "main") and tag[k] in HINTED and words & ASIDE:
+                few = several[k] < 3 or 2 * linked[k] > plain[k]
+                out[k] = (few or bool(words & COMMENTS)) and 2 * plain[k] < 1.9 * plain[0]  # not what holds nearly all of the text
     chars, tags, link_chars, link_tags, textual = [0] * n, [0] * n, [0] * n, [0] * n, [0] * n
-    link = [False] * n
-    for k in range(1, n):
-        link[k] = link[parent[k]] or tag[k] == "a"
     for k, t in clean:
         if t and not out[k]:
             size = len(t.strip())
@@ -216,17 +231,30 @@ def extract(html: str) -> str:
     while path[-1] not in (body, 0):
         path.append(parent[path[-1]])
     threshold = min(dense[k] for k in path)
-    chosen, on_path = {core}, set(path)
+    article = next((k for k in path if tag[k] == "article"), -1)
+    whole = article if article >= 0 else core
+    chosen, on_path = {whole}, set(path[path.index(whole) :])
+    for k in range(1, n):
+        if parent[k] in on_path and k not in on_path and not out[k] and chars[k]:
+            dense_near = dense[k] >= threshold and (textual[k] or tag[k] in TEXTUAL) and 3 * link_chars[k] < chars[k]
+            part = tag[k] in PARTS and 3 * link_chars[k] < chars[k]
+            # Beside an <article> stand other things, but for its title and more articles.
+            fits = dense_near and tag[k] in ("article", "section") or part and tag[k] in HEADINGS | {"header", "hgroup"} if article >= 0 else dense_near or part
+            if fits:
+                chosen.add(k)
+    taken, before = [False] * n, [0] * n
+    last = [0] * n
     for k in range(1, n):
-        near = parent[k] in on_path and k not in on_path and not out[k]
-        if near and dense[k] >= threshold and (textual[k] or tag[k] in TEXTUAL) and 3 * link_chars[k] < chars[k]:
-            chosen.add(k)
-    taken = [False] * n
+        if not out[k] and chars[k]:
+            before[k], last[parent[k]] = last[parent[k]], k
     for k in range(n):
         if not out[k]:
-            # A page without a container has its menus beside the article's blocks: lists of links that are less dense than it.
+            # A page without a container has its menus beside the article's blocks: lists of links that are less dense than it,
+            # but lists of works, numbered under a heading or with text of their own after the article's.
             beside = core == body and k > 0 and parent[k] == body and dense[k] < threshold and 2 * link_chars[k] > chars[k]
-            taken[k] = k in chosen or k > 0 and taken[parent[k]] and not beside
+            listed = tag[k] in ("ol", "ul") and before[k] and any(tag[j] in PARAGRAPHS - HEADINGS for j in (before[k], before[before[k]]))
+            works = listed and (10 * link_chars[k] <= 9 * chars[k] or tag[k] == "ol" and tag[before[k]] in HEADINGS)
+            taken[k] = k in chosen or k > 0 and taken[parent[k]] and not (beside and not works)
     blocks, current = [], []
     for k, t in clean:
         if not t:
