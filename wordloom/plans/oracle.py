@@ -24,8 +24,9 @@ TALK = tok("ttok", "conversations", "id", "conv_id * 1000 + turn")
 UNI = "uni AS (SELECT token, count(*) AS n FROM tok GROUP BY 1)"
 UCOST = f"""{UNI}, mass AS (SELECT sum(n) + count(*) AS m FROM uni),
     ucost AS (SELECT token, n, -ln((n + 1) / m) AS cost, -ln(1 / m) AS default_cost FROM uni, mass)"""
-BI = """nxt AS (SELECT token AS w1, lead(token) OVER (PARTITION BY doc_id ORDER BY i) AS w2 FROM tok),
-    bi AS (SELECT w1, w2, count(*) AS n FROM nxt WHERE w2 IS NOT NULL GROUP BY ALL)"""
+#: Neighbours are a text's list zipped with its own tail; no window, and no order of all tokens.
+BI = f"""wds AS (SELECT regexp_extract_all(lower(coalesce(text, '')), '{WORD}') AS w FROM documents), nxt AS (SELECT unnest(w[1:len(w) - 1]) AS w1, unnest(w[2:]) AS w2 FROM wds WHERE len(w) > 1),
+    bi AS MATERIALIZED (SELECT w1, w2, count(*) AS n FROM nxt GROUP BY w1, w2)"""
 BCOST = f"""{BI}, v AS (SELECT greatest(count(DISTINCT w2), 1) AS v FROM bi),
     lft AS (SELECT w1, sum(n) + 0.1::DOUBLE * v AS m FROM bi, v GROUP BY w1, v), dflt AS (SELECT w1, -ln(0.1::DOUBLE / m) AS default_cost FROM lft),
     gdef AS (SELECT avg(default_cost) AS global_cost FROM dflt),
@@ -94,7 +95,7 @@ ORACLE_SQL |= {
     "bigrams": f"WITH {tok()}, {BI} SELECT w1, w2, n FROM bi",
     "spans_2_4": f"WITH {tok()}, {spans('tok', 'doc_id')} SELECT phrase, size, count(*) AS n FROM spn GROUP BY ALL",
     "unigram_cost": f"WITH {tok()}, {UCOST} SELECT token, n, round(cost, 6) AS cost, round(default_cost, 6) AS default_cost FROM ucost",
-    "bigram_cost": f"""WITH {tok()}, {BCOST} SELECT w1, w2, n, round(cost, 6) AS cost, round(default_cost, 6) AS default_cost, round(global_cost, 6) AS global_cost
+    "bigram_cost": f"""WITH {BCOST} SELECT w1, w2, n, round(cost, 6) AS cost, round(default_cost, 6) AS default_cost, round(global_cost, 6) AS global_cost
         FROM bcost JOIN dflt USING (w1), gdef""",
     "bigram_backoff": f"""WITH {tok()}, {UCOST}, {BCOST}, {BENCH}, q AS (SELECT token AS w1, lead(token) OVER (PARTITION BY item_id ORDER BY i) AS w2 FROM btok),
         a AS (SELECT DISTINCT w1, w2 FROM q WHERE w2 IS NOT NULL), un AS (SELECT any_value(default_cost) AS unseen FROM ucost)
@@ -103,7 +104,7 @@ ORACLE_SQL |= {
         FROM a LEFT JOIN bcost b ON a.w1 = b.w1 AND a.w2 = b.w2 LEFT JOIN dflt d ON d.w1 = a.w1 LEFT JOIN ucost u ON u.token = a.w2, gdef, un""",
     "rarity": f"""WITH {tok()}, {UCOST}, b AS (SELECT min(cost) AS lo, max(cost) AS hi FROM ucost)
         SELECT token, round(least(greatest(coalesce((cost - lo) / nullif(hi - lo, 0), 1 / (1 + exp(-(cost - 8) / 3))), 0), 1), 6) AS rarity FROM ucost, b""",
-    "collocations": f"""WITH {tok()}, {BCOST}, s AS (SELECT w1, w2, exp(-greatest(cost - 5, 0) / 3) AS s FROM bcost) SELECT w1, w2, round(s, 6) AS strength FROM s WHERE s > 0.02::DOUBLE""",
+    "collocations": f"""WITH {BCOST}, s AS (SELECT w1, w2, exp(-greatest(cost - 5, 0) / 3) AS s FROM bcost) SELECT w1, w2, round(s, 6) AS strength FROM s WHERE s > 0.02::DOUBLE""",
     "lexicon_resolve": f"WITH {LAYERS} SELECT headword, layer, priority, roman, pos, senses FROM ent WHERE rank = 1",
     "lexicon_all": f"WITH {BENCH}, {LAYERS}, t AS (SELECT DISTINCT token FROM btok) SELECT token, layer, rank::INTEGER AS rank, pos FROM t JOIN ent ON token = headword",
     "known_tokens": f"WITH {tok()}, {VOC}, {UNI} SELECT token, n FROM uni WHERE token IN (SELECT word FROM voc)",
@@ -216,7 +217,7 @@ ORACLE_SQL |= {
 RAW = "(SELECT {k}, unnest(range(len(w)))::INTEGER AS i, unnest(w) AS token FROM (SELECT {k}, regexp_extract_all(text, '[^ \\t\\n\\r\\f]+') AS w FROM {t}))"
 GARBAGE = r"(regexp_full_match(token, '[\p{N}\p{P}\p{S}]+') OR (NOT regexp_matches(token, '[\x{1000}-\x{109F}]') AND length(token) <= 2))"
 ENDS = f"""{pcs()}, ends AS (SELECT doc_id, count(*)::INTEGER AS n, list_sort(coalesce(list(i + 1) FILTER (WHERE regexp_matches(piece, '[.!?]')), [])) AS e FROM pcs GROUP BY 1)"""
-OVER = f"""{tok()}, {UCOST}, {BENCH}, bnd AS (SELECT min(cost) AS lo, max(cost) AS hi, any_value(default_cost) AS unseen FROM ucost),
+OVER = f"""tok AS (SELECT unnest(regexp_extract_all(lower(coalesce(text, '')), '{WORD}')) AS token FROM documents), {UCOST}, {BENCH}, bnd AS (SELECT min(cost) AS lo, max(cost) AS hi, any_value(default_cost) AS unseen FROM ucost),
     own AS (SELECT item_id, i, b.token, coalesce(cost, unseen) AS cost, cost IS NOT NULL AS known,
         CASE WHEN cost IS NULL THEN 1 ELSE least(greatest(coalesce((cost - lo) / nullif(hi - lo, 0), 1 / (1 + exp(-(cost - 8) / 3))), 0), 1) END AS rarity FROM btok b LEFT JOIN ucost u ON u.token = b.token, bnd)"""
 
