@@ -10,18 +10,19 @@ from wordloom.functions import clean
 
 
 def repair_roots(tokens: DataFrame) -> DataFrame:
-    """Exactly one root in each sentence: the first stays, a further one is attached to its left neighbour if it is a case
-    marker, else to its right one; the last token, or one whose right neighbour hangs on it, to the left. A sentence
-    without a root gets its first token. tokens: (sent_id, tok_id from 1, head, deprel, ...)."""
-    w = W.partitionBy("sent_id").orderBy("tok_id")
-    every = W.partitionBy("sent_id")
-    t = tokens.withColumn("_nth", F.sum((F.col("head") == 0).cast("int")).over(w)).withColumn("_roots", F.sum((F.col("head") == 0).cast("int")).over(every))
-    t = t.withColumn("_last", F.max("tok_id").over(every)).withColumn("_next_head", F.lead("head").over(w))
-    extra = (F.col("head") == 0) & (F.col("_nth") > 1)
-    left = (F.col("deprel") == "case") | (F.col("tok_id") == F.col("_last")) | (F.col("_next_head") == F.col("tok_id"))
-    head = F.when(extra, F.when(left & (F.col("tok_id") > 1), F.col("tok_id") - 1).otherwise(F.col("tok_id") + 1)).when((F.col("_roots") == 0) & (F.col("tok_id") == 1), 0).otherwise(F.col("head"))
-    deprel = F.when(extra & (F.col("deprel") == "root"), "dep").when((F.col("_roots") == 0) & (F.col("tok_id") == 1), "root").otherwise(F.col("deprel"))
-    return t.withColumn("head", head).withColumn("deprel", deprel).drop("_nth", "_roots", "_last", "_next_head")
+    """Exactly one root in each sentence: the first one whose relation says root, else the first. Further ones hang on it, but a
+    case marker on its left neighbour and part of a compound on its right one, where that is no root itself and does not
+    hang on them. A sentence without a root gets its first token whose relation says root, else its last. Relations stay.
+    tokens: (sent_id, tok_id from 1, head, deprel, ...)."""
+    w, every = W.partitionBy("sent_id").orderBy("tok_id"), W.partitionBy("sent_id")
+    is_root, says = F.col("head") == 0, F.col("deprel") == "root"
+    first = lambda c: F.min(F.when(c, F.col("tok_id"))).over(every)
+    t = tokens.withColumn("_primary", F.coalesce(first(is_root & says), first(is_root))).withColumn("_new", F.coalesce(first(says), F.max("tok_id").over(every)))
+    t = t.withColumn("_left", F.lag("head").over(w)).withColumn("_right", F.lead("head").over(w))
+    free = lambda head: head.isNotNull() & (head != 0) & (head != F.col("tok_id"))
+    near = F.when((F.col("deprel") == "case") & free(F.col("_left")), F.col("tok_id") - 1).when((F.col("deprel") == "compound") & free(F.col("_right")), F.col("tok_id") + 1)
+    head = F.when(F.col("_primary").isNull() & (F.col("tok_id") == F.col("_new")), 0).when(is_root & (F.col("tok_id") != F.col("_primary")), F.coalesce(near, "_primary")).otherwise(F.col("head"))
+    return t.withColumn("head", head).drop("_primary", "_new", "_left", "_right")
 
 
 def drop_tokens(tokens: DataFrame, dropped: Column) -> DataFrame:
