@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -80,6 +82,14 @@ def ocr_clean(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.array_join(F.transform(clusters, once), ""), " +", " "))
 
 
+def rewritten(text: Column, rules: list[tuple[str, str]]) -> Column:
+    """An ordered cascade of rewrites, as converters between encodings of a script are: each rule's pattern is replaced all over
+    what the rules before it have made; \\1 and the like stand for its groups, nothing for groups that took no part."""
+    for pattern, new in rules:
+        text = F.regexp_replace(text, pattern, re.sub(r"\\(\d)", r"$\1", new.replace("$", "\\$")))
+    return text
+
+
 def finite(value: Column, default: float = 0.0) -> Column:
     """value, or the default where it is null, NaN or infinite."""
     v = value.cast("double")

@@ -14,6 +14,7 @@ from pyspark.sql.window import Window as W
 
 from wordloom.functions import clean, tags
 from wordloom.functions import text as tx
+from wordloom.functions import syllables as syl
 from wordloom.functions.profile import LATIN, MYANMAR
 from wordloom.operators import boundary, corpus, lexicon, lm, segment, tagging
 from wordloom.plans.analysis import FROM, MY_SQL, TO, script_docs
@@ -348,6 +349,33 @@ def text_overrides(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.md5(tx.replace_all(F.coalesce("text", F.lit("")), [("the", "ze"), ("ze ", "Z")])).alias("text_md5"))
 
 
+def syllable_sql() -> str:
+    """Classes and breaks as SQL: chars of a table sd (id, t) in order, and whether a break follows."""
+    body = lambda x: "[" + __import__("re").sub(r"\\u([0-9A-F]{4})", r"\\x{\1}", x) + "]"
+    kind = "CASE " + " ".join(f"WHEN regexp_matches(c, '{body(v)}') THEN {k + 1}" for k, v in enumerate(syl.CLASSES.values())) + " ELSE 0 END"
+    table_ = "[" + ", ".join(str(x) for row in syl.BETWEEN for x in row) + "]"
+    return f"""cr AS (SELECT id, k, l[k] AS c, l[k + 1] AS c1, l[k + 2] AS c2, l[k + 3] AS c3 FROM (SELECT id, l, unnest(range(1, len(l) + 1)) AS k FROM (SELECT id, regexp_extract_all(t, '(?s).') AS l FROM sd))),
+    ck AS (SELECT DISTINCT c, {kind} AS kind FROM cr), cb AS (SELECT cr.*, {table_}[a.kind * 9 + b.kind + 1] AS st FROM cr JOIN ck a ON a.c = cr.c JOIN ck b ON b.c = cr.c1),
+    sb AS (SELECT id, k, st IN (0, 2, 3, 4) OR (st = 5 AND c <> chr(4129) AND c1 <> chr(4159) AND NOT coalesce(c2 IN (chr(4153), chr(4154)), FALSE) AND NOT coalesce(c2 = chr(4151) AND c3 = chr(4154), FALSE)) AS cut FROM cb)"""
+
+
+@query(f"""WITH sd AS (SELECT w AS id, w AS t FROM (SELECT DISTINCT w FROM (SELECT unnest(string_split_regex({MY_SQL}, '[\\n]')) AS w FROM documents) WHERE w <> '')), {syllable_sql()}
+    SELECT md5(cr.id) AS line_md5, md5(string_agg(cr.c || CASE WHEN coalesce(cut, FALSE) THEN '|' ELSE '' END, '' ORDER BY cr.k)) AS syllables_md5, (count(*) FILTER (WHERE cut) + 1)::INTEGER AS n FROM cr LEFT JOIN sb ON sb.id = cr.id AND sb.k = cr.k GROUP BY cr.id""")
+def rule_syllables(spark, sf):
+    """Distinct lines of the documents in Myanmar letters, broken into syllables by rules."""
+    t = script_docs(spark, sf).select(F.explode(F.split("text", "\n")).alias("t")).filter("t <> ''").distinct()
+    return t.withColumn("s", syl.syllables(F.col("t"))).select(F.md5("t").alias("line_md5"), F.md5(F.array_join("s", "|")).alias("syllables_md5"), F.size("s").alias("n"))
+
+
+REWRITES = [("th", "z"), ("([aeiou])(n)?d", "\\2\\1"), ("z(?=e)", "Z"), ("Z", "$")]
+
+
+@query("""SELECT doc_id, md5(replace(replace(regexp_replace(replace(lower(coalesce(text, '')), 'th', 'z'), '([aeiou])(n)?d', '\\2\\1', 'g'), 'ze', 'Ze'), 'Z', '$')) AS text_md5 FROM documents""")
+def rewrite_cascades(spark, sf):
+    """An ordered cascade of rewrites over the documents."""
+    return table(spark, sf, "documents").select("doc_id", F.md5(clean.rewritten(F.lower(F.coalesce("text", F.lit(""))), REWRITES)).alias("text_md5"))
+
+
 # Overlays and entities.
 
 @query("""WITH e AS (SELECT user_id AS doc, event_id AS i, event_type = 'purchase' AS kept FROM events), l AS (SELECT *, max(CASE WHEN kept THEN i END) OVER (PARTITION BY doc ORDER BY i) AS l, min(CASE WHEN kept THEN i END) OVER (PARTITION BY doc ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS r FROM e)

@@ -95,6 +95,12 @@ def read_kaikki(spark: SparkSession, path: str, lang: str) -> DataFrame:
     return out.select("headword", "roman", "pos", F.array_join("s.glosses", "; ").alias("sense"), "pos_in_file").filter("sense <> ''")
 
 
+def read_rules(spark: SparkSession, path: str) -> list[tuple[str, str]]:
+    """Rewrite rules (from, to) in the order of a JSON file of one array: a parameter, not a table, so they come to the driver."""
+    rows = spark.read.schema("`from` string, `to` string").option("multiLine", True).json(path)
+    return [(r["from"], r["to"]) for r in rows.collect()]
+
+
 def read_windows(spark: SparkSession, path: str) -> DataFrame:
     """Boundary records in JSON lines: tokens, pos, sent_end_after, source."""
     return spark.read.schema("tokens array<string>, pos array<struct<i: int, tok: string, upos: string, tag: string>>, sent_end_after array<int>, source string").json(path)
