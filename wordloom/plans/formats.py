@@ -12,14 +12,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from wordloom.functions import clean, tags
+from wordloom.functions import clean, markers, tags
 from wordloom.functions import text as tx
 from wordloom.functions import syllables as syl
 from wordloom.functions.profile import LATIN, MYANMAR
-from wordloom.operators import boundary, corpus, lexicon, lm, segment, tagging
+from wordloom.operators import boundary, clauses, corpus, lexicon, lm, segment, tagging
 from wordloom.plans.analysis import FROM, MY_SQL, TO, script_docs
-from wordloom.plans.oracle import BENCH, TREES, WORD
-from wordloom.plans.queries import OWN_FOLDER, bench_arrays, table, trees
+from wordloom.plans.oracle import BENCH, TREES, WORD, tok
+from wordloom.plans.queries import OWN_FOLDER, bench_arrays, doc_tokens, table, trees
 from wordloom.sources import readers, treebanks
 
 QUERIES: dict = {}
@@ -376,6 +376,69 @@ def rewrite_cascades(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.md5(clean.rewritten(F.lower(F.coalesce("text", F.lit(""))), REWRITES)).alias("text_md5"))
 
 
+# Clauses.
+
+FORMS = ["စာ", "သွား", "ဖတ်", "ဆို", "ဟု", "မယ်", "သည်", "ရင်", "မှု", "က", "သော", "၍", "တို့", "မည်", "ခဲ့", "ကြောင့်", "တာ", "မှာ", "ပြီး", "ကျမ", "လောက်", "အိမ်ရှေ့က"]
+KINDS, RELATIONS = ["VERB", "NOUN", "PART", "SCONJ", "ADP", "PUNCT", "ADJ", "CCONJ"], ["acl", "root", "obj"]
+
+
+def _listed(words: list[str]) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+def _longest(words: list[str]) -> str:
+    return _listed(sorted(words, key=lambda w: (-len(w), w)))
+
+
+def clause_marks_sql() -> str:
+    """Marker sequences of sentences of fifteen words of the documents, and what they are."""
+    final, quotes = _listed(markers.FINAL), _listed(markers.QUOTES)
+    return f"""{tok()}, tk0 AS (SELECT doc_id * 100000 + i // 15 AS doc, i % 15 AS i, {_listed(FORMS)}[(length(token) * 3 + ascii(token)) % {len(FORMS)} + 1] AS form, {_listed(KINDS)}[(length(token) + ascii(right(token, 1)) * 5) % 8 + 1] AS pos, {_listed(RELATIONS)}[length(token) % 3 + 1] AS deprel FROM tok),
+    tk AS MATERIALIZED (SELECT *, coalesce(last_value(CASE WHEN pos <> 'PUNCT' THEN form END IGNORE NULLS) OVER (PARTITION BY doc ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+        coalesce(first_value(CASE WHEN pos <> 'PUNCT' THEN form END IGNORE NULLS) OVER (PARTITION BY doc ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after FROM tk0),
+    sq AS (SELECT doc, i AS verb, i AS j, deprel, []::STRUCT(i BIGINT, form VARCHAR, pos VARCHAR)[] AS m FROM tk WHERE (pos = 'VERB' OR (pos = 'ADJ' AND deprel IN ('acl', 'root'))) AND NOT (form = '{markers.SAY}' AND pos = 'VERB' AND list_contains({quotes}, before))
+        UNION ALL SELECT s.doc, s.verb, t.i, s.deprel, CASE WHEN t.pos = 'PUNCT' THEN m ELSE list_append(m, {{'i': t.i::BIGINT, 'form': t.form, 'pos': t.pos}}) END FROM sq s JOIN tk t ON t.doc = s.doc AND t.i = s.j + 1 AND t.i <= s.verb + 12
+        WHERE t.pos IN ('PUNCT', 'PART', 'SCONJ', 'ADP', 'CCONJ') OR (t.form = '{markers.SAY}' AND len(m) > 0 AND ((list_contains({final}, m[-1].form) AND list_contains({_listed(markers.CONDITIONS)}, t.after)) OR (t.pos = 'VERB' AND list_contains({quotes}, m[-1].form) AND list_contains({final}, t.after))))),
+    sm AS (SELECT doc, verb, deprel, arg_max(m, j) AS m FROM sq GROUP BY 1, 2, 3), sl AS (SELECT *, list_transform(m, lambda x: x.form) AS f, list_filter(m, lambda x: NOT list_contains({_listed(markers.AUXILIARIES)}, x.form)) AS a FROM sm WHERE len(m) > 0),
+    sn AS (SELECT *, array_to_string(f, '') AS joined, m[-1].form AS z, list_filter(a, lambda x: list_contains({_listed(markers.NOMINALIZERS)}, x.form) AND x.pos IN ('PART', 'NOUN')) AS n FROM sl),
+    ss AS (SELECT *, list_filter({_longest(markers.STRONG)}, lambda w: w = joined OR list_contains(f, w) OR (length(w) > 1 AND ends_with(joined, w)))[1] AS strong, list_filter({_longest(markers.MODERATE)}, lambda w: list_contains(f, w))[1] AS moderate, list_contains({final}, z) AS fin,
+        len(n) > 0 AND n[1].i = a[1].i AND len(list_filter(a[2:], lambda x: NOT (list_contains({_listed(markers.NOMINAL_TAIL)}, x.form) OR x.pos IN ('ADP', 'SCONJ')))) = 0 AS phrase FROM sn),
+    ck AS (SELECT doc, verb, m[-1].i AS ends, CASE WHEN phrase THEN {{'k': 'nominalizer', 't': a[1].form}} WHEN strong IS NOT NULL THEN {{'k': 'strong', 't': strong}} WHEN fin AND len(n) > 0 AND list_contains({_listed(markers.CASE_LIKE)}, z) THEN {{'k': 'nominalizer', 't': n[1].form}}
+        WHEN fin AND deprel = 'acl' AND list_contains({_listed(markers.ADNOMINAL)}, z) THEN {{'k': 'relativizer', 't': z}} WHEN fin AND z = '{markers.TOPIC}' AND list_contains(f, '{markers.PLURAL}') THEN {{'k': 'none', 't': NULL}} WHEN fin AND (len(a) = 0 OR list_contains({final}, a[-1].form)) THEN {{'k': 'final', 't': z}}
+        WHEN list_contains({_listed(markers.NOMINALIZERS)}, z) AND m[-1].pos IN ('PART', 'NOUN') THEN {{'k': 'nominalizer', 't': z}} WHEN list_contains({_listed(markers.RELATIVIZERS)}, z) THEN {{'k': 'relativizer', 't': z}} WHEN moderate IS NOT NULL THEN {{'k': 'moderate', 't': moderate}} ELSE {{'k': 'none', 't': NULL}} END AS c FROM ss)"""
+
+
+def clause_tokens(spark, sf) -> DataFrame:
+    """The documents' words as tokens in Burmese, in sentences of fifteen."""
+    t = doc_tokens(spark, sf)
+    pick = lambda words, n: F.element_at(F.array(*map(F.lit, words)), (n % len(words) + 1).cast("int"))
+    return t.select(
+        (F.col("doc_id") * 100000 + F.floor(F.col("i") / 15)).alias("doc"), (F.col("i") % 15).alias("i"), pick(FORMS, F.length("token") * 3 + F.ascii("token")).alias("form"),
+        pick(KINDS, F.length("token") + F.ascii(F.right("token", F.lit(1))) * 5).alias("pos"), pick(RELATIONS, F.length("token")).alias("deprel"),
+    )
+
+
+@query(f"WITH RECURSIVE {clause_marks_sql()} SELECT c.k AS kind, c.t AS trigger, count(*) AS n, sum(ends - verb)::BIGINT AS reach FROM ck GROUP BY 1, 2")
+def clause_markers(spark, sf):
+    """What the marker sequences after the verbs are, and how far they reach."""
+    found = clauses.classified(clauses.marker_sequences(clause_tokens(spark, sf)))
+    return found.groupBy("kind", "trigger").agg(F.count("*").alias("n"), F.sum(F.try_element_at("m", F.lit(-1))["i"] - F.col("verb")).cast("long").alias("reach"))
+
+
+@query(f"WITH RECURSIVE {clause_marks_sql()} SELECT doc, verb, ends AS \"end\", c.k AS kind, c.t AS trigger FROM ck WHERE c.k NOT IN ('none', 'nominalizer')")
+def clause_boundaries(spark, sf):
+    return clauses.boundaries(clause_tokens(spark, sf))
+
+
+@query(f"""WITH RECURSIVE {clause_marks_sql()}, cu AS (SELECT doc, ends, arg_min(c, verb) AS c FROM ck WHERE c.k IN ('strong', 'final', 'moderate') GROUP BY 1, 2), ln AS (SELECT doc, max(i) AS last FROM tk GROUP BY 1),
+    al AS (SELECT doc, ends, c.k AS kind, c.t AS trigger FROM cu UNION ALL SELECT l.doc, l.last, CASE WHEN x.doc IS NULL THEN 'single' ELSE 'remainder' END, NULL FROM ln l LEFT JOIN (SELECT doc, max(ends) AS e FROM cu GROUP BY 1) x ON x.doc = l.doc WHERE x.e IS NULL OR x.e < l.last),
+    sp AS (SELECT *, coalesce(lag(ends) OVER (PARTITION BY doc ORDER BY ends) + 1, 0) AS first FROM al), tx AS (SELECT s.doc, s.first, s.ends, s.kind, s.trigger, coalesce(string_agg(t.form, ' ' ORDER BY t.i) FILTER (WHERE t.pos <> 'PUNCT'), '') AS text FROM sp s JOIN tk t ON t.doc = s.doc AND t.i BETWEEN s.first AND s.ends GROUP BY ALL)
+    SELECT doc, first, ends AS last, md5(text) AS text_md5, kind, trigger FROM tx WHERE text <> '' OR kind = 'single'""")
+def clause_chunks(spark, sf):
+    """Sentences of the documents' words cut at their clauses' ends."""
+    return clauses.clause_chunks(clause_tokens(spark, sf)).select("doc", "first", "last", F.md5("text").alias("text_md5"), "kind", "trigger")
+
+
 # Overlays and entities.
 
 @query("""WITH e AS (SELECT user_id AS doc, event_id AS i, event_type = 'purchase' AS kept FROM events), l AS (SELECT *, max(CASE WHEN kept THEN i END) OVER (PARTITION BY doc ORDER BY i) AS l, min(CASE WHEN kept THEN i END) OVER (PARTITION BY doc ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS r FROM e)
