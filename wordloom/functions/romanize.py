@@ -6,29 +6,40 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _table(text: str) -> dict[str, str]:
-    """Pairs of words; an underscore stands for nothing."""
-    words = text.split()
-    return {k: v.replace("_", "") for k, v in zip(words[::2], words[1::2])}
-
-
 # Sounds of letters at the beginning and at the end of a syllable, of medials and of signs that stand alone.
-ONSETS = _table(
-    "က k ခ kh ဂ g ဃ gh င ng စ s ဆ hs ဇ z ဈ zh ဉ ny ည ny ဋ t ဌ ht ဍ d ဎ dh ဏ n တ t ထ ht ဒ d ဓ dh န n ပ p ဖ hp ဗ b ဘ bh မ m ယ y ရ y လ l ဝ w သ th ဟ h ဠ l အ _"
-)
-CODAS = _table("က k ခ k ဂ k ဃ k စ t ဆ t ဇ t ဈ t ဋ t ဌ t ဍ t ဎ t တ t ထ t ဒ t ဓ t ပ p ဖ p ဗ p ဘ p င ng ဏ n ည ny န n မ m ယ y ရ y လ l ဝ w သ th ဿ th")
-VOWEL_LETTERS = _table("ဣ i ဤ i ဥ u ဦ u ဧ e ဩ aw ဪ aw")
-ALONE = _table("၌ ywe ၍ hnaik ၎ lanykaung ၏ i ၎င်း lanykaung ၀ 0 ၁ 1 ၂ 2 ၃ 3 ၄ 4 ၅ 5 ၆ 6 ၇ 7 ၈ 8 ၉ 9 ၊ , ။ . ဿ ss")
-PALATAL = _table("က c ခ ch ဂ j ဃ j င ny")
+ONSETS = {
+    "က": "k", "ခ": "kh", "ဂ": "g", "ဃ": "gh", "င": "ng", "စ": "s", "ဆ": "hs", "ဇ": "z", "ဈ": "zh", "ဉ": "ny", "ည": "ny", "ဋ": "t", "ဌ": "ht", "ဍ": "d",
+    "ဎ": "dh", "ဏ": "n", "တ": "t", "ထ": "ht", "ဒ": "d", "ဓ": "dh", "န": "n", "ပ": "p", "ဖ": "hp", "ဗ": "b", "ဘ": "bh", "မ": "m", "ယ": "y", "ရ": "y",
+    "လ": "l", "ဝ": "w", "သ": "th", "ဟ": "h", "ဠ": "l", "အ": "",
+}
+CODAS = {
+    "က": "k", "ခ": "k", "ဂ": "k", "ဃ": "k", "စ": "t", "ဆ": "t", "ဇ": "t", "ဈ": "t", "ဋ": "t", "ဌ": "t", "ဍ": "t", "ဎ": "t", "တ": "t", "ထ": "t",
+    "ဒ": "t", "ဓ": "t", "ပ": "p", "ဖ": "p", "ဗ": "p", "ဘ": "p", "င": "ng", "ဏ": "n", "ည": "ny", "န": "n", "မ": "m", "ယ": "y", "ရ": "y", "လ": "l",
+    "ဝ": "w", "သ": "th", "ဿ": "th",
+}
+VOWEL_LETTERS = {
+    "ဣ": "i", "ဤ": "i", "ဥ": "u", "ဦ": "u", "ဧ": "e", "ဩ": "aw", "ဪ": "aw",
+}
+ALONE = {
+    "၌": "ywe", "၍": "hnaik", "၎": "lanykaung", "၏": "i", "၎င်း": "lanykaung", "၀": "0", "၁": "1", "၂": "2", "၃": "3", "၄": "4", "၅": "5", "၆": "6", "၇": "7", "၈": "8",
+    "၉": "9", "၊": ",", "။": ".", "ဿ": "ss",
+}
+PALATAL = {
+    "က": "c", "ခ": "ch", "ဂ": "j", "ဃ": "j", "င": "ny",
+}
 STOPS = "ကခဂဃစဆဇဈဋဌဍဎတထဒဓပဖဗဘ"
 SILENT_AFTER_O = "ယရလဝဟဠ"
 SHIFTED_BY_WA = "ကတပနငမ"
 BREATHY = "ငဉညနဏမလဝဠ"
-# What a vowel and the letter that ends the syllable become together (vowel, letter: vowel, end).
-RHYMES = _table(
-    "aက e,k aခ e,k aဂ e,k aဃ e,k aင i,n aဉ i, aည i,n aန a,n aဏ a,n aမ a,n aစ i,t iက ei,k iတ ei,t iပ ei,p iစ ei,t iဆ ei,p iန ei,n iည ei,n iင ei,n "
-    "uက ou,k uတ ou,t uပ ou,p uစ ou,t uဆ ou,p uန ou,n uင ou,n oက ai,k oန ai,n oင o,n awက au,k awင au,n eiက ei,k eiင ei,n"
-)
+# What a vowel and the letter that ends the syllable become together, by vowel and letter: vowel and end.
+RHYMES = {
+    "a": {"က": ("e", "k"), "ခ": ("e", "k"), "ဂ": ("e", "k"), "ဃ": ("e", "k"), "င": ("i", "n"), "ဉ": ("i", ""), "ည": ("i", "n"), "န": ("a", "n"), "ဏ": ("a", "n"), "မ": ("a", "n"), "စ": ("i", "t")},
+    "i": {"က": ("ei", "k"), "တ": ("ei", "t"), "ပ": ("ei", "p"), "စ": ("ei", "t"), "ဆ": ("ei", "p"), "န": ("ei", "n"), "ည": ("ei", "n"), "င": ("ei", "n")},
+    "u": {"က": ("ou", "k"), "တ": ("ou", "t"), "ပ": ("ou", "p"), "စ": ("ou", "t"), "ဆ": ("ou", "p"), "န": ("ou", "n"), "င": ("ou", "n")},
+    "o": {"က": ("ai", "k"), "န": ("ai", "n"), "င": ("o", "n")},
+    "aw": {"က": ("au", "k"), "င": ("au", "n")},
+    "ei": {"က": ("ei", "k"), "င": ("ei", "n")},
+}
 LETTER, OWN = "က-ဈဉညဋ-အ", "ဣဤဥဦဧဩဪ"
 MARK = "ါ-ဲံ-်ျ-ှ"
 SYLLABLE = (
@@ -68,7 +79,8 @@ def analysed(syllable: Column) -> Column:
     onset = F.concat(stacked, first, glides)
     e, a, i, u, ai = (has(signs, c) for c in ("ေ", "ါာ", "ိီ", "ုူ", "ဲ"))
     plain = F.when(shift, "u").when(e & a, "aw").when(e & ai, "e").when(e, "ei").when(i & u, "o").when(i, "i").when(u, "u").when(ai, "e").otherwise("a")
-    rhyme = F.split(_map(RHYMES)[F.concat(plain, coda)], ",")
+    rhymes = F.create_map(*(x for v, ends in RHYMES.items() for c, pair in ends.items() for x in (F.lit(v + c), F.array(*map(F.lit, pair)))))
+    rhyme = rhymes[F.concat(plain, coda)]
     mutates = ~shift & (coda != "") & rhyme.isNotNull() & (coda != "ဿ")
     vowel = F.when(mutates, F.get(rhyme, F.lit(0))).otherwise(plain)
     end = F.when(coda == "", "").when((plain == "o") & coda.isin(list(SILENT_AFTER_O)), "").when(mutates, F.get(rhyme, F.lit(1))).otherwise(F.coalesce(_map(CODAS)[coda], F.lit("")))

@@ -11,7 +11,7 @@ from wordloom.operators import corpus, lm
 from wordloom.sources.readers import numbered_lines, read_lexicon, write_counts
 
 #: Labels that stand alone on a line of a definition and begin the senses of another part of speech.
-SENSE_TAGS = "n v adj adv pron part particle conj prep postp ppm interj aux num det prefix suffix m nm".split()
+SENSE_TAGS = ["n", "v", "adj", "adv", "pron", "part", "particle", "conj", "prep", "postp", "ppm", "interj", "aux", "num", "det", "prefix", "suffix", "m", "nm"]
 
 
 def read_nested_lexicon(spark: SparkSession, path: str, layer: str, priority: int, profile: ScriptProfile = MYANMAR) -> DataFrame:
