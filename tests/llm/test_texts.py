@@ -269,6 +269,20 @@ def test_token_blocks_query(spark):
     assert blocks.read_documents(blocks.write_segments(odd_docs(spark).limit(0), queries.WORD_BPE)).count() == 0
 
 
+def test_token_blocks_of_odd_ids(spark):
+    """Null ids stay null and come first; rows of one id always stand in the same order; ids that are no numbers count as null."""
+    rows = [(None, "some text"), (None, None), *((3, f"text {k} of one id") for k in range(30)), (2, "x")]
+    seen = set()
+    for parts in (1, 5):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        got = blocks.read_documents(blocks.write_segments(df, queries.WORD_BPE)).collect()
+        seen.add(tuple(sorted((r.start, r.n_tokens, r.ids_crc32, str(r.doc_id)) for r in got)))
+        assert Counter(r.doc_id for r in got) == Counter(d for d, _ in rows) and max(r.start for r in got if r.doc_id is None) < min(r.start for r in got if r.doc_id == 2)
+    assert len(seen) == 1
+    named = spark.createDataFrame([("12", "a"), ("x1", "b"), (None, "c")], "doc_id string, text string")
+    assert Counter(r.doc_id for r in blocks.read_documents(blocks.write_segments(named, queries.WORD_BPE)).collect()) == Counter([12, None, None])
+
+
 def test_packing_covers_every_id_once(spark):
     for docs, df in ((plain(spark), spark.read.parquet(f"{SF}/documents.parquet")), (dict(enumerate(t or "" for t in ODD)), odd_docs(spark).filter("doc_id is not null").dropDuplicates(["doc_id"]))):
         rows = packing.pack(df, queries.WORD_BPE).collect()

@@ -125,9 +125,11 @@ def write_segments(df: DataFrame, path: str, end_id: int = 2, id_col: str = "doc
     """Encodes all texts and writes their ids, ascending by document, as a table of segments; returns that table.
 
     Rows: part, seq (their order), first_doc, docs, tokens, before (ids of the same part before it), payload. Each document ends with end_id; a null or empty
-    text is that id alone. Documents with a null id come first and are stored under the least long; repeated rows are
-    stored each. Documents are sorted by range partitions of the id, so no task holds more than its range; a range's
-    documents stream through segments of about 2^20 ids.
+    text is that id alone. Documents with a null id come first, and so do ids that are no numbers, which count as null; they
+    are stored under the least long, which is read back as null. Repeated rows are stored each. Documents are sorted by
+    range partitions of the id, and those of one id by a hash of their text, so that their order is always the same and no
+    task holds more than its range, not even where many rows share an id; a range's documents stream through segments of
+    about 2^20 ids.
     """
 
     def run(batches):
@@ -153,9 +155,9 @@ def write_segments(df: DataFrame, path: str, end_id: int = 2, id_col: str = "doc
 
     names = ["part", "seq", "first_doc", "docs", "tokens", "before", "payload"]
     kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-    src = texts(df, id_col, text_col).select(F.coalesce(F.col("id").cast("long"), F.lit(-(2**63))).alias("id"), "text")
-    sorted_ = src.repartitionByRange("id").sortWithinPartitions("id")
-    rows = sorted_.mapInArrow(run, "part int, seq int, first_doc long, docs long, tokens long, before long, payload binary")
+    src = texts(df, id_col, text_col).select(F.coalesce(F.col("id").try_cast("long"), F.lit(-(2**63))).alias("id"), "text", F.xxhash64("text").alias("h"))
+    sorted_ = src.repartitionByRange("id", "h").sortWithinPartitions("id", "h")
+    rows = sorted_.select("id", "text").mapInArrow(run, "part int, seq int, first_doc long, docs long, tokens long, before long, payload binary")
     return written(rows, "segments")
 
 
@@ -182,4 +184,4 @@ def read_documents(segments: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
     placed = segments.select("part", "before", "payload").join(F.broadcast(offsets), "part")
     rows = placed.select((F.col("part_start") + F.col("before")).alias("start"), "payload").mapInArrow(run, "id long, start long, n_tokens long, ids_crc32 long")
-    return rows.withColumnRenamed("id", id_col)
+    return rows.select(F.nullif("id", F.lit(-(2**63))).alias(id_col), "start", "n_tokens", "ids_crc32")

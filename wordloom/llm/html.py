@@ -21,42 +21,43 @@ from pyspark.sql import functions as F
 from wordloom.llm.common import slices
 
 # Element names of HTML by what they mean here.
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-BLOCK = frozenset(
-    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
-    "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td "
-    "tfoot th thead tr ul".split()
-)
-DROPPED = frozenset(
-    "script style noscript template head title nav footer aside form button select option textarea input iframe object embed applet "
-    "svg canvas audio video map dialog menu noembed noframes xmp search".split()
-)
+VOID = frozenset(["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"])
+RAW = frozenset(["script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"])
+BLOCK = frozenset([
+    "address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption",
+    "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "legend", "li", "main",
+    "menu", "nav", "ol", "optgroup", "option", "p", "pre", "search", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead",
+    "tr", "ul",
+])
+DROPPED = frozenset([
+    "script", "style", "noscript", "template", "head", "title", "nav", "footer", "aside", "form", "button", "select", "option", "textarea", "input", "iframe",
+    "object", "embed", "applet", "svg", "canvas", "audio", "video", "map", "dialog", "menu", "noembed", "noframes", "xmp", "search",
+])
 #: Start tags that end an open one of the same group: (new, what it ends, what keeps it from looking further up).
 IMPLIED = {
-    **{t: (frozenset(["li"]), frozenset("ul ol menu dir".split())) for t in ["li"]},
-    **{t: (frozenset("dt dd".split()), frozenset(["dl"])) for t in ("dt", "dd")},
-    **{t: (frozenset("td th".split()), frozenset("tr table".split())) for t in ("td", "th")},
+    **{t: (frozenset(["li"]), frozenset(["ul", "ol", "menu", "dir"])) for t in ["li"]},
+    **{t: (frozenset(["dt", "dd"]), frozenset(["dl"])) for t in ("dt", "dd")},
+    **{t: (frozenset(["td", "th"]), frozenset(["tr", "table"])) for t in ("td", "th")},
     "tr": (frozenset(["tr"]), frozenset(["table"])),
-    "option": (frozenset(["option"]), frozenset("select datalist".split())),
+    "option": (frozenset(["option"]), frozenset(["select", "datalist"])),
 }
-ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
+ROLES = frozenset(["navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar", "form"])
 #: Words of class and id that name adverts, reader comments, notices and ways to skip: what an article may hold inside.
-ASIDE = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored comment comments commentlist disqus cookie cookies "
-    "consent gdpr breadcrumb breadcrumbs newsletter paywall popup modal lightbox skip".split()
-)
+ASIDE = frozenset([
+    "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adsense", "sponsor", "sponsored", "comment", "comments", "commentlist", "disqus", "cookie", "cookies",
+    "consent", "gdpr", "breadcrumb", "breadcrumbs", "newsletter", "paywall", "popup", "modal", "lightbox", "skip",
+])
 COMMENTS = frozenset(["comment", "comments", "commentlist", "disqus"])
 HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
 #: What an article is made of, beside plain containers; and what a class or id may name: containers and links.
 PARTS = HEADINGS | frozenset(["section", "header", "hgroup", "p", "pre", "blockquote", "figure", "table", "dl", "ul", "ol", "details", "address"])
-TEXTUAL = frozenset("p pre blockquote h1 h2 h3 li td dd".split())
+TEXTUAL = frozenset(["p", "pre", "blockquote", "h1", "h2", "h3", "li", "td", "dd"])
 
-PARAGRAPHS = frozenset("p pre h1 h2 h3 h4 h5 h6".split())
+PARAGRAPHS = frozenset(["p", "pre", "h1", "h2", "h3", "h4", "h5", "h6"])
 
 OPENS, HINTED = BLOCK | {"a", "span", "b", "i"}, BLOCK - PARAGRAPHS - {"blockquote", "figcaption", "caption", "summary", "td", "dd"}
 P, NO_FENCE = frozenset(["p"]), frozenset()
-P_FENCE = frozenset("button td th li table object applet".split())
+P_FENCE = frozenset(["button", "td", "th", "li", "table", "object", "applet"])
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
