@@ -19,6 +19,10 @@ TO_UPOS = {
     "int": "INTJ", "interjection": "INTJ", "intj": "INTJ", "name": "PROPN", "prop": "PROPN", "det": "DET", "determiner": "DET", "aux": "AUX",
     "classifier": "NOUN", "prep": "ADP", "prefix": "PART", "symbol": "SYM", "character": "SYM", "phrase": "X", "proverb": "X", "exp": "X",
 }
+PREFIXES = [
+    ("adj", ["adj"], []), ("adv", ["adv"], []), ("pron", ["pron"], []), ("conj", ["conj"], []), ("exp", ["exp"], []), ("int", ["int", "interj"], []), ("pos", ["pos"], []),
+    ("kjano", ["kjano", "num"], ["m", "nm", "tn"]), ("ppm", ["ppm", "postp", "prep"], []), ("part", ["part", "particle"], []), ("n", ["n"], []), ("v", ["v", "aux"], []),
+]
 EQUIVALENT = [["NOUN", "PROPN", "NUM"], ["SCONJ", "CCONJ"]]
 ALIASES = {"CONJ": "SCONJ"}
 NER_UPOS = {"PNAME": "PROPN", "LOC": "PROPN", "ORG": "PROPN", "RACE": "PROPN", "TIME": "NOUN", "NUM": "NUM", "NE": "PROPN"}
@@ -52,6 +56,22 @@ def coarse(pos: Column) -> Column:
     return F.when(F.size(found) > 0, F.array_sort(F.array_distinct(found))).otherwise(F.array(F.lit("UNKNOWN")))
 
 
+def prefix_pos(pos: Column) -> Column:
+    """One of twelve coarse tags by the beginning of a label, the first rule that fits; nothing for others."""
+    p = F.lower(F.trim(F.coalesce(pos, F.lit(""))))
+    found = F.lit(None).cast("string")
+    for tag, begins, whole in reversed(PREFIXES):
+        fits = p.rlike("^(" + "|".join(begins) + ")")
+        found = F.when(fits | p.isin(whole) if whole else fits, tag).otherwise(found)
+    return F.coalesce(found, F.lit(""))
+
+
+def pos_candidates(pos: Column, senses: Column) -> Column:
+    """Sorted coarse tags of an entry: its own label's, and those in the third column of its tab-separated sense lines."""
+    inside = F.transform(F.coalesce(senses, F.array().cast("array<string>")), lambda x: F.coalesce(F.get(F.split(x, "\t", -1), F.lit(2)), F.lit("")))
+    return F.array_sort(F.array_distinct(F.filter(F.transform(F.concat(F.array(F.coalesce(pos, F.lit(""))), inside), prefix_pos), lambda x: x != "")))
+
+
 def coarse_of(token: Column, pos: Column) -> Column:
     """coarse of an entry's label; without an entry (pos null) NUM for digits, else UNKNOWN."""
     return F.when(pos.isNotNull(), coarse(pos)).when(token.rlike("^[0-9၀-၉]+$"), F.array(F.lit("NUM"))).otherwise(F.array(F.lit("UNKNOWN")))

@@ -225,6 +225,25 @@ def is_garbage(token: Column) -> Column:
     return token.rlike(r"^[\p{N}\p{P}\p{S}]+$") | (~token.rlike(r"[က-႟]") & (F.length(token) <= 2))
 
 
+def keeps_script(token: Column) -> Column:
+    """What a treebank of the script keeps: tokens with a character of its three blocks, and its punctuation, which lies in them."""
+    return token.rlike(r"[\u1000-\u109F\uA9E0-\uA9FF\uAA60-\uAA7F]")
+
+
+def script_marks(text: Column) -> Column:
+    """Array of (mark, start, end): the script's comma and full stop, each with its place."""
+    at = F.filter(F.transform(F.split(text, ""), lambda c, k: F.struct(c.alias("mark"), k.alias("start"), (k + 1).alias("end"))), lambda x: x["mark"].isin("၊", "။"))
+    return F.coalesce(at, F.slice(F.array(F.struct(F.lit("").alias("mark"), F.lit(0).alias("start"), F.lit(0).alias("end"))), 1, 0))
+
+
+def separator_kind(token: Column) -> Column:
+    """Why a token is noise between runs of the script: empty, number, short, symbol; null for others."""
+    t = F.trim(F.coalesce(token, F.lit("")))
+    return (
+        F.when(t == "", "empty").when(t.rlike(r"^[\p{Nd}၊။.,\-/]+$"), "number").when(~keeps_script(t) & (F.length(t) <= 3), "short").when(t.rlike(r"^[\p{P}\p{S}\s]+$"), "symbol")
+    )
+
+
 def is_mixed(token: Column) -> Column:
     """Myanmar letters beside letters or digits of other scripts."""
     return token.rlike(r"[က-႟]") & token.rlike(r"[A-Za-z0-9]")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from wordloom.functions.text import shape, strip_edges
-from wordloom.operators.corpus import ranked
+from wordloom.operators.corpus import drawn, ranked
 
 
 def context_features(tokens: DataFrame, width: int = 3, key: str = "doc_id") -> DataFrame:
@@ -277,18 +277,6 @@ def merged_enders(tokens: DataFrame, ender: str, key: str = "doc_id") -> DataFra
     return out.join(changed, key, "left_semi").select(key, "i", "token", "y")
 
 
-PRIME = 2**31 - 1
-
-
-def drawn(place, least: int, most: int, seed: int):
-    """A number from least to most for each place (numpy numbers or a column of them): a fifth power of the place, moved by the
-    seed, modulo a prime, so that any place's draw can be made again anywhere."""
-    x = (place % PRIME * 48271 + seed % PRIME) % PRIME
-    square = x * x % PRIME
-    x = square * square % PRIME * x % PRIME * (most - least + 1)
-    return least + (x // PRIME if isinstance(place, np.ndarray) else F.floor(x / PRIME))
-
-
 def concatenated(records: DataFrame, most: int, seed: int, key: str = "doc_id", least: int = 1, block: int = 1 << 16) -> DataFrame:
     """records with start: the number (from 0, in the order of key) of the first of the least to `most` neighbours that they are
     put together with. A size is drawn where a group starts, and the next one starts after it; the last may be short.

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from wordloom.functions import clean
+from wordloom.functions.text import clusters
 
 
 def repair_roots(tokens: DataFrame) -> DataFrame:
@@ -72,6 +74,18 @@ def ranked(rows: DataFrame, order: str) -> DataFrame:
     return ranged.withColumn("_n", nth).join(F.broadcast(before.select("_p", "_b", "total")), "_p").withColumn("nth", F.col("_n") + F.col("_b")).drop("_p", "_n", "_b")
 
 
+PRIME = 2**31 - 1
+
+
+def drawn(place, least: int, most: int, seed: int):
+    """A number from least to most for each place (numpy numbers or a column of them): a fifth power of the place, moved by the
+    seed, modulo a prime, so that any place's draw can be made again anywhere."""
+    x = (place % PRIME * 48271 + seed % PRIME) % PRIME
+    square = x * x % PRIME
+    x = square * square % PRIME * x % PRIME * (most - least + 1)
+    return least + (x // PRIME if isinstance(place, np.ndarray) else F.floor(x / PRIME))
+
+
 def contiguous_split(rows: DataFrame, order: str, train: float = 0.8, dev: float = 0.1) -> DataFrame:
     """split: the first 80 of a hundred train, the next 10 dev, the rest test, by order."""
     n = ranked(rows, order)
@@ -317,3 +331,20 @@ def distribution(rows: DataFrame, column: str) -> DataFrame:
 def agreed_boundaries(rows: DataFrame) -> DataFrame:
     """boundaries: those that both columns a and b hold, and all of forced; ascending."""
     return rows.withColumn("boundaries", F.array_sort(F.array_distinct(F.concat(F.array_intersect("a", "b"), "forced"))))
+
+
+def bilu_dataset(sentences: DataFrame, profile, dev: int = 10, seed: int = 1234, key: str = "sent_id") -> DataFrame:
+    """(key, split, tokens, tags): sentences (key, a whole number; words) as clusters of the script with the tags B, I, L and U of
+    their words; so many of a hundred are dev, by a draw of the key. Words without clusters go, and sentences without words."""
+    parts = F.filter(F.transform("words", lambda w: clusters(w, profile)), lambda c: F.size(c) > 0)
+    tag = lambda c: F.when(F.size(c) == 1, F.array(F.lit("U"))).otherwise(F.transform(c, lambda _, k: F.when(k == 0, "B").when(k == F.size(c) - 1, "L").otherwise("I")))
+    rows = sentences.select(key, parts.alias("_p")).filter(F.size("_p") > 0)
+    split = F.when(drawn(F.col(key), 1, 100, seed) <= dev, "dev").otherwise("train")
+    return rows.select(key, split.alias("split"), F.flatten("_p").alias("tokens"), F.flatten(F.transform("_p", tag)).alias("tags"))
+
+
+def zipped(records: DataFrame, arrays: list[str], key: str = "doc_id") -> DataFrame:
+    """(key, i, *arrays): arrays of a record joined by place, as many rows as the shortest has."""
+    n = F.least(*(F.size(c) for c in arrays)) if len(arrays) > 1 else F.size(arrays[0])
+    same = [F.slice(c, 1, F.greatest(n, F.lit(0))).alias(c) for c in arrays]
+    return records.select(key, F.posexplode(F.arrays_zip(*same)).alias("i", "x")).select(key, "i", *(F.col(f"x.{c}").alias(c) for c in arrays))

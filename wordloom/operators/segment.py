@@ -230,6 +230,32 @@ def aligned_merges(tokens: DataFrame, spans: DataFrame, key: str = "doc_id") ->
     return grouped.agg(F.min("start").alias("start"), F.max("end").alias("end"), F.array_join(F.array_sort(F.collect_list(F.struct("start", "token")))["token"], "").alias("token"))
 
 
+def joined_pieces(paths: DataFrame, lexicon: DataFrame, profile: ScriptProfile, most: int = 16, key: str = "doc_id") -> DataFrame:
+    """(key, words): a predicted segmentation (key, words) whose neighbouring pieces are joined from the left, each time the longest
+    run of two to `most` that is in the lexicon; no piece is cut but at punctuation and symbols, which stay alone, as does
+    what holds characters of another script.
+
+    Runs of pieces are made within a row, distinct ones meet the lexicon, and what is found goes back to the text."""
+    pieces = F.flatten(F.transform("words", lambda w: F.regexp_extract_all(w, F.lit(r"[\p{P}\p{S}]|[^\p{P}\p{S}]+"), F.lit(0))))
+    held = paths.select(key, pieces.alias("p")).withColumn("_ok", F.transform("p", lambda x: x.rlike(f"^[{profile.letter}]+$") & ~x.rlike(r"[\p{P}\p{S}]")))
+    size = F.size("p")
+    upto = lambda k: F.aggregate(F.sequence(F.lit(0), F.lit(most - 1)), F.lit(0), lambda n, d: F.when((n == d) & F.coalesce(F.get("_ok", k + d), F.lit(False)), n + 1).otherwise(n))
+    runs = F.transform(F.sequence(F.lit(0), size - 1), lambda k: F.filter(F.transform(F.sequence(F.lit(2), F.lit(most)), lambda n: F.when(n <= upto(k), F.struct(n.alias("n"), F.array_join(F.slice("p", k + 1, n), "").alias("text")))), lambda r: r.isNotNull()))
+    held = held.withColumn("_r", F.when(size > 0, runs)).checkpoint()
+    asked = held.select(key, F.explode(F.array_distinct(F.transform(F.flatten("_r"), lambda r: r["text"]))).alias("text")).withColumn("word", profile.headword(F.col("text")))
+    found = asked.join(lexicon.select("word").distinct(), "word", "left_semi").groupBy(key).agg(F.collect_set("text").alias("_known"))
+    held = held.join(found, key, "left").withColumn("_known", F.coalesce("_known", F.slice("p", 1, 0)))
+
+    def step(s: Column, k: Column) -> Column:
+        best = F.array_max(F.filter(F.get("_r", k), lambda r: F.array_contains("_known", r["text"])))
+        after, text = k + F.coalesce(best["n"], F.lit(1)), F.coalesce(best["text"], F.get("p", k))
+        return F.when(k < s["at"], s).otherwise(F.struct(after.alias("at"), F.array_append(s["out"], text).alias("out")))
+
+    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
+    walk = F.aggregate(F.sequence(F.lit(0), size - 1), start, step, lambda s: s["out"])
+    return held.select(key, F.when(size > 0, walk).otherwise(F.col("p")).alias("words"))
+
+
 def bilu(words):
     """Tags of each word's clusters by its number of clusters: U, or BL, B I ... L."""
     tag = lambda w: F.when(F.length(w) == 1, F.array(F.lit("U"))).otherwise(F.transform(F.sequence(F.lit(1), F.length(w)), lambda k: F.when(k == 1, "B").when(k == F.length(w), "L").otherwise("I")))

@@ -127,16 +127,20 @@ def certainty_weight(certainty, low: float = 0.40, high: float = 0.85):
 
 
 def decided(fills: DataFrame, key: str = "token") -> DataFrame:
-    """(key, allowed, source): which universal tags the dictionary fills (key, label[, locked]) of a token allow: none where it is
-    locked (source locked), where no fill has a tag (no_pos), or where some of several have none (partial); else all tags of
-    its fills and those that count as equal (single, multi_fill)."""
+    """(key, allowed, source): which universal tags the dictionary fills (key, label[, locked, has_unknown, mode]) of a token allow:
+    none where it is locked (source locked), where a piece of it is unknown (has_unknown), where no fill has a tag (no_pos), or
+    where some of several have none (partial); else all tags of its fills and those that count as equal (single, multi_fill).
+    With a mode, how the fills came about, all but locked and no_pos are named after it (exact:single)."""
     tags_ = upos_of(F.col("label"))
-    locked = F.bool_or(F.col("locked") if "locked" in fills.columns else F.lit(False))
+    told_by = lambda c, none: F.col(c) if c in fills.columns else none
+    locked = F.bool_or(F.coalesce(told_by("locked", F.lit(False)), F.lit(False)))
+    unknown, mode = F.bool_or(F.coalesce(told_by("has_unknown", F.lit(False)), F.lit(False))), F.max(told_by("mode", F.lit(None).cast("string")))
     told = fills.withColumn("_t", tags_).groupBy(key).agg(
-        F.array_distinct(F.flatten(F.collect_list("_t"))).alias("_u"), F.bool_and(F.size("_t") == 0).alias("_none"), F.bool_or(F.size("_t") == 0).alias("_some"), F.count("*").alias("_n"), locked.alias("_l")
+        F.array_distinct(F.flatten(F.collect_list("_t"))).alias("_u"), F.bool_and(F.size("_t") == 0).alias("_none"), F.bool_or(F.size("_t") == 0).alias("_some"), F.count("*").alias("_n"), locked.alias("_l"), unknown.alias("_k"), mode.alias("_m")
     )
-    source = F.when(F.col("_l"), "locked").when(F.col("_none"), "no_pos").when((F.col("_n") > 1) & F.col("_some"), "partial").when(F.col("_n") > 1, "multi_fill").otherwise("single")
-    free = F.col("_l") | F.col("_none") | ((F.col("_n") > 1) & F.col("_some"))
+    kind = F.when(F.col("_k"), "has_unknown").when((F.col("_n") > 1) & F.col("_some"), "partial").when(F.col("_n") > 1, "multi_fill").otherwise("single")
+    source = F.when(F.col("_l"), "locked").when(~F.col("_k") & F.col("_none"), "no_pos").otherwise(F.concat(F.coalesce(F.concat("_m", F.lit(":")), F.lit("")), kind))
+    free = F.col("_l") | F.col("_k") | F.col("_none") | ((F.col("_n") > 1) & F.col("_some"))
     return told.select(key, F.when(free, F.expr("cast(array() as array<string>)")).otherwise(allowed(F.col("_u"))).alias("allowed"), source.alias("source"))
 
 

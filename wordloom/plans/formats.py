@@ -17,9 +17,9 @@ from wordloom.functions import text as tx
 from wordloom.functions import syllables as syl
 from wordloom.functions.profile import LATIN, MYANMAR
 from wordloom.operators import boundary, clauses, corpus, lexicon, lm, segment, tagging
-from wordloom.plans.analysis import FROM, MY_SQL, TO, script_docs
-from wordloom.plans.oracle import BENCH, TREES, WORD, tok
-from wordloom.plans.queries import OWN_FOLDER, bench_arrays, doc_tokens, table, trees
+from wordloom.plans.analysis import DRAW, FROM, LBL, MY_SQL, TO, labelled_parts, script_docs
+from wordloom.plans.oracle import BENCH, PWORDS, TREES, WORD, tok
+from wordloom.plans.queries import OWN_FOLDER, bench_arrays, doc_tokens, part_words, table, trees
 from wordloom.sources import readers, treebanks
 
 QUERIES: dict = {}
@@ -572,3 +572,93 @@ def end_word_buckets(spark, sf):
     """Words that end passages, by rank."""
     ends = boundary.end_words(tx.tokens(table(spark, sf, "benchmark"), LATIN, "item_id"), ["item_id"])
     return ends.withColumn("k", F.row_number().over(W.orderBy(F.desc("n"), "token"))).select("token", "n", boundary.rank_bucket(F.col("k")).alias("bucket"))
+
+
+# Labels, marks, pages, pieces.
+
+PREFIX_SQL = "CASE " + " ".join("WHEN regexp_matches(lower(trim({c})), '^(" + "|".join(b) + ")')" + (f" OR lower(trim({{c}})) IN ({', '.join(repr(w) for w in whole)})" if whole else "") + f" THEN '{tag}'" for tag, b, whole in tags.PREFIXES) + " ELSE '' END"
+
+
+@query(f"""WITH {LBL}, c AS (SELECT p_partkey, label, {PREFIX_SQL.format(c='label')} AS tag FROM lb)
+    SELECT p_partkey, tag, array_to_string(list_sort(list_distinct(list_filter([tag, CASE WHEN p_partkey % 2 = 0 THEN 'v' ELSE '' END, CASE WHEN p_partkey % 3 = 0 THEN 'kjano' ELSE '' END], lambda x: x <> ''))), '|') AS candidates FROM c""")
+def prefix_tags(spark, sf):
+    """Labels as one of twelve tags, and an entry's candidates by its label and its sense lines."""
+    p, c = labelled_parts(spark, sf), F.col("label")
+    line = lambda n, tag: F.when(F.col("p_partkey") % n == 0, F.concat(F.lit("a\tb\t"), F.lit(tag))).otherwise("a\tb")
+    return p.select("p_partkey", tags.prefix_pos(c).alias("tag"), F.array_join(tags.pos_candidates(c, F.array(line(2, "Verb/aux"), line(3, "tn"))), "|").alias("candidates"))
+
+
+@query(rf"""WITH {RAWS} SELECT w, regexp_matches(w, '[\x{{1000}}-\x{{109F}}\x{{A9E0}}-\x{{A9FF}}\x{{AA60}}-\x{{AA7F}}]') AS keeps, CASE WHEN trim(w) = '' THEN 'empty' WHEN regexp_matches(w, '^[\p{{Nd}}၊။.,\-/]+$') THEN 'number'
+    WHEN NOT regexp_matches(w, '[\x{{1000}}-\x{{109F}}\x{{A9E0}}-\x{{A9FF}}\x{{AA60}}-\x{{AA7F}}]') AND length(w) <= 3 THEN 'short' WHEN regexp_matches(w, '^[\p{{P}}\p{{S}}\s]+$') THEN 'symbol' END AS noise FROM rw""")
+def kept_words(spark, sf):
+    """Words that a treebank of the script keeps, and why others are noise between its runs."""
+    return raw_words(spark, sf).select("w", tx.keeps_script(F.col("w")).alias("keeps"), tx.separator_kind(F.col("w")).alias("noise"))
+
+
+@query(f"""WITH c AS (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS k FROM (SELECT doc_id, regexp_extract_all({MY_SQL}, '(?s).') AS l FROM documents)) SELECT doc_id, l[k] AS mark, (k - 1)::INTEGER AS start, k::INTEGER AS "end" FROM c WHERE l[k] IN ('၊', '။')""")
+def script_marks(spark, sf):
+    """Commas and full stops of the documents in Myanmar letters, with their places."""
+    return script_docs(spark, sf).select("doc_id", F.explode(tx.script_marks(F.col("text"))).alias("x")).select("doc_id", "x.*")
+
+
+@query("""SELECT p_size AS doc, round(avg(p_retailprice), 5) AS width, round(avg(p_partkey::DOUBLE), 5) AS height FROM part WHERE p_partkey % 5 NOT IN (0, 1, 2) GROUP BY 1""")
+def page_dims(spark, sf):
+    """Mean sizes of the parts as pages; some have none, no number, or an infinite one."""
+    n = F.col("p_partkey") % 5
+    width = F.when(n == 0, F.lit(float("nan"))).when(n == 1, F.lit(0.0)).otherwise(F.col("p_retailprice"))
+    pages = table(spark, sf, "part").select(F.col("p_size").alias("doc"), width.alias("width"), F.when(n == 2, F.lit(float("inf"))).otherwise(F.col("p_partkey").cast("double")).alias("height"))
+    return readers.average_dims(pages).select("doc", F.round("width", 5).alias("width"), F.round("height", 5).alias("height"))
+
+
+@query("""WITH f AS (SELECT user_id, event_type AS font, count(*) AS n, min(event_id) AS f FROM events WHERE event_type <> 'error' GROUP BY 1, 2), b AS (SELECT user_id, arg_min(font, {'n': -n, 'f': f}) AS font FROM f GROUP BY 1), s AS (SELECT user_id, round(median(value), 5) AS font_size FROM events GROUP BY 1)
+    SELECT user_id, font_size, font FROM s LEFT JOIN b USING (user_id)""")
+def run_fonts(spark, sf):
+    """A user's events as the characters of a run: values are sizes, types fonts."""
+    chars = table(spark, sf, "events").select("user_id", F.col("event_id").alias("i"), F.col("value").alias("size"), F.when(F.col("event_type") != "error", F.col("event_type")).alias("font"))
+    return readers.run_fonts(chars, ["user_id"]).select("user_id", F.round("font_size", 5).alias("font_size"), "font")
+
+
+@query(f"""WITH RECURSIVE {PWORDS}, n AS (SELECT DISTINCT p_name, replace(p_name, ' ', CASE WHEN length(p_name) % 2 = 0 THEN '' ELSE '.' END) AS t FROM part),
+    q AS (SELECT p_name, flatten(list_transform(string_split(p_name, ' '), lambda w, k: list_concat(regexp_extract_all(w, '..?'), CASE WHEN length(p_name) % 2 = 1 AND k < len(string_split(p_name, ' ')) THEN ['.'] ELSE [] END))) AS p FROM n),
+    w AS (SELECT p_name, 1 AS at_, []::VARCHAR[] AS out FROM q UNION ALL SELECT p_name, at_ + n, list_append(out, array_to_string(p[at_:at_ + n - 1], '')) FROM (
+        SELECT w.p_name, w.at_, w.out, q.p, coalesce(list_max(list_filter(range(2, 17), lambda n: w.at_ + n - 1 <= len(q.p) AND NOT list_contains(q.p[w.at_:w.at_ + n - 1], '.') AND list_contains(v.words, array_to_string(q.p[w.at_:w.at_ + n - 1], '')))), 1) AS n
+        FROM w JOIN q USING (p_name), (SELECT list(word) AS words FROM wrd) v WHERE w.at_ <= len(q.p)))
+    SELECT w.p_name, array_to_string(out, '|') AS words FROM w JOIN q USING (p_name) WHERE at_ = len(q.p) + 1""")
+def joined_pieces(spark, sf):
+    """Part names predicted as pieces of two letters, joined to the longest words of the lexicon; points stay alone."""
+    name = table(spark, sf, "part").select("p_name").distinct()
+    pieces = F.flatten(F.transform(F.split("p_name", " "), lambda w: F.regexp_extract_all(w, F.lit("..?"), F.lit(0))))
+    dotted = F.flatten(F.transform(F.split("p_name", " "), lambda w, k: F.concat(F.regexp_extract_all(w, F.lit("..?"), F.lit(0)), F.when(k < F.size(F.split("p_name", " ")) - 1, F.array(F.lit("."))).otherwise(F.expr("cast(array() as array<string>)")))))
+    # A point glued to the piece before it is cut off again.
+    glued = F.regexp_extract_all(F.array_join(dotted, "|"), F.lit(r"[a-z]+(?:\|\.)?"), F.lit(0))
+    words = F.when(F.length("p_name") % 2 == 0, pieces).otherwise(F.transform(glued, lambda x: F.replace(x, F.lit("|"), F.lit(""))))
+    done = segment.joined_pieces(name.select("p_name", words.alias("words")), part_words(spark, sf), LATIN, key="p_name")
+    return done.select("p_name", F.array_join("words", "|").alias("words"))
+
+
+@query(f"""WITH s AS (SELECT item_id, {DRAW.replace('* 4 //', '* 100 //')} AS d, regexp_extract_all(lower(text), '{WORD}') AS w FROM (SELECT *, (item_id % 2147483647 * 48271 + 1234) % 2147483647 AS x FROM benchmark))
+    SELECT item_id, CASE WHEN d <= 10 THEN 'dev' ELSE 'train' END AS split, array_to_string(list_transform(w, lambda x: CASE WHEN length(x) = 1 THEN 'U' ELSE 'B' || repeat('I', length(x) - 2) || 'L' END), '') AS tags FROM s WHERE len(w) > 0""")
+def bilu_datasets(spark, sf):
+    """The passages as training data for a word splitter: a tenth is dev."""
+    b = table(spark, sf, "benchmark").select("item_id", F.regexp_extract_all(F.lower("text"), F.lit(LATIN.word), F.lit(0)).alias("words"))
+    return corpus.bilu_dataset(b, LATIN, key="item_id").select("item_id", "split", F.array_join("tags", "").alias("tags"))
+
+
+@query("""WITH w AS (SELECT p_partkey AS doc_id, string_split(p_name, ' ') AS w, list_transform(range(p_size % 4), lambda k: k::INTEGER) AS y FROM part) SELECT doc_id, i::INTEGER AS i, w[i + 1] AS tokens, y[i + 1] AS labels FROM (SELECT *, unnest(range(least(len(w), len(y)))) AS i FROM w)""")
+def zipped_records(spark, sf):
+    """Words and labels of a record by place; the shorter list ends it."""
+    labels = F.filter(F.sequence(F.lit(0), F.lit(3)), lambda k: k < F.col("p_size") % 4)
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("doc_id"), F.split("p_name", " ").alias("tokens"), labels.alias("labels"))
+    return corpus.zipped(p, ["tokens", "labels"])
+
+
+@query("""WITH e AS (SELECT user_id AS token, CASE event_type WHEN 'view' THEN 'n' WHEN 'click' THEN 'v' WHEN 'error' THEN '' ELSE 'adj' END AS label, event_id % 89 = 0 AS unk, event_id % 97 = 0 AS locked, CASE WHEN user_id % 2 = 0 THEN 'exact' ELSE 'composite' END AS mode FROM events),
+    g AS (SELECT token, bool_or(locked) AS l, bool_or(unk) AS k, bool_and(label = '') AS none, bool_or(label = '') AS some_, count(*) AS n, any_value(mode) AS mode FROM e GROUP BY 1)
+    SELECT token, CASE WHEN l THEN 'locked' WHEN NOT k AND none THEN 'no_pos' ELSE mode || ':' || CASE WHEN k THEN 'has_unknown' WHEN n > 1 AND some_ THEN 'partial' WHEN n > 1 THEN 'multi_fill' ELSE 'single' END END AS source FROM g""")
+def fill_modes(spark, sf):
+    """Users' events as the fills of a token, some with unknown pieces, some locked: why they allow what they allow."""
+    t = F.col("event_type")
+    label = F.when(t == "view", "n").when(t == "click", "v").when(t == "error", "").otherwise("adj")
+    mode = F.when(F.col("user_id") % 2 == 0, "exact").otherwise("composite")
+    fills = table(spark, sf, "events").select(F.col("user_id").alias("token"), label.alias("label"), (F.col("event_id") % 89 == 0).alias("has_unknown"), (F.col("event_id") % 97 == 0).alias("locked"), mode.alias("mode"))
+    return tagging.decided(fills).select("token", "source")

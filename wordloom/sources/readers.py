@@ -155,3 +155,19 @@ def geometry_words(chars: DataFrame, gap: float = 0.25) -> DataFrame:
     runs = chars.withColumn("_b", breaks).withColumn("word", F.sum("_b").over(w))
     out = runs.groupBy("page", "line", "word").agg(F.array_sort(F.collect_list(F.struct("x0", "ch"))).alias("c"), F.min("x0").alias("x0"), F.max("x1").alias("x1"))
     return out.select("page", "line", "word", F.array_join("c.ch", "").alias("text"), "x0", "x1")
+
+
+def average_dims(pages: DataFrame, key: str = "doc") -> DataFrame:
+    """(key, width, height): means over the pages (key, width, height) whose two sizes are finite and above 0; documents without such
+    a page have no row."""
+    good = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.col(c) > 0) & (F.col(c) < float("inf"))
+    return pages.filter(good("width") & good("height")).groupBy(key).agg(F.avg("width").alias("width"), F.avg("height").alias("height"))
+
+
+def run_fonts(chars: DataFrame, key: list[str]) -> DataFrame:
+    """(*key, font_size, font): of each run of characters (*key, i, size, font) the median size and the most frequent font, the one
+    that comes first of equally frequent ones; characters without a size or font do not count for it."""
+    sizes = chars.groupBy(*key).agg(F.median("size").alias("font_size"))
+    fonts = chars.filter("font is not null").groupBy(*key, "font").agg(F.count("*").alias("n"), F.min("i").alias("first"))
+    best = fonts.groupBy(*key).agg(F.min_by("font", F.struct(-F.col("n"), "first")).alias("font"))
+    return sizes.join(best, key, "left")
