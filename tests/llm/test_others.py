@@ -332,6 +332,24 @@ def test_pipeline_stages_take_nulls_and_empty_tables(spark):
         assert corpus_pipeline.pack_sequences(spark, docs, "").count() == docs.count()
 
 
+def test_rows_with_maps_and_buckets_of_many_blocks(spark):
+    """Rows whose columns hold maps are told apart; buckets dealt to tasks in blocks link what one block would."""
+    rng = np.random.default_rng(6)
+    base = [f"w{k}" for k in rng.integers(0, 4000, 120)]
+    texts = []
+    for k in range(60):
+        w = list(base if k % 2 else base[:60] + [f"x{j}" for j in range(60)])
+        for _ in range(int(rng.integers(0, 9))):
+            w[int(rng.integers(0, len(w)))] = f"n{rng.integers(0, 10**6)}"
+        texts.append(" ".join(w))
+    df = spark.createDataFrame([(k, t, {"a": k % 3}) for k, t in enumerate(texts)], "doc_id long, text string, tags map<string, int>")
+    kept = [sorted(r.doc_id for r in similar.deduplicated(df, size=size).collect()) for size in (4096, 8)]
+    assert kept[0] == kept[1] and 1 < len(kept[0]) < 60
+    same = spark.createDataFrame([(1, base, {"a": 1}), (1, base, {"a": 1}), (2, base, None)], "doc_id long, words array<string>, tags map<string, int>").select("doc_id", F.array_join("words", " ").alias("text"), "tags")
+    for out in (similar.deduplicated(same), simhash.deduplicated(same)):
+        assert out.columns == same.columns and [(r.doc_id, r.tags) for r in out.collect()] == [(1, {"a": 1})]
+
+
 def test_running_sums_in_blocks(spark):
     for n in (0, 1, 127, 128, 129, 1000):
         got = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda x: x % 7).alias("v") if n else F.expr("cast(array() as array<int>)").alias("v")).select("v", common.running(F.col("v")).alias("s")).first()

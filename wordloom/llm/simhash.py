@@ -233,8 +233,10 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
 
 
 def row_hashes(df: DataFrame) -> list:
-    """Two hashes of a row (h1, h2) that tell rows apart, nulls by their columns too; rows that share both are equal."""
-    parts = [c for n in df.columns for c in (F.col(f"`{n}`").isNull(), F.col(f"`{n}`"))]
+    """Two hashes of a row (h1, h2) that tell rows apart, nulls by their columns too; rows that share both are equal. Spark hashes no
+    maps, so columns that hold some are hashed as JSON: maps of equal entries in another order count as different."""
+    plain = lambda f: F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`")
+    parts = [c for f in df.schema.fields for c in (F.col(f"`{f.name}`").isNull(), plain(f))]
     return [F.xxhash64(*parts).alias("h1"), F.xxhash64(F.lit(1), *parts).alias("h2")]
 
 

@@ -87,7 +87,7 @@ def shared(entries: DataFrame) -> DataFrame:
     return entries.join(several, "bucket")
 
 
-def agreeing(members: DataFrame, percent: int) -> DataFrame:
+def agreeing(members: DataFrame, percent: int, size: int = BLOCK) -> DataFrame:
     """(a, b): pairs of different roots in a bucket whose sizes and sketches let them be so similar, each pair in the first
     bucket that both are in. members: (bucket, size, node, root, n, sketch, buckets)."""
     share = percent / 100
@@ -133,7 +133,7 @@ def agreeing(members: DataFrame, percent: int) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["a", "b"])
 
-    blocks = F.ceil(F.col("size") / BLOCK)
+    blocks = F.ceil(F.col("size") / size)
     own = F.pmod(F.xxhash64("node"), blocks)
     dealt = members.withColumn("block", own).select("*", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("_j"))
     dealt = dealt.select("bucket", F.least("block", "_j").alias("lo"), F.greatest("block", "_j").alias("hi"), "block", "node", "root", "n", "sketch", "buckets")
@@ -162,7 +162,7 @@ def joined(labels: DataFrame, found: DataFrame) -> DataFrame:
     return written(labels.join(step, "root", "left").select("node", F.coalesce("_root", "root").alias("root")), "labels")
 
 
-def labelled(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def labelled(entries: DataFrame, sets: DataFrame, percent: int, size: int = BLOCK) -> DataFrame:
     """(node, root): the least node that each node of the buckets (bucket, node, size) reaches over links between nodes
     whose sets are so similar. sets: (node, shingles, sketch, n, buckets)."""
     labels = entries.select("node").distinct().withColumn("root", F.col("node"))
@@ -172,13 +172,13 @@ def labelled(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     labels = joined(written(labels, "labels"), compared(asked, sets, percent))
     open_ = entries.join(labels, "node").groupBy("bucket").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).filter("_a < _b").select("bucket")
     members = entries.join(open_, "bucket").join(labels, "node").join(sets.select("node", F.size("shingles").cast("long").alias("n"), "sketch", "buckets"), "node")
-    return joined(labels, compared(agreeing(members, percent), sets, percent))
+    return joined(labels, compared(agreeing(members, percent, size), sets, percent))
 
 
-def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, bits: int = 3) -> DataFrame:
+def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, bits: int = 3, size: int = BLOCK) -> DataFrame:
     """df with one row of each group of texts linked by so many percent of shared shingles, the one with the least id (ids
     that are null come last; of rows with equal ids the one of least hash); its own columns. Null texts are empty; texts
-    without words are one group. Repeated rows are copies. An empty table gives none."""
+    without words are one group. Repeated rows are copies. An empty table gives none. size: members of a bucket in a block."""
     src = df.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"), *row_hashes(df))
     marked = written(marks(src, words), "marks")
     least = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "h1", "h2")).alias("least")
@@ -189,7 +189,7 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     wanted = nodes.join(entries.select("node").distinct(), "node", "left_semi").select("node", "buckets", F.col("least.h1").alias("h1"), F.col("least.h2").alias("h2"))
     sets = sets_of(src.select("text", "h1", "h2").join(wanted, ["h1", "h2"]).select("node", "text"), words).join(wanted.select("node", "buckets"), "node")
     sets = written(sets, "sets")
-    labels = labelled(entries, sets, percent)
+    labels = labelled(entries, sets, percent, size)
     kept = nodes.select("node", "least").join(labels, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least").alias("least"))
     kept = written(kept.select("least.h1", "least.h2"), "kept")
     discard(nodes, entries, sets, labels)
