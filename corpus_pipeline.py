@@ -10,13 +10,11 @@ empty one.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordloom.llm import packing, pii, quality, similar
-from wordloom.llm.common import shared_folder
+from wordloom.llm.common import discard, shared_folder, written
 from wordloom.llm.queries import END_ID, WORD_BPE
 
 
@@ -50,10 +48,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after another over documents; each result is a table in the shared folder."""
+    """The stages one after another over documents; each result is a table in the shared folder, which goes when the next one is
+    written. The last one stays, as the rows are read from it."""
+    shared_folder(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        path = f"{shared_folder(spark)}/stage-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        done = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(docs)
+        docs = done
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -166,7 +166,8 @@ def known_subwords(spark, sf):
     return segment.subwords(rows, words, "text").select("text", F.array_join("parts.part", "|").alias("parts"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {PWORDS}, {HALVES}, f AS (SELECT text, 0 AS pos, 0 AS k FROM hvs UNION SELECT f.text, (pos + length(word))::INTEGER, k + 1 FROM f JOIN wrd ON starts_with(substring(f.text, pos + 1), word))
+    SELECT text, min(k)::INTEGER AS n FROM f WHERE pos = length(text) GROUP BY 1""")
 def fewest_words(spark, sf):
     _, rows, words = part_heads(spark, sf)
     return segment.fewest(rows, words, "text").select("text", F.size("words").alias("n"))
