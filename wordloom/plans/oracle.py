@@ -306,7 +306,8 @@ ORACLE_SQL |= {
 
 #: Greedy phrases of the documents: each match knows the next one after its end, and a walk follows these.
 ORACLE_SQL["phrases_greedy"] = f"""WITH RECURSIVE {BENCH}, {SPANS}, inv AS (SELECT phrase, size, count(*) AS n FROM spn GROUP BY 1, 2), wds AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{WORD}') AS w FROM documents),
-    at4 AS (SELECT doc_id, unnest(range(1, len(w))) AS k, w FROM wds WHERE len(w) > 1), cnd AS (SELECT doc_id, k - 1 AS i, s AS size, array_to_string(w[k:k + s - 1], '_') AS phrase FROM at4, (SELECT unnest([2, 3, 4]) AS s) WHERE k + s - 1 <= len(w)),
+    at4 AS (SELECT doc_id, unnest(range(len(w))) AS i, unnest(w) AS t0, unnest(w[2:]) AS t1, unnest(w[3:]) AS t2, unnest(w[4:]) AS t3 FROM wds),
+    cnd AS (SELECT doc_id, i, 2 AS size, t0 || '_' || t1 AS phrase FROM at4 WHERE t1 IS NOT NULL UNION ALL SELECT doc_id, i, 3, t0 || '_' || t1 || '_' || t2 FROM at4 WHERE t2 IS NOT NULL UNION ALL SELECT doc_id, i, 4, t0 || '_' || t1 || '_' || t2 || '_' || t3 FROM at4 WHERE t3 IS NOT NULL),
     hit AS MATERIALIZED (SELECT doc_id, i, max(size) AS size, arg_max(phrase, c.size) AS phrase, arg_max(n, c.size) AS n FROM cnd c JOIN inv USING (phrase, size) GROUP BY 1, 2),
     nxt AS MATERIALIZED (SELECT h.doc_id, h.i, h.size, h.phrase, h.n, x.i AS after FROM hit h ASOF LEFT JOIN hit x ON x.doc_id = h.doc_id AND h.i + h.size <= x.i),
     wlk AS (SELECT n.* FROM nxt n JOIN (SELECT doc_id, min(i) AS i FROM hit GROUP BY 1) f ON f.doc_id = n.doc_id AND f.i = n.i UNION ALL SELECT n.* FROM wlk w JOIN nxt n ON n.doc_id = w.doc_id AND n.i = w.after)
