@@ -16,7 +16,7 @@ from wordloom.functions import clean, markers, tags
 from wordloom.functions import text as tx
 from wordloom.functions import syllables as syl
 from wordloom.functions.profile import LATIN, MYANMAR
-from wordloom.operators import boundary, clauses, corpus, lexicon, lm, segment, tagging
+from wordloom.operators import boundary, clauses, corpus, lexicon, lm, segment, synthetic, tagging
 from wordloom.plans.analysis import DRAW, FROM, LBL, MY_SQL, TO, labelled_parts, script_docs
 from wordloom.plans.oracle import BENCH, PWORDS, TREES, WORD, tok
 from wordloom.plans.queries import OWN_FOLDER, bench_arrays, doc_tokens, part_words, table, trees
@@ -662,3 +662,14 @@ def fill_modes(spark, sf):
     mode = F.when(F.col("user_id") % 2 == 0, "exact").otherwise("composite")
     fills = table(spark, sf, "events").select(F.col("user_id").alias("token"), label.alias("label"), (F.col("event_id") % 89 == 0).alias("has_unknown"), (F.col("event_id") % 97 == 0).alias("locked"), mode.alias("mode"))
     return tagging.decided(fills).select("token", "source")
+
+
+@query()
+def synthetic_documents(spark, sf):
+    """A synthetic document for every tenth one, of the documents' sentences, with words of two letters as junk: their sizes and labels."""
+    d = table(spark, sf, "documents")
+    sents = tx.sentence_table(tx.piece_arrays(d, LATIN), LATIN.enders).select((F.col("doc_id") * 100000 + F.col("sentence")).alias("id"), F.filter("p", lambda w: w.rlike(f"[{LATIN.letter}]")).alias("tokens"))
+    junk = doc_tokens(spark, sf).filter(F.length("token") == 2).select("token").distinct()
+    docs = synthetic.documents(d.count() // 10, sents, junk, LATIN.letter)
+    n = lambda y: F.size(F.filter("labels", lambda x: x == y))
+    return docs.select("doc", F.size("tokens").alias("n_tokens"), F.md5(F.array_join("tokens", " ")).alias("tokens_md5"), n("SENT_END").alias("sentences"), n("PARA_END").alias("paragraphs"), F.size(F.filter("gaps", lambda g: g == "\n")).alias("lines"))
