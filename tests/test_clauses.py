@@ -93,3 +93,14 @@ def test_clauses_equal_a_walk(spark):
         pieces = sorted(tuple(x)[:1] + tuple(x)[2:] for x in clauses.clause_chunks(df, moderate, relative).collect())
         assert sorted(map(str, pieces)) == sorted(str((k, *c)) for k, s in sents.items() for c in chunks(s, walk(s, 12), moderate, relative))
     assert clauses.boundaries(df.limit(0)).count() == clauses.clause_chunks(df.limit(0)).count() == 0
+
+
+def test_sentences_in_rows_are_not_shuffled(spark):
+    r = random.Random(3)
+    rows = [(k, i, r.choice(WORDS), r.choice(TAGS), r.choice(["acl", "root"])) for k in range(60) for i in range(r.randint(1, 15))]
+    df = spark.createDataFrame(rows, "doc long, i int, form string, pos string, deprel string")
+    held = clauses.gathered(df).checkpoint()
+    for f in (clauses.boundaries, clauses.clause_chunks, lambda x: clauses.classified(clauses.marker_sequences(x))):
+        out = f(held)
+        assert sorted(map(str, out.collect())) == sorted(map(str, f(df).collect()))
+        assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()

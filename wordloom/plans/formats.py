@@ -409,13 +409,16 @@ def clause_marks_sql() -> str:
 
 
 def clause_tokens(spark, sf) -> DataFrame:
-    """The documents' words as tokens in Burmese, in sentences of fifteen."""
-    t = doc_tokens(spark, sf)
+    """(doc, t): the documents' words as tokens in Burmese, in sentences of fifteen, which are cut within a text's array. The
+    texts are dealt out first, so that a table in one file keeps all cores busy."""
     pick = lambda words, n: F.element_at(F.array(*map(F.lit, words)), (n % len(words) + 1).cast("int"))
-    return t.select(
-        (F.col("doc_id") * 100000 + F.floor(F.col("i") / 15)).alias("doc"), (F.col("i") % 15).alias("i"), pick(FORMS, F.length("token") * 3 + F.ascii("token")).alias("form"),
-        pick(KINDS, F.length("token") + F.ascii(F.right("token", F.lit(1))) * 5).alias("pos"), pick(RELATIONS, F.length("token")).alias("deprel"),
+    n = F.size("t")
+    cut = F.transform(F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / 15).cast("int"))), lambda g: F.slice("t", g * 15 + 1, F.lit(15)))
+    rows = tx.token_arrays(table(spark, sf, "documents").select("doc_id", "text").repartition("doc_id"), LATIN).select("doc_id", F.posexplode_outer(cut).alias("g", "w")).filter("w is not null")
+    token = lambda w, k: F.struct(
+        k.alias("i"), pick(FORMS, F.length(w) * 3 + F.ascii(w)).alias("form"), pick(KINDS, F.length(w) + F.ascii(F.right(w, F.lit(1))) * 5).alias("pos"), pick(RELATIONS, F.length(w)).alias("deprel"),
     )
+    return rows.select((F.col("doc_id") * 100000 + F.col("g").cast("long")).alias("doc"), F.transform("w", token).alias("t"))
 
 
 @query(f"WITH RECURSIVE {clause_marks_sql()} SELECT c.k AS kind, c.t AS trigger, count(*) AS n, sum(ends - verb)::BIGINT AS reach FROM ck GROUP BY 1, 2")
