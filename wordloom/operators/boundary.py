@@ -30,7 +30,8 @@ def carried_labels(tokens: DataFrame, kept: Column, key: str = "doc_id") -> Data
     token move back onto it. tokens: (key, i, token, y)."""
     w = W.partitionBy(key).orderBy("i")
     t = tokens.withColumn("_k", kept.cast("int"))
-    t = t.withColumn("_to", F.min(F.when(F.col("_k") == 1, F.col("i"))).over(w.rowsBetween(0, W.unboundedFollowing)))
+    back = W.partitionBy(key).orderBy(F.desc("i")).rowsBetween(W.unboundedPreceding, 0)  # (A frame up to the last row is quadratic.)
+    t = t.withColumn("_to", F.last(F.when(F.col("_k") == 1, F.col("i")), ignorenulls=True).over(back))
     t = t.withColumn("_to", F.coalesce("_to", F.max(F.when(F.col("_k") == 1, F.col("i"))).over(W.partitionBy(key))))
     moved = t.groupBy(key, F.col("_to").alias("i")).agg(F.max("y").alias("y"))
     return t.filter("_k = 1").drop("_k", "_to", "y").join(moved, [key, "i"])
@@ -105,35 +106,47 @@ def mixed_junk(token: Column, letter: str) -> Column:
     return token.rlike(f"[{letter}]") & token.rlike(other)
 
 
-def gaps(docs: DataFrame, letter: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, i, token, gap, line, kind, junk): what white space parts, in order, with the white space after it and the number of
-    line ends before it."""
+def median_of(ordered: str) -> Column:
+    """The median of a sorted array column of numbers; null of none."""
+    n = F.size(ordered)
+    middle = lambda k: F.get(ordered, F.floor(k / 2).cast("int"))
+    return F.when(n > 0, (middle(n - 1) + middle(n)) / 2)
+
+
+def gap_arrays(docs: DataFrame, letter: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, e, med, mad): what white space parts in a text, in order, as an array of (token, gap, line, kind, junk, my, share, short,
+    header): with the white space after it, the number of line ends before it, and its line's shape. Body lines are those of
+    which the script makes half or more (all with any, if there are none); a line is short below a share of their median
+    (med), or some deviations (mad) under it. All is read within the row, line by line, so no token is shuffled."""
     text = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"^\s+", "")
-    found = docs.select(id_col, F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0)).alias("t"), F.regexp_extract_all(text, F.lit(r"\s+"), F.lit(0)).alias("g"))
-    each = F.zip_with("t", F.slice("g", 1, F.size("t")), lambda t, g: F.struct(t.alias("token"), F.coalesce(g, F.lit("")).alias("gap")))
-    # (Zipped, since an array that a lambda names may be computed again for each item.)
-    rows = found.withColumn("_e", each).select(id_col, F.posexplode_outer("_e").alias("i", "e")).filter("i is not null").select(id_col, "i", "e.*")
-    w = W.partitionBy(id_col).orderBy("i").rowsBetween(W.unboundedPreceding, -1)
-    ends = F.length("gap") - F.length(F.replace("gap", F.lit("\n"), F.lit("")))
-    rows = rows.withColumn("line", F.coalesce(F.sum(ends).over(w), F.lit(0)))
-    return rows.withColumn("kind", kind_of(F.col("token"), letter)).withColumn("junk", mixed_junk(F.col("token"), letter))
-
-
-def line_shapes(rows: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, line, total, my, share, short, header, med, mad) of gaps. Body lines are those of which the script makes half or
-    more (all with any, if there are none); a line is short below a share of their median, or some deviations under it."""
-    count = lambda k: F.count_if(F.col("kind") == k)
-    odd = F.count_if(F.col("kind").isin("DIGIT", "PUNCT", "ASCII"))
-    lines = rows.groupBy(key, "line").agg(F.count("*").alias("total"), count("MY").alias("my"), odd.alias("odd")).withColumn("share", F.col("my") / F.col("total"))
-    body = F.when((F.col("my") > 0) & (F.col("share") >= 0.5), F.col("my"))
-    med = lines.groupBy(key).agg(F.coalesce(F.median(body), F.median(F.when(F.col("my") > 0, F.col("my"))), F.lit(0.0)).alias("med"), F.count(body).alias("_n"))
-    both = lines.join(med, key)
-    used = F.when((F.col("my") > 0) & ((F.col("share") >= 0.5) | (F.col("_n") == 0)), F.abs(F.col("my") - F.col("med")))
-    mad = both.groupBy(key).agg(F.coalesce(F.median(used), F.lit(0.0)).alias("mad"))
-    both = both.join(mad, key)
-    short = (F.col("med") > 0) & ((F.col("my") < SHORT_SHARE * F.col("med")) | ((F.col("mad") > 0) & (F.col("my") < F.col("med") - SHORT_MADS * F.col("mad"))))
-    header = (F.col("share") < HEADER_SHARE) & (F.col("odd") >= HEADER_ODD)
-    return both.select(key, "line", "total", "my", "share", short.alias("short"), header.alias("header"), "med", "mad")
+    token = lambda w: F.struct(w.alias("token"), kind_of(w, letter).alias("kind"), mixed_junk(w, letter).alias("junk"))
+    lines = F.transform(F.split("_x", "\n", -1), lambda x, k: F.struct(k.cast("long").alias("line"), F.transform(F.regexp_extract_all(x, F.lit(r"\S+"), F.lit(0)), token).alias("w")))
+    among = lambda p, *kinds: F.size(F.filter(p["w"], lambda x: x["kind"].isin(*kinds)))
+    counted = F.transform(F.filter(lines, lambda p: F.size(p["w"]) > 0), lambda p: F.struct(p["line"].alias("line"), p["w"].alias("w"), F.size(p["w"]).alias("total"), among(p, "MY").alias("my"), among(p, "DIGIT", "PUNCT", "ASCII").alias("odd")))
+    rows = docs.select(id_col, text.alias("_x")).select(id_col, counted.alias("_c"), F.regexp_extract_all("_x", F.lit(r"\s+"), F.lit(0)).alias("_g"))
+    mine = lambda good: F.transform(F.filter("_c", lambda p: (p["my"] > 0) & good(p)), lambda p: p["my"])
+    rows = rows.withColumn("_b", mine(lambda p: p["my"] / p["total"] >= 0.5))
+    rows = rows.withColumn("_u", F.array_sort(F.when(F.size("_b") > 0, F.col("_b")).otherwise(mine(lambda p: F.lit(True)))))
+    rows = rows.withColumn("med", F.coalesce(median_of("_u"), F.lit(0.0)))
+    rows = rows.withColumn("_d", F.array_sort(F.transform("_u", lambda x: F.abs(x - F.col("med"))))).withColumn("mad", F.coalesce(median_of("_d"), F.lit(0.0)))
+    med, mad = F.col("med"), F.col("mad")
+    share = lambda p: p["my"] / p["total"]
+    short = lambda p: (med > 0) & ((p["my"] < SHORT_SHARE * med) | ((mad > 0) & (p["my"] < med - SHORT_MADS * mad)))
+    shaped = F.transform("_c", lambda p: F.struct(p["w"].alias("w"), F.struct(p["line"].alias("line"), p["my"].alias("my"), share(p).alias("share"), short(p).alias("short"), ((share(p) < HEADER_SHARE) & (p["odd"] >= HEADER_ODD)).alias("header")).alias("l")))
+    flat = F.flatten(F.transform(shaped, lambda p: F.transform(p["w"], lambda x: F.struct(x.alias("x"), p["l"].alias("l")))))
+    item = lambda v, g: F.struct(v["x"]["token"].alias("token"), F.coalesce(g, F.lit("")).alias("gap"), v["l"]["line"].alias("line"), v["x"]["kind"].alias("kind"), v["x"]["junk"].alias("junk"), *(v["l"][c].alias(c) for c in ("my", "share", "short", "header")))
+    return rows.select(id_col, F.zip_with(flat, "_g", item).alias("e"), "med", "mad")
+
+
+def gaps(held: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, i, token, gap, line, kind, junk, ...): the items of gap_arrays as rows."""
+    return held.select(key, F.posexplode_outer("e").alias("i", "e")).filter("i is not null").select(key, "i", "e.*")
+
+
+def pair_array() -> Column:
+    """Of gap_arrays, the array of neighbours (a, b): each item with the one after it."""
+    n = F.greatest(F.size("e") - 1, F.lit(0))
+    return F.zip_with(F.slice("e", 1, n), F.slice("e", 2, n), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
 
 
 def cut_at(value: Column, cuts: tuple) -> Column:
@@ -151,23 +164,14 @@ def share_band(share: Column) -> Column:
     return out
 
 
-def pairs_of(rows: DataFrame, key: str = "doc_id") -> DataFrame:
-    """gaps with the token after each (next_token, next_kind, next_junk, next_line); the last one of a text has no row."""
-    w = W.partitionBy(key).orderBy("i")
-    out = rows
-    for c in ("token", "kind", "junk", "line"):
-        out = out.withColumn(f"next_{c}", F.lead(c).over(w))
-    return out.filter("next_token is not null")
-
-
-def gap_features(rows: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, i, features map): 32 features of each place between two tokens that do not look at the words themselves: kinds,
-    lengths and edges of both, the white space, and the shapes of their lines. Lines are joined once for each side."""
+def gap_features(held: DataFrame, names: list[str] | None = None, key: str = "doc_id") -> DataFrame:
+    """(key, i, features map): 32 features (or those named) of each place between two tokens of gap_arrays that do not look at the
+    words themselves: kinds, lengths and edges of both, the white space, and the shapes of their lines."""
     from wordloom.functions.clean import char_class
 
-    lines = line_shapes(rows, key)
-    at = lambda p: lines.select(key, F.col("line").alias(f"{p}line"), *(F.col(c).alias(f"{p}{c}_") for c in ("my", "share", "short", "header", "med", "mad")))
-    r = pairs_of(rows, key).join(at(""), [key, "line"]).join(at("next_"), [key, "next_line"])
+    each = held.select(key, "med", "mad", F.posexplode_outer(pair_array()).alias("i", "p")).filter("i is not null")
+    line = lambda p, side: [F.col(f"p.{side}.{c}").alias(f"{p}{c}_") for c in ("my", "share", "short", "header")]
+    r = each.select(key, "i", F.col("med").alias("med_"), F.col("mad").alias("mad_"), *(F.col(f"p.a.{c}") for c in ("token", "gap", "kind", "junk")), *(F.col(f"p.b.{c}").alias(f"next_{c}") for c in ("token", "kind", "junk")), *line("", "a"), *line("next_", "b"))
     flag = lambda c: F.when(c, "1").otherwise("0")
     times = lambda ch: F.length("gap") - F.length(F.replace("gap", F.lit(ch), F.lit("")))
     first, last = (lambda c: char_class(F.left(c, F.lit(1)))), (lambda c: char_class(F.right(c, F.lit(1))))
@@ -184,20 +188,23 @@ def gap_features(rows: DataFrame, key: str = "doc_id") -> DataFrame:
         "next_line_ratio": share_band(F.col("next_share_")), "next_line_short": flag(F.col("next_short_")), "next_line_headerish": flag(F.col("next_header_")),
         "doc_line_med_b": cut_at(F.round("med_"), BASE), "doc_line_mad_b": cut_at(F.round("mad_"), MADS),
     }
-    return r.select(key, "i", F.create_map(*(x for k, v in f.items() for x in (F.lit(k), v))).alias("features"))
+    return r.select(key, "i", F.create_map(*(x for k, v in f.items() if names is None or k in names for x in (F.lit(k), v))).alias("features"))
 
 
-def silver_labels(rows: DataFrame, key: str = "doc_id", least: int = 5) -> DataFrame:
-    """(key, i, label) of each place between two tokens of gaps: PARA_END at a line end after a short or header-like line, or
+def silver_labels(held: DataFrame, key: str = "doc_id", least: int = 5) -> DataFrame:
+    """(key, i, label) of each place between two tokens of gap_arrays: PARA_END at a line end after a short or header-like line, or
     before a blank one; else SENT_END after a token of the script that junk is glued to or that another kind of token
     follows; else O. Texts of fewer than so many tokens, and those without any boundary, have no rows."""
-    lines = line_shapes(rows, key)
-    r = pairs_of(rows, key).join(lines.select(key, "line", "short", "header"), [key, "line"])
-    para = F.contains("gap", F.lit("\n")) & (F.col("short") | F.col("header") | F.contains("gap", F.lit("\n\n")))
-    sent = (F.col("kind") == "MY") & (F.col("junk") | (F.col("next_kind") != "MY"))
-    labelled = r.select(key, "i", F.when(para, "PARA_END").when(sent, "SENT_END").otherwise("O").alias("label"))
-    kept = labelled.groupBy(key).agg(F.count("*").alias("n"), F.count_if(F.col("label") != "O").alias("b")).filter((F.col("n") >= least - 1) & (F.col("b") > 0))
-    return labelled.join(kept.select(key), key, "left_semi")
+
+    def label(p: Column) -> Column:
+        a, b = p["a"], p["b"]
+        para = F.contains(a["gap"], F.lit("\n")) & (a["short"] | a["header"] | F.contains(a["gap"], F.lit("\n\n")))
+        return F.when(para, "PARA_END").when((a["kind"] == "MY") & (a["junk"] | (b["kind"] != "MY")), "SENT_END").otherwise("O")
+
+    labelled = held.select(key, F.transform(pair_array(), label).alias("_l"))
+    # (No filter: it would be pushed below the arrays, and all of them made again for it.)
+    kept = F.when((F.size("_l") >= least - 1) & F.exists("_l", lambda x: x != "O"), F.col("_l"))
+    return labelled.select(key, F.posexplode_outer(kept).alias("i", "label")).filter("i is not null")
 
 
 def junk_pool(rows: DataFrame, most: int, longest: int = 8, key: str = "doc_id") -> DataFrame:
@@ -342,14 +349,18 @@ def marker_scores(raw: DataFrame, guess: DataFrame, ignored: list[str], letter:
     one of the ignored ones count apart. guess: (key, k), places among the kept tokens."""
     tokens = raw.select(key, F.posexplode_outer(F.filter(F.split(text_col, r"\s+"), lambda t: t != "")).alias("i", "token")).filter("i is not null")
     is_marker = F.col("token") == marker
-    good = ~is_marker & keeps(F.col("token"), letter)
-    w = W.partitionBy(key).orderBy("i")
-    t = tokens.withColumn("_m", is_marker).withColumn("_k", F.sum(good.cast("int")).over(w)).withColumn("_next", F.first(F.when(good, strip_edges(F.col("token"))), ignorenulls=True).over(w.rowsBetween(1, W.unboundedFollowing)))
-    marks = t.filter(F.col("_m") & (F.col("_k") > 0)).withColumn("_ig", F.coalesce(F.col("_next").isin(ignored), F.lit(False)))
-    gold = marks.filter(~F.col("_ig")).select(key, (F.col("_k") - 1).alias("k")).distinct()
-    hit = gold.join(guess.select(key, "k", F.lit(1).alias("_hit")).distinct(), [key, "k"], "left")
-    counted = hit.agg(F.count("*").alias("gold"), F.count_if(F.col("_hit").isNull()).alias("missed"))
-    return counted.join(F.broadcast(guess.agg(F.count("*").alias("predicted")))).join(F.broadcast(marks.agg(F.count_if("_ig").alias("ignored"))))
+    # Of the tokens only flags are shuffled. The next kept token is read in the opposite order: a frame that
+    # ends with the last row is gone through again for each row, which is quadratic in a text's length.
+    flags = tokens.select(key, "i", is_marker.alias("_m"), (~is_marker & keeps(F.col("token"), letter)).alias("_g"), strip_edges(F.col("token")).isin(ignored).alias("_x")).filter("_m or _g")
+    w = W.partitionBy(key)
+    t = flags.withColumn("_ig", F.coalesce(F.last(F.when(F.col("_g"), F.col("_x")), ignorenulls=True).over(w.orderBy(F.desc("i")).rowsBetween(W.unboundedPreceding, -1)), F.lit(False)))
+    t = t.withColumn("_k", F.sum(F.col("_g").cast("int")).over(w.orderBy("i")))
+    one = lambda c: F.when(c, 1).otherwise(0)
+    marks = t.filter(F.col("_m") & (F.col("_k") > 0)).select(key, (F.col("_k") - 1).alias("k"), one(~F.col("_ig")).alias("gold"), F.lit(0).alias("guess"), one(F.col("_ig")).alias("ignored"))
+    both = marks.unionByName(guess.select(key, F.col("k").cast("long").alias("k"), F.lit(0).alias("gold"), F.lit(1).alias("guess"), F.lit(0).alias("ignored")))
+    places = both.groupBy(key, "k").agg(F.max("gold").alias("gold"), F.sum("guess").alias("guess"), F.sum("ignored").alias("ignored"))
+    total = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(name)
+    return places.agg(total(F.col("gold"), "gold"), total(one((F.col("gold") == 1) & (F.col("guess") == 0)), "missed"), total(F.col("guess"), "predicted"), total(F.col("ignored"), "ignored"))
 
 
 def particles(texts: DataFrame, sequences: list[str], key: str = "doc_id") -> DataFrame:

@@ -108,7 +108,7 @@ def nearest_kept(tokens: DataFrame, kept, key: str = "doc") -> DataFrame:
     """(key, i, to): for each dropped token the nearest kept one, the left one if both are as near."""
     w = W.partitionBy(key).orderBy("i")
     place = F.when(kept, F.col("i"))
-    t = tokens.withColumn("_l", F.last(place, ignorenulls=True).over(w)).withColumn("_r", F.first(place, ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing)))
+    t = tokens.withColumn("_l", F.last(place, ignorenulls=True).over(w)).withColumn("_r", F.last(place, ignorenulls=True).over(W.partitionBy(key).orderBy(F.desc("i")).rowsBetween(W.unboundedPreceding, 0)))
     to = F.when(F.col("_r").isNull() | (F.col("i") - F.col("_l") <= F.col("_r") - F.col("i")), F.coalesce("_l", "_r")).otherwise(F.col("_r"))
     return t.filter(~kept).select(key, "i", to.alias("to"))
 
