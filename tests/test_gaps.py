@@ -35,3 +35,14 @@ def test_marker_scores_read_the_next_word_in_linear_time(spark):
     assert tuple(boundary.marker_scores(raw.limit(0), guess.limit(0), ["the"], LATIN.letter).first()) == (0, 0, 0, 0)
     carried = boundary.carried_labels(spark.createDataFrame([(1, 0, "a", 0), (1, 1, "-", 1)], "doc_id long, i int, token string, y int"), F.col("token") == "a")
     assert "unboundedfollowing" not in plan(out).lower() and "currentrow$(), unboundedfollowing" not in plan(carried).lower()
+
+
+def test_logarithms_are_those_of_the_c_library(spark):
+    import math
+
+    from wordloom.operators import tagging
+
+    values = [(a / b,) for b in range(1, 80) for a in range(1, b)]
+    rows = spark.createDataFrame(values, "x double").select("x", tagging.logarithm(F.col("x")).alias("y")).collect()
+    assert all(r.y == math.log(r.x) for r in rows)
+    assert spark.createDataFrame([(None,), (0.0,)], "x double").filter(tagging.logarithm(F.col("x")).isNotNull()).count() == 0

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.sql import DataFrame
+import math
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -12,6 +14,18 @@ from wordloom.functions.tags import allowed, upos_of
 LEXICAL, TRANSITION, SMOOTH, FLOOR = 1.0, 0.7, 0.1, 1e-4
 
 
+def logarithm(value: Column) -> Column:
+    """The natural logarithm as C's library rounds it, which engines in C share. (Spark's is another last digit for one value in
+    twenty; where sums of equal logarithms tie but for their order, that digit decides between paths.) For small tables of
+    statistics: an Arrow function."""
+
+    @F.pandas_udf("double")
+    def log(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: math.log(v) if v > 0 else None)
+
+    return log(value.cast("double"))
+
+
 def tag_stats(tagged: DataFrame) -> DataFrame:
     """(word, tag, n, p): share of each tag among a word's uses."""
     counts = tagged.groupBy("word", "tag").agg(F.count("*").alias("n"))
@@ -25,7 +39,7 @@ def transitions(tagged: DataFrame, chain: str, order: str) -> DataFrame:
     uni = tagged.filter("tag is not null").groupBy("tag").agg(F.count("*").alias("total"))
     size = uni.agg(F.count("*").alias("tags"))
     joined = pairs.join(uni.withColumnRenamed("tag", "prev"), "prev").join(F.broadcast(size))
-    return joined.select("prev", "tag", "n", F.ln((F.col("n") + SMOOTH) / (F.col("total") + SMOOTH * F.col("tags"))).alias("logp"))
+    return joined.select("prev", "tag", "n", logarithm((F.col("n") + SMOOTH) / (F.col("total") + SMOOTH * F.col("tags"))).alias("logp"))
 
 
 def viterbi(tokens: DataFrame, moves: DataFrame, key: str = "doc") -> DataFrame:
@@ -39,7 +53,7 @@ def viterbi(tokens: DataFrame, moves: DataFrame, key: str = "doc") -> DataFrame:
     own = texts.select(key, F.array_distinct(F.flatten(F.transform("t", lambda x: x["c"]["tag"]))).alias("g"))
     pairs = own.select(key, "g", F.explode("g").alias("prev")).select(key, "prev", F.explode("g").alias("tag"))
     near = pairs.join(moves.select("prev", "tag", "logp"), ["prev", "tag"]).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\u0001", "prev", "tag"), "logp"))).alias("near"))
-    floor = F.lit(float(np.log(FLOOR)))
+    floor = F.lit(math.log(FLOOR))
     none = F.expr("cast(array() as array<struct<score:double,tag:string,from:string>>)")
 
     def step(s, x):
