@@ -46,3 +46,11 @@ def test_logarithms_are_those_of_the_c_library(spark):
     rows = spark.createDataFrame(values, "x double").select("x", tagging.logarithm(F.col("x")).alias("y")).collect()
     assert all(r.y == math.log(r.x) for r in rows)
     assert spark.createDataFrame([(None,), (0.0,)], "x double").filter(tagging.logarithm(F.col("x")).isNotNull()).count() == 0
+
+
+def test_cleaning_splits_only_runs_that_repeat_a_mark(spark):
+    from wordloom.functions import clean
+
+    df = spark.createDataFrame([("ကာိာ ခုုိ",), ("ကှှ",), ("",), (None,)], "t string").select(clean.ocr_clean(F.col("t")).alias("o"))
+    assert [r.o for r in df.collect()] == ["ကာိ ခုိ", "ကှှ", "", None]
+    assert "array_position" not in plan(df)

@@ -74,12 +74,13 @@ def ocr_clean(text: Column) -> Column:
     s = F.regexp_replace(F.regexp_replace(s, f"[^{SPACES}\u1000-\u109F\uA9E0-\uA9FF\uAA60-\uAA7F]", ""), f"[{SPACES}]+", " ")
     s = F.regexp_replace(s, f"(^|[ \u104A\u104B])[{FOLLOWING}]+", "$1")
 
-    def once(cluster: Column) -> Column:
-        chars = F.split(cluster, "")
-        return F.array_join(F.filter(chars, lambda c, k: ~c.rlike(f"^[{ONCE}]$") | (F.array_position(chars, c) == k + 1)), "")
+    def once(marks: Column) -> Column:
+        """A run of marks; only one that repeats a mark is gone through character by character."""
+        step = lambda done, c: F.when(c.rlike(f"^[{ONCE}]$") & F.contains(done, c), done).otherwise(F.concat(done, c))
+        return F.when(marks.rlike(f"([{ONCE}])[{FOLLOWING}]*\\1"), F.aggregate(F.split(marks, ""), F.lit(""), step)).otherwise(marks)
 
-    clusters = F.regexp_extract_all(s, F.lit(f"[^{FOLLOWING}][{FOLLOWING}]*"), F.lit(0))
-    return F.trim(F.regexp_replace(F.array_join(F.transform(clusters, once), ""), " +", " "))
+    runs = F.regexp_extract_all(s, F.lit(f"[{FOLLOWING}]+|[^{FOLLOWING}]+"), F.lit(0))
+    return F.trim(F.regexp_replace(F.array_join(F.transform(runs, once), ""), " +", " "))
 
 
 def rewritten(text: Column, rules: list[tuple[str, str]]) -> Column:
