@@ -128,23 +128,28 @@ def majority(rows: DataFrame, form: str, value: str, order: str) -> DataFrame:
 
 
 def bracket_nodes(trees: DataFrame, key: str = "sent_id", text_col: str = "tree") -> DataFrame:
-    """(key, node, label, depth, start, end, parent): a bracketed tree as nested sets. Brackets change the depth by one, so
-    depths are a running sum; a node's end is the first later bracket that returns to its depth."""
+    """(key, node, label, depth, start, end, parent): a bracketed tree as nested sets, read within its row by a stack of open
+    brackets. A node's number is the place of its bracket; one that is never closed makes no node."""
     found = F.regexp_extract_all(F.col(text_col), F.lit(r"\([^\s()]*|\)|[^\s()]+"), F.lit(0))
-    t = trees.select(key, F.posexplode(found).alias("p", "t"))
-    w = W.partitionBy(key).orderBy("p")
-    opens, closes = F.col("t").startswith("("), F.col("t") == ")"
-    leaf = ~opens & ~closes
-    t = t.withColumn("opens", opens).withColumn("closes", closes).withColumn("depth", F.sum(F.when(opens, 1).when(closes, -1).otherwise(0)).over(w))
-    t = t.withColumn("leaves", F.sum(leaf.cast("int")).over(w))
-    begin = t.filter("opens").select(key, F.col("p"), F.substring("t", 2, 1000).alias("label"), (F.col("depth") - 1).alias("depth"), F.col("leaves").alias("start"))
-    end = t.filter("closes").select(key, F.col("p").alias("q"), F.col("depth"), F.col("leaves").alias("end"))
-    # Brackets of a depth alternate, so the nth opening one matches the nth closing one of that depth.
-    nth = W.partitionBy(key, "depth")
-    pairs = begin.withColumn("_n", F.row_number().over(nth.orderBy("p"))).join(end.withColumn("_n", F.row_number().over(nth.orderBy("q"))), [key, "depth", "_n"])
-    parents = pairs.select(key, (F.col("depth") + 1).alias("depth"), F.col("p").alias("parent"), F.col("q").alias("_q"))
-    joined = pairs.join(parents, [key, "depth"], "left").filter("parent is null or (parent < p and q < _q)")
-    return joined.select(key, F.col("p").alias("node"), "label", "depth", "start", "end", "parent")
+    node = "struct<node:int,label:string,depth:bigint,start:bigint,end:bigint,parent:int>"
+    empty = lambda kind: F.expr(f"cast(array() as array<{kind}>)")
+    zero = F.struct(F.lit(0).alias("p"), F.lit(0).cast("long").alias("leaves"), empty("struct<node:int,label:string,start:bigint>").alias("open"), empty(node).alias("out"))
+
+    def step(s: Column, t: Column) -> Column:
+        many = F.size(s["open"])
+        top, above = F.get(s["open"], many - 1), F.get(s["open"], many - 2)
+        opened = F.array_append(s["open"], F.struct(s["p"].alias("node"), F.substr(t, F.lit(2)).alias("label"), s["leaves"].alias("start")))
+        closed = F.struct(top["node"].alias("node"), top["label"].alias("label"), (many - 1).cast("long").alias("depth"), top["start"].alias("start"), s["leaves"].alias("end"), above["node"].alias("parent"))
+        to = lambda leaves, open_, out: F.struct((s["p"] + 1).alias("p"), leaves.alias("leaves"), open_.alias("open"), out.alias("out"))
+        is_end = (t == ")") & (many > 0)
+        return (
+            F.when(t.startswith("("), to(s["leaves"], opened, s["out"])).when(is_end, to(s["leaves"], F.slice(s["open"], 1, many - 1), F.array_append(s["out"], closed)))
+            .otherwise(to(s["leaves"] + F.when(t == ")", 0).otherwise(1), s["open"], s["out"]))
+        )
+
+    read = F.aggregate(found, zero, step, lambda s: F.struct(s["out"].alias("out"), s["open"]["node"].alias("open")))
+    rows = trees.select(key, read.alias("_r")).select(key, "_r.open", F.explode("_r.out").alias("n"))
+    return rows.select(key, "n.node", "n.label", "n.depth", "n.start", "n.end", F.when(~F.array_contains("open", F.col("n.parent")), F.col("n.parent")).alias("parent"))
 
 
 def base_chunks(spans: DataFrame, labels: list[str], key: str = "sent_id") -> DataFrame:
@@ -152,14 +157,12 @@ def base_chunks(spans: DataFrame, labels: list[str], key: str = "sent_id") -> Da
     start, then by the order of the labels, then the shorter first, each that overlaps none taken before. What is taken
     depends on what was, so it is a fold over a sentence's minimal spans; equal spans count once. spans: (key, label, start, end)."""
     rank = F.create_map(*(F.lit(x) for k, v in enumerate(labels) for x in (v, k)))
-    s = spans.filter(F.col("label").isin(labels)).select(key, "label", "start", "end").distinct()
-    a, b = s.alias("a"), s.alias("b")
-    holds = (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.label") == F.col("b.label")) & (F.col("a.start") <= F.col("b.start")) & (F.col("b.end") <= F.col("a.end"))
-    minimal = a.join(b, holds & ((F.col("b.end") - F.col("b.start")) < (F.col("a.end") - F.col("a.start"))), "left_anti")
     item = F.struct("start", rank[F.col("label")].alias("rank"), (F.col("end") - F.col("start")).alias("size"), "end", "label")
-    ordered = minimal.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("all"))
+    held = spans.filter(F.col("label").isin(labels)).groupBy(key).agg(F.array_sort(F.array_distinct(F.collect_list(item))).alias("_s"))
+    holds = lambda a, b: (a["label"] == b["label"]) & (a["start"] <= b["start"]) & (b["end"] <= a["end"]) & (b["size"] < a["size"])
+    ordered = held.select(key, F.filter("_s", lambda a: ~F.exists("_s", lambda b: holds(a, b))).alias("all"))
     walk = F.aggregate(
-        "all", F.struct(F.element_at("all", 1)["start"].alias("at"), F.slice("all", 1, 0).alias("out")),
+        "all", F.struct(F.get("all", F.lit(0))["start"].alias("at"), F.slice("all", 1, 0).alias("out")),
         lambda st, x: F.when(x["start"] >= st["at"], F.struct(x["end"].alias("at"), F.array_append(st["out"], x).alias("out"))).otherwise(st), lambda st: st["out"],
     )
     return ordered.select(key, F.explode(walk).alias("x")).select(key, "x.label", "x.start", "x.end")
@@ -203,34 +206,52 @@ RELATIONS = {
 def percolated(nodes: DataFrame, upos: DataFrame, key: str = "sent_id") -> DataFrame:
     """nodes (bracket_nodes) with head, the leaf (from 0) that heads each: bottom-up, a phrase takes the head of its last child
     whose head has a tag that the phrase's label asks for; a verb phrase then the last that is no function word; else the
-    last child's. upos: (key, i, upos). One round of joins for each level, from the deepest up."""
-    tags = upos.select(key, F.col("i").alias("head"), "upos")
-    deepest = nodes.agg(F.max("depth")).first()[0]
-    kids = nodes.select(key, F.col("parent").alias("node")).distinct().withColumn("_kids", F.lit(True))
-    marked = nodes.join(kids, [key, "node"], "left")
-    done = marked.filter("_kids is null").drop("_kids").withColumn("head", F.col("start")).checkpoint()
-    for depth in range((deepest or 0) - 1, -1, -1):
-        level = marked.filter((F.col("depth") == depth) & F.col("_kids")).drop("_kids")
-        below = done.filter(F.col("depth") == depth + 1).select(key, F.col("parent").alias("node"), F.col("node").alias("kid"), "head").join(tags, [key, "head"], "left")
-        wanted = F.lit(False)
-        for label, good in HEADED.items():
-            wanted = F.when(F.lower("label") == label, F.col("upos").isin(good)).otherwise(wanted)
-        content = (F.lower("label") == "verb") & ~F.coalesce(F.col("upos").isin(FUNCTION), F.lit(False))
-        order = F.struct(F.coalesce(wanted, F.lit(False)).alias("a"), content.alias("b"), F.col("kid"))
-        heads = level.select(key, "node", "label").join(below, [key, "node"]).groupBy(key, "node").agg(F.max_by("head", order).alias("head"))
-        done = done.unionByName(level.join(heads, [key, "node"])).checkpoint()
-    return done
+    last child's. upos: (key, i, upos). A tree is one row: its nodes are gone through from the last to the first, so that
+    children come before their parents, and those whose parent is still to come wait."""
+    own = [c for c in nodes.columns if c != key]
+    trees = nodes.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("node", *(c for c in own if c != "node"))), asc=False).alias("_n"))
+    tags = upos.groupBy(key).agg(F.collect_list(F.struct("i", "upos")).alias("_t"))
+    kind = nodes.schema["start"].dataType.simpleString()
+    waiting = F.expr(f"cast(array() as array<struct<kid:int,head:{kind},upos:string,parent:int>>)")
+    out = F.slice(F.transform("_n", lambda n: F.struct(n.alias("n"), n["start"].alias("head"))), 1, 0)
+
+    def step(s: Column, n: Column) -> Column:
+        low = F.lower(n["label"])
+        kids = F.filter(s["wait"], lambda k: k["parent"] == n["node"])
+
+        def fits(k: Column) -> Column:
+            wanted = F.lit(False)
+            for label, good in HEADED.items():
+                wanted = F.when(low == label, k["upos"].isin(good)).otherwise(wanted)
+            content = (low == "verb") & ~F.coalesce(k["upos"].isin(FUNCTION), F.lit(False))
+            return F.struct(F.coalesce(wanted, F.lit(False)).alias("a"), content.alias("b"), k["kid"].alias("kid"), k["head"].alias("head"))
+
+        head = F.coalesce(F.array_max(F.transform(kids, fits))["head"], n["start"])
+        rest = F.filter(s["wait"], lambda k: ~k["parent"].eqNullSafe(n["node"]))
+        return F.struct(rest.alias("wait"), F.array_append(s["out"], F.struct(n.alias("n"), head.alias("head"))).alias("out"))
+
+    def then(s: Column, n: Column) -> Column:
+        """The node that was just headed waits for its parent, with its head's tag."""
+        last = F.get(s["out"], F.size(s["out"]) - 1)
+        tag = F.get(F.filter("_t", lambda t: t["i"] == last["head"]), F.lit(0))["upos"]
+        me = F.struct(n["node"].alias("kid"), last["head"].alias("head"), tag.alias("upos"), n["parent"].alias("parent"))
+        return F.struct(F.when(n["parent"].isNull(), s["wait"]).otherwise(F.array_append(s["wait"], me)).alias("wait"), s["out"].alias("out"))
+
+    headed = F.aggregate("_n", F.struct(waiting.alias("wait"), out.alias("out")), lambda s, n: F.aggregate(F.array(step(s, n)), s, lambda _, x: then(x, n)), lambda s: s["out"])
+    return trees.join(tags, key, "left").select(key, F.explode(headed).alias("x")).select(key, *(F.col(f"x.n.{c}").alias(c) for c in own), F.col("x.head").alias("head"))
 
 
 def arcs(headed: DataFrame, words: DataFrame, majority: DataFrame | None = None, key: str = "sent_id", marks: list[str] = []) -> DataFrame:
     """(key, i, head, deprel): dependencies of leaves (from 0; head -1 at the root). A child whose head differs from its phrase's
     depends on it; its relation is the most frequent one of its form for function words, else by its tag and the phrase's
-    label. headed: percolated; words: (key, i, form, upos); majority: (form, deprel)."""
-    up = headed.select(key, F.col("node").alias("parent"), F.col("head").alias("to"), F.lower("label").alias("phrase"))
-    links = headed.join(up, [key, "parent"]).filter(F.col("head") != F.col("to")).select(key, F.col("head").alias("i"), "to", "phrase", "depth")
-    one = links.groupBy(key, "i").agg(F.min_by(F.struct("to", "phrase"), "depth").alias("l"))
-    root = headed.filter("parent is null").select(key, F.col("head").alias("root"))
-    at = words.join(one, [key, "i"], "left").join(root, key)
+    label. headed: percolated; words: (key, i, form, upos); majority: (form, deprel). A tree's nodes and words meet in one row."""
+    nodes = headed.groupBy(key).agg(F.collect_list(F.struct("node", "parent", "head", F.lower("label").alias("phrase"), "depth")).alias("_h"))
+    leaves = words.groupBy(key).agg(F.collect_list(F.struct("i", "form", "upos")).alias("_w"))
+    up = lambda c: F.filter("_h", lambda u: (u["node"] == c["parent"]) & (u["head"] != c["head"]))
+    links = F.flatten(F.transform("_h", lambda c: F.transform(up(c), lambda u: F.named_struct(F.lit("depth"), c["depth"], F.lit("i"), c["head"], F.lit("to"), u["head"], F.lit("phrase"), u["phrase"]))))
+    roots = F.transform(F.filter("_h", lambda n: n["parent"].isNull()), lambda n: n["head"])
+    trees = leaves.join(nodes, key).select(key, "_w", links.alias("_l"), F.explode(roots).alias("root"))
+    at = trees.select(key, "_l", "root", F.explode("_w").alias("w")).select(key, "root", "w.*", F.array_min(F.filter("_l", lambda x: x["i"] == F.col("w.i"))).alias("l"))
     tag = F.col("upos")
     fixed = at.join(majority.select("form", F.col("deprel").alias("_m")), "form", "left") if majority is not None else at.withColumn("_m", F.lit(None).cast("string"))
     by = lambda table: F.coalesce(F.create_map(*(F.lit(x) for kv in table.items() for x in kv))[tag], F.lit(table[""]))
