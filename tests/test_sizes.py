@@ -4,6 +4,7 @@ import contextlib
 import io
 
 from wordloom.operators import corpus
+from wordloom.plans import queries
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -41,3 +42,7 @@ def test_minimal_spans_meet_within_a_sentence(spark):
     got = corpus.base_chunks(s, ["NP", "VP"])
     assert shuffles(got) == 1
     assert {(r.label, r.start, r.end) for r in got.collect()} == {("NP", 0, 2), ("NP", 3, 4)}
+
+
+def test_sentence_ends_are_not_shuffled(spark):
+    assert shuffles(queries.sentence_ends(spark, SMALL)) == 0
