@@ -3,7 +3,7 @@
 import contextlib
 import io
 
-from wordloom.operators import corpus
+from wordloom.operators import corpus, lm
 from wordloom.plans import queries
 
 SMALL = "/root/testdata/sf0.001"
@@ -46,3 +46,17 @@ def test_minimal_spans_meet_within_a_sentence(spark):
 
 def test_sentence_ends_are_not_shuffled(spark):
     assert shuffles(queries.sentence_ends(spark, SMALL)) == 0
+
+
+def test_word_counts_stand_in_for_sums_over_pairs(spark):
+    rows = spark.createDataFrame([(1, ["a", "b", "a", "b"]), (2, ["b"]), (3, []), (4, ["c", "a", "b"])], "doc_id long, t array<string>")
+    words = lm.neighbours(rows)
+    assert {tuple(r) for r in words.collect()} == {("a", 3, 3, 2), ("b", 4, 1, 3), ("c", 1, 1, 0)}
+    asked = spark.createDataFrame([("a", "b"), ("a", "b"), ("b", "c")], "w1 string, w2 string")
+    few = lm.bigrams(rows, asked)
+    assert {tuple(r) for r in few.collect()} == {("a", "b", 3)}
+    plain, shared = lm.bigram_costs(lm.bigrams(rows)), lm.bigram_costs(lm.bigrams(rows), words=words)
+    for x, y in zip(plain, shared):
+        assert {tuple(r) for r in x.collect()} == {tuple(r) for r in y.collect()}
+    assert [r.cost for r in lm.bigram_costs(few, words=words)[0].collect()] == [r.cost for r in plain[0].filter("w1 = 'a' and w2 = 'b'").collect()]
+    assert {tuple(r) for r in lm.bigram_shares(lm.bigrams(rows), words).collect()} == {tuple(r) for r in lm.bigram_shares(lm.bigrams(rows)).collect()}
