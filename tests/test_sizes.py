@@ -60,3 +60,11 @@ def test_word_counts_stand_in_for_sums_over_pairs(spark):
         assert {tuple(r) for r in x.collect()} == {tuple(r) for r in y.collect()}
     assert [r.cost for r in lm.bigram_costs(few, words=words)[0].collect()] == [r.cost for r in plain[0].filter("w1 = 'a' and w2 = 'b'").collect()]
     assert {tuple(r) for r in lm.bigram_shares(lm.bigrams(rows), words).collect()} == {tuple(r) for r in lm.bigram_shares(lm.bigrams(rows)).collect()}
+
+
+def test_runs_of_a_place_are_shuffled_as_one_row(spark):
+    rows = spark.createDataFrame([(1, ["a", "b", "a", "b"]), (2, ["a_b", "a"]), (3, ["a"]), (4, [])], "doc_id long, t array<string>")
+    got = lm.spans(rows)
+    assert shuffles(got) == 1
+    want = {("a_b", 2, 2), ("b_a", 2, 1), ("a_b_a", 3, 1), ("b_a_b", 3, 1), ("a_b_a_b", 4, 1), ("a_b_a", 2, 1)}
+    assert {(r.phrase, r["size"], r.n) for r in got.collect()} == want
