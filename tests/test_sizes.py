@@ -3,17 +3,24 @@
 import contextlib
 import io
 
+from pyspark.sql import functions as F
+
+from wordloom.functions import text as tx
 from wordloom.operators import corpus, lm
 from wordloom.plans import queries
 
 SMALL = "/root/testdata/sf0.001"
 
 
-def shuffles(df) -> int:
+def plan(df) -> str:
     out = io.StringIO()
     with contextlib.redirect_stdout(out):
         df.explain()
-    return out.getvalue().count("Exchange hashpartitioning")
+    return out.getvalue()
+
+
+def shuffles(df) -> int:
+    return plan(df).count("Exchange hashpartitioning")
 
 
 def test_trees_are_read_within_their_rows(spark):
@@ -68,3 +75,10 @@ def test_runs_of_a_place_are_shuffled_as_one_row(spark):
     assert shuffles(got) == 1
     want = {("a_b", 2, 2), ("b_a", 2, 1), ("a_b_a", 3, 1), ("b_a_b", 3, 1), ("a_b_a_b", 4, 1), ("a_b_a", 2, 1)}
     assert {(r.phrase, r["size"], r.n) for r in got.collect()} == want
+
+
+def test_composed_texts_stay_arrow_arrays(spark):
+    rows = spark.createDataFrame([("e\u0301",), ("\u00e9 plain",), (None,), ("\u1026 n\u0303",)], "t string")
+    got = rows.select("t", tx.nfc(F.col("t")).alias("c"))
+    assert ", 250" in plan(got)  # a scalar function of Arrow arrays, not of pandas objects
+    assert [r.c for r in got.collect()] == ["\u00e9", "\u00e9 plain", None, "\u1026 \u00f1"]
