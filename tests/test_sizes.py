@@ -2,9 +2,12 @@
 
 import contextlib
 import io
+import random
+import re
 
 from pyspark.sql import functions as F
 
+from wordloom.functions import syllables as syl
 from wordloom.functions import text as tx
 from wordloom.operators import corpus, lm
 from wordloom.plans import queries
@@ -82,3 +85,23 @@ def test_composed_texts_stay_arrow_arrays(spark):
     got = rows.select("t", tx.nfc(F.col("t")).alias("c"))
     assert ", 250" in plan(got)  # a scalar function of Arrow arrays, not of pandas objects
     assert [r.c for r in got.collect()] == ["\u00e9", "\u00e9 plain", None, "\u1026 \u00f1"]
+
+
+def syllables_slow(t):
+    """Character by character."""
+    kind = lambda c: next((k for k, n in enumerate(syl.ORDER) if n != "X" and re.match(f"[{syl.CLASSES[n]}]", c)), 0)
+    out = []
+    for i, c in enumerate(t):
+        state = syl.BETWEEN[kind(t[i - 1])][kind(c)] if i else 0
+        whole = state == 1 or state == 5 and (t[i - 1] == "\u1021" or c == "\u103f" or re.match("\u1037?\u103a|\u1039", t[i + 1 :]))
+        out = [*out[:-1], out[-1] + c] if whole else [*out, c]
+    return out
+
+
+def test_syllables_are_looked_up_without_a_pattern(spark):
+    r = random.Random(3)
+    chars = [chr(c) for c in [*range(0x1000, 0x10A0), *range(0xAA60, 0xAA7C)]] + list("a |\n\u00e9\U0001f600") + ["\u1037\u103a", "\u1039", "\u103a", "\u1000", "\u1021", "\u103f"] * 20
+    texts = [None, "", *("".join(r.choices(chars, k=r.choice([0, 1, 2, 3, 40]))) for _ in range(500)), "", None]
+    got = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").repartition(3).select("k", "t", syl.syllables(F.col("t")).alias("s"))
+    assert "ArrowEvalPython" in plan(got) and "split(" not in plan(got)
+    assert {x.k: x.s for x in got.collect()} == {k: t if t is None else syllables_slow(t) for k, t in enumerate(texts)}
