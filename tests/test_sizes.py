@@ -105,3 +105,19 @@ def test_syllables_are_looked_up_without_a_pattern(spark):
     got = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").repartition(3).select("k", "t", syl.syllables(F.col("t")).alias("s"))
     assert "ArrowEvalPython" in plan(got) and "split(" not in plan(got)
     assert {x.k: x.s for x in got.collect()} == {k: t if t is None else syllables_slow(t) for k, t in enumerate(texts)}
+
+
+def test_places_that_begin_no_phrase_are_left_out_before_runs_are_made(spark):
+    docs = {1: ["a", "b", "c", "d", "a", "b"], 2: ["a_b", "c", "x"], 3: ["a"], 4: [], 5: ["c", "d", "e", "f", "g"]}
+    rows = spark.createDataFrame(list(docs.items()), "doc_id long, t array<string>")
+    inv = spark.createDataFrame([("a_b", 2, 5), ("a_b_c", 3, 4), ("a_b_c", 2, 3), ("d_e_f_g", 4, 2), ("c_d", 2, 1)], "phrase string, size int, n long")
+    got = lm.phrases(rows, inv)
+    assert "LeftSemi" in plan(got) and plan(got).count("hashpartitioning(doc_id") == 1
+    want = {(1, 0, 3, "a_b_c", 4), (1, 4, 6, "a_b", 5), (2, 0, 2, "a_b_c", 3), (5, 0, 2, "c_d", 1)}
+    assert {tuple(r) for r in got.collect()} == want
+    before, lm.SENT = lm.SENT, 2
+    try:
+        large = lm.phrases(rows, inv)
+        assert "LeftSemi" not in plan(large) and {tuple(r) for r in large.collect()} == want
+    finally:
+        lm.SENT = before
