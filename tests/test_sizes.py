@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from wordloom.functions import syllables as syl
 from wordloom.functions import text as tx
-from wordloom.operators import corpus, lm
+from wordloom.functions.profile import LATIN
+from wordloom.operators import corpus, lm, synthetic
 from wordloom.plans import queries
 
 SMALL = "/root/testdata/sf0.001"
@@ -121,3 +122,25 @@ def test_places_that_begin_no_phrase_are_left_out_before_runs_are_made(spark):
         assert "LeftSemi" not in plan(large) and {tuple(r) for r in large.collect()} == want
     finally:
         lm.SENT = before
+
+
+def test_sentences_and_islands_do_not_carry_their_text(spark):
+    rows = spark.createDataFrame([(1, "One two. Three ,, four! ."), (2, ""), (3, None), (4, "?? a b")], "doc_id long, text string")
+    pieces = tx.piece_arrays(rows, LATIN)
+    sents, isles = tx.sentence_table(pieces, "!.?"), tx.islands(pieces)
+    for df in (sents, isles):
+        kept = re.search(r"Generate posexplode\(.*\), \[([^\]]*)\], true", plan(df)).group(1)
+        assert re.sub(r"#\d+L?", "", kept) == "doc_id"
+    assert {(r.doc_id, r.sentence, tuple(r.p), tuple(r.is_word)) for r in sents.collect()} == {
+        (1, 0, ("one", "two", "."), (True, True, False)), (1, 1, ("three", ",,", "four", "!"), (True, False, True, False)), (1, 2, (".",), (False,)), (4, 0, ("??",), (False,)), (4, 1, ("a", "b"), (True, True)),
+    }
+    assert {tuple(r) for r in isles.collect()} == {(1, 0, 0, 1, 2, "one two"), (1, 1, 3, 3, 1, "three"), (1, 2, 5, 5, 1, "four"), (4, 0, 1, 2, 2, "a b")}
+
+
+def test_only_places_of_sentences_are_sorted(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(synthetic, "ranked", lambda rows, order: seen.append(rows.columns) or corpus.ranked(rows, order))
+    sents = spark.createDataFrame([(7, ["a", "b"]), (7, ["c"]), (8, []), (9, ["d", "e"])], "id long, tokens array<string>")
+    got = synthetic.documents(30, sents, spark.createDataFrame([("#",)], "token string"), "a-z").collect()
+    assert all("tokens" not in columns for columns in seen)
+    assert [r.doc for r in sorted(got)] == list(range(30)) and {t[0] for r in got for t in r.tokens} >= set("abcde")

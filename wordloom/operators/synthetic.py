@@ -57,7 +57,8 @@ def documents(n: int, sentences: DataFrame, junk: DataFrame, letter: str, order:
     spark = sentences.sparkSession
     if max(s.paragraphs) > SLOTS or max(s.sentences) >= HEADER:
         raise ValueError("too many paragraphs or sentences for the places of their draws")
-    source = ranked(sentences.filter(F.size("tokens") > 0).select(order, "tokens"), order).select("nth", "tokens", "total").checkpoint()
+    kept = sentences.select(order, "tokens").withColumn("_row", F.monotonically_increasing_id()).checkpoint().filter(F.size("tokens") > 0)  # cut once; only places are sorted
+    source = ranked(kept.select(order, "_row"), order).select("nth", "_row", "total").checkpoint()
     pool = ranked(junk.select("token").distinct(), "token").select("nth", "token").checkpoint()
     total, many = source.agg(F.coalesce(F.max("total"), F.lit(0))).first()[0], pool.count()
     if not total:
@@ -69,7 +70,7 @@ def documents(n: int, sentences: DataFrame, junk: DataFrame, letter: str, order:
     slots = F.concat(F.when(F.col("has_header"), F.array(F.lit(HEADER))).otherwise(F.expr("cast(array() as array<int>)")), F.sequence(F.lit(0), F.col("n") - 1))
     items = paras.withColumn("k", F.explode(slots))
     items = items.withColumn("s_nth", drawn(place(d, p, k, 3), 0, max(total - 1, 0), seed)).withColumn("j_nth", drawn(place(d, p, k, 6), 0, max(many - 1, 0), seed))
-    items = items.join(source.select(F.col("nth").alias("s_nth"), "tokens"), "s_nth").join(pool.select(F.col("nth").alias("j_nth"), "token"), "j_nth", "left")
+    items = items.join(source.select(F.col("nth").alias("s_nth"), "_row"), "s_nth").join(kept.select("_row", "tokens"), "_row").join(pool.select(F.col("nth").alias("j_nth"), "token"), "j_nth", "left")
     noise = F.coalesce("token", F.lit("#"))
     mark = F.get(F.array(*map(F.lit, MARKS)), drawn(place(d, p, k, 5), 0, 1, seed).cast("int"))
     sep = F.when(some(s.marks, place(d, p, k, 4)), mark).otherwise(noise)

@@ -671,7 +671,7 @@ def fill_modes(spark, sf):
 def synthetic_documents(spark, sf):
     """A synthetic document for every tenth one, of the documents' sentences, with words of two letters as junk: their sizes and labels."""
     d = table(spark, sf, "documents")
-    sents = tx.sentence_table(tx.piece_arrays(d, LATIN), LATIN.enders).select((F.col("doc_id") * 100000 + F.col("sentence")).alias("id"), F.filter("p", lambda w: w.rlike(f"[{LATIN.letter}]")).alias("tokens"))
+    sents = tx.sentence_table(tx.piece_arrays(d, LATIN), LATIN.enders).select((F.col("doc_id") * 100000 + F.col("sentence")).alias("id"), F.filter("p", lambda w, i: F.get("is_word", i)).alias("tokens"))
     junk = doc_tokens(spark, sf).filter(F.length("token") == 2).select("token").distinct()
     docs = synthetic.documents(d.count() // 10, sents, junk, LATIN.letter)
     n = lambda y: F.size(F.filter("labels", lambda x: x == y))
