@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from wordloom.functions import syllables as syl
 from wordloom.functions import text as tx
 from wordloom.functions.profile import LATIN
-from wordloom.operators import corpus, lm, synthetic
+from wordloom.operators import corpus, lexicon, lm, synthetic
 from wordloom.plans import queries
 
 SMALL = "/root/testdata/sf0.001"
@@ -144,3 +144,14 @@ def test_only_places_of_sentences_are_sorted(spark, monkeypatch):
     got = synthetic.documents(30, sents, spark.createDataFrame([("#",)], "token string"), "a-z").collect()
     assert all("tokens" not in columns for columns in seen)
     assert [r.doc for r in sorted(got)] == list(range(30)) and {t[0] for r in got for t in r.tokens} >= set("abcde")
+
+
+def test_unknown_runs_shuffle_no_words(spark):
+    docs = spark.createDataFrame([(1, "a xx yy b b zz"), (2, "xx yy"), (3, "a b"), (4, ""), (5, None), (None, "zz a"), (6, "1 ,")], "doc_id long, text string")
+    words = spark.createDataFrame([("a",), ("b",)], "word string")
+    got = lexicon.merge_unknown_runs(docs, words, LATIN)
+    assert "Window" not in plan(got)
+    assert {(r.doc_id, r["first"], r.n, r.token, r.is_known) for r in got.collect()} == {
+        (1, 0, 1, "a", True), (1, 1, 2, "xxyy", False), (1, 3, 1, "b", True), (1, 4, 1, "b", True), (1, 5, 1, "zz", False),
+        (2, 0, 2, "xxyy", False), (3, 0, 1, "a", True), (3, 1, 1, "b", True), (None, 0, 1, "zz", False), (None, 1, 1, "a", True),
+    }

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from wordloom.functions import text as tx
+from wordloom.functions.profile import ScriptProfile
+
 # Priorities of the layers; the least wins.
 PRIORITIES = {"user": 1, "mmd": 2, "wiktionary": 3, "grammar": 4, "pali": 5, "chronicle": 99, "lm_vocab": 99}
 
@@ -53,15 +56,25 @@ def unknown_counts(tokens: DataFrame, words: DataFrame, most: int = 30, id_col:
     return unknown(counts, words).filter(F.length("token") <= most)
 
 
-def merge_unknown_runs(tokens: DataFrame, words: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, first, n, token, is_known): neighbouring unknown tokens become one; known ones stay."""
-    vocabulary = words.select(F.col("word").alias("_w")).distinct()
-    marked = tokens.join(vocabulary, F.col("token") == F.col("_w"), "left").withColumn("is_known", F.col("_w").isNotNull())
-    w = W.partitionBy(key).orderBy("i")
-    breaks = F.when(F.col("is_known") | F.coalesce(F.lag("is_known").over(w), F.lit(True)), 1).otherwise(0)
-    runs = marked.withColumn("_b", breaks).withColumn("run", F.sum("_b").over(w))
-    joined = runs.groupBy(key, "run").agg(F.min("i").alias("first"), F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("i", "token"))).alias("t"), F.first("is_known").alias("is_known"))
-    return joined.select(key, "first", "n", F.array_join("t.token", "").alias("token"), "is_known")
+def merge_unknown_runs(docs: DataFrame, words: DataFrame, profile: ScriptProfile, key: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(key, first, n, token, is_known): of each text's words, neighbouring unknown ones become one; known ones stay. key is unique.
+
+    Only the places of known words are grouped by key; they meet the text, which is cut into words again, and the runs are what
+    lies between them. So no words are shuffled or put in order again."""
+    known_at = known(tx.tokens(docs, profile, key, text_col), words).groupBy(key).agg(F.array_sort(F.collect_list("i")).alias("_known")).withColumnRenamed(key, "_key")
+    both = docs.select(key, text_col).join(known_at, F.col(key).eqNullSafe(F.col("_key")), "left")
+    rows = tx.token_arrays(both, profile, key, text_col, ("_known",))
+    bounds = F.concat(F.array(F.lit(-1)), F.coalesce("_known", F.expr("cast(array() as array<int>)")), F.array(F.size("t")))
+
+    def runs(v: Column) -> Column:
+        t, at = v["t"], v["at"]
+        gap = lambda a, b: F.struct((a + 1).alias("first"), (b - a - 1).cast("long").alias("n"), F.array_join(F.slice(t, a + 2, b - a - 1), "").alias("token"), F.lit(False).alias("is_known"))
+        word = lambda b: F.struct(b.alias("first"), F.lit(1).cast("long").alias("n"), F.get(t, b).alias("token"), F.lit(True).alias("is_known"))
+        pairs = F.zip_with(F.slice(at, 1, F.size(at) - 1), F.slice(at, 2, F.size(at) - 1), lambda a, b: F.array(F.when(b > a + 1, gap(a, b)), F.when(b < F.size(t), word(b))))
+        return F.flatten(pairs)
+
+    found = rows.select(key, F.explode_outer(tx.bound(F.struct("t", bounds.alias("at")), runs)).alias("r")).filter("r is not null")
+    return found.select(key, "r.*")
 
 
 def upsert(layer: DataFrame, changes: DataFrame) -> DataFrame:
