@@ -4,7 +4,9 @@ import contextlib
 import io
 import random
 import re
+from collections import Counter
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from wordloom.functions import syllables as syl
@@ -73,6 +75,23 @@ def test_word_counts_stand_in_for_sums_over_pairs(spark):
     assert {tuple(r) for r in lm.bigram_shares(lm.bigrams(rows), words).collect()} == {tuple(r) for r in lm.bigram_shares(lm.bigrams(rows)).collect()}
 
 
+def test_pairs_are_counted_in_their_task_before_they_are_dealt_out(spark, monkeypatch):
+    docs = {1: ["a", "b", "a", "b"], 2: None, 3: ["a b", None, "", "a b", None], 4: [], 5: ["b"], 6: ["a", "b"], 7: ["\u00e9", "_"]}
+    want = Counter(p for t in docs.values() if t for p in zip(t, t[1:]))
+    rows = spark.createDataFrame(list(docs.items()), "doc_id long, t array<string>").coalesce(1)
+    got = lm.bigrams(rows)
+    below = plan(got).split("Exchange hashpartitioning(w1")[1]
+    assert shuffles(got) == 1 and "Generate" not in below and "HashAggregate" not in below
+    assert {(r.w1, r.w2): r.n for r in got.collect()} == want and got.count() == len(want)
+    monkeypatch.setattr(lm, "HELD", 1)
+    monkeypatch.setattr(lm, "AT_ONCE", 2)
+    batches = [pa.record_batch([pa.array([t], pa.list_(pa.string()))], ["t"]) for t in docs.values()]
+    parts = [[tuple(x.values()) for x in b.to_pylist()] for b in lm.counted_pairs(iter(batches))]
+    assert all(len(x) <= 2 for x in parts) and sum((Counter({(a, b): n}) for x in parts for a, b, n in x), Counter()) == want
+    sliced = pa.array(list(docs.values()), pa.list_(pa.string())).slice(2, 3)
+    assert {(x["w1"], x["w2"]): x["n"] for b in lm.pair_counts([sliced]) for x in b.to_pylist()} == {("a b", None): 2, (None, ""): 1, ("", "a b"): 1}
+
+
 def test_runs_of_a_place_are_shuffled_as_one_row(spark):
     rows = spark.createDataFrame([(1, ["a", "b", "a", "b"]), (2, ["a_b", "a"]), (3, ["a"]), (4, [])], "doc_id long, t array<string>")
     got = lm.spans(rows)
