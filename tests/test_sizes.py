@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from wordloom.functions import syllables as syl
 from wordloom.functions import text as tx
-from wordloom.functions.profile import LATIN
+from wordloom.functions.profile import LATIN, MYANMAR
 from wordloom.operators import corpus, lexicon, lm, synthetic
 from wordloom.plans import queries
 
@@ -85,13 +85,33 @@ def test_pairs_are_counted_in_their_task_before_they_are_dealt_out(spark, monkey
     assert {(r.w1, r.w2): r.n for r in got.collect()} == want and got.count() == len(want)
     monkeypatch.setattr(lm, "HELD", 1)
     monkeypatch.setattr(lm, "AT_ONCE", 2)
-    batches = [pa.record_batch([pa.array([t], pa.list_(pa.string()))], ["t"]) for t in docs.values()]
-    parts = [[tuple(x.values()) for x in b.to_pylist()] for b in lm.counted_pairs(iter(batches))]
+    lists = [pa.array([t], pa.list_(pa.string())) for t in docs.values()]
+    parts = [[tuple(x.values()) for x in b.to_pylist()] for b in lm.counted_pairs(iter(lists))]
     assert all(len(x) <= 2 for x in parts) and sum((Counter({(a, b): n}) for x in parts for a, b, n in x), Counter()) == want
     sliced = pa.array(list(docs.values()), pa.list_(pa.string())).slice(2, 3)
     assert {(x["w1"], x["w2"]): x["n"] for b in lm.pair_counts([sliced]) for x in b.to_pylist()} == {("a b", None): 2, (None, ""): 1, ("", "a b"): 1}
 
 
+def test_words_are_cut_where_pairs_are_counted(spark, monkeypatch):
+    r = random.Random(5)
+    chars = [*"aaabZ  \n_-1\x00\u00e9\u00c9\u00df\u00f7\u00d7\u00ff\u0100\u0130\u0301\u212a\u1000\u103a\u1040\u104a\U0001f600\ud7ff\ue000"]
+    texts = [None, "", "ab", " ab", "ab ", *("".join(r.choices(chars, k=r.choice([1, 2, 9, 60]))) for _ in range(300)), "", None]
+    for p in (LATIN, MYANMAR):
+        body = p.word[1:-2]  # the class alone
+        want = [re.findall(p.word, t or "") for t in texts]
+        for block in (1, 100, 1 << 20):
+            monkeypatch.setattr(tx, "BLOCK", block)
+            for kind in (pa.string(), pa.large_string()):
+                assert [x for part in tx.cut_words(pa.array(texts, kind), body) for x in part.to_pylist()] == want
+        assert [x for part in tx.cut_words(pa.array(texts).slice(7, 50), body) for x in part.to_pylist()] == want[7:57]
+    assert [x for part in tx.cut_words(pa.array([], pa.string()), "a-z") for x in part.to_pylist()] == []
+    assert LATIN.word == f"[{LATIN.letter}]+"
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = lm.bigrams(docs.select(LATIN.norm(F.col("text")).alias("t")), letter=LATIN.letter)
+    assert "regexp_extract_all" not in plan(queries.bigrams(spark, SMALL))
+    assert {tuple(x) for x in got.collect()} == {tuple(x) for x in lm.bigrams(tx.token_arrays(docs, LATIN)).collect()}
+
+
 def test_runs_of_a_place_are_shuffled_as_one_row(spark):
     rows = spark.createDataFrame([(1, ["a", "b", "a", "b"]), (2, ["a_b", "a"]), (3, ["a"]), (4, [])], "doc_id long, t array<string>")
     got = lm.spans(rows)
