@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from wordloom.functions import syllables as syl
 from wordloom.functions import text as tx
 from wordloom.functions.profile import LATIN, MYANMAR
-from wordloom.operators import corpus, lexicon, lm, synthetic
-from wordloom.plans import queries
+from wordloom.functions import clean
+from wordloom.operators import corpus, lexicon, lm, repair, segment, synthetic
+from wordloom.plans import analysis, queries
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -194,3 +195,43 @@ def test_unknown_runs_shuffle_no_words(spark):
         (1, 0, 1, "a", True), (1, 1, 2, "xxyy", False), (1, 3, 1, "b", True), (1, 4, 1, "b", True), (1, 5, 1, "zz", False),
         (2, 0, 2, "xxyy", False), (3, 0, 1, "a", True), (3, 1, 1, "b", True), (None, 0, 1, "zz", False), (None, 1, 1, "a", True),
     }
+
+
+def test_candidates_that_are_no_words_are_no_rows(spark, monkeypatch):
+    r = random.Random(11)
+    letters = [*"ကခဂဃင", "ကာ", "ခိ", "က္ခ", "A", " "]
+    pick = lambda k: "".join(r.choices(letters, k=k))
+    words = sorted({pick(r.randint(1, 4)).replace("A", "").strip() for _ in range(60)} | {"ကခဂဃ", ""})
+    texts = [(k, pick(r.choice([1, 2, 5, 9, 25]))) for k in range(200)] + [(-1, ""), (-2, None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    lex = spark.createDataFrame([(w, r.choice(["user", "dict"])) for w in words], "word string, source string")
+    costs = spark.createDataFrame([(w, r.choice([0.5, 3.0, 14.0, 40.0])) for w in words[::2]], "token string, cost double")
+    rows = segment.lattice(docs, MYANMAR, 16).checkpoint()
+    for lexicon_ in (lex, lex.select("word"), lex.filter("word = 'x'")):
+        for most in (16, 2):
+            w, some = segment.Weights(most=most), rows.filter(F.col("j") - F.col("i") <= most)
+            want = {(x.doc_id, tuple(x.words)) for x in segment.best_paths(segment.priced(some, lexicon_, costs, w), w=w).collect()}
+            assert {(x.doc_id, tuple(x.words)) for x in segment.cheapest(docs, lexicon_, costs, MYANMAR, w).collect()} == want and len(want) == 200
+            want = {(x.doc_id, tuple(x.words)) for x in segment.max_match(some, lexicon_).collect()}
+            assert {(x.doc_id, tuple(x.words)) for x in segment.longest(docs, lexicon_, MYANMAR, most).collect()} == want
+    monkeypatch.setattr(segment, "lattice", None)
+    asked, plain = [], segment.longest
+    monkeypatch.setattr(segment, "longest", lambda t, *a, **b: asked.extend(x.text for x in t.collect()) or plain(t, *a, **b))
+    got = repair.scanned(spark.createDataFrame([(1, "ကခဂဃကာ"), (2, "ဆဇ")], "doc_id long, text string"), spark.createDataFrame([("ကခဂဃ",), ("ကာ",)], "word string"), costs, MYANMAR)
+    assert {(x.doc_id, tuple(x.words)) for x in got.collect()} == {(1, ("ကခဂဃ", "ကာ")), (2, ("ဆ", "ဇ"))}
+    assert asked == ["ဆဇ"]
+
+
+def test_scanned_words_are_cleaned_once_each(spark, monkeypatch):
+    r = random.Random(13)
+    chars = [*"aehdkwy0159.,  \n-A\u00b0\u00e9\u00a0\u3000\u1000\u1025\u102e\u1037\u1039\u103a\u108d\u1040\u104a\u104b\uaa61\u0130\u03a3"]
+    texts = [None, "", " ", ".", *("".join(r.choices(chars, k=r.choice([1, 5, 60]))) for _ in range(600))] + ["ab ab"] * 50
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    whole = clean.ocr_clean(F.translate(F.lower(F.coalesce("text", F.lit(""))), analysis.FROM, analysis.TO))
+    want = {x.w for x in docs.select(F.explode(F.split(whole, "[ ၊။]")).alias("w")).filter("w <> ''").collect()}
+    for block in (10, 1 << 20):
+        monkeypatch.setattr(tx, "BLOCK", block)
+        got = [x.text for x in clean.ocr_distinct(docs, analysis.FROM, analysis.TO).collect()]
+        assert sorted(got) == sorted(want)
+    parts = [x.token for x in tx.distinct_runs(docs, "^ ").collect()]
+    assert "Python" not in plan(clean.ocr_distinct(docs, analysis.FROM, analysis.TO)) and len(parts) == len(set(parts))

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wordloom.functions.text import distinct_runs
+
 # Consonants and independent vowels that begin a Myanmar word, and trails of dictionary definitions.
 ONSETS = "ကခဂဃငစဆဇဈဉဋဌဍဎဏတထဒဓနပဖဗဘမယရလဝသဟဠအဣဤဥဦဧဩဪ"
 SCRIPT = "က-႟ꧠ-꧿ꩠ-ꩿ"
@@ -83,6 +85,17 @@ def ocr_clean(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.array_join(F.transform(runs, once), ""), " +", " "))
 
 
+def ocr_distinct(docs: DataFrame, old: str, new: str, text_col: str = "text") -> DataFrame:
+    """(text): the distinct parts between spaces and the script's marks ၊ and ။ of texts whose letters, in lower case, are rewritten from old
+    to new and that are cleaned as scanned text. No step of the cleaning looks over a space or a mark, so texts are parted
+    first, as they stand, and each distinct part is rewritten and cleaned once, in the task that it was dealt to. (Parts are
+    written, as the optimizer would leave out a distinct() below another one and clean each part wherever it occurs.)"""
+    marks = "၊။" + "".join(a for a, b in zip(old, new) if b in "၊။")
+    lower = docs.select(F.lower(F.col(text_col)).alias("text"))
+    parts = distinct_runs(lower, f"^{SPACES}{re.escape(marks)}").checkpoint()
+    return parts.select(ocr_clean(F.translate("token", old, new)).alias("text")).filter("text <> ''").distinct()
+
+
 def rewritten(text: Column, rules: list[tuple[str, str]]) -> Column:
     """An ordered cascade of rewrites, as converters between encodings of a script are: each rule's pattern is replaced all over
     what the rules before it have made; \\1 and the like stand for its groups, nothing for groups that took no part."""

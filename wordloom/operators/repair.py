@@ -14,7 +14,7 @@ from pyspark.sql.window import Window as W
 
 from wordloom.functions.clean import script_nfc
 from wordloom.functions.profile import ScriptProfile
-from wordloom.operators import search, segment
+from wordloom.operators import lm, search, segment
 
 VIRAMA = "္"
 
@@ -28,7 +28,7 @@ def cleaned_token(token: Column) -> Column:
 
 def known_in(texts: DataFrame, words: DataFrame, items: str, out: str, key: str) -> DataFrame:
     """texts with out: those of its items that words has. Each text asks once for each distinct item."""
-    asked = texts.select(key, F.explode(F.array_distinct(items)).alias("word")).join(words.select("word").distinct(), "word", "left_semi")
+    asked = texts.select(key, F.explode_outer(F.array_distinct(items)).alias("word")).join(lm.sent(words.select("word").distinct()), "word", "left_semi")
     found = asked.groupBy(key).agg(F.collect_set("word").alias(out))
     return texts.join(found, key, "left").withColumn(out, F.coalesce(out, F.slice(items, 1, 0)))
 
@@ -59,11 +59,16 @@ def corrections(segments: DataFrame, runs: DataFrame, lexicon: DataFrame) -> tup
 def corrected(paths: DataFrame, lexicon: DataFrame, profile: ScriptProfile, most: int = 3, key: str = "doc_id") -> DataFrame:
     """(key, pieces array<(text, original, method)>, changed): segments (key, words array) from the left, open ones corrected. Where
     another open one follows, up to `most` of them are tried as one word first (greedy_merge); else, or if there is none
-    for them, the one segment is corrected (spell_correct). Others stay, with a null method."""
+    for them, the one segment is corrected (spell_correct). Others stay, with a null method; texts without an open one take no
+    further part."""
     held = known_in(paths.select(key, "words"), lexicon, "words", "_known", key)
     script = lambda w: w.rlike(f"^[\\s{profile.letter}]+$") & w.rlike(f"[{profile.letter}]")
     is_open = F.transform("words", lambda w: script(w) & ~F.array_contains("_known", w))
-    held = held.withColumn("_open", is_open)
+    held = held.filter(F.size("words") > 0).withColumn("_open", is_open).drop("_known").checkpoint()
+    piece = lambda text, original, method: F.struct(text.alias("text"), original.alias("original"), method.cast("string").alias("method"))
+    none_open = ~F.exists("_open", lambda x: x)
+    closed = held.filter(none_open).select(key, F.transform("words", lambda w: piece(w, w, F.lit(None))).alias("pieces"), F.lit(False).alias("changed"))
+    held = held.filter(~none_open)
 
     def run(k: Column) -> Column:
         """How many open segments begin at place k (from 0), `most` at most."""
@@ -71,7 +76,7 @@ def corrected(paths: DataFrame, lexicon: DataFrame, profile: ScriptProfile, most
 
     place = F.sequence(F.lit(0), F.size("words") - 1)
     runs = F.transform(place, lambda k: F.struct(run(k).alias("n"), F.array_join(F.slice("words", k + 1, F.greatest(run(k), F.lit(1))), "").alias("text")))
-    held = held.filter(F.size("words") > 0).withColumn("_runs", runs).checkpoint()
+    held = held.withColumn("_runs", runs).checkpoint()
     singles = held.select(F.explode(F.filter("words", lambda w, k: F.get("_open", k))).alias("query"))
     joined = held.select(F.explode(F.filter("_runs", lambda r: r["n"] > 1)).alias("r")).select(F.col("r.text").alias("query"))
     one, several = corrections(singles, joined, lexicon)
@@ -84,7 +89,6 @@ def corrected(paths: DataFrame, lexicon: DataFrame, profile: ScriptProfile, most
     held = held.join(given(several, F.transform(F.filter("_runs", lambda r: r["n"] > 1), lambda r: r["text"]), "_several"), key, "left")
     none = F.expr("cast(map() as map<string,string>)")
     held = held.withColumn("_one", F.coalesce("_one", none)).withColumn("_several", F.coalesce("_several", none))
-    piece = lambda text, original, method: F.struct(text.alias("text"), original.alias("original"), method.cast("string").alias("method"))
 
     def step(s: Column, k: Column) -> Column:
         word, r = F.get("words", k), F.get("_runs", k)
@@ -96,7 +100,7 @@ def corrected(paths: DataFrame, lexicon: DataFrame, profile: ScriptProfile, most
 
     start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<text:string,original:string,method:string>>)").alias("out"))
     done = held.select(key, F.aggregate(place, start, step, lambda s: s["out"]).alias("pieces"))
-    return done.withColumn("changed", F.exists("pieces", lambda p: p["method"].isNotNull()))
+    return done.withColumn("changed", F.exists("pieces", lambda p: p["method"].isNotNull())).unionByName(closed)
 
 
 def repaired(paths: DataFrame, lexicon: DataFrame, cut, profile: ScriptProfile, most: int = 3, key: str = "doc_id") -> DataFrame:
@@ -110,6 +114,11 @@ def repaired(paths: DataFrame, lexicon: DataFrame, cut, profile: ScriptProfile,
     return placed.join(again, key, "left").select(key, F.coalesce("_again", "pieces.text").alias("words"), "marks")
 
 
+def is_unknown(word: Column, profile: ScriptProfile) -> Column:
+    """Whether a word that holds a character of the script is not among _known."""
+    return word.rlike(f"[{profile.letter}]") & ~F.array_contains("_known", word)
+
+
 def placed_words(words: Column) -> Column:
     """words as (start, end, text)."""
     ends = F.aggregate(words, F.array(F.lit(0)), lambda s, w: F.array_append(s, F.element_at(s, -1) + F.length(w)))
@@ -126,8 +135,8 @@ def arbitrated(first: DataFrame, second: DataFrame, lexicon: DataFrame, profile:
     held = first.select(key, F.col("words").alias("_w1")).join(second.select(key, F.col("words").alias("_w2")), key, "left")
     same = F.coalesce(F.array_join("_w1", "") == F.array_join("_w2", ""), F.lit(False))
     held = held.withColumn("_w2", F.when(same, F.col("_w2")).otherwise(F.slice("_w1", 1, 0)))
-    held = known_in(held.withColumn("_all", F.concat("_w1", "_w2")), lexicon, "_all", "_known", key).withColumn("_a", placed_words(F.col("_w1"))).withColumn("_b", placed_words(F.col("_w2")))
-    unknown = lambda t: t["text"].rlike(f"[{profile.letter}]") & ~F.array_contains("_known", t["text"])
+    held = known_in(held.withColumn("_all", F.concat("_w1", "_w2")).checkpoint(), lexicon, "_all", "_known", key).withColumn("_a", placed_words(F.col("_w1"))).withColumn("_b", placed_words(F.col("_w2")))
+    unknown = lambda t: is_unknown(t["text"], profile)
     run = F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit(0).alias("n"))
 
     def step(s: Column, t: Column) -> Column:
@@ -150,10 +159,11 @@ def arbitrated(first: DataFrame, second: DataFrame, lexicon: DataFrame, profile:
 
 def scanned(texts: DataFrame, lexicon: DataFrame, costs: DataFrame, profile: ScriptProfile, most: int = 3, key: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(key, words, marks): texts cut by the cheapest path, corrected, cut again where they changed, and arbitrated by longest
-    matches. lexicon: (word); costs: (token, cost)."""
-    rows = lambda t, c: segment.lattice(t, profile, segment.Weights().most, key, c)
-    cut = lambda t, c="text": segment.best_paths(segment.priced(rows(t, c), lexicon, costs), key=key).select(key, "words")
-    fixed = repaired(cut(texts, text_col), lexicon, cut, profile, most, key).checkpoint()
-    whole = fixed.select(key, F.array_join("words", "").alias("text"))
-    matched = segment.max_match(rows(whole, "text"), lexicon, key)
-    return arbitrated(fixed, matched, lexicon, profile, key=key).join(fixed.select(key, "marks"), key)
+    matches, which only texts that still hold an unknown segment ask for. lexicon: (word); costs: (token, cost)."""
+    cut = lambda t, c="text": segment.cheapest(t, lexicon, costs, profile, key=key, text_col=c)
+    fixed = repaired(cut(texts, text_col).checkpoint(), lexicon, cut, profile, most, key).checkpoint()
+    unsure = F.exists("words", lambda w: is_unknown(w, profile))
+    held = known_in(fixed, lexicon, "words", "_known", key).select(key, "words", "marks", unsure.alias("_unsure")).checkpoint()
+    asked, sure = held.filter("_unsure").drop("_unsure"), held.filter("not _unsure").drop("_unsure")
+    matched = segment.longest(asked.select(key, F.array_join("words", "").alias("text")), lexicon, profile, key=key)
+    return arbitrated(asked, matched, lexicon, profile, key=key).join(asked.select(key, "marks"), key).unionByName(sure)

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from wordloom.functions.profile import ScriptProfile
-from wordloom.functions.text import clusters
+from wordloom.functions.text import bound, clusters
+from wordloom.operators.lm import sent
 
 
 @dataclass(frozen=True)
@@ -42,6 +43,12 @@ def lattice(docs: DataFrame, profile: ScriptProfile, most: int, key: str = "doc_
     return ended.select(key, "n", "i", "j", piece.alias("piece")).withColumn("word", profile.headword(F.col("piece")))
 
 
+def _known_cost(w: Weights) -> Column:
+    """What a word of the lexicon (source) with a model's cost, or null, costs without a pair's reward."""
+    lm = F.coalesce(F.least("cost", F.lit(w.default_cost)), F.when(F.col("source") == "user", w.default_cost), F.lit(w.default_cost * w.discount))
+    return w.known + w.unigram * lm
+
+
 def priced(candidates: DataFrame, lexicon: DataFrame, costs: DataFrame | None = None, w: Weights = Weights(), profile: ScriptProfile | None = None) -> DataFrame:
     """Adds base (cost without a pair's reward), in_dict and in_lm. lexicon: (word[, source]); costs: (token, cost).
 
@@ -51,8 +58,7 @@ def priced(candidates: DataFrame, lexicon: DataFrame, costs: DataFrame | None =
     got = words.join(entries, "word", "left")
     got = got.join(costs.select(F.col("token").alias("word"), "cost"), "word", "left") if costs is not None else got.withColumn("cost", F.lit(None).cast("double"))
     in_dict = F.col("source").isNotNull() & (F.col("word") != "")
-    lm = F.coalesce(F.least("cost", F.lit(w.default_cost)), F.when(F.col("source") == "user", w.default_cost), F.lit(w.default_cost * w.discount))
-    got = got.select("word", in_dict.alias("in_dict"), (F.col("cost").isNotNull() | (F.col("source") == "user")).alias("in_lm"), (w.known + w.unigram * lm).alias("known_cost"))
+    got = got.select("word", in_dict.alias("in_dict"), (F.col("cost").isNotNull() | (F.col("source") == "user")).alias("in_lm"), _known_cost(w).alias("known_cost"))
     # Text without the script's characters counts by its length.
     size = F.when(profile.in_script(F.col("piece")), F.col("j") - F.col("i")).otherwise(F.length("piece")) if profile else F.col("j") - F.col("i")
     other = w.unknown + w.unigram * w.default_cost + (size - 1) * w.per_cluster
@@ -153,6 +159,61 @@ def max_match(rows: DataFrame, lexicon: DataFrame, key: str = "doc_id") -> DataF
     return ordered.select(key, walk.alias("words"))
 
 
+def clustered(texts: DataFrame, profile: ScriptProfile, key: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(key, c): the clusters of each text."""
+    return texts.select(key, clusters(profile.norm(F.col(text_col)), profile).alias("c")).filter(F.size("c") > 0)
+
+
+def known_runs(parts: DataFrame, words: DataFrame, profile: ScriptProfile, most: int, key: str = "doc_id") -> DataFrame:
+    """(key, i, size, and what else words has): the runs of up to `most` clusters c that words (word, ...) has as lookup keys. Of a
+    run nothing but its place and its key is a row; a key is put together from those of its clusters."""
+    bare = parts.select(key, F.transform("c", lambda x: F.regexp_replace(x, f"[^{profile.letter}]", "")).alias("h"))
+    begun = bare.select(key, F.posexplode_outer(F.transform("h", lambda x, i: F.slice("h", i + 1, F.lit(most)))).alias("i", "h")).filter("i is not null")
+    ended = begun.select(key, "i", F.posexplode_outer(F.transform("h", lambda x, k: F.trim(F.array_join(F.slice("h", F.lit(1), k + 1), "")))).alias("k", "word"))
+    return ended.join(sent(words), "word").select(key, "i", (F.col("k") + 1).alias("size"), *(c for c in words.columns if c != "word"))
+
+
+def cheapest(texts: DataFrame, lexicon: DataFrame, costs: DataFrame, profile: ScriptProfile, w: Weights = Weights(), key: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(key, words): the same as best_paths(priced(lattice(...))) without pairs. Only candidates that the lexicon has become rows and
+    go back to their text; an unknown one costs by its length alone, so it is met in the fold and nowhere else."""
+    entries = lexicon.select("word", (F.col("source") if "source" in lexicon.columns else F.lit("dict")).alias("source")).filter("word <> ''").dropDuplicates(["word"])
+    prices = entries.join(costs.select(F.col("token").alias("word"), "cost"), "word", "left").select("word", _known_cost(w).alias("base"))
+    parts = clustered(texts, profile, key, text_col)
+    code = F.col("i") * w.most + F.col("size")
+    found = known_runs(parts, prices, profile, w.most, key).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(code.alias("at"), "base"))).alias("near"))
+    n = F.size("c")
+
+    def step(s: Column, i: Column) -> Column:
+        def total(size: Column) -> Column:
+            base = F.coalesce(F.try_element_at("near", i * w.most + size), (size - 1) * w.per_cluster + (w.unknown + w.unigram * w.default_cost))
+            return F.struct((base + F.get(s, n - i - size)["cost"]).alias("cost"), size.alias("size"))
+
+        return F.array_append(s, F.array_min(F.transform(F.sequence(F.lit(1), F.least(n - i, F.lit(w.most))), total)))
+
+    # Place i lies at n - i, as in best_paths.
+    best = F.aggregate(F.sequence(n - 1, F.lit(0), F.lit(-1)), F.array(F.struct(F.lit(0.0).alias("cost"), F.lit(0).alias("size"))), step)
+
+    def follow(s: Column) -> Column:
+        size = lambda at: F.get(s, n - at)["size"]
+        word = lambda at: F.array_join(F.slice("c", at + 1, size(at)), "")
+        start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
+        one = lambda a, _: F.when(a["at"] < n, F.struct((a["at"] + size(a["at"])).alias("at"), F.array_append(a["out"], word(a["at"])).alias("out"))).otherwise(a)
+        return F.aggregate(F.sequence(F.lit(1), n), start, one, lambda a: a["out"])
+
+    return parts.join(found, key, "left").select(key, bound(best, follow).alias("words"))
+
+
+def longest(texts: DataFrame, lexicon: DataFrame, profile: ScriptProfile, most: int = Weights.most, key: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(key, words): the same as max_match(lattice(...)); only candidates that the lexicon has become rows."""
+    parts = clustered(texts, profile, key, text_col)
+    at = known_runs(parts, lexicon.select("word").distinct(), profile, most, key).groupBy(key, "i").agg(F.max("size").alias("size"))
+    found = at.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("i", "size"))).alias("near"))
+    size = lambda at: F.coalesce(F.try_element_at("near", at), F.lit(1))
+    one = lambda a, _: F.when(a["at"] < F.size("c"), F.struct((a["at"] + size(a["at"])).alias("at"), F.array_append(a["out"], F.array_join(F.slice("c", a["at"] + 1, size(a["at"])), "")).alias("out"))).otherwise(a)
+    walk = F.aggregate("c", F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out")), one, lambda a: a["out"])
+    return parts.join(found, key, "left").select(key, walk.alias("words"))
+
+
 def filled(rows: DataFrame, lexicon: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, parts array<(part, known)>, mode): how a token is filled from a lexicon. exact: it is a head, and its own part;
     composite: it is none, but longest matches from the left cover it; else unknown, with its single clusters as unknown
