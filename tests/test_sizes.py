@@ -13,7 +13,7 @@ from wordloom.functions import syllables as syl
 from wordloom.functions import text as tx
 from wordloom.functions.profile import LATIN, MYANMAR
 from wordloom.functions import clean
-from wordloom.operators import corpus, lexicon, lm, repair, segment, synthetic
+from wordloom.operators import corpus, lexicon, lm, repair, runs, segment, synthetic
 from wordloom.plans import analysis, queries
 
 SMALL = "/root/testdata/sf0.001"
@@ -235,3 +235,33 @@ def test_scanned_words_are_cleaned_once_each(spark, monkeypatch):
         assert sorted(got) == sorted(want)
     parts = [x.token for x in tx.distinct_runs(docs, "^ ").collect()]
     assert "Python" not in plan(clean.ocr_distinct(docs, analysis.FROM, analysis.TO)) and len(parts) == len(set(parts))
+
+
+def test_places_of_runs_are_shuffled_in_packed_blocks(spark, monkeypatch):
+    r = random.Random(17)
+    texts = [None, "", "ab", "a b", *(" ".join(r.choices(["a", "b", "c", "\u00e9", "dd_e", "f1g", "zzz"], k=r.choice([1, 2, 3, 5, 40]))) for _ in range(200)), None]
+    words = [re.findall(LATIN.word, t or "") for t in texts]
+    count = lambda least, most: Counter(("_".join(w[i : i + k]), k) for w in words for k in range(least, most + 1) for i in range(len(w) - k + 1))
+    docs = spark.createDataFrame([(t,) for t in texts], "t string").repartition(3)
+    for least, most in ((2, 4), (1, 3), (3, 3), (2, 6)):
+        got = lm.spans(docs, least, most, LATIN.letter)
+        assert {(x.phrase, x["size"]): x.n for x in got.collect()} == count(least, most) and got.count() == len(count(least, most))
+    assert got.dtypes == lm.spans(tx.token_arrays(docs.select(F.lit(1).alias("doc_id"), F.col("t").alias("text")), LATIN)).dtypes
+    below = plan(queries.spans_2_4(spark, SMALL)).split("Exchange hashpartitioning(part")[1]
+    assert "MapInArrow" in below and "Generate" not in below
+    assert {(x.phrase, x["size"]): x.n for x in lm.spans(spark.createDataFrame([("a_b c", ), ("a b_c",)], "t string"), letter="a-z_").collect()} == {("a_b_c", 2): 2}
+    # A block holds a part's words once, and its places take few bytes.
+    names = ["".join(r.choices("abcdefgh", k=6)) for _ in range(500)]
+    many = pa.array([r.choices(names, k=400) for _ in range(100)])
+    monkeypatch.setattr(runs, "AT_ONCE", 7)
+    packed, total = Counter(), 0
+    for part, size, n_words, n_rows, block in runs.blocks([many, many.slice(3, 0), many.slice(90)], 2, 4, 5):
+        total += len(block)
+        names, columns, n = runs.unpack(pa.py_buffer(block), size, n_words, n_rows, 4)
+        assert len(set(names.to_pylist())) == n_words and len(n) == n_rows
+        batches = [b.to_pylist() for b in runs.counted([(names, columns, n)], 2, 4)]
+        packed += Counter({(x["phrase"], x["size"]): x["n"] for b in batches for x in b})
+    lists = many.to_pylist() + many.slice(90).to_pylist()
+    assert packed == Counter(("_".join(w[i : i + k]), k) for w in lists for k in (2, 3, 4) for i in range(len(w) - k + 1))
+    assert total < 10 * 400 * 100
+    assert not [*runs.blocks([pa.array([["a"], None, []], pa.list_(pa.string()))], 2, 4, 5)]
